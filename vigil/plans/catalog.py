@@ -11,10 +11,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from vigil.functions.text import parse_comma_list_py
 from vigil.operators import classify as C
+from vigil.operators import filters as Fl
 from vigil.sources import tables as T
 
+# --- Fixed test parameters (FIXTURES.md) -------------------------------------
+SEARCH_TERM = "hate"
+MIN_CONFIDENCE = "92.5"
+DASHBOARD_MIN_CONFIDENCE = "80"
+BLOCK_LIST = "la, on, idiot"
+HOST_REGEX = r"\.example\.(com|net)$"
+# -----------------------------------------------------------------------------
+
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
@@ -43,4 +54,52 @@ def q_flagged(spark: SparkSession, sf: str) -> DataFrame:
 @register("queue_projection")
 def q_queue_projection(spark: SparkSession, sf: str) -> DataFrame:
     return C.queue_view(C.flagged(C.classify(T.user_turns(spark, sf))))
+
+
+# --- dashboard and extension filters (P4-P9, P16) ----------------------------
+
+
+@register("search")
+def q_search(spark: SparkSession, sf: str) -> DataFrame:
+    flagged = C.flagged(C.classify(T.comments(spark, sf)))
+    return Fl.min_confidence(Fl.search(flagged, SEARCH_TERM), DASHBOARD_MIN_CONFIDENCE)
+
+
+@register("min_confidence")
+def q_min_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    return Fl.min_confidence(C.classify(T.comments(spark, sf)), MIN_CONFIDENCE)
+
+
+@register("gate")
+def q_gate(spark: SparkSession, sf: str) -> DataFrame:
+    return Fl.gate(C.classify(T.comments(spark, sf)), 80)
+
+
+@register("blocklist")
+def q_blocklist(spark: SparkSession, sf: str) -> DataFrame:
+    words = parse_comma_list_py(BLOCK_LIST)
+    return Fl.blocklist(T.comments(spark, sf), words)
+
+
+@register("parse_blocklist")
+def q_parse_blocklist(spark: SparkSession, sf: str) -> DataFrame:
+    """Every comma-separated entry of every user turn, trimmed, blanks dropped."""
+    parsed = Fl.parse_blocklist(T.user_turns(spark, sf), "text")
+    return parsed.select(
+        "comment_id",
+        F.posexplode("entries").alias("pos", "entry"),
+    ).select("comment_id", F.col("pos").cast("bigint").alias("pos"), "entry")
+
+
+@register("host_filter")
+def q_host_filter(spark: SparkSession, sf: str) -> DataFrame:
+    pages = T.pages(spark, sf).select("page_id", "url")
+    return Fl.host_filter(pages, HOST_REGEX).select("page_id", "url", Fl.host_of("url").alias("host"))
+
+
+@register("detection_display")
+def q_detection_display(spark: SparkSession, sf: str) -> DataFrame:
+    return Fl.detection_display(C.classify(T.user_turns(spark, sf)))
+
+
 FLAGSHIP = "flagged"

@@ -39,3 +39,60 @@ SELECT CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS comment_id, t
 FROM conversations
 WHERE role = 'user' AND {lex('text')}
 """
+
+# JavaScript trim as an RE2 pattern (same character set as the Spark side).
+_WS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+JS_TRIM_RE = f"^{_WS}+|{_WS}+$"
+
+
+def js_trim(x: str) -> str:
+    return f"regexp_replace({x}, '{JS_TRIM_RE}', '', 'g')"
+
+
+CLASSIFIED_TURNS = f"""
+SELECT CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS comment_id, text,
+       CASE WHEN {lex('text')} THEN 'cyberbully' ELSE 'non-cyberbully' END AS label,
+       CASE WHEN {lex('text')} THEN CAST(0.925 AS DOUBLE) ELSE CAST(0.991 AS DOUBLE) END AS confidence
+FROM conversations WHERE role = 'user'
+"""
+
+ORACLE["search"] = f"""
+SELECT * FROM ({CLASSIFIED_DOCS}) c
+WHERE label = 'cyberbully'
+  AND (contains(lower(text), 'hate') OR contains(comment_id, 'hate'))
+  AND confidence * 100.0 >= CAST(80 AS DOUBLE)
+"""
+
+ORACLE["min_confidence"] = f"""
+SELECT * FROM ({CLASSIFIED_DOCS}) c WHERE confidence * 100.0 >= CAST(92.5 AS DOUBLE)
+"""
+
+ORACLE["gate"] = f"""
+SELECT * FROM ({CLASSIFIED_DOCS}) c WHERE label = 'cyberbully' AND confidence >= CAST(0.8 AS DOUBLE)
+"""
+
+ORACLE["blocklist"] = r"""
+SELECT CAST(doc_id AS VARCHAR) AS comment_id, text FROM documents
+WHERE regexp_matches(text, '\b(?:la|on|idiot)\b', 'i')
+"""
+
+ORACLE["parse_blocklist"] = f"""
+WITH t AS (
+  SELECT CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS comment_id,
+         list_filter(list_transform(string_split(text, ','), lambda x: {js_trim('x')}), lambda x: x <> '') AS l
+  FROM conversations WHERE role = 'user'
+)
+SELECT comment_id, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS pos, unnest(l) AS entry FROM t
+"""
+
+HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
+
+ORACLE["host_filter"] = rf"""
+SELECT page_id, url, {HOST} AS host FROM pages
+WHERE regexp_matches({HOST}, '\.example\.(com|net)$')
+"""
+
+ORACLE["detection_display"] = f"""
+SELECT comment_id, upper(label) AS title, printf('Confidence: %.1f%%', confidence * 100.0) AS message
+FROM ({CLASSIFIED_TURNS}) c
+"""
