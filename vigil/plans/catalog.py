@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from vigil.functions.text import parse_comma_list_py
 from vigil.operators import classify as C
 from vigil.operators import filters as Fl
+from vigil.operators import replay as R
 from vigil.sources import tables as T
 
 # --- Fixed test parameters (FIXTURES.md) -------------------------------------
@@ -102,4 +103,48 @@ def q_detection_display(spark: SparkSession, sf: str) -> DataFrame:
     return Fl.detection_display(C.classify(T.user_turns(spark, sf)))
 
 
-FLAGSHIP = "flagged"
+# --- moderation replay (W2, J1-J3, O1, O2, P15, R1) --------------------------
+
+
+def moderation(spark: SparkSession, sf: str) -> R.Replay:
+    """Replay the events-bound operation log; classify each document once."""
+    docs = T.documents(spark, sf)
+    return R.replay(T.operation_log(spark, sf), flags=C.toxic_flags(docs, "doc_id"), texts=docs)
+
+
+@register("queue_now")
+def q_queue_now(spark: SparkSession, sf: str) -> DataFrame:
+    return moderation(spark, sf).queue.orderBy("queued_ts", "queued_seq")
+
+
+@register("actions")
+def q_actions(spark: SparkSession, sf: str) -> DataFrame:
+    return moderation(spark, sf).actions
+
+
+@register("not_found")
+def q_not_found(spark: SparkSession, sf: str) -> DataFrame:
+    return moderation(spark, sf).not_found
+
+
+@register("delete")
+def q_delete(spark: SparkSession, sf: str) -> DataFrame:
+    return moderation(spark, sf).deleted
+
+
+@register("history")
+def q_history(spark: SparkSession, sf: str) -> DataFrame:
+    return R.history(moderation(spark, sf).actions)
+
+
+@register("history_display")
+def q_history_display(spark: SparkSession, sf: str) -> DataFrame:
+    return Fl.history_display(R.history(moderation(spark, sf).actions))
+
+
+@register("comment_status")
+def q_comment_status(spark: SparkSession, sf: str) -> DataFrame:
+    return R.comment_status(moderation(spark, sf))
+
+
+FLAGSHIP = "queue_now"

@@ -96,3 +96,83 @@ ORACLE["detection_display"] = f"""
 SELECT comment_id, upper(label) AS title, printf('Confidence: %.1f%%', confidence * 100.0) AS message
 FROM ({CLASSIFIED_TURNS}) c
 """
+
+# --- replay: a plain per-comment window over the whole log --------------------
+REPLAY_CTE = f"""
+WITH ops AS (
+  SELECT event_id AS seq, ts, 't1_' || CAST(user_id AS VARCHAR) AS comment_id,
+         CASE event_type WHEN 'view' THEN 'detect' WHEN 'signup' THEN 'detect' WHEN 'click' THEN 'delete'
+              WHEN 'purchase' THEN 'approved' WHEN 'error' THEN 'rejected' ELSE event_type END AS op,
+         event_id % (SELECT count(*) FROM documents) AS doc_id
+  FROM events
+),
+flags AS (SELECT doc_id, {lex('text')} AS toxic FROM documents),
+kept AS (
+  SELECT o.* FROM ops o LEFT JOIN flags f ON o.doc_id = f.doc_id
+  WHERE o.op <> 'detect' OR coalesce(f.toxic, false)
+),
+steps AS (
+  SELECT *,
+    lag(op) OVER (PARTITION BY comment_id ORDER BY ts, seq) AS prev_op,
+    lag(doc_id) OVER (PARTITION BY comment_id ORDER BY ts, seq) AS prev_doc,
+    row_number() OVER (PARTITION BY comment_id ORDER BY ts DESC, seq DESC) AS rn,
+    coalesce(count(CASE WHEN op <> 'detect' THEN 1 END) OVER (PARTITION BY comment_id ORDER BY ts, seq
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run_id
+  FROM kept
+),
+runs AS (
+  SELECT *,
+    first_value(ts) OVER (PARTITION BY comment_id, run_id ORDER BY ts, seq) AS queued_ts,
+    first_value(seq) OVER (PARTITION BY comment_id, run_id ORDER BY ts, seq) AS queued_seq
+  FROM steps
+),
+acts AS (
+  SELECT s.seq AS id, s.comment_id, d.text, s.op AS action, s.ts AS timestamp, s.prev_doc AS doc_id
+  FROM steps s LEFT JOIN documents d ON d.doc_id = s.prev_doc
+  WHERE s.op NOT IN ('detect', 'delete') AND s.prev_op = 'detect'
+),
+queue AS (
+  SELECT r.comment_id, d.text, 'cyberbully' AS label, CAST(0.925 AS DOUBLE) AS confidence, r.queued_ts, r.queued_seq
+  FROM runs r LEFT JOIN documents d ON d.doc_id = r.doc_id
+  WHERE r.rn = 1 AND r.op = 'detect'
+)
+"""
+
+ORACLE["queue_now"] = REPLAY_CTE + "SELECT * FROM queue ORDER BY queued_ts, queued_seq"
+
+ORACLE["actions"] = REPLAY_CTE + "SELECT * FROM acts"
+
+ORACLE["not_found"] = REPLAY_CTE + """
+SELECT seq, ts, comment_id, op FROM steps
+WHERE op <> 'detect' AND (prev_op IS NULL OR prev_op <> 'detect')
+"""
+
+ORACLE["delete"] = REPLAY_CTE + """
+SELECT seq, ts, comment_id FROM steps WHERE op = 'delete' AND prev_op = 'detect'
+"""
+
+ORACLE["history"] = REPLAY_CTE + """
+SELECT comment_id, text, action, timestamp FROM acts ORDER BY timestamp DESC NULLS LAST
+"""
+
+ORACLE["history_display"] = REPLAY_CTE + """
+SELECT comment_id,
+       coalesce(nullif(text, ''), '-') AS text,
+       upper(substr(action, 1, 1)) || substr(action, 2) AS action,
+       CASE WHEN strftime(timestamp, '%f') = '000000' THEN strftime(timestamp, '%Y-%m-%dT%H:%M:%S')
+            ELSE strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') END AS timestamp
+FROM acts
+"""
+
+ORACLE["comment_status"] = REPLAY_CTE + """
+, latest AS (
+  SELECT comment_id, action FROM (
+    SELECT comment_id, action,
+           row_number() OVER (PARTITION BY comment_id ORDER BY timestamp DESC NULLS LAST, id DESC) AS k
+    FROM acts) t
+  WHERE k = 1 AND action IN ('approved', 'rejected')
+)
+SELECT coalesce(q.comment_id, l.comment_id) AS comment_id,
+       CASE WHEN q.comment_id IS NOT NULL THEN 'pending' ELSE l.action END AS status
+FROM queue q FULL OUTER JOIN latest l ON q.comment_id = l.comment_id
+"""

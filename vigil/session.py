@@ -59,3 +59,18 @@ def checkpoint_subdir(spark: SparkSession, name: str) -> str:
     """A named folder under the shared checkpoint root (streaming state, cut lineage)."""
     root = ensure_checkpoint_dir(spark)
     return os.path.join(root, name)
+
+
+def materialize(df, name: str):
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    Cuts the lineage (a lost executor does not recompute the upstream plan)
+    and gives the planner the real on-disk size of the result, so a later
+    join picks a broadcast only when the data is provably small.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = checkpoint_subdir(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
