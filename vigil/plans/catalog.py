@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.text import parse_comma_list_py
 from vigil.operators import classify as C
+from vigil.operators import feedback as Fb
 from vigil.operators import filters as Fl
 from vigil.operators import replay as R
 from vigil.sources import tables as T
@@ -147,4 +148,59 @@ def q_comment_status(spark: SparkSession, sf: str) -> DataFrame:
     return R.comment_status(moderation(spark, sf))
 
 
+# --- feedback -> training set (P12-P14, A1-A3, U1, O3, A8, R2, R3) -----------
+
+
+def _feedback_parts(spark: SparkSession, sf: str):
+    actions = moderation(spark, sf).actions
+    latest = Fb.latest_feedback(actions)
+    examples = Fb.to_examples(latest)
+    original = T.labelled_examples(spark, sf)
+    return actions, latest, examples, original
+
+
+@register("valid_feedback")
+def q_valid_feedback(spark: SparkSession, sf: str) -> DataFrame:
+    return Fb.valid_feedback(moderation(spark, sf).actions).select("id", "comment_id", "action", "timestamp")
+
+
+@register("latest_feedback")
+def q_latest_feedback(spark: SparkSession, sf: str) -> DataFrame:
+    return _feedback_parts(spark, sf)[1]
+
+
+@register("feedback_examples")
+def q_feedback_examples(spark: SparkSession, sf: str) -> DataFrame:
+    return _feedback_parts(spark, sf)[2].select("clean_text", "Label")
+
+
+@register("merged_training")
+def q_merged_training(spark: SparkSession, sf: str) -> DataFrame:
+    _, _, examples, original = _feedback_parts(spark, sf)
+    return Fb.merge_dedupe(original, examples)
+
+
+@register("seeded_shuffle")
+def q_seeded_shuffle(spark: SparkSession, sf: str) -> DataFrame:
+    _, _, examples, original = _feedback_parts(spark, sf)
+    return Fb.seeded_shuffle(Fb.merge_dedupe(original, examples))
+
+
+@register("merge_stats")
+def q_merge_stats(spark: SparkSession, sf: str) -> DataFrame:
+    _, latest, examples, original = _feedback_parts(spark, sf)
+    return Fb.merge_stats(latest, examples, original, Fb.merge_dedupe(original, examples))
+
+
+@register("flag_precision")
+def q_flag_precision(spark: SparkSession, sf: str) -> DataFrame:
+    return Fb.flag_precision(moderation(spark, sf).actions)
+
+
+@register("feedback_conflicts")
+def q_feedback_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    _, _, examples, original = _feedback_parts(spark, sf)
+    return Fb.feedback_conflicts(original, examples)
+
+
 FLAGSHIP = "queue_now"

@@ -176,3 +176,70 @@ SELECT coalesce(q.comment_id, l.comment_id) AS comment_id,
        CASE WHEN q.comment_id IS NOT NULL THEN 'pending' ELSE l.action END AS status
 FROM queue q FULL OUTER JOIN latest l ON q.comment_id = l.comment_id
 """
+
+# --- feedback -> training set -------------------------------------------------
+FEEDBACK_CTE = REPLAY_CTE + """
+, latest AS (
+  SELECT comment_id, text, action FROM (
+    SELECT comment_id, text, action,
+           row_number() OVER (PARTITION BY comment_id ORDER BY timestamp DESC NULLS FIRST, id DESC) AS k
+    FROM acts WHERE action IN ('approved', 'rejected')) t
+  WHERE k = 1
+),
+examples AS (
+  SELECT clean_text, Label, min(comment_id) AS ord FROM (
+    SELECT text AS clean_text, CASE action WHEN 'approved' THEN 1 WHEN 'rejected' THEN 0 END AS Label, comment_id
+    FROM latest) t
+  WHERE clean_text IS NOT NULL AND Label IS NOT NULL
+  GROUP BY clean_text, Label
+),
+original AS (
+  SELECT d.text AS clean_text, CAST(l.toxic AS INTEGER) AS Label, d.doc_id AS ord
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+),
+both_sets AS (
+  SELECT clean_text, Label, 0 AS src, lpad(CAST(ord AS VARCHAR), 20, '0') AS ord FROM original
+  UNION ALL
+  SELECT clean_text, Label, 1 AS src, ord FROM examples
+),
+merged AS (
+  SELECT clean_text, Label FROM (
+    SELECT clean_text, Label, row_number() OVER (PARTITION BY clean_text ORDER BY src, ord) AS k FROM both_sets) t
+  WHERE k = 1
+)
+"""
+
+ORACLE["valid_feedback"] = REPLAY_CTE + """
+SELECT id, comment_id, action, timestamp FROM acts WHERE action IN ('approved', 'rejected')
+"""
+
+ORACLE["latest_feedback"] = FEEDBACK_CTE + "SELECT * FROM latest"
+
+ORACLE["feedback_examples"] = FEEDBACK_CTE + "SELECT clean_text, Label FROM examples"
+
+ORACLE["merged_training"] = FEEDBACK_CTE + "SELECT * FROM merged"
+
+# Row set of the shuffled training set (the compare ignores order).
+ORACLE["seeded_shuffle"] = FEEDBACK_CTE + "SELECT * FROM merged"
+
+ORACLE["merge_stats"] = FEEDBACK_CTE + """
+SELECT 'feedback' AS stage, CAST(count(*) AS BIGINT) AS n FROM latest
+UNION ALL SELECT 'examples', CAST(count(*) AS BIGINT) FROM examples
+UNION ALL SELECT 'original', CAST(count(*) AS BIGINT) FROM original
+UNION ALL SELECT 'merged', CAST(count(*) AS BIGINT) FROM merged
+"""
+
+ORACLE["flag_precision"] = REPLAY_CTE + """
+SELECT strftime(timestamp, '%Y-%m-%d') AS day,
+       CAST(count(*) FILTER (WHERE action = 'approved') AS BIGINT) AS approved,
+       CAST(count(*) FILTER (WHERE action = 'rejected') AS BIGINT) AS rejected,
+       CAST(count(*) FILTER (WHERE action = 'approved') AS DOUBLE) / CAST(count(*) AS DOUBLE) AS precision
+FROM acts WHERE action IN ('approved', 'rejected') AND timestamp IS NOT NULL
+GROUP BY 1
+"""
+
+ORACLE["feedback_conflicts"] = FEEDBACK_CTE + """
+SELECT DISTINCT e.clean_text, e.Label AS feedback_label, o.Label AS orig_label
+FROM examples e JOIN original o ON e.clean_text = o.clean_text
+WHERE e.Label <> o.Label
+"""
