@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.text import parse_comma_list_py
 from vigil.operators import classify as C
+from vigil.operators import evaluate as Ev
 from vigil.operators import feedback as Fb
 from vigil.operators import filters as Fl
 from vigil.operators import replay as R
@@ -203,4 +204,41 @@ def q_feedback_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return Fb.feedback_conflicts(original, examples)
 
 
+# --- evaluation (J4, A4, A5, R4, R5) -------------------------------------------
+
+
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    truth = T.scored_truth(spark, sf)
+    pred = Ev.lexicon_pred(C.classify(truth.select("comment_id", "text"))).select(
+        "comment_id", F.col("pred").cast("bigint").alias("pred")
+    )
+    return Ev.pair(pred, truth.select("comment_id", F.col("truth").cast("bigint").alias("truth")))
+
+
+@register("pair")
+def q_pair(spark: SparkSession, sf: str) -> DataFrame:
+    return _pairs(spark, sf)
+
+
+@register("confusion")
+def q_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    return Ev.confusion(_pairs(spark, sf))
+
+
+@register("prf1")
+def q_prf1(spark: SparkSession, sf: str) -> DataFrame:
+    return Ev.prf1(_pairs(spark, sf))
+
+
+@register("threshold_sweep")
+def q_threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    scored = T.scored_truth(spark, sf).select(Ev.graded_score("text").alias("score_pct"), "truth")
+    return Ev.threshold_sweep(scored)
+
+
+@register("lexicon_hits")
+def q_lexicon_hits(spark: SparkSession, sf: str) -> DataFrame:
+    return Ev.lexicon_hits(T.documents(spark, sf))
+
+
 FLAGSHIP = "queue_now"

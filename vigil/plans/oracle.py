@@ -243,3 +243,64 @@ SELECT DISTINCT e.clean_text, e.Label AS feedback_label, o.Label AS orig_label
 FROM examples e JOIN original o ON e.clean_text = o.clean_text
 WHERE e.Label <> o.Label
 """
+
+# --- evaluation -----------------------------------------------------------------
+PAIRS = f"""
+SELECT CAST(d.doc_id AS VARCHAR) AS comment_id,
+       CAST(CASE WHEN {lex('d.text')} THEN 1 ELSE 0 END AS BIGINT) AS pred,
+       CAST(l.toxic AS BIGINT) AS truth
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+"""
+
+ORACLE["pair"] = PAIRS
+
+ORACLE["confusion"] = f"""
+WITH p AS ({PAIRS}), cells AS (SELECT t.truth, q.pred FROM (VALUES (0), (1)) t(truth), (VALUES (0), (1)) q(pred))
+SELECT CAST(c.truth AS BIGINT) AS truth, CAST(c.pred AS BIGINT) AS pred,
+       CAST((SELECT count(*) FROM p WHERE coalesce(p.truth, 0) = c.truth AND coalesce(p.pred, 0) = c.pred) AS BIGINT) AS n
+FROM cells c
+"""
+
+ORACLE["prf1"] = f"""
+WITH p AS ({PAIRS}),
+c AS (SELECT CAST(sum(CASE WHEN truth = 1 AND pred = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+             CAST(sum(CASE WHEN truth = 0 AND pred = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+             CAST(sum(CASE WHEN truth = 1 AND pred = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+             CAST(sum(CASE WHEN truth = 0 AND pred = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn FROM p)
+SELECT tp, fp, fn, tn,
+       CASE WHEN tp + fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE) END AS precision,
+       CASE WHEN tp + fn = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / CAST(tp + fn AS DOUBLE) END AS recall,
+       CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE CAST(2 * tp AS DOUBLE) / CAST(2 * tp + fp + fn AS DOUBLE) END AS f1
+FROM c
+"""
+
+_WORDS = ["stupid", "idiot", "hate", "dumb", "jerk", "kill", "garbage", "trash", "ugly", "shut up"]
+_SCORE = " + ".join(f"(CASE WHEN contains(lower(d.text), '{w}') THEN 10 ELSE 0 END)" for w in _WORDS)
+
+ORACLE["threshold_sweep"] = f"""
+WITH s AS (
+  SELECT least(greatest({_SCORE}, 0), 100) AS score, coalesce(CAST(l.toxic AS INTEGER), 0) AS truth
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+),
+g AS (SELECT range AS threshold FROM range(0, 101)),
+c AS (
+  SELECT g.threshold,
+    CAST((SELECT count(*) FROM s WHERE s.truth = 1 AND s.score >= g.threshold) AS BIGINT) AS tp,
+    CAST((SELECT count(*) FROM s WHERE s.truth <> 1 AND s.score >= g.threshold) AS BIGINT) AS fp,
+    CAST((SELECT count(*) FROM s WHERE s.truth = 1 AND s.score < g.threshold) AS BIGINT) AS fn
+  FROM g
+)
+SELECT CAST(threshold AS BIGINT) AS threshold, tp, fp, fn,
+       CASE WHEN tp + fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE) END AS precision,
+       CASE WHEN tp + fn = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / CAST(tp + fn AS DOUBLE) END AS recall,
+       CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE CAST(2 * tp AS DOUBLE) / CAST(2 * tp + fp + fn AS DOUBLE) END AS f1
+FROM c
+"""
+
+ORACLE["lexicon_hits"] = " UNION ALL ".join(
+    f"""SELECT '{w}' AS word,
+       CAST(count(*) FILTER (WHERE contains(lower(text), '{w}')) AS BIGINT) AS substring_docs,
+       CAST(count(*) FILTER (WHERE regexp_matches(lower(text), '\\b{w}\\b')) AS BIGINT) AS word_docs
+FROM documents"""
+    for w in _WORDS
+)
