@@ -18,6 +18,7 @@ from vigil.operators import classify as C
 from vigil.operators import evaluate as Ev
 from vigil.operators import feedback as Fb
 from vigil.operators import filters as Fl
+from vigil.operators import pages as Pg
 from vigil.operators import replay as R
 from vigil.sources import tables as T
 
@@ -241,4 +242,33 @@ def q_lexicon_hits(spark: SparkSession, sf: str) -> DataFrame:
     return Ev.lexicon_hits(T.documents(spark, sf))
 
 
+# --- page scan (P10, P11, T3) ---------------------------------------------------
+
+SCAN_SETTINGS = Pg.Settings.from_text(BLOCK_LIST, threshold_percent=80, privacy_mode=False, auto_scan=True)
+
+
+@register("page_elements")
+def q_page_elements(spark: SparkSession, sf: str) -> DataFrame:
+    return Pg.page_elements(T.pages(spark, sf))
+
+
+@register("page_elements_dom")
+def q_page_elements_dom(spark: SparkSession, sf: str) -> DataFrame:
+    return Pg.page_elements_dom(T.pages(spark, sf))
+
+
+@register("scan_pages")
+def q_scan_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return Pg.scan_pages(T.pages(spark, sf), SCAN_SETTINGS, HOST_REGEX)
+
+
+@register("dedupe_flags")
+def q_dedupe_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """Two full scans (before and after a settings change) flag each element once."""
+    pages = T.pages(spark, sf)
+    first = Pg.scan_pages(pages, SCAN_SETTINGS, HOST_REGEX)
+    again = Pg.scan_pages(pages, Pg.Settings.from_text(BLOCK_LIST, threshold_percent=95, auto_scan=True), HOST_REGEX)
+    return Pg.dedupe_flags(first.unionByName(again)).select("element_id", "page_id", "pos")
+
+
 FLAGSHIP = "queue_now"

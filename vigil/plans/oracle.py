@@ -304,3 +304,49 @@ ORACLE["lexicon_hits"] = " UNION ALL ".join(
 FROM documents"""
     for w in _WORDS
 )
+
+# --- page scan --------------------------------------------------------------------
+def _clean(x: str) -> str:
+    c = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
+    c = f"regexp_replace({c}, '[ \\t\\n\\r\\f]+', ' ', 'g')"
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"),
+                    ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
+        c = f"replace({c}, '{ent}', '{ch}')"
+    return js_trim(c)
+
+
+ELEMENTS = rf"""
+WITH src AS (
+  SELECT page_id, url,
+         regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', '', 'g') AS body
+  FROM pages
+),
+parts AS (SELECT page_id, url, regexp_split_to_array(body, '(?i)<p(?:\s[^>]*)?>')[2:] AS arr FROM src),
+pieces AS (SELECT page_id, url, unnest(arr) AS piece, generate_subscripts(arr, 1) - 1 AS pos FROM parts),
+cut AS (
+  SELECT page_id, url, pos,
+         regexp_replace(piece, '(?is)(?:</p\s*>|</?(?:article|div|footer|nav|section|ul|ol|table|h[1-6])\b).*$', '') AS frag
+  FROM pieces
+)
+SELECT page_id, url, CAST(pos AS BIGINT) AS pos, txt FROM (SELECT page_id, url, pos, {_clean('frag')} AS txt FROM cut) t
+WHERE txt <> ''
+"""
+
+ORACLE["page_elements"] = ELEMENTS
+
+SCAN = rf"""
+WITH e AS ({ELEMENTS}),
+h AS (SELECT e.* FROM e JOIN pages p ON p.page_id = e.page_id WHERE regexp_matches({HOST.replace('url', 'p.url')}, '\.example\.(com|net)$')),
+d AS (
+  SELECT sha256(concat_ws('|', CAST(page_id AS VARCHAR), CAST(pos AS VARCHAR), txt)) AS element_id, page_id, pos, txt,
+         CASE WHEN regexp_matches(txt, '\b(?:la|on|idiot)\b', 'i') THEN 'blocklist'
+              WHEN {lex('txt')} AND CAST(0.925 AS DOUBLE) >= CAST(0.8 AS DOUBLE) THEN 'classifier' END AS reason,
+         false AS blur,
+         {lex('txt')} AS queued
+  FROM h
+)
+"""
+
+ORACLE["scan_pages"] = SCAN + "SELECT * FROM d WHERE reason IS NOT NULL"
+
+ORACLE["dedupe_flags"] = SCAN + "SELECT DISTINCT element_id, page_id, pos FROM d WHERE reason IS NOT NULL"
