@@ -310,7 +310,7 @@ def _clean(x: str) -> str:
     c = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
     c = f"regexp_replace({c}, '[ \\t\\n\\r\\f]+', ' ', 'g')"
     for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"),
-                    ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
+                    ("&nbsp;", "\u00a0"), ("&middot;", "\u00b7"), ("&copy;", "\u00a9"), ("&amp;", "&")):
         c = f"replace({c}, '{ent}', '{ch}')"
     return js_trim(c)
 
