@@ -20,6 +20,7 @@ from vigil.operators import feedback as Fb
 from vigil.operators import filters as Fl
 from vigil.operators import pages as Pg
 from vigil.operators import replay as R
+from vigil.operators import trainlog as Tl
 from vigil.sources import tables as T
 
 # --- Fixed test parameters (FIXTURES.md) -------------------------------------
@@ -271,4 +272,69 @@ def q_dedupe_flags(spark: SparkSession, sf: str) -> DataFrame:
     return Pg.dedupe_flags(first.unionByName(again)).select("element_id", "page_id", "pos")
 
 
+# --- training progress, log and report (A6, A7, A9, W3-W5, S6) ---------------
+
+
+@register("avg_loss")
+def q_avg_loss(spark: SparkSession, sf: str) -> DataFrame:
+    return Tl.avg_loss(T.loss_steps(spark, sf))
+
+
+@register("total_steps")
+def q_total_steps(spark: SparkSession, sf: str) -> DataFrame:
+    return Tl.step_budget(q_merged_training(spark, sf))
+
+
+@register("progress_ticks")
+def q_progress_ticks(spark: SparkSession, sf: str) -> DataFrame:
+    return Tl.progress_ticks(T.loss_steps(spark, sf))
+
+
+def _epoch_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Per epoch: mean loss from the loss steps, validation counts and F1 from fold ``doc_id % 3 + 1``."""
+    truth = T.scored_truth(spark, sf)
+    pred = Ev.lexicon_pred(C.classify(truth))
+    folds = pred.withColumn("epoch", (F.pmod(F.col("doc_id"), F.lit(3)) + 1).cast("bigint"))
+    t, p = F.col("truth"), F.col("pred")
+    counts = folds.groupBy("epoch").agg(
+        F.count_if((t == 0) & (p == 0)).cast("bigint").alias("tn"),
+        F.count_if((t == 0) & (p == 1)).cast("bigint").alias("fp"),
+        F.count_if((t == 1) & (p == 0)).cast("bigint").alias("fn"),
+        F.count_if((t == 1) & (p == 1)).cast("bigint").alias("tp"),
+    ).withColumn("f1", Ev.prf_columns(F.col("tp"), F.col("fp"), F.col("fn"))["f1"])
+    loss = Tl.avg_loss(T.loss_steps(spark, sf)).select(F.col("epoch").cast("bigint").alias("epoch"), "avg_loss")
+    return loss.join(counts, "epoch")
+
+
+@register("model_saved")
+def q_model_saved(spark: SparkSession, sf: str) -> DataFrame:
+    return Tl.model_saved(_epoch_rows(spark, sf).select("epoch", "f1"))
+
+
+def train_log_lines(spark: SparkSession, sf: str) -> DataFrame:
+    steps = T.loss_steps(spark, sf)
+    n_batches = steps.select((F.max("batch") + 1).cast("bigint")).scalar()
+    total = steps.select((F.max("epoch") * (F.max("batch") + 1)).cast("bigint")).scalar()
+    rows = _epoch_rows(spark, sf)
+    saved = Tl.model_saved(rows.select("epoch", "f1")).select("epoch", "saved")
+    epochs = rows.join(saved, "epoch")
+    best = epochs.select(F.coalesce(F.max(F.when(F.col("saved"), F.col("f1"))), F.lit(0.0))).scalar()
+    return Tl.emit_train_log(total, n_batches, Tl.progress_ticks(steps), epochs, best)
+
+
+@register("train_log")
+def q_train_log(spark: SparkSession, sf: str) -> DataFrame:
+    return Tl.parse_train_log(train_log_lines(spark, sf))
+
+
+@register("train_report")
+def q_train_report(spark: SparkSession, sf: str) -> DataFrame:
+    return Tl.train_report(Tl.parse_train_log(train_log_lines(spark, sf)))
+
+
+@register("train_epochs")
+def q_train_epochs(spark: SparkSession, sf: str) -> DataFrame:
+    return Tl.train_epochs(Tl.parse_train_log(train_log_lines(spark, sf)))
+
+
 FLAGSHIP = "queue_now"

@@ -350,3 +350,107 @@ d AS (
 ORACLE["scan_pages"] = SCAN + "SELECT * FROM d WHERE reason IS NOT NULL"
 
 ORACLE["dedupe_flags"] = SCAN + "SELECT DISTINCT element_id, page_id, pos FROM d WHERE reason IS NOT NULL"
+
+# --- training progress, log and report ---------------------------------------------
+STEPS_CTE = """
+WITH steps AS (
+  SELECT CAST(event_id % 3 + 1 AS INTEGER) AS epoch, CAST(floor(event_id / 24) AS BIGINT) AS batch, value AS loss
+  FROM events
+),
+al AS (
+  SELECT epoch, round(avg(m), 4) AS avg_loss, CAST(count(*) AS BIGINT) AS n_batches
+  FROM (SELECT epoch, batch, avg(loss) AS m FROM steps GROUP BY epoch, batch) b GROUP BY epoch
+),
+nb AS (SELECT max(batch) + 1 AS n_batches, max(epoch) AS n_epochs FROM steps),
+g AS (
+  SELECT CAST(s.epoch AS BIGINT) AS epoch, (s.epoch - 1) * nb.n_batches + s.batch + 1 AS step,
+         nb.n_epochs * nb.n_batches AS total
+  FROM (SELECT DISTINCT epoch, batch FROM steps) s, nb
+),
+gp AS (SELECT epoch, step, CAST(floor(CAST(step AS DOUBLE) / CAST(total AS DOUBLE) * 100.0) AS BIGINT) AS progress FROM g),
+ticks AS (
+  SELECT epoch, CAST(step AS BIGINT) AS step, progress FROM (
+    SELECT *, lag(progress) OVER (ORDER BY step) AS prev FROM gp) t
+  WHERE progress > coalesce(prev, -1)
+)
+"""
+
+ORACLE["avg_loss"] = STEPS_CTE + "SELECT * FROM al"
+
+ORACLE["progress_ticks"] = STEPS_CTE + "SELECT * FROM ticks"
+
+ORACLE["total_steps"] = FEEDBACK_CTE + """
+SELECT CAST(count(*) AS BIGINT) AS n_train, CAST(3 AS BIGINT) AS epochs, CAST(8 AS BIGINT) AS batch_size,
+       CAST(ceil(count(*) / 8) AS BIGINT) AS steps_per_epoch, CAST(3 * ceil(count(*) / 8) AS BIGINT) AS total_steps
+FROM merged
+"""
+
+EPOCHS_CTE = STEPS_CTE + f"""
+, folds AS (
+  SELECT CAST(d.doc_id % 3 + 1 AS BIGINT) AS epoch,
+         CASE WHEN {lex('d.text')} THEN 1 ELSE 0 END AS pred, CAST(l.toxic AS INTEGER) AS truth
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+),
+fc AS (
+  SELECT epoch,
+    CAST(count(*) FILTER (WHERE truth = 0 AND pred = 0) AS BIGINT) AS tn,
+    CAST(count(*) FILTER (WHERE truth = 0 AND pred = 1) AS BIGINT) AS fp,
+    CAST(count(*) FILTER (WHERE truth = 1 AND pred = 0) AS BIGINT) AS fn,
+    CAST(count(*) FILTER (WHERE truth = 1 AND pred = 1) AS BIGINT) AS tp
+  FROM folds GROUP BY epoch
+),
+ep AS (
+  SELECT fc.*, a.avg_loss,
+         CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE CAST(2 * tp AS DOUBLE) / CAST(2 * tp + fp + fn AS DOUBLE) END AS f1
+  FROM fc JOIN al a ON CAST(a.epoch AS BIGINT) = fc.epoch
+),
+sv AS (
+  SELECT *, f1 > greatest(coalesce(max(f1) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 0.0) AS saved
+  FROM ep
+),
+best AS (SELECT coalesce(max(f1) FILTER (WHERE saved), 0.0) AS best_f1 FROM sv),
+ev AS (
+  SELECT 0 AS line_no, 'summary' AS type, 3 AS epochs, 8 AS batch_size, (SELECT n_epochs * n_batches FROM nb) AS total_steps,
+         'spark' AS device, NULL AS epoch, NULL AS step, NULL AS progress, NULL AS avg_loss, NULL AS f1, NULL AS best_f1,
+         NULL AS cm_tn, NULL AS cm_fp, NULL AS cm_fn, NULL AS cm_tp
+  UNION ALL SELECT 1, 'training_started', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+  UNION ALL SELECT 2 + step * 4, 'progress', NULL, NULL, NULL, NULL, epoch, step, progress, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+    FROM ticks
+  UNION ALL SELECT 3 + epoch * (SELECT n_batches FROM nb) * 4, 'confusion_matrix', NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+    NULL, NULL, NULL, tn, fp, fn, tp FROM sv
+  UNION ALL SELECT 4 + epoch * (SELECT n_batches FROM nb) * 4, 'epoch_end', NULL, NULL, NULL, NULL, epoch, NULL, NULL,
+    avg_loss, round(f1, 4), NULL, NULL, NULL, NULL, NULL FROM sv
+  UNION ALL SELECT 5 + epoch * (SELECT n_batches FROM nb) * 4, 'model_saved', NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+    NULL, round(f1, 4), NULL, NULL, NULL, NULL, NULL FROM sv WHERE saved
+  UNION ALL SELECT 2 + ((SELECT n_epochs * n_batches FROM nb) + 1) * 4, 'complete', NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+    NULL, NULL, (SELECT round(best_f1, 4) FROM best), NULL, NULL, NULL, NULL
+)
+"""
+
+ORACLE["model_saved"] = EPOCHS_CTE + "SELECT epoch, f1, saved FROM sv"
+
+ORACLE["train_log"] = EPOCHS_CTE + """
+SELECT CAST(line_no AS BIGINT) AS line_no, type, CAST(epochs AS BIGINT) AS epochs, CAST(batch_size AS BIGINT) AS batch_size,
+       CAST(total_steps AS BIGINT) AS total_steps, CAST(device AS VARCHAR) AS device, CAST(epoch AS BIGINT) AS epoch,
+       CAST(step AS BIGINT) AS step, CAST(progress AS BIGINT) AS progress, CAST(avg_loss AS DOUBLE) AS avg_loss,
+       CAST(f1 AS DOUBLE) AS f1, CAST(best_f1 AS DOUBLE) AS best_f1, CAST(cm_tn AS BIGINT) AS cm_tn,
+       CAST(cm_fp AS BIGINT) AS cm_fp, CAST(cm_fn AS BIGINT) AS cm_fn, CAST(cm_tp AS BIGINT) AS cm_tp,
+       CAST(NULL AS VARCHAR) AS raw_line
+FROM ev
+"""
+
+ORACLE["train_report"] = EPOCHS_CTE + """
+SELECT bool_or(type = 'training_started') AS started,
+       CAST(CASE WHEN bool_or(type = 'complete') THEN 100
+            ELSE coalesce(arg_max(progress, line_no) FILTER (WHERE type = 'progress'), 0) END AS BIGINT) AS progress,
+       CAST(arg_max(f1, line_no) FILTER (WHERE type = 'model_saved') AS DOUBLE) AS best_f1,
+       CAST(count(*) FILTER (WHERE type = 'epoch_end') AS BIGINT) AS epochs_reported,
+       bool_or(type = 'complete') AS complete
+FROM ev
+"""
+
+ORACLE["train_epochs"] = EPOCHS_CTE + """
+SELECT CAST(line_no AS BIGINT) AS line_no, CAST(epoch AS BIGINT) AS epoch, CAST(avg_loss AS DOUBLE) AS avg_loss,
+       CAST(f1 AS DOUBLE) AS f1
+FROM ev WHERE type = 'epoch_end' ORDER BY line_no
+"""
