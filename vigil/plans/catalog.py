@@ -18,6 +18,7 @@ from vigil.operators import classify as C
 from vigil.operators import evaluate as Ev
 from vigil.operators import feedback as Fb
 from vigil.operators import filters as Fl
+from vigil.operators import load as Ld
 from vigil.operators import pages as Pg
 from vigil.operators import replay as R
 from vigil.operators import trainlog as Tl
@@ -337,4 +338,15 @@ def q_train_epochs(spark: SparkSession, sf: str) -> DataFrame:
     return Tl.train_epochs(Tl.parse_train_log(train_log_lines(spark, sf)))
 
 
+# --- unique-key load (R7) -----------------------------------------------------------
+
+
+@register("load_unique")
+def q_load_unique(spark: SparkSession, sf: str) -> DataFrame:
+    """Existing rows: documents with even ``doc_id``; incoming: odd; key: the text."""
+    docs = T.documents(spark, sf)
+    even = F.pmod(F.col("doc_id"), F.lit(2)) == 0
+    return Ld.load_unique(docs.where(even), docs.where(~even), "text", "doc_id")
+
+
 FLAGSHIP = "queue_now"

@@ -454,3 +454,14 @@ SELECT CAST(line_no AS BIGINT) AS line_no, CAST(epoch AS BIGINT) AS epoch, CAST(
        CAST(f1 AS DOUBLE) AS f1
 FROM ev WHERE type = 'epoch_end' ORDER BY line_no
 """
+
+# --- unique-key load ------------------------------------------------------------------
+ORACLE["load_unique"] = """
+WITH ex AS (SELECT DISTINCT text FROM documents WHERE doc_id % 2 = 0),
+inc AS (SELECT doc_id, text FROM documents WHERE doc_id % 2 = 1),
+firsts AS (SELECT text, min(doc_id) AS first_id FROM inc GROUP BY text)
+SELECT i.doc_id,
+       CASE WHEN EXISTS (SELECT 1 FROM ex WHERE ex.text IS NOT DISTINCT FROM i.text) THEN 'exists'
+            WHEN i.doc_id = f.first_id THEN 'inserted' ELSE 'duplicate' END AS status
+FROM inc i JOIN firsts f ON i.text IS NOT DISTINCT FROM f.text
+"""
