@@ -102,7 +102,7 @@ class Replay:
 
     def _with_text(self, df: DataFrame, key: str = "doc_id") -> DataFrame:
         if self.texts is None:
-            return df
+            return df.withColumn("text", F.lit(None).cast("string"))
         return attach_text(df, self.texts, key)
 
     @property
