@@ -56,7 +56,7 @@ def js_trim_py(s: str) -> str:
     return s.strip(_PY_WS)
 
 
-def lexicon_hit(text: Column | str, lexicon: Sequence[str] = DEFAULT_LEXICON) -> Column:
+def lexicon_hit(text: Column | str, lexicon: Sequence[str] = DEFAULT_LEXICON, lowered: bool = False) -> Column:
     """True iff lower(text) contains any lexicon word as a substring.
 
     An OR-chain of ``contains`` short-circuits per row and stays inside
@@ -65,7 +65,8 @@ def lexicon_hit(text: Column | str, lexicon: Sequence[str] = DEFAULT_LEXICON) ->
     """
     if not lexicon:
         return F.lit(False)
-    low = F.lower(F.col(text) if isinstance(text, str) else text)
+    c = F.col(text) if isinstance(text, str) else text
+    low = c if lowered else F.lower(c)
     cond = None
     for w in lexicon:
         c = low.contains(w.lower())
@@ -84,20 +85,31 @@ def lexicon_word_count(text: Column | str, lexicon: Sequence[str] = DEFAULT_LEXI
     return F.coalesce(total, F.lit(0).cast("bigint"))
 
 
+_LITERAL_WORD = re.compile(r"[A-Za-z0-9_](?:[A-Za-z0-9_ ]*[A-Za-z0-9_])?")
+
+
 def blocklist_regex(words: Iterable[str]) -> str | None:
     """One Java regex equal to ``any(new RegExp('\\\\b'+w.trim()+'\\\\b','i'))``.
 
     Each entry is a regex (not escaped), wrapped between ASCII word
     boundaries and grouped so an alternation inside an entry stays local.
-    Returns None for an empty list (nothing matches).
+    Entries that are plain ASCII words start and end with a word character,
+    so their boundaries reduce to one look-behind and one look-ahead around
+    a single alternation; ASCII-only lists match case-insensitively on ASCII
+    (like JavaScript's ``i`` without ``u``). Returns None for an empty list.
     """
-    parts = []
+    plain, other = [], []
     for w in words:
         w = js_trim_py(w)
-        parts.append(f"(?:{_BOUNDARY}{w}{_BOUNDARY})")
+        (plain if _LITERAL_WORD.fullmatch(w) else other).append(w)
+    parts = []
+    if plain:
+        parts.append(f"(?<!{_WORD})(?:{'|'.join(plain)})(?!{_WORD})")
+    parts += [f"(?:{_BOUNDARY}{w}{_BOUNDARY})" for w in other]
     if not parts:
         return None
-    return "(?iu)" + "|".join(parts)
+    flags = "(?i)" if all(ord(ch) < 128 for w in plain + other for ch in w) else "(?iu)"
+    return flags + "|".join(parts)
 
 
 def blocklist_hit(text: Column | str, words: Iterable[str]) -> Column:

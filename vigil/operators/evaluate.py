@@ -125,13 +125,15 @@ def lexicon_hits(docs: DataFrame, lexicon: Sequence[str] = DEFAULT_LEXICON, text
     One pass over the documents with one ``count_if`` pair per word, then
     the single result row is turned into one row per word.
     """
-    low = F.lower(F.col(text))
+    low = F.col("_low")
     aggs = []
     for i, w in enumerate(lexicon):
         whole = "(?<![A-Za-z0-9_])" + _re_escape(w.lower()) + "(?![A-Za-z0-9_])"
-        aggs.append(F.count_if(low.contains(w.lower())).cast("bigint").alias(f"s{i}"))
-        aggs.append(F.count_if(low.rlike(whole)).cast("bigint").alias(f"w{i}"))
-    row = docs.agg(*aggs)
+        sub = low.contains(w.lower())
+        aggs.append(F.count_if(sub).cast("bigint").alias(f"s{i}"))
+        # The regex runs only on texts that hold the word at all.
+        aggs.append(F.count_if(sub & low.rlike(whole)).cast("bigint").alias(f"w{i}"))
+    row = docs.select(F.lower(F.col(text)).alias("_low")).agg(*aggs)
     return row.select(
         F.inline(
             F.array(

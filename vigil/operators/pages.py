@@ -17,9 +17,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.functions import html as H
-from vigil.functions.text import DEFAULT_THRESHOLD_PERCENT, blocklist_hit, parse_comma_list_py
-from vigil.operators.classify import classify
-from vigil.operators.filters import gate_expr, host_filter
+from vigil.functions.text import (
+    CONFIDENCE_CLEAN,
+    CONFIDENCE_TOXIC,
+    DEFAULT_THRESHOLD_PERCENT,
+    blocklist_hit,
+    lexicon_hit,
+    parse_comma_list_py,
+)
+from vigil.operators.filters import host_filter
 
 
 @dataclass(frozen=True)
@@ -41,12 +47,23 @@ def element_id(*cols) -> F.Column:
     return F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in cols]), 256)
 
 
+def _elements(html: F.Column) -> F.Column:
+    """``array<struct<pos, txt>>`` of non-empty ``p`` elements; each piece is cleaned once.
+
+    Cleaning inside ``transform`` (instead of a Filter over an exploded
+    column) keeps Catalyst from inlining the regex chain into both the
+    filter and the projection.
+    """
+    pieces = H.paragraph_pieces(html)
+    cleaned = F.transform(
+        pieces, lambda p, i: F.struct(i.cast("bigint").alias("pos"), H.paragraph_text(p).alias("txt"))
+    )
+    return F.filter(cleaned, lambda e: e["txt"] != F.lit(""))
+
+
 def page_elements(pages: DataFrame) -> DataFrame:
     """``(page_id, url, pos, txt)``: one row per non-empty ``p`` element (JVM regex path)."""
-    exploded = pages.select("page_id", "url", F.posexplode(H.paragraph_pieces("html")).alias("pos", "piece"))
-    return exploded.select(
-        "page_id", "url", F.col("pos").cast("bigint").alias("pos"), H.paragraph_text(F.col("piece")).alias("txt")
-    ).where(F.col("txt") != "")
+    return pages.select("page_id", "url", F.inline(_elements(F.col("html"))))
 
 
 _ELEMS = T.ArrayType(T.StringType())
@@ -69,34 +86,61 @@ def page_elements_dom(pages: DataFrame) -> DataFrame:
     )
 
 
+def _flag(settings: Settings):
+    """Per element struct -> the same struct plus ``reason`` and ``queued`` (JVM expressions)."""
+    thr = settings.threshold_percent / 100
+
+    def fn(e: F.Column) -> F.Column:
+        txt = e["txt"]
+        block = blocklist_hit(txt, list(settings.block_list))
+        toxic = lexicon_hit(e["low"], lowered=True)
+        conf = F.when(toxic, F.lit(CONFIDENCE_TOXIC)).otherwise(F.lit(CONFIDENCE_CLEAN))
+        by_model = (toxic & (conf >= F.lit(thr))) if settings.auto_scan else F.lit(False)
+        reason = F.when(block, F.lit("blocklist")).when(by_model, F.lit("classifier"))
+        return F.struct(e["pos"].alias("pos"), txt.alias("txt"), reason.alias("reason"), toxic.alias("queued"))
+
+    return fn
+
+
+def _flagged(elements: F.Column, settings: Settings) -> F.Column:
+    # Lambdas are evaluated without common-subexpression elimination: lower the text once first.
+    lowered = F.transform(elements, lambda e: F.struct(e["pos"].alias("pos"), e["txt"].alias("txt"),
+                                                       F.lower(e["txt"]).alias("low")))
+    return F.filter(F.transform(lowered, _flag(settings)), lambda e: e["reason"].isNotNull())
+
+
+def _scan_out(df: DataFrame, settings: Settings) -> DataFrame:
+    return df.select(
+        element_id("page_id", "pos", "txt").alias("element_id"),
+        "page_id", "pos", "txt", "reason",
+        F.lit(bool(settings.privacy_mode)).alias("blur"),
+        "queued",
+    )
+
+
 def scan_elements(elements: DataFrame, settings: Settings) -> DataFrame:
-    """Flag elements: block list first (short-circuits), else classifier + threshold if autoScan.
+    """Flag elements ``(page_id, pos, txt)``: block list first (short-circuits), else
+    classifier + threshold when autoScan.
 
     Output ``element_id, page_id, pos, txt, reason, blur, queued`` for flagged
     elements only. ``queued``: the text would also enter the moderation
     queue (the backend's own classifier calls it toxic).
     """
-    cls = classify(elements, text_col="txt")
-    block = blocklist_hit("txt", list(settings.block_list))
-    by_model = gate_expr(settings.threshold_percent) if settings.auto_scan else F.lit(False)
-    reason = F.when(block, F.lit("blocklist")).when(by_model, F.lit("classifier"))
-    out = cls.select(
-        element_id("page_id", "pos", "txt").alias("element_id"),
-        "page_id", "pos", "txt",
-        reason.alias("reason"),
-        F.lit(bool(settings.privacy_mode)).alias("blur"),
-        (F.col("label") == F.lit("cyberbully")).alias("queued"),
+    flagged = elements.select(
+        "page_id", F.inline(_flagged(F.array(F.struct("pos", "txt")), settings))
     )
-    return out.where(F.col("reason").isNotNull())
+    return _scan_out(flagged, settings)
 
 
 def scan_pages(pages: DataFrame, settings: Settings, host_regex: str) -> DataFrame:
-    """Host filter -> element extraction -> flag decision, in one narrow plan.
+    """Host filter -> element extraction -> flag decision, in one narrow projection per page.
 
     A settings change is a plain re-run with the new ``settings`` (the scan is
     stateless, so the re-run is exact).
     """
-    return scan_elements(page_elements(host_filter(pages, host_regex)), settings)
+    kept = host_filter(pages, host_regex)
+    flagged = kept.select("page_id", F.inline(_flagged(_elements(F.col("html")), settings)))
+    return _scan_out(flagged, settings)
 
 
 def dedupe_flags(flags: DataFrame) -> DataFrame:

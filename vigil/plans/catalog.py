@@ -22,6 +22,7 @@ from vigil.operators import load as Ld
 from vigil.operators import pages as Pg
 from vigil.operators import replay as R
 from vigil.operators import trainlog as Tl
+from vigil.session import materialize
 from vigil.sources import tables as T
 
 # --- Fixed test parameters (FIXTURES.md) -------------------------------------
@@ -313,14 +314,20 @@ def q_model_saved(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def train_log_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The trainer's log for the loss steps and fold scores, written once like the trainer's output.
+
+    The per-epoch table (one row per epoch) and the lines are written to the
+    shared checkpoint folder, so the report and the scalars over them read a
+    few rows instead of re-running the aggregations over the source tables.
+    """
     steps = T.loss_steps(spark, sf)
     n_batches = steps.select((F.max("batch") + 1).cast("bigint")).scalar()
     total = steps.select((F.max("epoch") * (F.max("batch") + 1)).cast("bigint")).scalar()
-    rows = _epoch_rows(spark, sf)
+    rows = materialize(_epoch_rows(spark, sf), "epoch-rows")
     saved = Tl.model_saved(rows.select("epoch", "f1")).select("epoch", "saved")
     epochs = rows.join(saved, "epoch")
     best = epochs.select(F.coalesce(F.max(F.when(F.col("saved"), F.col("f1"))), F.lit(0.0))).scalar()
-    return Tl.emit_train_log(total, n_batches, Tl.progress_ticks(steps), epochs, best)
+    return materialize(Tl.emit_train_log(total, n_batches, Tl.progress_ticks(steps), epochs, best), "train-log")
 
 
 @register("train_log")
