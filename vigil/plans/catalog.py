@@ -21,6 +21,7 @@ from vigil.operators import filters as Fl
 from vigil.operators import load as Ld
 from vigil.operators import pages as Pg
 from vigil.operators import replay as R
+from vigil.operators import train as Tr
 from vigil.operators import trainlog as Tl
 from vigil.session import materialize
 from vigil.sources import tables as T
@@ -356,4 +357,32 @@ def q_load_unique(spark: SparkSession, sf: str) -> DataFrame:
     return Ld.load_unique(docs.where(even), docs.where(~even), "text", "doc_id")
 
 
+# --- Spark ML training and scoring (M1-M3, R6); rows-only checks ---------------------
+
+
+@register("train_score")
+def q_train_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Fit on the merged training set minus a held-out fifth; score the held-out rows.
+
+    The training set is written once (as the reference writes its merged CSV),
+    so the fitting passes read it instead of re-running the replay.
+    """
+    train, val = Tr.split_train_val(materialize(q_merged_training(spark, sf), "merged-train"))
+    model = Tr.train(train)
+    held_out = val.select("clean_text", F.col("Label").cast("int").alias("truth"))
+    return Tr.score(model, held_out).select("clean_text", "truth", "pred", "label", "confidence")
+
+
+@register("fit_epochs")
+def q_fit_epochs(spark: SparkSession, sf: str) -> DataFrame:
+    train, val = Tr.split_train_val(materialize(q_merged_training(spark, sf), "merged-train"))
+    return Tr.fit_epochs(train, val).epochs
+
+
+@register("embedding_head")
+def q_embedding_head(spark: SparkSession, sf: str) -> DataFrame:
+    vecs = T.read_table(spark, sf, "embeddings", ["vec_id", "embedding", "label"])
+    return Tr.embedding_head(vecs, F.col("label") < 5)[1]
+
+
 FLAGSHIP = "queue_now"
