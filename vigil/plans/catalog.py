@@ -24,6 +24,10 @@ from vigil.operators import replay as R
 from vigil.operators import train as Tr
 from vigil.operators import trainlog as Tl
 from vigil.session import materialize
+from vigil.streaming import classify as Sc
+from vigil.streaming import queue as Sq
+from vigil.streaming import report as Sr
+from vigil.streaming import sources as Ss
 from vigil.sources import tables as T
 
 # --- Fixed test parameters (FIXTURES.md) -------------------------------------
@@ -385,4 +389,55 @@ def q_embedding_head(spark: SparkSession, sf: str) -> DataFrame:
     return Tr.embedding_head(vecs, F.col("label") < 5)[1]
 
 
+# --- Structured Streaming (S5, T1-T4); rows-only checks ------------------------------
+# Each query replays a driver table as a file stream (one file per trigger),
+# runs to the end of the available data, and returns the sink read back.
+
+
+@register("stream_classify")
+def q_stream_classify(spark: SparkSession, sf: str) -> DataFrame:
+    docs = Ss.read_table_stream(spark, sf, "documents", "doc_id long, text string")
+    comments = docs.select(F.col("doc_id").cast("string").alias("comment_id"), "text")
+    data, ckpt = Ss.new_sink(spark, "stream-classify")
+    Sc.stream_classify(comments, data, ckpt).awaitTermination()
+    return spark.read.parquet(data)
+
+
+@register("stream_queue")
+def q_stream_queue(spark: SparkSession, sf: str) -> DataFrame:
+    """Recorded actions of the keyed-state queue over the events stream (equals ``actions``)."""
+    n_docs = T.documents(spark, sf).count()
+    flags = materialize(C.toxic_flags(T.documents(spark, sf), "doc_id"), "doc-flags")
+    ev = Ss.read_table_stream(spark, sf, "events", "event_id long, ts timestamp_ntz, user_id long, event_type string")
+    ops = ev.select(
+        F.col("event_id").alias("seq"), "ts",
+        F.concat(F.lit("t1_"), F.col("user_id").cast("string")).alias("comment_id"),
+        T._op_expr(F.col("event_type")).alias("op"),
+        F.pmod(F.col("event_id"), F.lit(n_docs)).alias("doc_id"),
+    ).join(flags, "doc_id", "left")
+    data, ckpt = Ss.new_sink(spark, "stream-queue")
+    Ss.run_to_parquet(Sq.queue_stream(ops), data, ckpt).awaitTermination()
+    out = spark.read.parquet(data)
+    return out.where(F.col("outcome") == "recorded").select(
+        F.col("seq").alias("id"), "comment_id", F.col("op").alias("action"), F.col("ts").alias("timestamp"), "doc_id"
+    )
+
+
+@register("stream_flags")
+def q_stream_flags(spark: SparkSession, sf: str) -> DataFrame:
+    pages = Ss.read_table_stream(spark, sf, "pages", "page_id long, url string, html string")
+    data, ckpt = Ss.new_sink(spark, "stream-flags")
+    Ss.run_to_parquet(Sr.flags_stream(pages, SCAN_SETTINGS, HOST_REGEX), data, ckpt).awaitTermination()
+    return spark.read.parquet(data).drop("scan_ts")
+
+
+@register("stream_report")
+def q_stream_report(spark: SparkSession, sf: str) -> DataFrame:
+    lines_dir = train_log_lines(spark, sf).inputFiles()[0].rsplit("/", 1)[0]
+    lines = spark.readStream.schema("line_no long, line string").option("maxFilesPerTrigger", 16).parquet(lines_dir)
+    out, ckpt = Ss.new_sink(spark, "stream-report")
+    Sr.stream_report(lines, out, ckpt).awaitTermination()
+    return spark.read.parquet(out + "/report")
+
+
 FLAGSHIP = "queue_now"
