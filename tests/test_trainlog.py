@@ -79,3 +79,16 @@ def test_emit_then_parse_round_trip(spark):
                      "progress", "progress", "complete"]
     cm = ev.where("type = 'confusion_matrix'").first()
     assert (cm.cm_tn, cm.cm_fp, cm.cm_fn, cm.cm_tp) == (1, 2, 3, 4)
+
+
+def test_read_log_file_with_raw_lines(spark, tmp_path):
+    from vigil.sources.trainlog import read_train_log
+
+    p = tmp_path / "log"
+    p.mkdir()
+    (p / "run.jsonl").write_text('{"type":"training_started"}\ngarbage\n3\n{}\n{"type":"complete","best_f1":0.5}\n')
+    ev = Tl.parse_train_log(read_train_log(spark, str(p)).drop("file"))
+    got = [(r.line_no, r.type) for r in ev.orderBy("line_no").collect()]
+    assert got == [(0, "training_started"), (1, "raw"), (2, "raw"), (3, None), (4, "complete")]
+    r = Tl.train_report(ev).first()
+    assert (r.started, r.progress, r.complete) == (True, 100, True)

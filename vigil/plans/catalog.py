@@ -28,7 +28,9 @@ from vigil.streaming import classify as Sc
 from vigil.streaming import queue as Sq
 from vigil.streaming import report as Sr
 from vigil.streaming import sources as Ss
+from vigil.sources import csvio
 from vigil.sources import tables as T
+from vigil.sources import trainlog as Stl
 
 # --- Fixed test parameters (FIXTURES.md) -------------------------------------
 SEARCH_TERM = "hate"
@@ -440,4 +442,28 @@ def q_stream_report(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(out + "/report")
 
 
+# --- sources and sinks: actions table (S1, S4), training-log file (S6) ---------------
+
+
+@register("actions_table")
+def q_actions_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Append the recorded actions (partitioned by day), then scan the feedback back.
+
+    The ``action`` filter is pushed into the parquet scan; only the selected
+    columns are read.
+    """
+    path, _ = Ss.new_sink(spark, "moderator-actions")
+    csvio.append_actions(moderation(spark, sf).actions, path)
+    scan = csvio.read_actions(spark, path)
+    return scan.where(F.col("action").isin("approved", "rejected")).select("id", "comment_id", "action", "timestamp")
+
+
+@register("train_log_file")
+def q_train_log_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The training log written as a JSON-lines file and parsed back by line number."""
+    path, _ = Ss.new_sink(spark, "train-log-file")
+    Stl.write_train_log(train_log_lines(spark, sf), path)
+    return Tl.parse_train_log(Stl.read_train_log(spark, path).drop("file"))
+
+
 FLAGSHIP = "queue_now"

@@ -465,3 +465,18 @@ SELECT i.doc_id,
             WHEN i.doc_id = f.first_id THEN 'inserted' ELSE 'duplicate' END AS status
 FROM inc i JOIN firsts f ON i.text IS NOT DISTINCT FROM f.text
 """
+
+# --- sources and sinks ----------------------------------------------------------------
+ORACLE["actions_table"] = REPLAY_CTE + """
+SELECT id, comment_id, action, timestamp FROM acts WHERE action IN ('approved', 'rejected')
+"""
+
+ORACLE["train_log_file"] = EPOCHS_CTE + """
+SELECT CAST(row_number() OVER (ORDER BY line_no) - 1 AS BIGINT) AS line_no, type, CAST(epochs AS BIGINT) AS epochs,
+       CAST(batch_size AS BIGINT) AS batch_size, CAST(total_steps AS BIGINT) AS total_steps, CAST(device AS VARCHAR) AS device,
+       CAST(epoch AS BIGINT) AS epoch, CAST(step AS BIGINT) AS step, CAST(progress AS BIGINT) AS progress,
+       CAST(avg_loss AS DOUBLE) AS avg_loss, CAST(f1 AS DOUBLE) AS f1, CAST(best_f1 AS DOUBLE) AS best_f1,
+       CAST(cm_tn AS BIGINT) AS cm_tn, CAST(cm_fp AS BIGINT) AS cm_fp, CAST(cm_fn AS BIGINT) AS cm_fn,
+       CAST(cm_tp AS BIGINT) AS cm_tp, CAST(NULL AS VARCHAR) AS raw_line
+FROM ev
+"""
