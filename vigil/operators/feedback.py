@@ -18,6 +18,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigil.operators.replay import attach_text
+from vigil.session import materialize
+
 FEEDBACK_ACTIONS = ("approved", "rejected")
 # --- Fixed values: action -> training label ----------------------------------
 LABEL_OF_ACTION = {"approved": 1, "rejected": 0}
@@ -31,14 +34,29 @@ def valid_feedback(actions: DataFrame) -> DataFrame:
     return actions.where(F.col("action").isin(*FEEDBACK_ACTIONS))
 
 
-def latest_feedback(actions: DataFrame) -> DataFrame:
+def latest_feedback(actions: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """``DISTINCT ON (comment_id) ... ORDER BY comment_id, timestamp DESC``.
 
     Filter first; a null timestamp sorts first under ``DESC`` in Postgres and
     therefore wins; ties on the timestamp go to the larger ``id``.
     Output ``comment_id, text, action``.
+
+    With ``texts`` (``doc_id, text``) the actions carry ``doc_id`` instead of
+    text: the per-comment struct is then fixed-width (hash aggregation, no
+    text in the shuffle) and the text is attached to the winners only.
     """
     fb = valid_feedback(actions)
+    code = F.when(F.col("action") == "approved", F.lit(1)).otherwise(F.lit(0))
+    if texts is not None:
+        key = F.struct(
+            F.col("timestamp").isNull().alias("n"), F.col("timestamp").alias("ts"), F.col("id").alias("id"),
+            F.col("doc_id").alias("doc_id"), code.alias("a"),
+        )
+        best = fb.groupBy("comment_id").agg(F.max(key).alias("b")).select(
+            "comment_id", F.col("b.doc_id").alias("doc_id"),
+            F.when(F.col("b.a") == 1, F.lit("approved")).otherwise(F.lit("rejected")).alias("action"),
+        )
+        return attach_text(best, texts).select("comment_id", "text", "action")
     key = F.struct(
         F.col("timestamp").isNull().alias("n"),
         F.col("timestamp").alias("ts"),
@@ -115,5 +133,7 @@ def flag_precision(actions: DataFrame) -> DataFrame:
 def feedback_conflicts(original: DataFrame, examples: DataFrame) -> DataFrame:
     """Feedback examples the merge drops because the original holds the text with another label."""
     o = original.select("clean_text", F.col("Label").cast("int").alias("orig_label"))
-    f = examples.select("clean_text", F.col("Label").cast("int").alias("feedback_label"))
+    # Feedback is small next to the labelled set: written once, its size is
+    # known when the join is planned (a broadcast when under the threshold).
+    f = materialize(examples.select("clean_text", F.col("Label").cast("int").alias("feedback_label")), "feedback-examples")
     return f.join(o, "clean_text").where(F.col("orig_label") != F.col("feedback_label")).distinct()

@@ -47,7 +47,9 @@ from vigil.session import materialize
 
 DETECT = "detect"
 DELETE = "delete"
-K_DETECT, K_DELETE, K_ACTION = "D", "X", "A"
+# Op kinds as small integers: every per-comment struct stays fixed-width, so
+# its max/min aggregates run hash-based instead of sort-based.
+K_DETECT, K_DELETE, K_ACTION = 1, 2, 3
 
 # A comment with more ops than this is split into time chunks of about this size.
 HOT_ROWS = 1_000_000
@@ -56,7 +58,7 @@ MAX_HOT = 10_000
 
 
 def _kind(op: Column) -> Column:
-    return F.when(op == DETECT, K_DETECT).when(op == DELETE, K_DELETE).otherwise(K_ACTION)
+    return F.when(op == DETECT, F.lit(K_DETECT)).when(op == DELETE, F.lit(K_DELETE)).otherwise(F.lit(K_ACTION))
 
 
 def hot_keys(log: DataFrame, hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT) -> DataFrame:
@@ -106,16 +108,21 @@ class Replay:
         return attach_text(df, self.texts, key)
 
     @property
-    def actions(self) -> DataFrame:
-        """Recorded moderator actions: ``id, comment_id, text, action, timestamp`` (+ doc_id)."""
+    def actions_keyed(self) -> DataFrame:
+        """Recorded actions without text: ``id, comment_id, action, timestamp, doc_id``."""
         hit = self.steps.where((F.col("kind") == K_ACTION) & (F.col("prev_kind") == K_DETECT))
-        rows = hit.select(
+        return hit.select(
             F.col("seq").alias("id"),
             "comment_id",
             F.col("op").alias("action"),
             F.col("ts").alias("timestamp"),
             F.col("prev_doc").alias("doc_id"),
         )
+
+    @property
+    def actions(self) -> DataFrame:
+        """Recorded moderator actions: ``id, comment_id, text, action, timestamp`` (+ doc_id)."""
+        rows = self.actions_keyed
         return self._with_text(rows).select("id", "comment_id", "text", "action", "timestamp", "doc_id")
 
     @property

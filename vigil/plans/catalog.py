@@ -164,8 +164,10 @@ def q_comment_status(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _feedback_parts(spark: SparkSession, sf: str):
-    actions = moderation(spark, sf).actions
-    latest = Fb.latest_feedback(actions)
+    r = moderation(spark, sf)
+    actions = r.actions
+    # Latest feedback runs on the text-less actions; text joins the winners only.
+    latest = Fb.latest_feedback(r.actions_keyed, texts=r.texts)
     examples = Fb.to_examples(latest)
     original = T.labelled_examples(spark, sf)
     return actions, latest, examples, original
