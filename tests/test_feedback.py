@@ -5,6 +5,7 @@ import tempfile
 from datetime import datetime
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from vigil.operators import feedback as Fb
 from vigil.sources import csvio
@@ -107,3 +108,30 @@ def test_flag_precision_and_conflicts(spark):
     o = spark.createDataFrame([("x", 0, 1), ("y", 1, 2)], "clean_text string, Label int, ord long")
     ex = spark.createDataFrame([("x", 1, "c1"), ("y", 1, "c2")], "clean_text string, Label int, ord string")
     assert rows(Fb.feedback_conflicts(o, ex)) == [("x", 1, 0)]
+
+
+def test_merge_idempotent_and_original_wins(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    texts = st.sampled_from(["a", "b", "c", "d", None])
+
+    @settings(max_examples=6, deadline=None)
+    @given(st.lists(st.tuples(texts, st.integers(0, 1)), max_size=8),
+           st.lists(st.tuples(texts, st.integers(0, 1)), max_size=8))
+    def check(orig, fb):
+        o = spark.createDataFrame([(t, lab, i) for i, (t, lab) in enumerate(orig)], "clean_text string, Label int, ord long")
+        f = spark.createDataFrame([(t, lab, f"c{i:03d}") for i, (t, lab) in enumerate(fb)],
+                                  "clean_text string, Label int, ord string")
+        merged = Fb.merge_dedupe(o, f)
+        once = sorted(map(tuple, merged.collect()), key=str)
+        again = Fb.merge_dedupe(merged.withColumn("ord", F.lit(0).cast("long")), f.limit(0))
+        assert sorted(map(tuple, again.collect()), key=str) == once
+        first_orig = {}
+        for t, lab in orig:
+            first_orig.setdefault(t, lab)
+        got = dict(once)
+        for t, lab in first_orig.items():
+            assert got[t] == lab  # the original's first row always wins
+
+    check()

@@ -143,3 +143,28 @@ def test_events_binding_counts(spark):
     assert r.queue.count() == 19
     assert r.actions.count() == 537
     assert r.not_found.count() == 5170
+
+
+def test_events_binding_matches_model_sf0001(spark):
+    """The whole sf0.001 events log through the Python model, with the Python lexicon."""
+    import pyarrow.parquet as pq
+
+    from vigil.functions.text import DEFAULT_LEXICON
+    from vigil.plans.catalog import moderation
+
+    sf = "/root/testdata/sf0.001"
+    docs = pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    texts = {d["doc_id"]: d["text"] for d in docs}
+    ops = {"view": "detect", "signup": "detect", "click": "delete", "purchase": "approved", "error": "rejected"}
+    log = []
+    for e in pq.read_table(f"{sf}/events.parquet", columns=["event_id", "ts", "user_id", "event_type"]).to_pylist():
+        doc = e["event_id"] % len(docs)
+        toxic = any(w in texts[doc].lower() for w in DEFAULT_LEXICON)
+        log.append((e["event_id"], e["ts"], f"t1_{e['user_id']}", ops.get(e["event_type"], e["event_type"]), doc, toxic, 0.925))
+    q_model, acts_model, nf_model, _ = simulate(log)
+    r = moderation(spark, sf)
+    q = [(x.comment_id, x.doc_id, x.confidence) for x in r.queue_state.orderBy("queued_ts", "queued_seq").collect()]
+    acts = sorted((x.id, x.comment_id, x.action, x.doc_id) for x in r.actions_keyed.collect())
+    assert q == q_model and acts == acts_model
+    assert sorted(x.seq for x in r.not_found.collect()) == nf_model
+    assert (len(q), len(acts), len(nf_model)) == (1, 40, 550)  # FIXTURES.md

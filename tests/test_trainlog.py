@@ -92,3 +92,19 @@ def test_read_log_file_with_raw_lines(spark, tmp_path):
     assert got == [(0, "training_started"), (1, "raw"), (2, "raw"), (3, None), (4, "complete")]
     r = Tl.train_report(ev).first()
     assert (r.started, r.progress, r.complete) == (True, 100, True)
+
+
+def test_progress_ticks_strictly_increase(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=5, deadline=None)
+    @given(st.integers(1, 4), st.integers(1, 300))
+    def check(epochs, batches):
+        steps = spark.createDataFrame([(e, b, 0.0) for e in range(1, epochs + 1) for b in range(batches)],
+                                      "epoch int, batch long, loss double")
+        t = [(r.step, r.progress) for r in Tl.progress_ticks(steps).orderBy("step").collect()]
+        assert all(a[1] < b[1] for a, b in zip(t, t[1:]))
+        assert t[0] == (1, int(1 / (epochs * batches) * 100)) and t[-1][1] == 100
+
+    check()

@@ -196,7 +196,9 @@ def replay(
     # 1. Hot comments: a small job over (comment_id, ts) with map-side
     #    combine; at most max_hot rows come back, so the list is a bounded
     #    broadcast. No hot comment -> the plain per-comment window.
-    hot_rows_found = hot_keys(log.select("comment_id", "ts"), hot_rows, max_hot).collect()
+    # A log no longer than hot_rows cannot hold a hot comment: skip the job.
+    small = log.select("comment_id").limit(hot_rows + 1).count() <= hot_rows
+    hot_rows_found = [] if small else hot_keys(log.select("comment_id", "ts"), hot_rows, max_hot).collect()
     if not hot_rows_found:
         w = Window.partitionBy("comment_id").orderBy("ts", "seq")
         steps = kept.select(
