@@ -165,17 +165,16 @@ def q_comment_status(spark: SparkSession, sf: str) -> DataFrame:
 
 def _feedback_parts(spark: SparkSession, sf: str):
     r = moderation(spark, sf)
-    actions = r.actions
     # Latest feedback runs on the text-less actions; text joins the winners only.
     latest = Fb.latest_feedback(r.actions_keyed, texts=r.texts)
     examples = Fb.to_examples(latest)
     original = T.labelled_examples(spark, sf)
-    return actions, latest, examples, original
+    return r, latest, examples, original
 
 
 @register("valid_feedback")
 def q_valid_feedback(spark: SparkSession, sf: str) -> DataFrame:
-    return Fb.valid_feedback(moderation(spark, sf).actions).select("id", "comment_id", "action", "timestamp")
+    return Fb.valid_feedback(moderation(spark, sf).actions_keyed).select("id", "comment_id", "action", "timestamp")
 
 
 @register("latest_feedback")
@@ -208,7 +207,7 @@ def q_merge_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("flag_precision")
 def q_flag_precision(spark: SparkSession, sf: str) -> DataFrame:
-    return Fb.flag_precision(moderation(spark, sf).actions)
+    return Fb.flag_precision(moderation(spark, sf).actions_keyed)
 
 
 @register("feedback_conflicts")
