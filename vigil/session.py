@@ -6,7 +6,6 @@ A cluster hands us a configured session; we only fill gaps that local runs
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -58,7 +57,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def checkpoint_subdir(spark: SparkSession, name: str) -> str:
     """A named folder under the shared checkpoint root (streaming state, cut lineage)."""
     root = ensure_checkpoint_dir(spark)
-    return os.path.join(root, name)
+    return f"{root.rstrip('/')}/{name}"
 
 
 def materialize(df, name: str):

@@ -10,7 +10,6 @@
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +27,8 @@ def flags_stream(pages: DataFrame, settings: Settings, host_regex: str, delay: s
 
 def stream_report(lines: DataFrame, out_dir: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Keep ``out_dir/report`` equal to the report over all log lines seen so far."""
-    log_path = os.path.join(out_dir, "log")
-    report_path = os.path.join(out_dir, "report")
+    log_path = f"{out_dir.rstrip('/')}/log"
+    report_path = f"{out_dir.rstrip('/')}/report"
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         parsed = parse_train_log(batch).withColumn("batch_id", F.lit(batch_id).cast("bigint"))

@@ -8,7 +8,6 @@ a restarted query resumes exactly where it stopped.
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,30 +17,35 @@ from pyspark.sql.streaming import StreamingQuery
 from vigil.session import checkpoint_subdir
 
 
+def is_directory(spark: SparkSession, path: str) -> bool:
+    """Directory test through Hadoop's FileSystem (works for local, HDFS and object stores)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(p) and fs.getFileStatus(p).isDirectory())
+
+
 def read_table_stream(
     spark: SparkSession, folder: str, table: str, schema: T.StructType | str, max_files: int = 1
 ) -> DataFrame:
-    """Stream the files of one table (``<table>.parquet`` or ``<table>/part-*``) from ``folder``."""
-    path = os.path.join(folder, table)
+    """Stream the files of one table (a ``<table>`` folder, or a ``<table>.parquet`` file in ``folder``)."""
+    path = f"{folder.rstrip('/')}/{table}"
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-    if os.path.isdir(path):
+    if is_directory(spark, path):
         return reader.parquet(path)
     return reader.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
 
 
-def read_comment_stream(spark: SparkSession, folder: str, max_files: int = 1) -> DataFrame:
-    """Continuous comment feed ``(comment_id, text)`` from a folder of parquet or JSON files."""
-    schema = "comment_id string, text string"
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-    if any(f.endswith(".json") for f in os.listdir(folder)):
-        return reader.json(folder)
-    return reader.parquet(folder)
+def read_comment_stream(spark: SparkSession, folder: str, fmt: str = "parquet", max_files: int = 1) -> DataFrame:
+    """Continuous comment feed ``(comment_id, text)`` from a folder of parquet or JSON-lines files."""
+    reader = spark.readStream.schema("comment_id string, text string").option("maxFilesPerTrigger", max_files)
+    return reader.format(fmt).load(folder)
 
 
 def new_sink(spark: SparkSession, name: str) -> tuple[str, str]:
     """``(data_path, checkpoint_path)`` of a fresh sink under the shared checkpoint root."""
     base = checkpoint_subdir(spark, f"{name}-{uuid.uuid4().hex}")
-    return os.path.join(base, "data"), os.path.join(base, "checkpoint")
+    return f"{base}/data", f"{base}/checkpoint"
 
 
 def run_to_parquet(df: DataFrame, data_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
