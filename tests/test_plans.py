@@ -72,3 +72,35 @@ def test_scans_are_pruned_and_filters_pushed(spark):
     assert "props" not in plan and "value:double" not in plan
     plan = executed(REGISTRY["actions_table"](spark, SF))
     assert "PushedFilters: [In(action, [approved,rejected])" in plan
+
+
+def test_bursty_hot_comment_is_refined(spark):
+    """90% of a hot comment's ops fall in 1% of its time span: the second level still bounds the chunks."""
+    rng = random.Random(2)
+    t0 = datetime(2024, 1, 1)
+    span = 1_000_000
+    rows = []
+    for i in range(4000):
+        sec = rng.randrange(span // 100) if rng.random() < 0.9 else rng.randrange(span)
+        rows.append((i, t0 + timedelta(seconds=sec), "hot", "detect", i, True, 0.925))
+    rows += [(10_000 + i, t0 + timedelta(seconds=rng.randrange(span)), f"c{i % 40}", "delete", None, None, None)
+             for i in range(4000)]
+    df = spark.createDataFrame(
+        rows, "seq long, ts timestamp_ntz, comment_id string, op string, doc_id long, toxic boolean, confidence double"
+    )
+    kept = df.select("comment_id", "ts", "seq", "op", "doc_id")
+    chunked = R.assign_chunks(kept, df, hot_rows=200, max_hot=50)
+    sizes = [r["count"] for r in chunked.where("comment_id = 'hot'").groupBy("chunk").count().collect()]
+    assert max(sizes) <= 2 * 200 and sum(sizes) == 4000
+
+
+def test_same_timestamp_burst_is_split_by_seq(spark):
+    t0 = datetime(2024, 1, 1)
+    rows = [(i, t0, "hot", "detect", i, True, 0.925) for i in range(3000)]
+    rows += [(10_000 + i, t0 + timedelta(seconds=i), f"c{i % 30}", "delete", None, None, None) for i in range(3000)]
+    df = spark.createDataFrame(
+        rows, "seq long, ts timestamp_ntz, comment_id string, op string, doc_id long, toxic boolean, confidence double"
+    )
+    chunked = R.assign_chunks(df.select("comment_id", "ts", "seq", "op", "doc_id"), df, hot_rows=200, max_hot=50)
+    sizes = [r["count"] for r in chunked.where("comment_id = 'hot'").groupBy("chunk").count().collect()]
+    assert max(sizes) <= 2 * 200 and sum(sizes) == 3000

@@ -120,6 +120,15 @@ def test_hot_comment_is_split(spark):
     assert run(spark, log, hot_rows=100, max_hot=5) == simulate(log)
 
 
+def test_bursty_hot_comment_matches_model(spark):
+    """Most of the hot comment's ops share a few seconds (some share one timestamp): refined chunks, same answer."""
+    rng = random.Random(13)
+    log = random_log(rng, 1000, 20, ts_span=10_000)
+    log += [(20_000 + i, T0 + timedelta(seconds=rng.choice([5000, 5000, 5001, rng.randrange(10_000)])), "hot",
+             rng.choice(["detect", "detect", "approved", "delete"]), i % 50, rng.random() < 0.8, 0.925) for i in range(900)]
+    assert run(spark, log, hot_rows=50, max_hot=50) == simulate(log)
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.integers(min_value=0, max_value=10_000), st.integers(min_value=1, max_value=40))
 def test_property_random_small_logs(spark, seed, n):

@@ -23,7 +23,8 @@ would serialise the job. Instead:
    a bounded broadcast) with a time-chunk width of about ``hot_rows`` ops;
    without any hot comment the plan is the plain per-comment window;
 2. the window runs over ``(comment_id, chunk)``: cold comments have a single
-   chunk, a hot one is split by time into many;
+   chunk, a hot one is split by time into many; chunks still too big (a
+   burst) are split again, by time or by ``seq`` (``assign_chunks``);
 3. the windowed narrow log is written once to the shared checkpoint folder;
    the last op of every hot chunk (one row per chunk) is shifted by one
    chunk and joined onto the first row of the next chunk, which restores the
@@ -53,8 +54,11 @@ K_DETECT, K_DELETE, K_ACTION = 1, 2, 3
 
 # A comment with more ops than this is split into time chunks of about this size.
 HOT_ROWS = 1_000_000
-# At most this many comments are split; the broadcast list is bounded by it.
+# At most this many comments (and oversized chunks per level) are split; the
+# broadcast lists are bounded by it.
 MAX_HOT = 10_000
+# Refinement levels for bursts inside a hot comment.
+MAX_LEVELS = 4
 
 
 def _kind(op: Column) -> Column:
@@ -95,6 +99,80 @@ def attach_text(df: DataFrame, texts: DataFrame, key: str = "doc_id") -> DataFra
     return df.join(needed.withColumnRenamed("doc_id", key), key, "left")
 
 
+def assign_chunks(
+    kept: DataFrame, log: DataFrame, hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT, max_levels: int = MAX_LEVELS
+) -> DataFrame | None:
+    """``kept`` plus ``width`` (null for cold comments) and ``chunk``; None when no comment is hot.
+
+    ``chunk`` is an ``array<bigint>`` path: arrays compare lexicographically,
+    so chunks stay in ``(ts, seq)`` order. Level 1 cuts a hot comment's time
+    span into equal parts of about ``hot_rows`` ops. Each further level cuts
+    only the chunks still above ``2 * hot_rows`` (a burst): by time, or by
+    ``seq`` when all of a chunk's ops share one timestamp. Every level is one
+    small aggregation over the hot comments' raw rows (map-side combined)
+    returning at most ``max_hot`` chunk specs -- a bounded broadcast.
+    Cold comments keep the single chunk ``[0]``; ops without a time ``[-1]``.
+    """
+    spark = kept.sparkSession
+    # A log no longer than hot_rows cannot hold a hot comment: skip the job.
+    if log.select("comment_id").limit(hot_rows + 1).count() <= hot_rows:
+        return None
+    hot_found = hot_keys(log.select("comment_id", "ts"), hot_rows, max_hot).collect()
+    if not hot_found:
+        return None
+
+    hot = F.broadcast(spark.createDataFrame(hot_found, "comment_id string, lo bigint, width bigint"))
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    first = (
+        F.when(F.col("width").isNull(), F.lit(0).cast("bigint"))
+        .when(F.col("ts").isNull(), F.lit(-1).cast("bigint"))
+        .otherwise(F.floor((us - F.col("lo")) / F.col("width")).cast("bigint"))
+    )
+    raw = (
+        log.select("comment_id", "ts", "seq").join(hot, "comment_id").where(F.col("ts").isNotNull())
+        .withColumn("chunk", F.array(first))
+    )
+    rows = kept.join(hot, "comment_id", "left").withColumn("chunk", F.array(first))
+
+    for _ in range(max_levels - 1):
+        big = (
+            raw.groupBy("comment_id", "chunk")
+            .agg(F.count(F.lit(1)).alias("n"), F.min(us).alias("t0"), F.max(us).alias("t1"),
+                 F.min("seq").alias("s0"), F.max("seq").alias("s1"))
+            .where(F.col("n") > F.lit(2 * hot_rows))
+            .orderBy(F.col("n").desc(), "comment_id", "chunk").limit(max_hot)
+            .collect()
+        )
+        if not big:
+            break
+        spec = spark.createDataFrame(
+            big, "comment_id string, chunk array<bigint>, n bigint, t0 bigint, t1 bigint, s0 bigint, s1 bigint"
+        ).select(
+            "comment_id", "chunk",
+            (F.col("t1") > F.col("t0")).alias("by_time"),
+            F.when(F.col("t1") > F.col("t0"), F.col("t0")).otherwise(F.col("s0")).alias("base"),
+            F.greatest(
+                F.lit(1).cast("bigint"),
+                F.ceil(
+                    (F.when(F.col("t1") > F.col("t0"), F.col("t1") - F.col("t0")).otherwise(F.col("s1") - F.col("s0")) + 1)
+                    * F.lit(float(hot_rows)) / F.col("n")
+                ).cast("bigint"),
+            ).alias("step"),
+        )
+        spec = F.broadcast(spec)
+
+        def refine(df: DataFrame) -> DataFrame:
+            pos = F.when(F.col("by_time"), us).otherwise(F.col("seq"))
+            part = F.floor((pos - F.col("base")) / F.col("step")).cast("bigint")
+            joined = df.join(spec, ["comment_id", "chunk"], "left")
+            return joined.withColumn(
+                "chunk", F.when(F.col("step").isNotNull(), F.concat(F.col("chunk"), F.array(part))).otherwise(F.col("chunk"))
+            ).drop("by_time", "base", "step")
+
+        raw, rows = refine(raw), refine(rows)
+    return rows
+
+
 @dataclass
 class Replay:
     """The annotated log and the three outputs of a replay."""
@@ -174,6 +252,7 @@ def replay(
     texts: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
     max_hot: int = MAX_HOT,
+    max_levels: int = MAX_LEVELS,
 ) -> Replay:
     """Replay an operation log.
 
@@ -181,7 +260,6 @@ def replay(
     ``confidence`` (per detect). ``flags``: ``doc_id, toxic`` when the log
     does not carry ``toxic``. ``texts``: ``doc_id, text`` for the outputs.
     """
-    spark = log.sparkSession
     ops = log
     if "toxic" not in ops.columns:
         if flags is None:
@@ -193,13 +271,8 @@ def replay(
         F.when(F.col("op") == DETECT, conf).alias("conf"),
     )
 
-    # 1. Hot comments: a small job over (comment_id, ts) with map-side
-    #    combine; at most max_hot rows come back, so the list is a bounded
-    #    broadcast. No hot comment -> the plain per-comment window.
-    # A log no longer than hot_rows cannot hold a hot comment: skip the job.
-    small = log.select("comment_id").limit(hot_rows + 1).count() <= hot_rows
-    hot_rows_found = [] if small else hot_keys(log.select("comment_id", "ts"), hot_rows, max_hot).collect()
-    if not hot_rows_found:
+    chunked = assign_chunks(kept, log, hot_rows, max_hot, max_levels)
+    if chunked is None:
         w = Window.partitionBy("comment_id").orderBy("ts", "seq")
         steps = kept.select(
             "comment_id", "ts", "seq", "op", "kind", "doc_id", "conf",
@@ -209,15 +282,6 @@ def replay(
         )
         return Replay(steps=steps, texts=texts)
 
-    hot = spark.createDataFrame(hot_rows_found, "comment_id string, lo bigint, width bigint")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    chunked = kept.join(F.broadcast(hot), "comment_id", "left").withColumn(
-        "chunk",
-        F.when(F.col("width").isNull(), F.lit(0).cast("bigint"))
-        .when(F.col("ts").isNull(), F.lit(-1).cast("bigint"))
-        .otherwise(F.floor((us - F.col("lo")) / F.col("width")).cast("bigint")),
-    )
-
     # 2. Local lag/lead inside (comment_id, chunk); a hot comment is spread
     #    over many window partitions. The narrow result is written once to
     #    the shared checkpoint folder: it cuts the lineage (a lost executor
