@@ -86,3 +86,12 @@ def test_scan_reasons_and_settings_rescan_t5(spark):
     assert [r.txt for r in Pg.scan_pages(pages, off, r"\.reddit\.com$").collect()] == ["you idiot"]
     both = Pg.scan_pages(pages, s, r"\.reddit\.com$")
     assert Pg.dedupe_flags(both.unionByName(both)).count() == 3
+
+
+def test_scan_elements_equals_scan_pages(spark):
+    pages = spark.createDataFrame([(1, "https://www.reddit.com/", "<p>you idiot</p><p>la plage</p><p>so dumb</p>")],
+                                  "page_id long, url string, html string")
+    s = Pg.Settings.from_text("la", auto_scan=True)
+    a = rows(Pg.scan_pages(pages, s, r"\.reddit\.com$"))
+    b = rows(Pg.scan_elements(Pg.page_elements(pages).select("page_id", "pos", "txt"), s))
+    assert a == b and len(a) == 3

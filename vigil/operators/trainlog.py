@@ -45,11 +45,6 @@ LOG_SCHEMA = T.StructType(
 )
 
 
-def batch_count(steps: DataFrame) -> DataFrame:
-    """One row: ``n_batches`` per epoch (batches are numbered from 0)."""
-    return steps.agg((F.max("batch") + 1).cast("bigint").alias("n_batches"))
-
-
 def avg_loss(steps: DataFrame) -> DataFrame:
     """``epoch, avg_loss, n_batches``: mean of batch means, rounded to 4 places."""
     per_batch = steps.groupBy("epoch", "batch").agg(F.avg("loss").alias("m"))
