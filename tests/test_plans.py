@@ -104,3 +104,32 @@ def test_same_timestamp_burst_is_split_by_seq(spark):
     chunked = R.assign_chunks(df.select("comment_id", "ts", "seq", "op", "doc_id"), df, hot_rows=200, max_hot=50)
     sizes = [r["count"] for r in chunked.where("comment_id = 'hot'").groupBy("chunk").count().collect()]
     assert max(sizes) <= 2 * 200 and sum(sizes) == 3000
+
+
+def test_spread_only_shuffles_an_under_split_scan(spark):
+    pages = T.pages(spark, SF)
+    n = pages.rdd.getNumPartitions()
+    # More task slots than input splits: hash-distributed by the key into one partition per slot.
+    wide = T.spread(pages, "page_id", slots=n + 7)
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(page_id" in plan
+    assert wide.rdd.getNumPartitions() == n + 7
+    # At least as many splits as slots (a large table): returned unchanged, no exchange.
+    assert T.spread(pages, "page_id", slots=n) is pages
+
+
+def test_spread_keeps_pruning_and_pushdown(spark):
+    docs = T.documents(spark, SF)
+    plan = executed(T.spread(docs, "doc_id", slots=64).where(F.col("doc_id") > 5).select("doc_id"))
+    assert "ReadSchema: struct<doc_id:bigint>" in plan
+    assert "GreaterThan(doc_id,5)" in plan
+
+
+def test_spread_page_scan_results_unchanged(spark):
+    from vigil.operators import pages as Pg
+    from vigil.plans.catalog import HOST_REGEX, SCAN_SETTINGS
+
+    pages = T.pages(spark, SF)
+    plain = Pg.scan_pages(pages, SCAN_SETTINGS, HOST_REGEX)
+    spread = Pg.scan_pages(T.spread(pages, "page_id", slots=16), SCAN_SETTINGS, HOST_REGEX)
+    assert sorted(plain.collect()) == sorted(spread.collect())

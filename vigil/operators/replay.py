@@ -48,8 +48,10 @@ from vigil.session import materialize
 
 DETECT = "detect"
 DELETE = "delete"
-# Op kinds as small integers: every per-comment struct stays fixed-width, so
-# its max/min aggregates run hash-based instead of sort-based.
+# Op kinds as small integers keep the per-comment structs narrow. Their
+# max/min aggregates are sort-based (a struct buffer), but they run on the
+# window's output, already partitioned and sorted by comment: no extra
+# exchange or sort.
 K_DETECT, K_DELETE, K_ACTION = 1, 2, 3
 
 # A comment with more ops than this is split into time chunks of about this size.

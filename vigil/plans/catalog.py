@@ -52,22 +52,37 @@ def register(name: str):
     return deco
 
 
+# --- inputs of CPU-heavy per-row work, spread over the task slots when under-split
+
+
+def _comments(spark: SparkSession, sf: str) -> DataFrame:
+    return T.spread(T.comments(spark, sf), "comment_id")
+
+
+def _user_turns(spark: SparkSession, sf: str) -> DataFrame:
+    return T.spread(T.user_turns(spark, sf), "comment_id")
+
+
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    return T.spread(T.pages(spark, sf), "page_id")
+
+
 # --- classify / flag / queue projection (P1-P3) ------------------------------
 
 
 @register("classify")
 def q_classify(spark: SparkSession, sf: str) -> DataFrame:
-    return C.classify(T.comments(spark, sf))
+    return C.classify(_comments(spark, sf))
 
 
 @register("flagged")
 def q_flagged(spark: SparkSession, sf: str) -> DataFrame:
-    return C.flagged(C.classify(T.comments(spark, sf)))
+    return C.flagged(C.classify(_comments(spark, sf)))
 
 
 @register("queue_projection")
 def q_queue_projection(spark: SparkSession, sf: str) -> DataFrame:
-    return C.queue_view(C.flagged(C.classify(T.user_turns(spark, sf))))
+    return C.queue_view(C.flagged(C.classify(_user_turns(spark, sf))))
 
 
 # --- dashboard and extension filters (P4-P9, P16) ----------------------------
@@ -75,24 +90,24 @@ def q_queue_projection(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("search")
 def q_search(spark: SparkSession, sf: str) -> DataFrame:
-    flagged = C.flagged(C.classify(T.comments(spark, sf)))
+    flagged = C.flagged(C.classify(_comments(spark, sf)))
     return Fl.min_confidence(Fl.search(flagged, SEARCH_TERM), DASHBOARD_MIN_CONFIDENCE)
 
 
 @register("min_confidence")
 def q_min_confidence(spark: SparkSession, sf: str) -> DataFrame:
-    return Fl.min_confidence(C.classify(T.comments(spark, sf)), MIN_CONFIDENCE)
+    return Fl.min_confidence(C.classify(_comments(spark, sf)), MIN_CONFIDENCE)
 
 
 @register("gate")
 def q_gate(spark: SparkSession, sf: str) -> DataFrame:
-    return Fl.gate(C.classify(T.comments(spark, sf)), 80)
+    return Fl.gate(C.classify(_comments(spark, sf)), 80)
 
 
 @register("blocklist")
 def q_blocklist(spark: SparkSession, sf: str) -> DataFrame:
     words = parse_comma_list_py(BLOCK_LIST)
-    return Fl.blocklist(T.comments(spark, sf), words)
+    return Fl.blocklist(_comments(spark, sf), words)
 
 
 @register("parse_blocklist")
@@ -113,7 +128,7 @@ def q_host_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("detection_display")
 def q_detection_display(spark: SparkSession, sf: str) -> DataFrame:
-    return Fl.detection_display(C.classify(T.user_turns(spark, sf)))
+    return Fl.detection_display(C.classify(_user_turns(spark, sf)))
 
 
 # --- moderation replay (W2, J1-J3, O1, O2, P15, R1) --------------------------
@@ -122,6 +137,7 @@ def q_detection_display(spark: SparkSession, sf: str) -> DataFrame:
 def moderation(spark: SparkSession, sf: str) -> R.Replay:
     """Replay the events-bound operation log; classify each document once."""
     docs = T.documents(spark, sf)
+    # The documents are not spread here: the replay never shuffles the text table.
     return R.replay(T.operation_log(spark, sf), flags=C.toxic_flags(docs, "doc_id"), texts=docs)
 
 
@@ -220,7 +236,7 @@ def q_feedback_conflicts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    truth = T.scored_truth(spark, sf)
+    truth = T.scored_truth(spark, sf, spread_rows=True)
     pred = Ev.lexicon_pred(C.classify(truth.select("comment_id", "text"))).select(
         "comment_id", F.col("pred").cast("bigint").alias("pred")
     )
@@ -244,13 +260,13 @@ def q_prf1(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("threshold_sweep")
 def q_threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    scored = T.scored_truth(spark, sf).select(Ev.graded_score("text").alias("score_pct"), "truth")
+    scored = T.scored_truth(spark, sf, spread_rows=True).select(Ev.graded_score("text").alias("score_pct"), "truth")
     return Ev.threshold_sweep(scored)
 
 
 @register("lexicon_hits")
 def q_lexicon_hits(spark: SparkSession, sf: str) -> DataFrame:
-    return Ev.lexicon_hits(T.documents(spark, sf))
+    return Ev.lexicon_hits(T.spread(T.documents(spark, sf), "doc_id"))
 
 
 # --- page scan (P10, P11, T3) ---------------------------------------------------
@@ -260,23 +276,23 @@ SCAN_SETTINGS = Pg.Settings.from_text(BLOCK_LIST, threshold_percent=80, privacy_
 
 @register("page_elements")
 def q_page_elements(spark: SparkSession, sf: str) -> DataFrame:
-    return Pg.page_elements(T.pages(spark, sf))
+    return Pg.page_elements(_pages(spark, sf))
 
 
 @register("page_elements_dom")
 def q_page_elements_dom(spark: SparkSession, sf: str) -> DataFrame:
-    return Pg.page_elements_dom(T.pages(spark, sf))
+    return Pg.page_elements_dom(_pages(spark, sf))
 
 
 @register("scan_pages")
 def q_scan_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return Pg.scan_pages(T.pages(spark, sf), SCAN_SETTINGS, HOST_REGEX)
+    return Pg.scan_pages(_pages(spark, sf), SCAN_SETTINGS, HOST_REGEX)
 
 
 @register("dedupe_flags")
 def q_dedupe_flags(spark: SparkSession, sf: str) -> DataFrame:
     """Two full scans (before and after a settings change) flag each element once."""
-    pages = T.pages(spark, sf)
+    pages = _pages(spark, sf)
     first = Pg.scan_pages(pages, SCAN_SETTINGS, HOST_REGEX)
     again = Pg.scan_pages(pages, Pg.Settings.from_text(BLOCK_LIST, threshold_percent=95, auto_scan=True), HOST_REGEX)
     return Pg.dedupe_flags(first.unionByName(again)).select("element_id", "page_id", "pos")
@@ -302,7 +318,7 @@ def q_progress_ticks(spark: SparkSession, sf: str) -> DataFrame:
 
 def _epoch_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Per epoch: mean loss from the loss steps, validation counts and F1 from fold ``doc_id % 3 + 1``."""
-    truth = T.scored_truth(spark, sf)
+    truth = T.scored_truth(spark, sf, spread_rows=True)
     pred = Ev.lexicon_pred(C.classify(truth))
     folds = pred.withColumn("epoch", (F.pmod(F.col("doc_id"), F.lit(3)) + 1).cast("bigint"))
     t, p = F.col("truth"), F.col("pred")

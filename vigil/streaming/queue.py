@@ -70,7 +70,9 @@ def _queue_step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) ->
             "outcome": outcome, "doc_id": np.where(outcome == "recorded", prev_doc, None),
             "confidence": np.where(outcome == "recorded", prev_conf, None), "pending": None, "version": version,
         })
-        out.append(ev[ev["outcome"].notna()])
+        ev = ev[ev["outcome"].notna()]
+        if len(ev):
+            out.append(ev)
         # New state: pending iff the last op is a detect; position = first detect of the final run.
         starts = np.flatnonzero((kind == "D") & (prev != "D"))
         if kind[-1] == "D":
@@ -87,7 +89,9 @@ def _queue_step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) ->
         "doc_id": None if doc is None else int(doc), "confidence": conf, "pending": pending, "version": version,
     }])
     out.append(snap)
-    yield pd.concat(out, ignore_index=True)[_COLS]
+    # Object columns throughout: the all-null fields of the state row do not
+    # steer the dtypes; Arrow types the result from OUTPUT_SCHEMA.
+    yield pd.concat([f.astype(object) for f in out], ignore_index=True)[_COLS]
 
 
 def queue_stream(ops: DataFrame) -> DataFrame:
