@@ -117,7 +117,10 @@ def assign_chunks(
     """
     spark = kept.sparkSession
     # A log no longer than hot_rows cannot hold a hot comment: skip the job.
-    if log.select("comment_id").limit(hot_rows + 1).count() <= hot_rows:
+    # A plain count sends one partial count per partition to the final sum; a
+    # limit-then-count would funnel up to hot_rows rows of every partition
+    # through a single task.
+    if log.count() <= hot_rows:
         return None
     hot_found = hot_keys(log.select("comment_id", "ts"), hot_rows, max_hot).collect()
     if not hot_found:
