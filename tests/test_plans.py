@@ -133,3 +133,23 @@ def test_spread_page_scan_results_unchanged(spark):
     plain = Pg.scan_pages(pages, SCAN_SETTINGS, HOST_REGEX)
     spread = Pg.scan_pages(T.spread(pages, "page_id", slots=16), SCAN_SETTINGS, HOST_REGEX)
     assert sorted(plain.collect()) == sorted(spread.collect())
+
+
+def test_history_sort_splits_a_hot_timestamp(spark):
+    """A third of the actions share one timestamp: the unique tie-break lets the range sort split them."""
+    t0 = datetime(2024, 1, 1)
+    rows = [(i, f"c{i}", "x", "approved", t0 if i % 3 == 0 else t0 + timedelta(seconds=i)) for i in range(3000)]
+    acts = spark.createDataFrame(rows, "id long, comment_id string, text string, action string, timestamp timestamp_ntz")
+    ordered = R.history(acts.repartition(8))
+    assert "rangepartitioning(timestamp#" in executed(ordered) and " id#" in executed(ordered).split("rangepartitioning")[1]
+    # Small data: AQE would coalesce the sorted ranges into one; look at the ranges themselves.
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        sizes = ordered.rdd.glom().map(len).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sum(sizes) == 3000 and max(sizes) < 1000
+    got = [(r["timestamp"], r["comment_id"]) for r in ordered.collect()]
+    assert got == sorted(got, key=lambda t: (t[0], int(t[1][1:])), reverse=True)

@@ -327,10 +327,14 @@ def replay(
 
 
 def history(actions: DataFrame) -> DataFrame:
-    """``GET /history``: newest first, nulls last, four columns, no paging."""
-    return actions.select("comment_id", "text", "action", "timestamp").orderBy(
-        F.col("timestamp").desc_nulls_last()
-    )
+    """``GET /history``: newest first, nulls last, four columns, no paging.
+
+    Ties on the timestamp (a burst, or rows without one) go to the newer
+    ``id``: with a unique sort key the range partitioner can split a hot
+    timestamp over many tasks, and the order is repeatable.
+    """
+    ordered = actions.orderBy(F.col("timestamp").desc_nulls_last(), F.col("id").desc())
+    return ordered.select("comment_id", "text", "action", "timestamp")
 
 
 def comment_status(r: Replay) -> DataFrame:
