@@ -330,10 +330,12 @@ def history(actions: DataFrame) -> DataFrame:
     """``GET /history``: newest first, nulls last, four columns, no paging.
 
     Ties on the timestamp (a burst, or rows without one) go to the newer
-    ``id``: with a unique sort key the range partitioner can split a hot
-    timestamp over many tasks, and the order is repeatable.
+    ``id`` (by ``comment_id`` when the rows carry no id): with a unique sort
+    key the range partitioner can split a hot timestamp over many tasks, and
+    the order is repeatable.
     """
-    ordered = actions.orderBy(F.col("timestamp").desc_nulls_last(), F.col("id").desc())
+    tie = F.col("id").desc() if "id" in actions.columns else F.col("comment_id").asc()
+    ordered = actions.orderBy(F.col("timestamp").desc_nulls_last(), tie)
     return ordered.select("comment_id", "text", "action", "timestamp")
 
 
