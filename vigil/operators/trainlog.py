@@ -129,7 +129,7 @@ def emit_train_log(
     matrix, epoch_end, model_saved).
     """
     spark = ticks.sparkSession
-    one = spark.range(1)
+    one = spark.range(1, numPartitions=1)
     head = one.select(
         F.lit(0).cast("bigint").alias("line_no"),
         _obj(("type", F.lit("summary")), ("epochs", F.lit(EPOCHS)), ("batch_size", F.lit(BATCH_SIZE)),

@@ -351,7 +351,11 @@ def train_log_lines(spark: SparkSession, sf: str) -> DataFrame:
     saved = Tl.model_saved(rows.select("epoch", "f1")).select("epoch", "saved")
     epochs = rows.join(saved, "epoch")
     best = epochs.select(F.coalesce(F.max(F.when(F.col("saved"), F.col("f1"))), F.lit(0.0))).scalar()
-    return materialize(Tl.emit_train_log(total, n_batches, Tl.progress_ticks(steps), epochs, best), "train-log")
+    # The log is bounded by construction (at most 101 progress lines, four per
+    # epoch and three more): one partition, one file, like the trainer's stdout.
+    # Upstream aggregations keep their own parallelism.
+    log = Tl.emit_train_log(total, n_batches, Tl.progress_ticks(steps), epochs, best).coalesce(1)
+    return materialize(log, "train-log")
 
 
 @register("train_log")
