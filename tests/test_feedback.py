@@ -135,3 +135,34 @@ def test_merge_idempotent_and_original_wins(spark):
             assert got[t] == lab  # the original's first row always wins
 
     check()
+
+
+def test_load_unique_first_wins_nulls_equal(spark):
+    from vigil.operators.load import load_unique
+
+    existing = spark.createDataFrame([(1, "a"), (2, None)], "id long, k string")
+    incoming = spark.createDataFrame(
+        [(10, "a"), (11, "b"), (12, "b"), (13, None), (14, "c"), (9, "c"), (15, "")], "id long, k string"
+    )
+    got = sorted(tuple(r) for r in load_unique(existing, incoming, "k", "id").collect())
+    assert got == [(9, "inserted"), (10, "exists"), (11, "inserted"), (12, "duplicate"), (13, "exists"),
+                   (14, "duplicate"), (15, "inserted")]
+
+
+def test_load_unique_shuffles_the_key_twice(spark):
+    from vigil.operators.load import load_unique
+
+    existing = spark.range(0, 1000).selectExpr("id", "cast(id % 700 as string) as k")
+    incoming = spark.range(500, 2000).selectExpr("id", "cast(id % 900 as string) as k")
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        df = load_unique(existing, incoming, "k", "id")
+        df.write.format("noop").mode("overwrite").save()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert plan.count("Exchange hashpartitioning") == 2

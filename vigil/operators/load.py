@@ -4,9 +4,16 @@ The reference inserts one user at a time and maps the unique-constraint
 error to "already registered". In bulk: every incoming row is classified as
 ``inserted`` (key absent from the table and first incoming row with that
 key), ``exists`` (key already stored) or ``duplicate`` (an earlier incoming
-row took the key). "First" is the smallest ``order_col``; the per-key
-minimum is an aggregation with map-side combine, so one key holding many
-rows does not skew.
+row took the key). "First" is the smallest ``order_col``.
+
+Plan: one aggregation over the keys of both tables (map-side combined, so
+one key holding many rows does not skew) gives, per key, whether it is
+stored and its first incoming row; the incoming rows join it by key. Two
+shuffles of the key in all, and the join reuses the aggregation's
+partitioning. The key is wrapped in a one-field struct: structs compare
+null fields as equal, so null keys group and match each other like the
+reference's single NULL-equal key, without a second partitioning on
+null-safe join expressions.
 """
 
 from __future__ import annotations
@@ -17,13 +24,15 @@ from pyspark.sql import functions as F
 
 def load_unique(existing: DataFrame, incoming: DataFrame, key: str, order_col: str) -> DataFrame:
     """``(order_col, status)`` for every incoming row; null keys are equal to each other."""
-    stored = existing.select(F.col(key).alias("_k")).distinct().withColumn("_exists", F.lit(True))
-    first = incoming.groupBy(F.col(key).alias("_k")).agg(F.min(order_col).alias("_first"))
-    inc = incoming.select(order_col, F.col(key).alias("_k"))
-    tagged = inc.join(first, inc["_k"].eqNullSafe(first["_k"])).drop(first["_k"])
-    tagged = tagged.join(stored, tagged["_k"].eqNullSafe(stored["_k"]), "left").drop(stored["_k"])
+    k = F.struct(F.col(key).alias("v")).alias("_k")
+    ord_type = incoming.schema[order_col].dataType
+    keys = incoming.select(k, F.lit(0).alias("_stored"), F.col(order_col).alias("_ord")).unionByName(
+        existing.select(k, F.lit(1).alias("_stored"), F.lit(None).cast(ord_type).alias("_ord"))
+    )
+    per_key = keys.groupBy("_k").agg(F.max("_stored").alias("_exists"), F.min("_ord").alias("_first"))
+    tagged = incoming.select(order_col, k).join(per_key, "_k")
     status = (
-        F.when(F.col("_exists"), F.lit("exists"))
+        F.when(F.col("_exists") == 1, F.lit("exists"))
         .when(F.col(order_col) == F.col("_first"), F.lit("inserted"))
         .otherwise(F.lit("duplicate"))
     )
