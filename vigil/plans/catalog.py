@@ -423,7 +423,7 @@ def q_stream_classify(spark: SparkSession, sf: str) -> DataFrame:
     comments = docs.select(F.col("doc_id").cast("string").alias("comment_id"), "text")
     data, ckpt = Ss.new_sink(spark, "stream-classify")
     Sc.stream_classify(comments, data, ckpt).awaitTermination()
-    return spark.read.parquet(data)
+    return spark.read.schema(Sc.flagged_stream(comments).schema).parquet(data)
 
 
 @register("stream_queue")
@@ -439,8 +439,9 @@ def q_stream_queue(spark: SparkSession, sf: str) -> DataFrame:
         F.pmod(F.col("event_id"), F.lit(n_docs)).alias("doc_id"),
     ).join(flags, "doc_id", "left")
     data, ckpt = Ss.new_sink(spark, "stream-queue")
-    Ss.run_to_parquet(Sq.queue_stream(ops), data, ckpt).awaitTermination()
-    out = spark.read.parquet(data)
+    queue = Sq.queue_stream(ops)
+    Ss.run_to_parquet(queue, data, ckpt).awaitTermination()
+    out = spark.read.schema(queue.schema).parquet(data)
     return out.where(F.col("outcome") == "recorded").select(
         F.col("seq").alias("id"), "comment_id", F.col("op").alias("action"), F.col("ts").alias("timestamp"), "doc_id"
     )
@@ -450,8 +451,9 @@ def q_stream_queue(spark: SparkSession, sf: str) -> DataFrame:
 def q_stream_flags(spark: SparkSession, sf: str) -> DataFrame:
     pages = Ss.read_table_stream(spark, sf, "pages", "page_id long, url string, html string")
     data, ckpt = Ss.new_sink(spark, "stream-flags")
-    Ss.run_to_parquet(Sr.flags_stream(pages, SCAN_SETTINGS, HOST_REGEX), data, ckpt).awaitTermination()
-    return spark.read.parquet(data).drop("scan_ts")
+    flags = Sr.flags_stream(pages, SCAN_SETTINGS, HOST_REGEX)
+    Ss.run_to_parquet(flags, data, ckpt).awaitTermination()
+    return spark.read.schema(flags.schema).parquet(data).drop("scan_ts")
 
 
 @register("stream_report")
