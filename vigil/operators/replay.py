@@ -340,13 +340,20 @@ def history(actions: DataFrame) -> DataFrame:
 
 
 def comment_status(r: Replay) -> DataFrame:
-    """Per comment: ``pending`` if queued now, else its latest recorded approve/reject."""
-    pending = r.queue_state.select("comment_id", F.lit("pending").alias("p"))
-    acts = r.steps.where((F.col("kind") == K_ACTION) & (F.col("prev_kind") == K_DETECT))
-    latest = acts.groupBy("comment_id").agg(F.max(F.struct("ts", "seq", "op")).alias("l"))
-    decided = latest.where(F.col("l.op").isin("approved", "rejected")).select(
-        "comment_id", F.col("l.op").alias("d")
+    """Per comment: ``pending`` if queued now, else its latest recorded approve/reject.
+
+    One aggregation over the annotated log (map-side combined): the last op
+    decides ``pending`` (as in ``queue_state``), and the latest recorded
+    action (an action that found its comment) gives the decision. Comments
+    with neither are left out.
+    """
+    recorded = (F.col("kind") == K_ACTION) & (F.col("prev_kind") == K_DETECT)
+    agg = r.steps.groupBy("comment_id").agg(
+        F.max(F.struct("ts", "seq", "kind")).alias("last"),
+        F.max(F.when(recorded, F.struct("ts", "seq", "op"))).alias("l"),
     )
-    return pending.join(decided, "comment_id", "full").select(
-        "comment_id", F.coalesce("p", "d").alias("status")
+    status = (
+        F.when(F.col("last.kind") == K_DETECT, F.lit("pending"))
+        .when(F.col("l.op").isin("approved", "rejected"), F.col("l.op"))
     )
+    return agg.select("comment_id", status.alias("status")).where(F.col("status").isNotNull())
