@@ -177,3 +177,22 @@ def test_events_binding_matches_model_sf0001(spark):
     assert q == q_model and acts == acts_model
     assert sorted(x.seq for x in r.not_found.collect()) == nf_model
     assert (len(q), len(acts), len(nf_model)) == (1, 40, 550)  # FIXTURES.md
+
+
+@pytest.mark.parametrize("hot_rows", [1_000_000, 40])
+def test_comment_status_matches_model(spark, hot_rows):
+    """Pending if queued at the end, else the latest recorded approve/reject; others absent."""
+    rng = random.Random(7)
+    log = random_log(rng, 400, 12, null_ts=0.05)
+    queue, actions, _, _ = simulate(log)
+    recorded = {a[0] for a in actions}
+    latest = {}
+    for seq, ts, cid, op, *_ in sorted(log, key=lambda r: (r[1] is not None, r[1] or T0, r[0])):
+        if seq in recorded:
+            latest[cid] = op
+    pending = {cid for cid, _, _ in queue}
+    want = {cid: "pending" for cid in pending}
+    want.update({cid: op for cid, op in latest.items() if cid not in pending and op in ("approved", "rejected")})
+    r = R.replay(spark.createDataFrame(log, LOG_SCHEMA), hot_rows=hot_rows, max_hot=5)
+    got = {x.comment_id: x.status for x in R.comment_status(r).collect()}
+    assert got == want
