@@ -153,3 +153,11 @@ def test_history_sort_splits_a_hot_timestamp(spark):
     assert sum(sizes) == 3000 and max(sizes) < 1000
     got = [(r["timestamp"], r["comment_id"]) for r in ordered.collect()]
     assert got == sorted(got, key=lambda t: (t[0], int(t[1][1:])), reverse=True)
+
+
+def test_spread_where_heavy_and_never_in_the_replay(spark):
+    # The sf0.01 tables are single row groups: under-split on local[*].
+    for name in ("page_elements", "scan_pages", "classify", "lexicon_hits"):
+        assert "REPARTITION_BY_NUM" in executed(REGISTRY[name](spark, SF)), name
+    for name in ("queue_now", "actions", "not_found", "comment_status"):
+        assert "REPARTITION_BY_NUM" not in executed(REGISTRY[name](spark, SF)), name
