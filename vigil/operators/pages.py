@@ -26,6 +26,7 @@ from vigil.functions.text import (
     parse_comma_list_py,
 )
 from vigil.operators.filters import host_filter
+from vigil.session import ship_package
 
 
 @dataclass(frozen=True)
@@ -80,6 +81,7 @@ def page_elements_dom(pages: DataFrame) -> DataFrame:
     An Arrow-batched pandas UDF over a stdlib HTML parser; the rows stay in
     the task that read the page.
     """
+    ship_package(pages.sparkSession)
     exploded = pages.select("page_id", "url", F.posexplode(_element_texts(F.col("html"))).alias("pos", "txt"))
     return exploded.select("page_id", "url", F.col("pos").cast("bigint").alias("pos"), "txt").where(
         F.col("txt") != ""

@@ -6,7 +6,10 @@ A cluster hands us a configured session; we only fill gaps that local runs
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -74,3 +77,37 @@ def materialize(df, name: str):
     df.write.parquet(path)
     # The schema is known: reading it back needs no footer job.
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package (pandas UDFs, keyed streaming state).
+
+    Workers unpickle those functions by module reference. On a cluster the
+    package is deployed with ``--py-files``; when the shared checkpoint
+    folder is a local path (local runs, tests), the package's modules are
+    zipped there once per application and registered with
+    ``SparkContext.addPyFile``, which Spark hands to every executor.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = ensure_checkpoint_dir(spark)
+    if "://" in root and not root.startswith("file:"):
+        _SHIPPED.add(sc.applicationId)
+        return
+    local_root = root[len("file:"):] if root.startswith("file:") else root
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    folder = os.path.join(local_root, f"pyfiles-{uuid.uuid4().hex}")
+    os.makedirs(folder)
+    zpath = os.path.join(folder, f"{os.path.basename(pkg)}.zip")
+    with zipfile.ZipFile(zpath, "w") as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(sc.applicationId)

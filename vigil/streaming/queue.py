@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vigil.functions.text import CONFIDENCE_TOXIC
+from vigil.session import ship_package
 
 OUTPUT_SCHEMA = (
     "comment_id string, seq long, ts timestamp_ntz, op string, outcome string, doc_id long, "
@@ -96,6 +97,7 @@ def _queue_step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) ->
 
 def queue_stream(ops: DataFrame) -> DataFrame:
     """Streaming ops ``seq, ts, comment_id, op, doc_id, toxic[, confidence]`` -> outcome rows."""
+    ship_package(ops.sparkSession)
     cols = ["seq", "ts", "comment_id", "op", "doc_id", "toxic"] + (["confidence"] if "confidence" in ops.columns else [])
     return ops.select(*cols).groupBy("comment_id").applyInPandasWithState(
         _queue_step, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
