@@ -22,3 +22,23 @@ def test_every_query_runs_at_sf0001(spark):
     for name, fn in E.queries().items():
         df = fn(spark, "/root/testdata/sf0.001")
         assert df.columns, name
+
+
+def test_python_worker_queries_run_outside_the_repo():
+    """Pandas-UDF and keyed-state queries ship the package: they run from any working directory."""
+    import os
+    import subprocess
+    import sys
+    import tempfile
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "import __spark_entry__ as E\n"
+        "from vigil.session import local_session\n"
+        "s = local_session(2, 2)\n"
+        "print('ROWS', E.queries()['page_elements_dom'](s, '/root/testdata/sf0.001').count())\n" % repo
+    )
+    out = subprocess.run([sys.executable, "-c", code], cwd=tempfile.gettempdir(), capture_output=True, text=True,
+                         timeout=600)
+    assert "ROWS " in out.stdout, out.stderr[-2000:]
