@@ -161,3 +161,10 @@ def test_spread_where_heavy_and_never_in_the_replay(spark):
         assert "REPARTITION_BY_NUM" in executed(REGISTRY[name](spark, SF)), name
     for name in ("queue_now", "actions", "not_found", "comment_status"):
         assert "REPARTITION_BY_NUM" not in executed(REGISTRY[name](spark, SF)), name
+
+
+def test_filters_on_labels_evaluate_the_lexicon_once(spark):
+    for name in ("flagged", "gate", "search"):
+        plan = REGISTRY[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        # One pass of the lexicon ("stupid" is a lexicon word and not the search term).
+        assert plan.count(", stupid)") == 1, name

@@ -25,14 +25,19 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 
 def classify(df: DataFrame, lexicon: Sequence[str] = DEFAULT_LEXICON, text_col: str = "text") -> DataFrame:
-    """Echo every input column and add ``label`` and ``confidence``."""
+    """Echo every input column and add ``label`` and ``confidence``.
+
+    The lexicon hit is computed once per row and ``label``/``confidence``
+    come out of a one-element ``inline``. As plain projections they would be
+    substituted into any filter on them (``flagged``, ``gate``, search), and
+    Catalyst would push that filter, with the whole lexicon, below an earlier
+    repartition into the scan task and evaluate the lexicon again for the
+    output. A filter on generator output stays above the generator.
+    """
     hit = lexicon_hit(text_col, lexicon)
-    return df.withColumns(
-        {
-            "label": F.when(hit, F.lit(LABEL_TOXIC)).otherwise(F.lit(LABEL_CLEAN)),
-            "confidence": F.when(hit, F.lit(CONFIDENCE_TOXIC)).otherwise(F.lit(CONFIDENCE_CLEAN)).cast("double"),
-        }
-    )
+    toxic = F.struct(F.lit(LABEL_TOXIC).alias("label"), F.lit(CONFIDENCE_TOXIC).cast("double").alias("confidence"))
+    clean = F.struct(F.lit(LABEL_CLEAN).alias("label"), F.lit(CONFIDENCE_CLEAN).cast("double").alias("confidence"))
+    return df.select(*[F.col(c) for c in df.columns], F.inline(F.array(F.when(hit, toxic).otherwise(clean))))
 
 
 def toxic_flags(df: DataFrame, key: str, lexicon: Sequence[str] = DEFAULT_LEXICON, text_col: str = "text") -> DataFrame:
