@@ -51,6 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="vigil-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
@@ -70,8 +72,6 @@ def materialize(df, name: str):
     and gives the planner the real on-disk size of the result, so a later
     join picks a broadcast only when the data is provably small.
     """
-    import uuid
-
     spark = df.sparkSession
     path = checkpoint_subdir(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
@@ -85,23 +85,16 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package (pandas UDFs, keyed streaming state).
 
-    Workers unpickle those functions by module reference. On a cluster the
-    package is deployed with ``--py-files``; when the shared checkpoint
-    folder is a local path (local runs, tests), the package's modules are
-    zipped there once per application and registered with
-    ``SparkContext.addPyFile``, which Spark hands to every executor.
+    Workers unpickle those functions by module reference. The package's modules are
+    zipped once per application on the driver and registered with
+    ``SparkContext.addPyFile``: Spark itself hands that file to every executor, so
+    neither a shared folder nor ``--py-files`` is needed.
     """
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
-    root = ensure_checkpoint_dir(spark)
-    if "://" in root and not root.startswith("file:"):
-        _SHIPPED.add(sc.applicationId)
-        return
-    local_root = root[len("file:"):] if root.startswith("file:") else root
     pkg = os.path.dirname(os.path.abspath(__file__))
-    folder = os.path.join(local_root, f"pyfiles-{uuid.uuid4().hex}")
-    os.makedirs(folder)
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="vigil-py-"))
     zpath = os.path.join(folder, f"{os.path.basename(pkg)}.zip")
     with zipfile.ZipFile(zpath, "w") as z:
         for dirpath, _, files in os.walk(pkg):
