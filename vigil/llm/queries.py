@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import exactdup
-from vigil.llm.common import documents
+from vigil.llm import exactdup, spm
+from vigil.llm.common import documents, ship_package
+from vigil.llm.pieces import default_model
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return spm.digests(documents(spark, sf_dir), default_model())
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +19,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op4_sentencepiece": op4_sentencepiece,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
