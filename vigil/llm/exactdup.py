@@ -52,10 +52,13 @@ def _narrow(docs: DataFrame) -> DataFrame:
 def exact_groups(docs: DataFrame) -> DataFrame:
     """``(doc_id, keep_id, group_size, kept, text_sha256)``, one row for each row of ``docs``."""
     rows = materialize(_narrow(docs), "exact-rows")
-    by_length = rows.groupBy("n_bytes").count().where("count > 1").select("n_bytes")
+    # Key sets are written first: both sides of each join are plain tables, so the rows of a hot
+    # length or prefix are split by the skew join.
+    by_length = materialize(rows.groupBy("n_bytes").count().where("count > 1").select("n_bytes"), "exact-lengths")
     level1 = rows.join(by_length, "n_bytes", "left_semi")
     by_prefix = level1.groupBy("n_bytes", "prefix_hash").count().where("count > 1").select("n_bytes", "prefix_hash")
-    level2 = level1.join(by_prefix, ["n_bytes", "prefix_hash"], "left_semi")
+    by_prefix = materialize(by_prefix, "exact-prefixes")
+    level2 = rows.join(by_prefix, ["n_bytes", "prefix_hash"], "left_semi")
     # Per text: fixed-width aggregates, combined before the shuffle, so a text with a third of
     # all rows is a few rows by then. First by code points, then the longest form's smallest id.
     forms = level2.groupBy("text_sha256", "n_cp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))

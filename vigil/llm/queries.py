@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import exactdup, spm
+from vigil.llm import exactdup, simhash, spm
 from vigil.llm.common import documents, ship_package
 from vigil.llm.pieces import default_model
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return simhash.near_groups(documents(spark, sf_dir))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return spm.digests(documents(spark, sf_dir), default_model())
@@ -19,6 +24,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_sentencepiece": op4_sentencepiece,
     "op10_exact_dedup": op10_exact_dedup,
 }
