@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from vigil.llm.pieces import Pieces, load
 
 #: Word forms kept between batches of a Python worker.
-MAX_FORMS = 400_000
+MAX_FORMS = 300_000
+#: Texts whose ids are held at once where only their digests go on.
+SLICE = 1000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -247,21 +249,22 @@ def decode_column(ids: Column, path: str) -> Column:
     return decode(ids)
 
 
-def digest_column(ids: Column, path: str) -> Column:
-    """``n_tokens``, and the SHA-256 of the ids in decimal and of the decoded text."""
+def digest_column(text: Column, path: str) -> Column:
+    """``n_tokens``, and the SHA-256 of the ids in decimal and of the text that they decode to."""
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(s: pd.Series) -> pd.DataFrame:
         from hashlib import sha256
 
         c, rows = codec(path), []
-        for x in s:
-            x = [] if x is None else x.tolist()
-            text = ",".join(map(c.decimal.__getitem__, x))
-            rows.append((len(x), sha256(text.encode()).hexdigest(), sha256(c.decode(x).encode()).hexdigest()))
+        for k in range(0, len(s), SLICE):
+            for x in c.encode(s.iloc[k : k + SLICE]):
+                x = x.tolist()
+                text = ",".join(map(c.decimal.__getitem__, x))
+                rows.append((len(x), sha256(text.encode()).hexdigest(), sha256(c.decode(x).encode()).hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"], index=s.index)
 
-    return digest(ids)
+    return digest(text)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -276,6 +279,6 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for each row, ids made and read in one Python pass."""
-    made = digest_column(encode_column(F.col("text"), path), path)
+    made = digest_column(F.col("text"), path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), made.alias("made"))
     return rows.select("doc_id", "made.n_tokens", "made.ids_sha256", "made.decoded_sha256")
