@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import exactdup, fst, simhash, spm
+from vigil.llm import exactdup, fst, langid, simhash, spm
 from vigil.llm.common import documents, ship_package
 from vigil.llm.pieces import default_model
 
@@ -19,6 +19,11 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.digests(documents(spark, sf_dir), default_model())
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return fst.token_counts(documents(spark, sf_dir), default_model())
@@ -31,6 +36,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_sentencepiece": op4_sentencepiece,
+    "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
 }
