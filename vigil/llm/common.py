@@ -33,18 +33,19 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def keep_rows(docs: DataFrame, key: dict[str, Column], chosen: DataFrame) -> DataFrame:
+def keep_rows(docs: DataFrame, key: dict[str, Column], chosen: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """The rows of ``docs`` whose key is in ``chosen``, one row for each key.
 
     ``key`` maps names to expressions over ``docs``; ``chosen`` holds those names, a key at most
     once, and ``__n``, the number of rows of ``docs`` that carry the key. Only keys with ``__n``
     over 1 (whole rows that repeat) need a second shuffle, by which one row of them is kept.
+    ``carry``: columns of ``chosen`` that come along as ``__c_<name>``.
     """
-    names = list(key)
+    names, carry = list(key), carry or []
     left = docs.withColumns({f"__k_{n}": e for n, e in key.items()})
-    right = chosen.select(*[F.col(n).alias(f"__c_{n}") for n in names], F.col("__n").alias("__c_n"))
+    right = chosen.select(*[F.col(n).alias(f"__c_{n}") for n in [*names, *carry]], F.col("__n").alias("__c_n"))
     on = [same(F.col(f"__k_{n}"), F.col(f"__c_{n}")) for n in names]
     met = left.join(right, on, "inner")
     once = met.where("__c_n = 1")
     more = met.where("__c_n > 1").dropDuplicates([f"__k_{n}" for n in names])
-    return once.unionByName(more).select(*docs.columns)
+    return once.unionByName(more).select(*docs.columns, *[f"__c_{n}" for n in carry])
