@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import exactdup, fst, langid, mixing, simhash, spm
-from vigil.llm.common import documents, ship_package
+from vigil.llm import exactdup, fst, langid, mixing, simhash, spm, topk
+from vigil.llm.common import documents, read_table, ship_package
 from vigil.llm.pieces import default_model
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return simhash.near_groups(documents(spark, sf_dir))
@@ -38,6 +43,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op1_exact_top_k": op1_exact_top_k,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_sentencepiece": op4_sentencepiece,
     "op7_source_mixing": op7_source_mixing,
@@ -47,6 +53,16 @@ REGISTRY = {
 }
 
 ORACLE = {
+    "op1_exact_top_k": r"""
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256.0::DOUBLE * x::DOUBLE)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
     # The halvings of the exponent's bracket are a recursive query here.
     "op7_source_mixing": r"""
         WITH RECURSIVE r AS MATERIALIZED (
