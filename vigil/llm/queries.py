@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import exactdup, fst, langid, mixing, simhash, spm, topk
+from vigil.llm import exactdup, fst, langid, mixing, simhash, spm, suffix, topk
 from vigil.llm.common import documents, read_table, ship_package
 from vigil.llm.pieces import default_model
 
@@ -24,6 +24,11 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.digests(documents(spark, sf_dir), default_model())
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return suffix.report(documents(spark, sf_dir))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.permutations(documents(spark, sf_dir))
 
@@ -46,6 +51,7 @@ REGISTRY = {
     "op1_exact_top_k": op1_exact_top_k,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op7_source_mixing": op7_source_mixing,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
