@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vigil.llm import exactdup, fst, langid, mixing, simhash, spm, suffix, topk
+from vigil.llm import exactdup, fst, langid, licenses, mixing, simhash, spm, suffix, topk, warc
 from vigil.llm.common import documents, read_table, ship_package
 from vigil.llm.pieces import default_model
 
@@ -14,6 +15,10 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.document_paths(documents(spark, sf_dir)))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return simhash.near_groups(documents(spark, sf_dir))
@@ -29,6 +34,12 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.report(documents(spark, sf_dir))
 
 
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    records = warc.derivatives(warc.responses(read_table(spark, sf_dir, "pages")))
+    return records.select("page_id", "type", "record_id", "refers_to", "target_uri", "payload_digest", "block_digest", "content_length", F.sha2("header", 256).alias("header_sha256"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.permutations(documents(spark, sf_dir))
 
@@ -49,9 +60,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {
     "op1_exact_top_k": op1_exact_top_k,
+    "op2_license_scan": op2_license_scan,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op6_warc_derivatives": op6_warc_derivatives,
     "op7_source_mixing": op7_source_mixing,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
