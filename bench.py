@@ -39,7 +39,7 @@ HEADLINE = [
     "lexicon_hits",
     "page_elements",
     "scan_pages",
-    "train_report",
+    "train_log",
     "load_unique",
 ]
 

@@ -1,12 +1,11 @@
 """Skew check: one comment holds a third of the operation log.
 
 Re-keys every third event of the events-bound log to a single comment, then
-runs the replay twice: with hot-comment splitting (``hot_rows`` small) and
-as a plain per-comment window (``hot_rows`` above the log size). Prints the
-largest window partition (rows per ``(comment_id, chunk)`` group) and the
-time of each, and checks both give the same queue / actions / not-found.
+runs the replay twice: over many chunks of the log, and over a single one (a
+plain per-comment window). Prints the largest chunk and the time of each, and
+checks both give the same queue / actions / not-found.
 
-Usage: python scripts/skew_check.py [sf_dir] [hot_rows]
+Usage: python scripts/skew_check.py [sf_dir] [chunks]
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ from vigil.sources import tables as T  # noqa: E402
 
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
-    hot_rows = int(sys.argv[2]) if len(sys.argv) > 2 else 2000
+    chunks = int(sys.argv[2]) if len(sys.argv) > 2 else 64
     spark = local_session(8, 8, app="vigil-skew")
     docs = T.documents(spark, sf)
     log = T.operation_log(spark, sf).withColumn(
@@ -36,26 +35,20 @@ def main() -> None:
     n = log.count()
     hot_n = log.where(F.col("comment_id") == "t1_hot").count()
     out = {}
-    for label, hr in (("split", hot_rows), ("plain", n + 1)):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    for label, k in (("split", chunks), ("plain", 1)):
         t0 = time.perf_counter()
-        r = R.replay(log, flags=C.toxic_flags(docs, "doc_id"), hot_rows=hr)
+        r = R.replay(log, flags=C.toxic_flags(docs, "doc_id"), partitions=k)
         res = (
             sorted(map(tuple, r.queue_state.collect())),
             sorted(map(tuple, r.actions_keyed.collect())),
             sorted(map(tuple, r.not_found.collect())),
         )
         out[label] = (res, round(time.perf_counter() - t0, 2))
-    hot = R.hot_keys(log.select("comment_id", "ts"), hot_rows).collect()
-    widths = {h.comment_id: (h.lo, h.width) for h in hot}
-    lo, width = widths["t1_hot"]
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    biggest = (
-        log.where(F.col("comment_id") == "t1_hot")
-        .groupBy(F.floor((us - F.lit(lo)) / F.lit(width)).alias("chunk")).count()
-        .agg(F.max("count"), F.count(F.lit(1))).first()
-    )
+    sizes = R.assign_chunks(log, chunks).groupBy("chunk").count()
+    biggest = sizes.agg(F.max("count"), F.count(F.lit(1))).first()
     same = out["split"][0] == out["plain"][0]
-    print(f"log rows {n}, hot comment rows {hot_n}; hot_rows {hot_rows}: {biggest[1]} chunks, largest {biggest[0]} rows")
+    print(f"log rows {n}, hot comment rows {hot_n}; {biggest[1]} chunks, largest {biggest[0]} rows")
     print(f"split {out['split'][1]} s, plain {out['plain'][1]} s, identical results: {same}")
     print("queue / actions / not-found:", [len(x) for x in out["split"][0]])
 

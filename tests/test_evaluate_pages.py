@@ -26,8 +26,11 @@ def test_prf1_zero_division(spark):
 def test_pair_rejects_duplicates(spark):
     p = spark.createDataFrame([("a", 1), ("a", 0)], "comment_id string, pred int")
     t = spark.createDataFrame([("a", 1)], "comment_id string, truth int")
-    with pytest.raises(ValueError):
-        Ev.pair(p, t, check_unique=True)
+    with pytest.raises(Exception, match="duplicate comment_id: a"):
+        Ev.pair(p, t).collect()
+    with pytest.raises(Exception, match="duplicate comment_id: a"):
+        Ev.pair(t, p).collect()
+    assert Ev.pair(p, t, check_unique=False).count() == 2
 
 
 def test_threshold_sweep_matches_brute_force(spark):

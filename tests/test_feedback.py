@@ -5,6 +5,7 @@ import tempfile
 from datetime import datetime
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from vigil.operators import feedback as Fb
@@ -89,6 +90,39 @@ def test_csv_round_trip_and_na_tokens_q12(spark):
     assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
 
 
+def _csv(text):
+    d = tempfile.mkdtemp(prefix="vigil-csv-")
+    with open(os.path.join(d, "in.csv"), "w", encoding="utf-8") as f:
+        f.write(text)
+    return os.path.join(d, "in.csv")
+
+
+def test_csv_columns_by_name_and_float_labels(spark):
+    df = csvio.read_labelled_csv(spark, _csv("id,Label,clean_text\n7,1,a\n8,1.0,b\n9,0.5,c\n10,,d\n11,x,e\n"))
+    assert [tuple(r) for r in df.collect()] == [("a", 1), ("b", 1), ("c", None), ("d", None), ("e", None)]
+    for bad in ("clean_text,y\na,1\n", "clean_text,Label,label\na,1,1\n"):
+        with pytest.raises(ValueError):
+            csvio.read_labelled_csv(spark, _csv(bad))
+
+
+def test_csv_keeps_padding(spark):
+    rows_ = [("  padded \t", 1), ("\n lines \n", 0), ('quo"te, comma', 1)]
+    out = os.path.join(tempfile.mkdtemp(prefix="vigil-csv-"), "out")
+    csvio.write_labelled(spark.createDataFrame(rows_, "clean_text string, Label int"), out, fmt="csv")
+    assert sorted(tuple(r) for r in csvio.read_labelled_csv(spark, out).collect()) == sorted(rows_)
+
+
+def test_empty_feedback_writes_nothing(spark):
+    empty = spark.createDataFrame([], "comment_id string, text string, action string")
+    merged = spark.createDataFrame([("x", 1)], "clean_text string, Label int")
+    out = os.path.join(tempfile.mkdtemp(prefix="vigil-csv-"), "out")
+    with pytest.warns(UserWarning):
+        assert not Fb.write_training_set(empty, merged, out)
+    assert not os.path.exists(out)
+    assert Fb.write_training_set(spark.createDataFrame([("c", "t", "approved")], empty.schema), merged, out)
+    assert os.path.exists(out)
+
+
 def test_actions_table_append_and_scan(spark):
     d = tempfile.mkdtemp(prefix="vigil-actions-")
     acts = spark.createDataFrame([(1, "a", "t", "approved", T), (2, "b", "u", "rejected", datetime(2024, 1, 2))], ACT)

@@ -1,5 +1,6 @@
 """Plan shape: the scale properties the design relies on."""
 
+import contextlib
 import random
 import re
 from datetime import datetime, timedelta
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from vigil.operators import classify as C
 from vigil.operators import feedback as Fb
 from vigil.operators import replay as R
+from vigil.operators.load import load_unique
 from vigil.plans.catalog import REGISTRY, moderation
 from vigil.sources import tables as T
 
@@ -20,44 +22,109 @@ def executed(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_text_join_never_shuffles_documents(spark):
-    plan = executed(moderation(spark, SF).queue)
-    # The documents scan feeds a broadcast semi join; no Exchange hashes the text table.
-    assert "LeftSemi" in plan
-    for block in re.split(r"Exchange hashpartitioning", plan)[1:]:
-        head = block.split("Exchange")[0]
-        assert "documents.parquet" not in head or "BroadcastExchange" in head
+def final(df) -> str:
+    """The plan as it ran, after the adaptive changes."""
+    df._jdf.queryExecution().toRdd().count()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+SKEW = {
+    "spark.sql.shuffle.partitions": "32",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+}
+
+
+@contextlib.contextmanager
+def conf(spark, values):
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_text_join_splits_a_hot_document(spark):
+    """A third of the rows ask for one document; broadcasts off, as for tables of any size."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    rows = spark.range(90_000, numPartitions=16).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 3000).alias("doc_id"))
+    with conf(spark, SKEW):
+        out = R.attach_text(rows, docs)
+        assert "skew=true" in final(out)
+        assert out.where("text = 'text 7'").count() == rows.where("doc_id = 7").count()
+
+
+def test_unique_load_splits_a_hot_key(spark):
+    old = spark.range(100).select(F.concat(F.lit("k"), "id").alias("key"), "id")
+    rows = spark.range(90_000, numPartitions=16).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), "id")).alias("key"), "id")
+    with conf(spark, SKEW):
+        out = load_unique(old, rows, "key", "id")
+        assert "skew=true" in final(out)
+        assert dict(map(tuple, out.groupBy("status").count().collect())) == {"inserted": 60_001 - 66, "duplicate": 29_999, "exists": 66}
 
 
 def test_latest_feedback_is_an_aggregate_not_a_window(spark):
-    acts = moderation(spark, SF).actions_keyed
-    plan = Fb.latest_feedback(acts, texts=T.documents(spark, SF))._jdf.queryExecution().executedPlan().toString()
-    assert "Window" not in plan
-    assert "partial_max" in plan or "HashAggregate" in plan
+    acts = spark.createDataFrame([], "id long, comment_id string, text string, action string, timestamp timestamp_ntz")
+    plan = Fb.latest_feedback(acts.repartition(3))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "partial_max" in plan
 
 
-def test_replay_without_hot_keys_is_one_window(spark):
-    docs = T.documents(spark, SF)
-    r = R.replay(T.operation_log(spark, SF), flags=C.toxic_flags(docs, "doc_id"))
-    plan = r.steps._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Window [") == 1
+def test_training_set_keys_are_hashes_not_texts(spark):
+    """No exchange or sort by a text in the distinct, the merge and the shuffle of the training set."""
+    ex = spark.createDataFrame([("c", "t", "approved")], "comment_id string, text string, action string").repartition(2)
+    orig = spark.createDataFrame([("t", 1, 1)], "clean_text string, Label int, ord long").repartition(2)
+    examples = Fb.to_examples(ex)
+    merged = Fb.merge_dedupe(orig, examples)
+    plan = final(Fb.seeded_shuffle(merged))
+    assert "rangepartitioning(shuffle_key" in plan
+    for line in plan.splitlines():
+        if "Exchange" in line or "Sort [" in line:
+            assert not re.search(r"(hashpartitioning|rangepartitioning|Sort )[\[(](clean_text|text)#", line), line
 
 
-def test_hot_comment_chunks_are_bounded(spark):
-    rng = random.Random(1)
-    t0 = datetime(2024, 1, 1)
-    log = [(i, t0 + timedelta(seconds=rng.randrange(100_000)), "hot", "detect", i, True, 0.925) for i in range(3000)]
-    log += [(10_000 + i, t0 + timedelta(seconds=rng.randrange(100_000)), f"c{i % 50}", "delete", None, None, None)
-            for i in range(6000)]
-    df = spark.createDataFrame(
-        log, "seq long, ts timestamp_ntz, comment_id string, op string, doc_id long, toxic boolean, confidence double"
-    )
-    hot = R.hot_keys(df.select("comment_id", "ts"), 200, 10)
-    chunked = df.join(F.broadcast(hot), "comment_id").select(
-        F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.col("lo")) / F.col("width")).alias("chunk")
-    )
-    sizes = [r["count"] for r in chunked.groupBy("chunk").count().collect()]
-    assert len(sizes) >= 10 and max(sizes) <= 2 * 200  # a third of the log spread over many window partitions
+LOG = "seq long, ts timestamp_ntz, comment_id string, op string, doc_id long, toxic boolean, confidence double"
+
+
+def _largest_chunk(spark, rows, partitions):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"  # small data would be put together again
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        sizes = [r["count"] for r in R.assign_chunks(spark.createDataFrame(rows, LOG), partitions).groupBy("chunk").count().collect()]
+    finally:
+        spark.conf.set(key, before)
+    assert sum(sizes) == len(rows)
+    return max(sizes)
+
+
+def test_any_hot_comment_is_cut(spark):
+    """Bursts, one shared timestamp, missing times, several hot comments: no chunk much above the mean."""
+    rng, t0, n = random.Random(1), datetime(2024, 1, 1), 6000
+    spread_out = [(i, t0 + timedelta(seconds=rng.randrange(100_000)), f"c{i % 50}", "delete", None, None, None) for i in range(n)]
+    hot = lambda k, ts: [(n * (k + 1) + i, ts(i), f"hot{k}", "detect", i, True, 0.925) for i in range(n // 2)]
+    cases = [
+        hot(0, lambda i: t0),
+        hot(0, lambda i: None),
+        hot(0, lambda i: t0 + timedelta(seconds=rng.randrange(9) if i % 10 else rng.randrange(31_536_000))),
+        [r for k in range(5) for r in hot(k, lambda i: t0 + timedelta(seconds=i))],
+    ]
+    for rows in cases:
+        rows = rows + spread_out
+        assert _largest_chunk(spark, rows, 40) <= 2 * len(rows) / 40
+
+
+def test_replay_is_one_plan_for_every_size(spark):
+    docs = T.documents(spark, SF)
+    for log in (T.operation_log(spark, SF), T.operation_log(spark, SF).limit(3)):
+        r = R.replay(log, flags=C.toxic_flags(docs, "doc_id"))
+        plan = r.steps._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Window [lag(kind") == 1 and "chunk" in plan
 
 
 def test_no_python_in_scan_and_filters(spark):
@@ -67,74 +134,13 @@ def test_no_python_in_scan_and_filters(spark):
 
 
 def test_scans_are_pruned_and_filters_pushed(spark):
-    plan = executed(REGISTRY["not_found"](spark, SF))
+    plan = executed(T.operation_log(spark, SF))
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string>" in plan
     assert "props" not in plan and "value:double" not in plan
     plan = executed(REGISTRY["actions_table"](spark, SF))
     assert "PushedFilters: [In(action, [approved,rejected])" in plan
 
 
-def test_bursty_hot_comment_is_refined(spark):
-    """90% of a hot comment's ops fall in 1% of its time span: the second level still bounds the chunks."""
-    rng = random.Random(2)
-    t0 = datetime(2024, 1, 1)
-    span = 1_000_000
-    rows = []
-    for i in range(4000):
-        sec = rng.randrange(span // 100) if rng.random() < 0.9 else rng.randrange(span)
-        rows.append((i, t0 + timedelta(seconds=sec), "hot", "detect", i, True, 0.925))
-    rows += [(10_000 + i, t0 + timedelta(seconds=rng.randrange(span)), f"c{i % 40}", "delete", None, None, None)
-             for i in range(4000)]
-    df = spark.createDataFrame(
-        rows, "seq long, ts timestamp_ntz, comment_id string, op string, doc_id long, toxic boolean, confidence double"
-    )
-    kept = df.select("comment_id", "ts", "seq", "op", "doc_id")
-    chunked = R.assign_chunks(kept, df, hot_rows=200, max_hot=50)
-    sizes = [r["count"] for r in chunked.where("comment_id = 'hot'").groupBy("chunk").count().collect()]
-    assert max(sizes) <= 2 * 200 and sum(sizes) == 4000
-
-
-def test_same_timestamp_burst_is_split_by_seq(spark):
-    t0 = datetime(2024, 1, 1)
-    rows = [(i, t0, "hot", "detect", i, True, 0.925) for i in range(3000)]
-    rows += [(10_000 + i, t0 + timedelta(seconds=i), f"c{i % 30}", "delete", None, None, None) for i in range(3000)]
-    df = spark.createDataFrame(
-        rows, "seq long, ts timestamp_ntz, comment_id string, op string, doc_id long, toxic boolean, confidence double"
-    )
-    chunked = R.assign_chunks(df.select("comment_id", "ts", "seq", "op", "doc_id"), df, hot_rows=200, max_hot=50)
-    sizes = [r["count"] for r in chunked.where("comment_id = 'hot'").groupBy("chunk").count().collect()]
-    assert max(sizes) <= 2 * 200 and sum(sizes) == 3000
-
-
-def test_spread_only_shuffles_an_under_split_scan(spark):
-    pages = T.pages(spark, SF)
-    n = pages.rdd.getNumPartitions()
-    # More task slots than input splits: hash-distributed by the key into one partition per slot.
-    wide = T.spread(pages, "page_id", slots=n + 7)
-    plan = wide._jdf.queryExecution().executedPlan().toString()
-    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(page_id" in plan
-    assert wide.rdd.getNumPartitions() == n + 7
-    # At least as many splits as slots (a large table): returned unchanged, no exchange.
-    assert T.spread(pages, "page_id", slots=n) is pages
-
-
-def test_spread_keeps_pruning_and_pushdown(spark):
-    docs = T.documents(spark, SF)
-    plan = executed(T.spread(docs, "doc_id", slots=64).where(F.col("doc_id") > 5).select("doc_id"))
-    assert "ReadSchema: struct<doc_id:bigint>" in plan
-    assert "GreaterThan(doc_id,5)" in plan
-
-
-def test_spread_page_scan_results_unchanged(spark):
-    from vigil.operators import pages as Pg
-    from vigil.plans.catalog import HOST_REGEX, SCAN_SETTINGS
-
-    pages = T.pages(spark, SF)
-    plain = Pg.scan_pages(pages, SCAN_SETTINGS, HOST_REGEX)
-    spread = Pg.scan_pages(T.spread(pages, "page_id", slots=16), SCAN_SETTINGS, HOST_REGEX)
-    assert sorted(plain.collect()) == sorted(spread.collect())
-
-
 def test_history_sort_splits_a_hot_timestamp(spark):
     """A third of the actions share one timestamp: the unique tie-break lets the range sort split them."""
     t0 = datetime(2024, 1, 1)
@@ -155,12 +161,9 @@ def test_history_sort_splits_a_hot_timestamp(spark):
     assert got == sorted(got, key=lambda t: (t[0], int(t[1][1:])), reverse=True)
 
 
-def test_spread_where_heavy_and_never_in_the_replay(spark):
-    # The sf0.01 tables are single row groups: under-split on local[*].
-    for name in ("page_elements", "scan_pages", "classify", "lexicon_hits"):
-        assert "REPARTITION_BY_NUM" in executed(REGISTRY[name](spark, SF)), name
-    for name in ("queue_now", "actions", "not_found", "comment_status"):
-        assert "REPARTITION_BY_NUM" not in executed(REGISTRY[name](spark, SF)), name
+def test_narrow_queries_have_no_exchange(spark):
+    for name in ("classify", "flagged", "blocklist", "search", "page_elements", "scan_pages"):
+        assert "Exchange" not in executed(REGISTRY[name](spark, SF)), name
 
 
 def test_filters_on_labels_evaluate_the_lexicon_once(spark):

@@ -101,12 +101,11 @@ def test_null_timestamps_sort_first(spark):
     assert run(spark, log) == simulate(log)
 
 
-@pytest.mark.parametrize("hot_rows", [None, 3])
-def test_random_logs_match_model(spark, hot_rows):
+@pytest.mark.parametrize("partitions", [None, 1, 300])
+def test_random_logs_match_model(spark, partitions):
     rng = random.Random(7)
     log = random_log(rng, 3000, 60, null_ts=0.02)
-    kw = {} if hot_rows is None else {"hot_rows": hot_rows, "max_hot": 25}
-    assert run(spark, log, **kw) == simulate(log)
+    assert run(spark, log, partitions=partitions) == simulate(log)
 
 
 def test_hot_comment_is_split(spark):
@@ -115,9 +114,7 @@ def test_hot_comment_is_split(spark):
     log = random_log(rng, 1500, 30, ts_span=10_000)
     log += [(10_000 + i, T0 + timedelta(seconds=rng.randrange(10_000)), "hot", rng.choice(["detect", "approved", "delete"]),
              i % 50, True, 0.925) for i in range(800)]
-    hot = R.hot_keys(spark.createDataFrame(log, LOG_SCHEMA).select("comment_id", "ts"), 100, 5).collect()
-    assert [h.comment_id for h in hot] == ["hot"]
-    assert run(spark, log, hot_rows=100, max_hot=5) == simulate(log)
+    assert run(spark, log, partitions=40) == simulate(log)
 
 
 def test_bursty_hot_comment_matches_model(spark):
@@ -126,14 +123,14 @@ def test_bursty_hot_comment_matches_model(spark):
     log = random_log(rng, 1000, 20, ts_span=10_000)
     log += [(20_000 + i, T0 + timedelta(seconds=rng.choice([5000, 5000, 5001, rng.randrange(10_000)])), "hot",
              rng.choice(["detect", "detect", "approved", "delete"]), i % 50, rng.random() < 0.8, 0.925) for i in range(900)]
-    assert run(spark, log, hot_rows=50, max_hot=50) == simulate(log)
+    assert run(spark, log, partitions=50) == simulate(log)
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.integers(min_value=0, max_value=10_000), st.integers(min_value=1, max_value=40))
 def test_property_random_small_logs(spark, seed, n):
     log = random_log(random.Random(seed), n, 3, ts_span=5, null_ts=0.1)
-    assert run(spark, log, hot_rows=2, max_hot=3) == simulate(log)
+    assert run(spark, log, partitions=6) == simulate(log)
 
 
 def test_history_newest_first_nulls_last(spark):
@@ -179,8 +176,8 @@ def test_events_binding_matches_model_sf0001(spark):
     assert (len(q), len(acts), len(nf_model)) == (1, 40, 550)  # FIXTURES.md
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 40])
-def test_comment_status_matches_model(spark, hot_rows):
+@pytest.mark.parametrize("partitions", [1, 20])
+def test_comment_status_matches_model(spark, partitions):
     """Pending if queued at the end, else the latest recorded approve/reject; others absent."""
     rng = random.Random(7)
     log = random_log(rng, 400, 12, null_ts=0.05)
@@ -193,6 +190,6 @@ def test_comment_status_matches_model(spark, hot_rows):
     pending = {cid for cid, _, _ in queue}
     want = {cid: "pending" for cid in pending}
     want.update({cid: op for cid, op in latest.items() if cid not in pending and op in ("approved", "rejected")})
-    r = R.replay(spark.createDataFrame(log, LOG_SCHEMA), hot_rows=hot_rows, max_hot=5)
+    r = R.replay(spark.createDataFrame(log, LOG_SCHEMA), partitions=partitions)
     got = {x.comment_id: x.status for x in R.comment_status(r).collect()}
     assert got == want

@@ -16,18 +16,22 @@ from pyspark.sql import functions as F
 from vigil.functions.text import DEFAULT_LEXICON, LABEL_TOXIC, lexicon_word_count
 
 
-def pair(pred: DataFrame, truth: DataFrame, key: str = "comment_id", check_unique: bool = False) -> DataFrame:
+def pair(pred: DataFrame, truth: DataFrame, key: str = "comment_id", check_unique: bool = True) -> DataFrame:
     """Inner equi-join of predictions and truth on ``key``.
 
-    The reference pairs by position; here by key. With ``check_unique`` a
-    duplicated key on either side raises (one small aggregation job each).
+    The reference pairs by position, one to one; here by key, so a key that
+    repeats on either side is an error. With ``check_unique`` (the default) it
+    is raised by the plan itself: the pairs of a key are counted in an
+    aggregation by that key, whose partitioning the join has made already.
     """
-    if check_unique:
-        for name, df in (("pred", pred), ("truth", truth)):
-            dup = df.groupBy(key).count().where(F.col("count") > 1).limit(1).collect()
-            if dup:
-                raise ValueError(f"duplicate {key} in {name}: {dup[0][key]!r}")
-    return pred.join(truth, key)
+    met = pred.join(truth, key)
+    if not check_unique:
+        return met
+    others = [c for c in met.columns if c != key]
+    one = met.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in others])
+    message = F.concat(F.lit(f"duplicate {key}: "), F.col(key).cast("string"))
+    checked = F.when(F.col("_n") > 1, F.raise_error(message)).otherwise(F.col(key)).cast(met.schema[key].dataType)
+    return one.select(checked.alias(key), *others)
 
 
 def _binary(c: Column) -> Column:

@@ -6,29 +6,45 @@ comment or a text that holds a third of the rows still spreads over all
 tasks before the final merge:
 
 * latest feedback per comment   ``max(struct(null-first ts, ts, id, ...))``
-* distinct examples             ``groupBy(clean_text, Label)`` keeping the
+* distinct examples             by ``(sha2(clean_text), Label)``, keeping the
                                 first comment id as input order
-* keep-first merge on the text  ``min(struct(src, ord, Label))`` per text
-  (original rows before feedback, then input order) -- not
-  ``dropDuplicates``, which keeps an arbitrary row.
+* keep-first merge on the text  ``min(struct(src, ord, Label, ...))`` per
+  ``sha2(clean_text)`` (original rows before feedback, then input order) --
+  not ``dropDuplicates``, which keeps an arbitrary row.
+
+A maximum over a struct is a sort aggregate in Spark; what it sorts are the
+comment ids or 64-character hashes, never the texts, which only ride along.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.operators.replay import attach_text
 from vigil.session import materialize
+from vigil.sources.csvio import write_labelled
 
-FEEDBACK_ACTIONS = ("approved", "rejected")
 # --- Fixed values: action -> training label ----------------------------------
 LABEL_OF_ACTION = {"approved": 1, "rejected": 0}
 # -----------------------------------------------------------------------------
+FEEDBACK_ACTIONS = tuple(LABEL_OF_ACTION)
 SHUFFLE_SEED = 42
 _ORD_WIDTH = 20
 
 
+def _label(action: Column) -> Column:
+    mapped = F.create_map(*[F.lit(x) for pair in LABEL_OF_ACTION.items() for x in pair])
+    return mapped[action].cast("int")
+
+
+def _text_key(c: Column) -> Column:
+    """The text's hash; null texts are equal to each other."""
+    return F.coalesce(F.sha2(c, 256), F.lit("null"))
+
+
 def valid_feedback(actions: DataFrame) -> DataFrame:
     """Only approve/reject decisions train; other action strings are kept but ignored."""
     return actions.where(F.col("action").isin(*FEEDBACK_ACTIONS))
@@ -42,11 +58,10 @@ def latest_feedback(actions: DataFrame, texts: DataFrame | None = None) -> DataF
     Output ``comment_id, text, action``.
 
     With ``texts`` (``doc_id, text``) the actions carry ``doc_id`` instead of
-    text: the per-comment struct is then fixed-width (hash aggregation, no
-    text in the shuffle) and the text is attached to the winners only.
+    text: no text is shuffled, and it is attached to the winners only.
     """
     fb = valid_feedback(actions)
-    code = F.when(F.col("action") == "approved", F.lit(1)).otherwise(F.lit(0))
+    code = _label(F.col("action"))
     if texts is not None:
         key = F.struct(
             F.col("timestamp").isNull().alias("n"), F.col("timestamp").alias("ts"), F.col("id").alias("id"),
@@ -74,10 +89,11 @@ def to_examples(latest: DataFrame) -> DataFrame:
     Keeps ``ord`` = the first comment id of each distinct example (the input
     order pandas would see), for the keep-first merge.
     """
-    label = F.when(F.col("action") == "approved", F.lit(1)).when(F.col("action") == "rejected", F.lit(0))
-    ex = latest.select(F.col("text").alias("clean_text"), label.cast("int").alias("Label"), "comment_id")
+    ex = latest.select(F.col("text").alias("clean_text"), _label(F.col("action")).alias("Label"), "comment_id")
     ex = ex.na.drop("any", subset=["clean_text", "Label"])
-    return ex.groupBy("clean_text", "Label").agg(F.min("comment_id").alias("ord"))
+    first = F.min(F.struct(F.col("comment_id").alias("ord"), F.col("clean_text").alias("clean_text"))).alias("f")
+    per = ex.groupBy(_text_key(F.col("clean_text")).alias("_k"), "Label").agg(first)
+    return per.select("f.clean_text", "Label", "f.ord")
 
 
 def concat_examples(original: DataFrame, feedback: DataFrame) -> DataFrame:
@@ -96,13 +112,26 @@ def concat_examples(original: DataFrame, feedback: DataFrame) -> DataFrame:
 def merge_dedupe(original: DataFrame, feedback: DataFrame) -> DataFrame:
     """Keep the first row per ``clean_text`` (original wins, then input order; nulls equal)."""
     both = concat_examples(original, feedback)
-    first = both.groupBy("clean_text").agg(F.min(F.struct("src", "ord", "Label")).alias("f"))
-    return first.select("clean_text", F.col("f.Label").alias("Label"))
+    first = both.groupBy(_text_key(F.col("clean_text")).alias("_k")).agg(F.min(F.struct("src", "ord", "Label", "clean_text")).alias("f"))
+    return first.select("f.clean_text", "f.Label")
 
 
 def seeded_shuffle(df: DataFrame, seed: int = SHUFFLE_SEED) -> DataFrame:
-    """Repeatable shuffle: sort by a seeded hash of the text (a distributed range sort)."""
-    return df.orderBy(F.xxhash64(F.col("clean_text"), F.lit(seed)), F.col("clean_text"), F.col("Label"))
+    """Repeatable shuffle: a distributed range sort by ``shuffle_key``, a seeded hash of the text.
+
+    Only the key is sampled and compared, never a text; rows of one text are told apart by ``Label``.
+    """
+    key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("clean_text"), F.lit(""))))
+    return df.withColumn("shuffle_key", key).orderBy("shuffle_key", "Label")
+
+
+def write_training_set(feedback: DataFrame, merged: DataFrame, path: str, fmt: str = "csv") -> bool:
+    """Write the merged set; without any feedback warn and write nothing, as the reference does."""
+    if feedback.isEmpty():
+        warnings.warn("no moderator feedback: the training set is not written", stacklevel=2)
+        return False
+    write_labelled(merged, path, fmt)
+    return True
 
 
 def merge_stats(latest: DataFrame, examples: DataFrame, original: DataFrame, merged: DataFrame) -> DataFrame:
@@ -132,8 +161,12 @@ def flag_precision(actions: DataFrame) -> DataFrame:
 
 def feedback_conflicts(original: DataFrame, examples: DataFrame) -> DataFrame:
     """Feedback examples the merge drops because the original holds the text with another label."""
-    o = original.select("clean_text", F.col("Label").cast("int").alias("orig_label"))
-    # Feedback is small next to the labelled set: written once, its size is
-    # known when the join is planned (a broadcast when under the threshold).
-    f = materialize(examples.select("clean_text", F.col("Label").cast("int").alias("feedback_label")), "feedback-examples")
-    return f.join(o, "clean_text").where(F.col("orig_label") != F.col("feedback_label")).distinct()
+    o = original.select(_text_key(F.col("clean_text")).alias("_k"), F.col("Label").cast("int").alias("orig_label")).distinct()
+    # Feedback is small next to the labelled set: written once, its size is known when the join
+    # is planned (a broadcast when under the threshold). The labelled side is hashes, not texts.
+    f = examples.where("clean_text IS NOT NULL").select(
+        "clean_text", F.col("Label").cast("int").alias("feedback_label"), _text_key(F.col("clean_text")).alias("_k")
+    )
+    f = materialize(f, "feedback-examples")
+    hit = f.join(o, "_k").where(F.col("orig_label") != F.col("feedback_label"))
+    return hit.dropDuplicates(["_k", "feedback_label", "orig_label"]).select("clean_text", "feedback_label", "orig_label")

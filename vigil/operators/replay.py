@@ -14,21 +14,18 @@ from an ordered operation log ``(seq, ts, comment_id, op, doc_id)``:
   queue position is the first detect of that final run of detects.
 
 Plan shape. The only per-row ordering need is "previous op of the same
-comment", a ``lag`` over ``(ts, seq)``. A plain window would put every row
-of a comment into one task, so a single hot comment (one third of the log)
-would serialise the job. Instead:
-
-1. per-comment op counts come from a partial aggregation (map-side combine);
-   the heaviest comments above ``hot_rows`` are kept (top ``max_hot`` only,
-   a bounded broadcast) with a time-chunk width of about ``hot_rows`` ops;
-   without any hot comment the plan is the plain per-comment window;
-2. the window runs over ``(comment_id, chunk)``: cold comments have a single
-   chunk, a hot one is split by time into many; chunks still too big (a
-   burst) are split again, by time or by ``seq`` (``assign_chunks``);
-3. the windowed narrow log is written once to the shared checkpoint folder;
-   the last op of every hot chunk (one row per chunk) is shifted by one
-   chunk and joined onto the first row of the next chunk, which restores the
-   exact ``lag`` with a join of two tables of one row per hot chunk.
+comment". A plain window would put every row of a comment into one task, so
+a hot comment (one third of the log) would serialise the job. One plan, for
+every size of log and of comment, splits it:
+
+1. the kept log (narrow: no text) is written once and range-partitioned by
+   ``(comment_id, ts, seq)``, nulls first. ``seq`` is unique, so any comment,
+   burst or run of missing times is cut where the partition sizes need it;
+   the partition number is the row's *chunk*, written with the row;
+2. ``lag`` runs inside ``(comment_id, chunk)``, never over more than a chunk;
+3. only the first row of a chunk can miss its predecessor: the last row of
+   the chunk before it, one row a chunk, is joined onto it when it is of the
+   same comment.
 
 Queue state and every per-comment result are aggregations (``max`` over
 structs), which combine partially before the shuffle and so do not skew.
@@ -54,128 +51,39 @@ DELETE = "delete"
 # exchange or sort.
 K_DETECT, K_DELETE, K_ACTION = 1, 2, 3
 
-# A comment with more ops than this is split into time chunks of about this size.
-HOT_ROWS = 1_000_000
-# At most this many comments (and oversized chunks per level) are split; the
-# broadcast lists are bounded by it.
-MAX_HOT = 10_000
-# Refinement levels for bursts inside a hot comment.
-MAX_LEVELS = 4
-
 
 def _kind(op: Column) -> Column:
     return F.when(op == DETECT, F.lit(K_DETECT)).when(op == DELETE, F.lit(K_DELETE)).otherwise(F.lit(K_ACTION))
 
 
-def hot_keys(log: DataFrame, hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT) -> DataFrame:
-    """``(comment_id, lo, width)`` for the heaviest comments (bounded by ``max_hot``).
-
-    ``width`` (microseconds) cuts the comment's time span into chunks of
-    about ``hot_rows`` ops each.
-    """
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    stats = (
-        log.groupBy("comment_id")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(us).alias("lo"), F.max(us).alias("hi"))
-        .where(F.col("n") > F.lit(hot_rows))
-    )
-    top = stats.orderBy(F.col("n").desc(), F.col("comment_id")).limit(max_hot)
-    width = F.greatest(
-        F.lit(1).cast("bigint"),
-        F.ceil((F.col("hi") - F.col("lo") + 1) * F.lit(float(hot_rows)) / F.col("n")).cast("bigint"),
-    )
-    return top.select("comment_id", "lo", width.alias("width"))
-
-
 def attach_text(df: DataFrame, texts: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Left-join ``text`` by ``key`` without shuffling the whole text table.
+    """Left-join ``text`` by ``key`` without shuffling the whole text table where that can be avoided.
 
-    ``df`` (narrow, usually small) is written once so its size is known when
-    the join is planned; the text table is then cut to the needed keys by a
-    semi join that is a broadcast when the key side is under the broadcast
-    threshold and a shuffle join otherwise, and only then joined to ``df``.
+    ``df`` (narrow) is written once so its size is known when the join is planned; the text
+    table is cut to the needed keys by a semi join, a broadcast when the key side is under the
+    broadcast threshold. The needed texts are written too: both sides of the last join are then
+    plain tables, so a key with very many rows is split by the skew join.
     """
     df = materialize(df, "needs-text")
     keys = df.select(F.col(key).alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
-    needed = texts.select("doc_id", "text").join(keys, "doc_id", "left_semi")
+    needed = materialize(texts.select("doc_id", "text").join(keys, "doc_id", "left_semi"), "needed-text")
     return df.join(needed.withColumnRenamed("doc_id", key), key, "left")
 
 
-def assign_chunks(
-    kept: DataFrame, log: DataFrame, hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT, max_levels: int = MAX_LEVELS
-) -> DataFrame | None:
-    """``kept`` plus ``width`` (null for cold comments) and ``chunk``; None when no comment is hot.
+_ORDER = ["comment_id", "ts", "seq"]
 
-    ``chunk`` is an ``array<bigint>`` path: arrays compare lexicographically,
-    so chunks stay in ``(ts, seq)`` order. Level 1 cuts a hot comment's time
-    span into equal parts of about ``hot_rows`` ops. Each further level cuts
-    only the chunks still above ``2 * hot_rows`` (a burst): by time, or by
-    ``seq`` when all of a chunk's ops share one timestamp. Every level is one
-    small aggregation over the hot comments' raw rows (map-side combined)
-    returning at most ``max_hot`` chunk specs -- a bounded broadcast.
-    Cold comments keep the single chunk ``[0]``; ops without a time ``[-1]``.
-    """
-    spark = kept.sparkSession
-    # A log no longer than hot_rows cannot hold a hot comment: skip the job.
-    # A plain count sends one partial count per partition to the final sum; a
-    # limit-then-count would funnel up to hot_rows rows of every partition
-    # through a single task.
-    if log.count() <= hot_rows:
-        return None
-    hot_found = hot_keys(log.select("comment_id", "ts"), hot_rows, max_hot).collect()
-    if not hot_found:
-        return None
-
-    hot = F.broadcast(spark.createDataFrame(hot_found, "comment_id string, lo bigint, width bigint"))
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    first = (
-        F.when(F.col("width").isNull(), F.lit(0).cast("bigint"))
-        .when(F.col("ts").isNull(), F.lit(-1).cast("bigint"))
-        .otherwise(F.floor((us - F.col("lo")) / F.col("width")).cast("bigint"))
-    )
-    raw = (
-        log.select("comment_id", "ts", "seq").join(hot, "comment_id").where(F.col("ts").isNotNull())
-        .withColumn("chunk", F.array(first))
-    )
-    rows = kept.join(hot, "comment_id", "left").withColumn("chunk", F.array(first))
-
-    for _ in range(max_levels - 1):
-        big = (
-            raw.groupBy("comment_id", "chunk")
-            .agg(F.count(F.lit(1)).alias("n"), F.min(us).alias("t0"), F.max(us).alias("t1"),
-                 F.min("seq").alias("s0"), F.max("seq").alias("s1"))
-            .where(F.col("n") > F.lit(2 * hot_rows))
-            .orderBy(F.col("n").desc(), "comment_id", "chunk").limit(max_hot)
-            .collect()
-        )
-        if not big:
-            break
-        spec = spark.createDataFrame(
-            big, "comment_id string, chunk array<bigint>, n bigint, t0 bigint, t1 bigint, s0 bigint, s1 bigint"
-        ).select(
-            "comment_id", "chunk",
-            (F.col("t1") > F.col("t0")).alias("by_time"),
-            F.when(F.col("t1") > F.col("t0"), F.col("t0")).otherwise(F.col("s0")).alias("base"),
-            F.greatest(
-                F.lit(1).cast("bigint"),
-                F.ceil(
-                    (F.when(F.col("t1") > F.col("t0"), F.col("t1") - F.col("t0")).otherwise(F.col("s1") - F.col("s0")) + 1)
-                    * F.lit(float(hot_rows)) / F.col("n")
-                ).cast("bigint"),
-            ).alias("step"),
-        )
-        spec = F.broadcast(spec)
 
-        def refine(df: DataFrame) -> DataFrame:
-            pos = F.when(F.col("by_time"), us).otherwise(F.col("seq"))
-            part = F.floor((pos - F.col("base")) / F.col("step")).cast("bigint")
-            joined = df.join(spec, ["comment_id", "chunk"], "left")
-            return joined.withColumn(
-                "chunk", F.when(F.col("step").isNotNull(), F.concat(F.col("chunk"), F.array(part))).otherwise(F.col("chunk"))
-            ).drop("by_time", "base", "step")
+def assign_chunks(kept: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``kept`` plus ``chunk``: its number in a range partitioning by comment, time and ``seq``.
 
-        raw, rows = refine(raw), refine(rows)
-    return rows
+    ``partitions`` defaults to the session's shuffle partitions. Chunks are in the order of the
+    log inside each comment; the result is written, so a row's chunk never changes.
+    """
+    order = [F.col(c).asc_nulls_first() for c in _ORDER]
+    # Written first: the range partitioner reads its input twice (a sample, then all rows).
+    kept = materialize(kept, "replay-kept")
+    dealt = kept.repartitionByRange(partitions, *order) if partitions else kept.repartitionByRange(*order)
+    return materialize(dealt.withColumn("chunk", F.spark_partition_id()), "replay-chunks")
 
 
 @dataclass
@@ -252,78 +160,43 @@ class Replay:
 
 
 def replay(
-    log: DataFrame,
-    flags: DataFrame | None = None,
-    texts: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
-    max_hot: int = MAX_HOT,
-    max_levels: int = MAX_LEVELS,
+    log: DataFrame, flags: DataFrame | None = None, texts: DataFrame | None = None, partitions: int | None = None
 ) -> Replay:
     """Replay an operation log.
 
     ``log``: ``seq, ts, comment_id, op, doc_id`` and optionally ``toxic`` and
     ``confidence`` (per detect). ``flags``: ``doc_id, toxic`` when the log
     does not carry ``toxic``. ``texts``: ``doc_id, text`` for the outputs.
+    ``partitions``: chunks of the log (see :func:`assign_chunks`).
     """
-    ops = log
-    if "toxic" not in ops.columns:
-        if flags is None:
-            raise ValueError("replay needs a toxic column or a flags table")
-        ops = ops.join(flags.select("doc_id", "toxic"), "doc_id", "left")
+    is_detect = F.col("op") == DETECT
+    if "toxic" in log.columns:
+        ops = log.where(~is_detect | F.coalesce(F.col("toxic"), F.lit(False)))
+    elif flags is None:
+        raise ValueError("replay needs a toxic column or a flags table")
+    else:
+        # Only detects ask for a flag, and only toxic documents answer.
+        toxic = flags.where("toxic").select("doc_id")
+        ops = log.where(is_detect).join(toxic, "doc_id", "left_semi").select(*log.columns).unionByName(log.where(~is_detect))
     conf = F.col("confidence").cast("double") if "confidence" in ops.columns else F.lit(CONFIDENCE_TOXIC)
-    kept = ops.where((F.col("op") != DETECT) | F.coalesce(F.col("toxic"), F.lit(False))).select(
-        "comment_id", "ts", "seq", "op", _kind(F.col("op")).alias("kind"), "doc_id",
-        F.when(F.col("op") == DETECT, conf).alias("conf"),
+    kept = ops.select(
+        *_ORDER, "op", _kind(F.col("op")).alias("kind"), "doc_id", F.when(is_detect, conf).alias("conf")
     )
+    chunked = assign_chunks(kept, partitions)
 
-    chunked = assign_chunks(kept, log, hot_rows, max_hot, max_levels)
-    if chunked is None:
-        w = Window.partitionBy("comment_id").orderBy("ts", "seq")
-        steps = kept.select(
-            "comment_id", "ts", "seq", "op", "kind", "doc_id", "conf",
-            F.lag("kind").over(w).alias("prev_kind"),
-            F.lag("doc_id").over(w).alias("prev_doc"),
-            F.lag("conf").over(w).alias("prev_conf"),
-        )
-        return Replay(steps=steps, texts=texts)
-
-    # 2. Local lag/lead inside (comment_id, chunk); a hot comment is spread
-    #    over many window partitions. The narrow result is written once to
-    #    the shared checkpoint folder: it cuts the lineage (a lost executor
-    #    does not re-run the window) and both readers below scan it without
-    #    another shuffle.
+    before = ["kind", "doc_id", "conf"]
     w = Window.partitionBy("comment_id", "chunk").orderBy("ts", "seq")
-    local = chunked.select(
-        "comment_id", "chunk", "ts", "seq", "op", "kind", "doc_id", "conf",
-        F.col("width").isNotNull().alias("hot"),
-        F.lag("kind").over(w).alias("l_kind"),
-        F.lag("doc_id").over(w).alias("l_doc"),
-        F.lag("conf").over(w).alias("l_conf"),
-        F.lead("seq").over(w).isNull().alias("is_last"),
-    )
-    local = materialize(local, "replay-chunks")
-
-    # 3. Only the first row of each hot chunk lacks its predecessor: take the
-    #    last row of every hot chunk (one row per chunk), shift it by one
-    #    chunk and join it onto those first rows. Both sides hold one row per
-    #    hot chunk, so this join is small whatever the log size.
-    cols = ["comment_id", "ts", "seq", "op", "kind", "doc_id", "conf"]
-    needs = F.col("hot") & F.col("l_kind").isNull()
-    last = local.where(F.col("hot") & F.col("is_last")).select("comment_id", "chunk", "kind", "doc_id", "conf")
-    wc = Window.partitionBy("comment_id").orderBy("chunk")
-    carry = last.select(
-        "comment_id", "chunk",
-        F.lag("kind").over(wc).alias("prev_kind"),
-        F.lag("doc_id").over(wc).alias("prev_doc"),
-        F.lag("conf").over(wc).alias("prev_conf"),
-    )
-    fixed = local.where(needs).select("comment_id", "chunk", *cols[1:]).join(
-        carry, ["comment_id", "chunk"], "left"
-    ).select(*cols, "prev_kind", "prev_doc", "prev_conf")
-    rest = local.where(~needs).select(
-        *cols, F.col("l_kind").alias("prev_kind"), F.col("l_doc").alias("prev_doc"), F.col("l_conf").alias("prev_conf")
-    )
-    return Replay(steps=rest.unionByName(fixed), texts=texts)
+    local = chunked.select("*", *[F.lag(c).over(w).alias(f"l_{c}") for c in before])
+    # One row a chunk: its last op in (comment_id, ts, seq) order, and the chunk that comes next.
+    last = chunked.groupBy("chunk").agg(F.max(F.struct(*_ORDER, *before)).alias("last"))
+    carry = last.select(F.lead("chunk").over(Window.orderBy("chunk")).alias("c_chunk"), F.col("last.comment_id").alias("c_comment"),
+                        *[F.col(f"last.{c}").alias(f"c_{c}") for c in before]).where("c_chunk IS NOT NULL")
+    met = F.col("comment_id").eqNullSafe(F.col("c_comment")) & (F.col("chunk") == F.col("c_chunk"))
+    joined = local.join(materialize(carry, "replay-carry"), met, "left")
+    first = F.col("l_kind").isNull()
+    prev = [F.when(first, F.col(f"c_{c}")).otherwise(F.col(f"l_{c}")).alias(f"prev_{n}")
+            for c, n in zip(before, ("kind", "doc", "conf"), strict=True)]
+    return Replay(steps=joined.select(*_ORDER, "op", *before, *prev), texts=texts)
 
 
 def history(actions: DataFrame) -> DataFrame:

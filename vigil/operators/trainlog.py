@@ -11,8 +11,8 @@ complete) and the dashboard folds that stream into a report. Here:
   the value never decreases with the step, so the ticks are the first step
   of each distinct value -- a ``min`` per value, no global window;
 * "model saved" is a strict best-so-far over (a handful of) epoch rows;
-* log lines are parsed with ``from_json`` into one wide nullable struct;
-  anything that is not a JSON object is a ``raw`` line.
+* log lines are stripped and parsed with ``from_json`` into one wide nullable
+  struct; anything that is not a JSON object, a blank line too, is a ``raw`` line.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigil.functions.text import js_trim
+
 # --- Fixed values: hyper-parameters reported by the reference's trainer ------
 EPOCHS = 3
 BATCH_SIZE = 8
@@ -117,44 +119,26 @@ def _obj(*pairs: tuple[str, Column]) -> Column:
     return F.to_json(F.struct(*[c.alias(k) for k, c in pairs]))
 
 
-def emit_train_log(
-    total_steps_: Column, n_batches: Column, ticks: DataFrame, epochs: DataFrame, best_f1: Column
-) -> DataFrame:
-    """``(line_no, line)`` as the trainer prints them.
+def epoch_lines(epochs: DataFrame, first: Column) -> DataFrame:
+    """``(line_no, line)`` of a finished training run, a few for each epoch.
 
-    ``total_steps_``, ``n_batches`` and ``best_f1`` are scalar columns;
-    ``ticks``: ``epoch, step, progress``; ``epochs``: ``epoch, avg_loss, f1,
-    saved, tn, fp, fn, tp``. Line numbers interleave the events the way the
-    loop prints them: each step owns four slots (progress, confusion
-    matrix, epoch_end, model_saved).
+    ``epochs``: ``epoch, avg_loss, f1, saved, tn, fp, fn, tp``, a row for each epoch of a fit;
+    ``first`` is the number of the first line.
     """
-    spark = ticks.sparkSession
-    one = spark.range(1, numPartitions=1)
-    head = one.select(
-        F.lit(0).cast("bigint").alias("line_no"),
-        _obj(("type", F.lit("summary")), ("epochs", F.lit(EPOCHS)), ("batch_size", F.lit(BATCH_SIZE)),
-             ("total_steps", total_steps_), ("device", F.lit("spark"))).alias("line"),
-    ).unionByName(one.select(F.lit(1).cast("bigint").alias("line_no"),
-                             _obj(("type", F.lit("training_started"))).alias("line")))
-    prog = ticks.select(
-        (F.lit(2) + F.col("step") * 4).cast("bigint").alias("line_no"),
-        _obj(("type", F.lit("progress")), ("epoch", F.col("epoch")), ("step", F.col("step")),
-             ("progress", F.col("progress"))).alias("line"),
-    )
-    end = epochs.withColumn("base", (F.lit(2) + F.col("epoch") * n_batches * 4).cast("bigint"))
-    matrix = F.array(F.array(F.col("tn"), F.col("fp")), F.array(F.col("fn"), F.col("tp")))
-    cm = end.select((F.col("base") + 1).alias("line_no"),
-                    _obj(("type", F.lit("confusion_matrix")), ("matrix", matrix)).alias("line"))
-    ee = end.select((F.col("base") + 2).alias("line_no"),
-                    _obj(("type", F.lit("epoch_end")), ("epoch", F.col("epoch")),
-                         ("avg_loss", F.col("avg_loss")), ("f1", F.round("f1", 4))).alias("line"))
-    ms = end.where("saved").select((F.col("base") + 3).alias("line_no"),
-                                   _obj(("type", F.lit("model_saved")), ("f1", F.round("f1", 4))).alias("line"))
-    tail = one.select(
-        (F.lit(2) + (total_steps_ + 1) * 4).cast("bigint").alias("line_no"),
-        _obj(("type", F.lit("complete")), ("best_f1", F.round(best_f1, 4))).alias("line"),
+    kind = lambda name: ("type", F.lit(name))
+    matrix = F.array(F.array("tn", "fp"), F.array("fn", "tp"))
+    rounded = F.round("f1", 4)
+    own = F.array(
+        F.when(F.col("epoch") == 1, _obj(kind("training_started"))),
+        _obj(kind("confusion_matrix"), ("matrix", matrix)),
+        _obj(kind("epoch_end"), ("epoch", F.col("epoch")), ("avg_loss", F.round("avg_loss", 4)), ("f1", rounded)),
+        F.when(F.col("saved"), _obj(kind("model_saved"), ("f1", rounded))),
     )
-    return head.unionByName(prog).unionByName(cm).unionByName(ee).unionByName(ms).unionByName(tail)
+    best = epochs.select(F.coalesce(F.max(F.when(F.col("saved"), F.col("f1"))), F.lit(0.0))).scalar()
+    last = epochs.select(F.max("epoch")).scalar()
+    end = F.when(F.col("epoch") == last, F.array(_obj(kind("complete"), ("best_f1", F.round(best, 4))))).otherwise(F.array().cast("array<string>"))
+    lines = epochs.select("epoch", F.posexplode(F.concat(own, end)).alias("k", "line")).where("line IS NOT NULL")
+    return lines.select((first + F.col("epoch") * 5 + F.col("k")).cast("bigint").alias("line_no"), "line")
 
 
 def parse_train_log(lines: DataFrame, line_col: str = "line") -> DataFrame:
@@ -163,7 +147,7 @@ def parse_train_log(lines: DataFrame, line_col: str = "line") -> DataFrame:
     ``json_object_keys`` is null for text that is not a JSON object (garbage,
     numbers, arrays), which is exactly when the reference falls back to raw.
     """
-    raw = F.col(line_col)
+    raw = js_trim(F.col(line_col))
     is_obj = F.json_object_keys(raw).isNotNull()
     ev = F.from_json(raw, LOG_SCHEMA)
     m = ev["matrix"]
@@ -186,26 +170,42 @@ def _upto_complete(events: DataFrame) -> DataFrame:
     return events.where(stop.isNull() | (F.col("line_no") <= stop))
 
 
-def train_report(events: DataFrame) -> DataFrame:
-    """One row: ``started, progress, best_f1, epochs_reported, complete`` (the dashboard state)."""
+def report_state(events: DataFrame) -> DataFrame:
+    """The fold of some events as one row, with the line numbers that a later merge needs."""
     ev = _upto_complete(events)
-    agg = ev.agg(
-        F.max((F.col("type") == "training_started").cast("int")).alias("started"),
-        F.max((F.col("type") == "complete").cast("int")).alias("complete"),
-        F.max_by(F.col("progress"), F.when(F.col("type") == "progress", F.col("line_no"))).alias("last_progress"),
-        F.max_by(F.col("f1"), F.when(F.col("type") == "model_saved", F.col("line_no"))).alias("best_f1"),
+    at = lambda kind: F.when(F.col("type") == kind, F.col("line_no"))
+    return ev.agg(
+        F.coalesce(F.max(F.col("type") == "training_started"), F.lit(False)).alias("started"),
+        F.coalesce(F.max(F.col("type") == "complete"), F.lit(False)).alias("complete"),
+        F.max_by(F.col("progress"), at("progress")).alias("last_progress"),
+        F.max_by(F.col("f1"), at("model_saved")).alias("best_f1"),
         F.count_if(F.col("type") == "epoch_end").cast("bigint").alias("epochs_reported"),
     )
-    return agg.select(
-        F.coalesce(F.col("started") == 1, F.lit(False)).alias("started"),
-        F.when(F.col("complete") == 1, F.lit(100).cast("bigint"))
-        .otherwise(F.coalesce(F.col("last_progress"), F.lit(0).cast("bigint"))).alias("progress"),
-        "best_f1",
-        "epochs_reported",
-        F.coalesce(F.col("complete") == 1, F.lit(False)).alias("complete"),
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """Two states ``(..., turn)``, turn 1 after turn 0, as one; nothing counts after a ``complete``."""
+    old = states.where("turn = 0").select(F.col("complete")).scalar()
+    counts = states.where((F.col("turn") == 0) | ~old)
+    turn = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("turn")))
+    return counts.agg(
+        F.max("started").alias("started"), F.max("complete").alias("complete"), turn("last_progress").alias("last_progress"),
+        turn("best_f1").alias("best_f1"), F.sum("epochs_reported").cast("bigint").alias("epochs_reported"),
     )
 
 
+def report_of(state: DataFrame) -> DataFrame:
+    """``started, progress, best_f1, epochs_reported, complete`` (the dashboard state) of a one-row state."""
+    hundred = F.lit(100).cast("bigint")
+    progress = F.when(F.col("complete"), hundred).otherwise(F.coalesce("last_progress", F.lit(0).cast("bigint")))
+    return state.select("started", progress.alias("progress"), "best_f1", "epochs_reported", "complete")
+
+
+def train_report(events: DataFrame) -> DataFrame:
+    """One row: ``started, progress, best_f1, epochs_reported, complete`` (the dashboard state)."""
+    return report_of(report_state(events))
+
+
 def train_epochs(events: DataFrame) -> DataFrame:
     """The report table: one row per ``epoch_end`` line, in line order."""
     ev = _upto_complete(events).where(F.col("type") == "epoch_end")

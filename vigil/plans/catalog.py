@@ -34,7 +34,7 @@ from vigil.sources import trainlog as Stl
 
 # --- Fixed test parameters (FIXTURES.md) -------------------------------------
 SEARCH_TERM = "hate"
-MIN_CONFIDENCE = "92.5"
+MIN_CONFIDENCE = "95"
 DASHBOARD_MIN_CONFIDENCE = "80"
 BLOCK_LIST = "la, on, idiot"
 HOST_REGEX = r"\.example\.(com|net)$"
@@ -52,37 +52,22 @@ def register(name: str):
     return deco
 
 
-# --- inputs of CPU-heavy per-row work, spread over the task slots when under-split
-
-
-def _comments(spark: SparkSession, sf: str) -> DataFrame:
-    return T.spread(T.comments(spark, sf), "comment_id")
-
-
-def _user_turns(spark: SparkSession, sf: str) -> DataFrame:
-    return T.spread(T.user_turns(spark, sf), "comment_id")
-
-
-def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    return T.spread(T.pages(spark, sf), "page_id")
-
-
 # --- classify / flag / queue projection (P1-P3) ------------------------------
 
 
 @register("classify")
 def q_classify(spark: SparkSession, sf: str) -> DataFrame:
-    return C.classify(_comments(spark, sf))
+    return C.classify(T.comments(spark, sf))
 
 
 @register("flagged")
 def q_flagged(spark: SparkSession, sf: str) -> DataFrame:
-    return C.flagged(C.classify(_comments(spark, sf)))
+    return C.flagged(C.classify(T.comments(spark, sf)))
 
 
 @register("queue_projection")
 def q_queue_projection(spark: SparkSession, sf: str) -> DataFrame:
-    return C.queue_view(C.flagged(C.classify(_user_turns(spark, sf))))
+    return C.queue_view(C.flagged(C.classify(T.turns(spark, sf))))
 
 
 # --- dashboard and extension filters (P4-P9, P16) ----------------------------
@@ -90,30 +75,30 @@ def q_queue_projection(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("search")
 def q_search(spark: SparkSession, sf: str) -> DataFrame:
-    flagged = C.flagged(C.classify(_comments(spark, sf)))
+    flagged = C.flagged(C.classify(T.comments(spark, sf)))
     return Fl.min_confidence(Fl.search(flagged, SEARCH_TERM), DASHBOARD_MIN_CONFIDENCE)
 
 
 @register("min_confidence")
 def q_min_confidence(spark: SparkSession, sf: str) -> DataFrame:
-    return Fl.min_confidence(C.classify(_comments(spark, sf)), MIN_CONFIDENCE)
+    return Fl.min_confidence(C.classify(T.comments(spark, sf)), MIN_CONFIDENCE)
 
 
 @register("gate")
 def q_gate(spark: SparkSession, sf: str) -> DataFrame:
-    return Fl.gate(C.classify(_comments(spark, sf)), 80)
+    return Fl.gate(C.classify(T.comments(spark, sf)), 80)
 
 
 @register("blocklist")
 def q_blocklist(spark: SparkSession, sf: str) -> DataFrame:
     words = parse_comma_list_py(BLOCK_LIST)
-    return Fl.blocklist(_comments(spark, sf), words)
+    return Fl.blocklist(T.comments(spark, sf), words)
 
 
 @register("parse_blocklist")
 def q_parse_blocklist(spark: SparkSession, sf: str) -> DataFrame:
-    """Every comma-separated entry of every user turn, trimmed, blanks dropped."""
-    parsed = Fl.parse_blocklist(T.user_turns(spark, sf), "text")
+    """Every comma-separated entry of every turn, trimmed, blanks dropped."""
+    parsed = Fl.parse_blocklist(T.turns(spark, sf), "text")
     return parsed.select(
         "comment_id",
         F.posexplode("entries").alias("pos", "entry"),
@@ -128,7 +113,7 @@ def q_host_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("detection_display")
 def q_detection_display(spark: SparkSession, sf: str) -> DataFrame:
-    return Fl.detection_display(C.classify(_user_turns(spark, sf)))
+    return Fl.detection_display(C.classify(T.turns(spark, sf)))
 
 
 # --- moderation replay (W2, J1-J3, O1, O2, P15, R1) --------------------------
@@ -137,7 +122,6 @@ def q_detection_display(spark: SparkSession, sf: str) -> DataFrame:
 def moderation(spark: SparkSession, sf: str) -> R.Replay:
     """Replay the events-bound operation log; classify each document once."""
     docs = T.documents(spark, sf)
-    # The documents are not spread here: the replay never shuffles the text table.
     return R.replay(T.operation_log(spark, sf), flags=C.toxic_flags(docs, "doc_id"), texts=docs)
 
 
@@ -215,6 +199,16 @@ def q_seeded_shuffle(spark: SparkSession, sf: str) -> DataFrame:
     return Fb.seeded_shuffle(Fb.merge_dedupe(original, examples))
 
 
+@register("labelled_csv")
+def q_labelled_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The merged training set written as CSV and read back, NA tokens as missing values."""
+    _, latest, examples, original = _feedback_parts(spark, sf)
+    path, _ = Ss.new_sink(spark, "labelled-csv")
+    if not Fb.write_training_set(latest, Fb.merge_dedupe(original, examples), path):
+        return spark.createDataFrame([], csvio.LABELLED_SCHEMA)
+    return csvio.read_labelled_csv(spark, path)
+
+
 @register("merge_stats")
 def q_merge_stats(spark: SparkSession, sf: str) -> DataFrame:
     _, latest, examples, original = _feedback_parts(spark, sf)
@@ -236,11 +230,11 @@ def q_feedback_conflicts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    truth = T.scored_truth(spark, sf, spread_rows=True)
+    truth = T.scored_truth(spark, sf)
     pred = Ev.lexicon_pred(C.classify(truth.select("comment_id", "text"))).select(
         "comment_id", F.col("pred").cast("bigint").alias("pred")
     )
-    return Ev.pair(pred, truth.select("comment_id", F.col("truth").cast("bigint").alias("truth")))
+    return Ev.pair(pred, truth.select("comment_id", F.col("truth").cast("bigint").alias("truth")), check_unique=True)
 
 
 @register("pair")
@@ -260,13 +254,13 @@ def q_prf1(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("threshold_sweep")
 def q_threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    scored = T.scored_truth(spark, sf, spread_rows=True).select(Ev.graded_score("text").alias("score_pct"), "truth")
+    scored = T.scored_truth(spark, sf).select(Ev.graded_score("text").alias("score_pct"), "truth")
     return Ev.threshold_sweep(scored)
 
 
 @register("lexicon_hits")
 def q_lexicon_hits(spark: SparkSession, sf: str) -> DataFrame:
-    return Ev.lexicon_hits(T.spread(T.documents(spark, sf), "doc_id"))
+    return Ev.lexicon_hits(T.documents(spark, sf))
 
 
 # --- page scan (P10, P11, T3) ---------------------------------------------------
@@ -276,23 +270,23 @@ SCAN_SETTINGS = Pg.Settings.from_text(BLOCK_LIST, threshold_percent=80, privacy_
 
 @register("page_elements")
 def q_page_elements(spark: SparkSession, sf: str) -> DataFrame:
-    return Pg.page_elements(_pages(spark, sf))
+    return Pg.page_elements(T.pages(spark, sf))
 
 
 @register("page_elements_dom")
 def q_page_elements_dom(spark: SparkSession, sf: str) -> DataFrame:
-    return Pg.page_elements_dom(_pages(spark, sf))
+    return Pg.page_elements_dom(T.pages(spark, sf))
 
 
 @register("scan_pages")
 def q_scan_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return Pg.scan_pages(_pages(spark, sf), SCAN_SETTINGS, HOST_REGEX)
+    return Pg.scan_pages(T.pages(spark, sf), SCAN_SETTINGS, HOST_REGEX)
 
 
 @register("dedupe_flags")
 def q_dedupe_flags(spark: SparkSession, sf: str) -> DataFrame:
     """Two full scans (before and after a settings change) flag each element once."""
-    pages = _pages(spark, sf)
+    pages = T.pages(spark, sf)
     first = Pg.scan_pages(pages, SCAN_SETTINGS, HOST_REGEX)
     again = Pg.scan_pages(pages, Pg.Settings.from_text(BLOCK_LIST, threshold_percent=95, auto_scan=True), HOST_REGEX)
     return Pg.dedupe_flags(first.unionByName(again)).select("element_id", "page_id", "pos")
@@ -316,61 +310,46 @@ def q_progress_ticks(spark: SparkSession, sf: str) -> DataFrame:
     return Tl.progress_ticks(T.loss_steps(spark, sf))
 
 
-def _epoch_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Per epoch: mean loss from the loss steps, validation counts and F1 from fold ``doc_id % 3 + 1``."""
-    truth = T.scored_truth(spark, sf, spread_rows=True)
-    pred = Ev.lexicon_pred(C.classify(truth))
-    folds = pred.withColumn("epoch", (F.pmod(F.col("doc_id"), F.lit(3)) + 1).cast("bigint"))
-    t, p = F.col("truth"), F.col("pred")
-    counts = folds.groupBy("epoch").agg(
-        F.count_if((t == 0) & (p == 0)).cast("bigint").alias("tn"),
-        F.count_if((t == 0) & (p == 1)).cast("bigint").alias("fp"),
-        F.count_if((t == 1) & (p == 0)).cast("bigint").alias("fn"),
-        F.count_if((t == 1) & (p == 1)).cast("bigint").alias("tp"),
-    ).withColumn("f1", Ev.prf_columns(F.col("tp"), F.col("fp"), F.col("fn"))["f1"])
-    loss = Tl.avg_loss(T.loss_steps(spark, sf)).select(F.col("epoch").cast("bigint").alias("epoch"), "avg_loss")
-    return loss.join(counts, "epoch")
+def _epochs(spark: SparkSession, sf: str) -> DataFrame:
+    """The epochs of a training run on the merged training set."""
+    train, val = Tr.split_train_val(materialize(q_merged_training(spark, sf), "merged-train"))
+    return Tr.fit_epochs(train, val).epochs
 
 
 @register("model_saved")
 def q_model_saved(spark: SparkSession, sf: str) -> DataFrame:
-    return Tl.model_saved(_epoch_rows(spark, sf).select("epoch", "f1"))
+    return Tl.model_saved(_epochs(spark, sf).select("epoch", "f1"))
 
 
-def train_log_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """The trainer's log for the loss steps and fold scores, written once like the trainer's output.
+def log_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """``(line_no, line)``: the JSON objects of ``events``, then every document as a line of free text."""
+    events = T.read_table(spark, sf, "events", ["event_id", "props"])
+    n = events.select(F.coalesce(F.max("event_id") + 1, F.lit(0))).scalar()
+    docs = T.documents(spark, sf).select((n + F.col("doc_id")).alias("line_no"), F.col("text").alias("line"))
+    return events.select(F.col("event_id").alias("line_no"), F.col("props").alias("line")).unionByName(docs)
 
-    The per-epoch table (one row per epoch) and the lines are written to the
-    shared checkpoint folder, so the report and the scalars over them read a
-    few rows instead of re-running the aggregations over the source tables.
-    """
-    steps = T.loss_steps(spark, sf)
-    n_batches = steps.select((F.max("batch") + 1).cast("bigint")).scalar()
-    total = steps.select((F.max("epoch") * (F.max("batch") + 1)).cast("bigint")).scalar()
-    rows = materialize(_epoch_rows(spark, sf), "epoch-rows")
-    saved = Tl.model_saved(rows.select("epoch", "f1")).select("epoch", "saved")
-    epochs = rows.join(saved, "epoch")
-    best = epochs.select(F.coalesce(F.max(F.when(F.col("saved"), F.col("f1"))), F.lit(0.0))).scalar()
-    # The log is bounded by construction (at most 101 progress lines, four per
-    # epoch and three more): one partition, one file, like the trainer's stdout.
-    # Upstream aggregations keep their own parallelism.
-    log = Tl.emit_train_log(total, n_batches, Tl.progress_ticks(steps), epochs, best).coalesce(1)
-    return materialize(log, "train-log")
+
+def run_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The log of a training run: the JSON objects of ``events`` as other output, then the run's own lines."""
+    events = T.read_table(spark, sf, "events", ["event_id", "props"])
+    n = events.select(F.coalesce(F.max("event_id") + 1, F.lit(0))).scalar()
+    own = Tl.epoch_lines(_epochs(spark, sf), n)
+    return events.select(F.col("event_id").alias("line_no"), F.col("props").alias("line")).unionByName(own)
 
 
 @register("train_log")
 def q_train_log(spark: SparkSession, sf: str) -> DataFrame:
-    return Tl.parse_train_log(train_log_lines(spark, sf))
+    return Tl.parse_train_log(log_lines(spark, sf))
 
 
 @register("train_report")
 def q_train_report(spark: SparkSession, sf: str) -> DataFrame:
-    return Tl.train_report(Tl.parse_train_log(train_log_lines(spark, sf)))
+    return Tl.train_report(Tl.parse_train_log(materialize(run_lines(spark, sf), "run-lines")))
 
 
 @register("train_epochs")
 def q_train_epochs(spark: SparkSession, sf: str) -> DataFrame:
-    return Tl.train_epochs(Tl.parse_train_log(train_log_lines(spark, sf)))
+    return Tl.train_epochs(Tl.parse_train_log(materialize(run_lines(spark, sf), "run-lines")))
 
 
 # --- unique-key load (R7) -----------------------------------------------------------
@@ -402,8 +381,7 @@ def q_train_score(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("fit_epochs")
 def q_fit_epochs(spark: SparkSession, sf: str) -> DataFrame:
-    train, val = Tr.split_train_val(materialize(q_merged_training(spark, sf), "merged-train"))
-    return Tr.fit_epochs(train, val).epochs
+    return _epochs(spark, sf)
 
 
 @register("embedding_head")
@@ -453,16 +431,18 @@ def q_stream_flags(spark: SparkSession, sf: str) -> DataFrame:
     data, ckpt = Ss.new_sink(spark, "stream-flags")
     flags = Sr.flags_stream(pages, SCAN_SETTINGS, HOST_REGEX)
     Ss.run_to_parquet(flags, data, ckpt).awaitTermination()
-    return spark.read.schema(flags.schema).parquet(data).drop("scan_ts")
+    return spark.read.schema(flags.schema).parquet(data)
 
 
 @register("stream_report")
 def q_stream_report(spark: SparkSession, sf: str) -> DataFrame:
-    lines_dir = train_log_lines(spark, sf).inputFiles()[0].rsplit("/", 1)[0]
-    lines = spark.readStream.schema("line_no long, line string").option("maxFilesPerTrigger", 16).parquet(lines_dir)
+    folder, _ = Ss.new_sink(spark, "run-lines")
+    run_lines(spark, sf).repartitionByRange(4, "line_no").write.parquet(folder)
+    lines = spark.readStream.schema("line_no long, line string").option("maxFilesPerTrigger", 2).parquet(folder)
     out, ckpt = Ss.new_sink(spark, "stream-report")
-    Sr.stream_report(lines, out, ckpt).awaitTermination()
-    return spark.read.parquet(out + "/report")
+    query = Sr.stream_report(lines, out, ckpt)
+    query.awaitTermination()
+    return Sr.read_report(spark, out, query)
 
 
 # --- sources and sinks: actions table (S1, S4), training-log file (S6) ---------------
@@ -483,10 +463,12 @@ def q_actions_table(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("train_log_file")
 def q_train_log_file(spark: SparkSession, sf: str) -> DataFrame:
-    """The training log written as a JSON-lines file and parsed back by line number."""
+    """Every line of every document written as log files, and parsed back by line number."""
     path, _ = Ss.new_sink(spark, "train-log-file")
-    Stl.write_train_log(train_log_lines(spark, sf), path)
-    return Tl.parse_train_log(Stl.read_train_log(spark, path).drop("file"))
+    lines = T.documents(spark, sf).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    Stl.write_train_log(lines.select(F.struct("doc_id", "pos").alias("line_no"), "line"), path)
+    back = Stl.read_train_log(spark, path)
+    return Tl.parse_train_log(back.select(F.col("log_line_no").alias("line_no"), "line"))
 
 
 FLAGSHIP = "queue_now"

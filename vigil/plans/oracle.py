@@ -37,7 +37,7 @@ ORACLE["queue_projection"] = f"""
 SELECT CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS comment_id, text,
        'cyberbully' AS label, CAST(0.925 AS DOUBLE) AS confidence
 FROM conversations
-WHERE role = 'user' AND {lex('text')}
+WHERE {lex('text')}
 """
 
 # JavaScript trim as an RE2 pattern (same character set as the Spark side).
@@ -53,7 +53,7 @@ CLASSIFIED_TURNS = f"""
 SELECT CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS comment_id, text,
        CASE WHEN {lex('text')} THEN 'cyberbully' ELSE 'non-cyberbully' END AS label,
        CASE WHEN {lex('text')} THEN CAST(0.925 AS DOUBLE) ELSE CAST(0.991 AS DOUBLE) END AS confidence
-FROM conversations WHERE role = 'user'
+FROM conversations
 """
 
 ORACLE["search"] = f"""
@@ -64,7 +64,7 @@ WHERE label = 'cyberbully'
 """
 
 ORACLE["min_confidence"] = f"""
-SELECT * FROM ({CLASSIFIED_DOCS}) c WHERE confidence * 100.0 >= CAST(92.5 AS DOUBLE)
+SELECT * FROM ({CLASSIFIED_DOCS}) c WHERE confidence * 100.0 >= CAST(95 AS DOUBLE)
 """
 
 ORACLE["gate"] = f"""
@@ -80,7 +80,7 @@ ORACLE["parse_blocklist"] = f"""
 WITH t AS (
   SELECT CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS comment_id,
          list_filter(list_transform(string_split(text, ','), lambda x: {js_trim('x')}), lambda x: x <> '') AS l
-  FROM conversations WHERE role = 'user'
+  FROM conversations
 )
 SELECT comment_id, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS pos, unnest(l) AS entry FROM t
 """
@@ -219,8 +219,18 @@ ORACLE["feedback_examples"] = FEEDBACK_CTE + "SELECT clean_text, Label FROM exam
 
 ORACLE["merged_training"] = FEEDBACK_CTE + "SELECT * FROM merged"
 
-# Row set of the shuffled training set (the compare ignores order).
-ORACLE["seeded_shuffle"] = FEEDBACK_CTE + "SELECT * FROM merged"
+# The key carries the order, which the compare itself ignores.
+ORACLE["seeded_shuffle"] = FEEDBACK_CTE + """
+SELECT clean_text, Label, md5('42|' || coalesce(clean_text, '')) AS shuffle_key FROM merged
+"""
+
+# pandas' missing-value strings come back as nulls.
+ORACLE["labelled_csv"] = FEEDBACK_CTE + """
+SELECT CASE WHEN clean_text IN ('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN',
+                                '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null') THEN NULL
+            ELSE clean_text END AS clean_text, Label
+FROM merged
+"""
 
 ORACLE["merge_stats"] = FEEDBACK_CTE + """
 SELECT 'feedback' AS stage, CAST(count(*) AS BIGINT) AS n FROM latest
@@ -385,75 +395,26 @@ SELECT CAST(count(*) AS BIGINT) AS n_train, CAST(3 AS BIGINT) AS epochs, CAST(8
 FROM merged
 """
 
-EPOCHS_CTE = STEPS_CTE + f"""
-, folds AS (
-  SELECT CAST(d.doc_id % 3 + 1 AS BIGINT) AS epoch,
-         CASE WHEN {lex('d.text')} THEN 1 ELSE 0 END AS pred, CAST(l.toxic AS INTEGER) AS truth
-  FROM documents d JOIN labels l ON d.doc_id = l.doc_id
-),
-fc AS (
-  SELECT epoch,
-    CAST(count(*) FILTER (WHERE truth = 0 AND pred = 0) AS BIGINT) AS tn,
-    CAST(count(*) FILTER (WHERE truth = 0 AND pred = 1) AS BIGINT) AS fp,
-    CAST(count(*) FILTER (WHERE truth = 1 AND pred = 0) AS BIGINT) AS fn,
-    CAST(count(*) FILTER (WHERE truth = 1 AND pred = 1) AS BIGINT) AS tp
-  FROM folds GROUP BY epoch
-),
-ep AS (
-  SELECT fc.*, a.avg_loss,
-         CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE CAST(2 * tp AS DOUBLE) / CAST(2 * tp + fp + fn AS DOUBLE) END AS f1
-  FROM fc JOIN al a ON CAST(a.epoch AS BIGINT) = fc.epoch
-),
-sv AS (
-  SELECT *, f1 > greatest(coalesce(max(f1) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 0.0) AS saved
-  FROM ep
-),
-best AS (SELECT coalesce(max(f1) FILTER (WHERE saved), 0.0) AS best_f1 FROM sv),
-ev AS (
-  SELECT 0 AS line_no, 'summary' AS type, 3 AS epochs, 8 AS batch_size, (SELECT n_epochs * n_batches FROM nb) AS total_steps,
-         'spark' AS device, NULL AS epoch, NULL AS step, NULL AS progress, NULL AS avg_loss, NULL AS f1, NULL AS best_f1,
-         NULL AS cm_tn, NULL AS cm_fp, NULL AS cm_fn, NULL AS cm_tp
-  UNION ALL SELECT 1, 'training_started', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
-  UNION ALL SELECT 2 + step * 4, 'progress', NULL, NULL, NULL, NULL, epoch, step, progress, NULL, NULL, NULL, NULL, NULL, NULL, NULL
-    FROM ticks
-  UNION ALL SELECT 3 + epoch * (SELECT n_batches FROM nb) * 4, 'confusion_matrix', NULL, NULL, NULL, NULL, NULL, NULL, NULL,
-    NULL, NULL, NULL, tn, fp, fn, tp FROM sv
-  UNION ALL SELECT 4 + epoch * (SELECT n_batches FROM nb) * 4, 'epoch_end', NULL, NULL, NULL, NULL, epoch, NULL, NULL,
-    avg_loss, round(f1, 4), NULL, NULL, NULL, NULL, NULL FROM sv
-  UNION ALL SELECT 5 + epoch * (SELECT n_batches FROM nb) * 4, 'model_saved', NULL, NULL, NULL, NULL, NULL, NULL, NULL,
-    NULL, round(f1, 4), NULL, NULL, NULL, NULL, NULL FROM sv WHERE saved
-  UNION ALL SELECT 2 + ((SELECT n_epochs * n_batches FROM nb) + 1) * 4, 'complete', NULL, NULL, NULL, NULL, NULL, NULL, NULL,
-    NULL, NULL, (SELECT round(best_f1, 4) FROM best), NULL, NULL, NULL, NULL
-)
-"""
+# A line that is not a JSON object is raw, stripped; the objects of events carry no known field.
+_NO_FIELDS = """CAST(NULL AS BIGINT) AS epochs, CAST(NULL AS BIGINT) AS batch_size, CAST(NULL AS BIGINT) AS total_steps,
+       CAST(NULL AS VARCHAR) AS device, CAST(NULL AS BIGINT) AS epoch, CAST(NULL AS BIGINT) AS step,
+       CAST(NULL AS BIGINT) AS progress, CAST(NULL AS DOUBLE) AS avg_loss, CAST(NULL AS DOUBLE) AS f1,
+       CAST(NULL AS DOUBLE) AS best_f1, CAST(NULL AS BIGINT) AS cm_tn, CAST(NULL AS BIGINT) AS cm_fp,
+       CAST(NULL AS BIGINT) AS cm_fn, CAST(NULL AS BIGINT) AS cm_tp"""
 
-ORACLE["model_saved"] = EPOCHS_CTE + "SELECT epoch, f1, saved FROM sv"
 
-ORACLE["train_log"] = EPOCHS_CTE + """
-SELECT CAST(line_no AS BIGINT) AS line_no, type, CAST(epochs AS BIGINT) AS epochs, CAST(batch_size AS BIGINT) AS batch_size,
-       CAST(total_steps AS BIGINT) AS total_steps, CAST(device AS VARCHAR) AS device, CAST(epoch AS BIGINT) AS epoch,
-       CAST(step AS BIGINT) AS step, CAST(progress AS BIGINT) AS progress, CAST(avg_loss AS DOUBLE) AS avg_loss,
-       CAST(f1 AS DOUBLE) AS f1, CAST(best_f1 AS DOUBLE) AS best_f1, CAST(cm_tn AS BIGINT) AS cm_tn,
-       CAST(cm_fp AS BIGINT) AS cm_fp, CAST(cm_fn AS BIGINT) AS cm_fn, CAST(cm_tp AS BIGINT) AS cm_tp,
-       CAST(NULL AS VARCHAR) AS raw_line
-FROM ev
+def log_events(lines: str) -> str:
+    obj = "coalesce(json_valid(s) AND json_type(CASE WHEN json_valid(s) THEN s END) = 'OBJECT', false)"
+    return f"""
+SELECT line_no, CASE WHEN {obj} THEN json_extract_string(CASE WHEN {obj} THEN s END, '$.type') ELSE 'raw' END AS type,
+       {_NO_FIELDS}, CASE WHEN NOT {obj} THEN s END AS raw_line
+FROM (SELECT line_no, {js_trim('line')} AS s FROM ({lines}) l) t
 """
 
-ORACLE["train_report"] = EPOCHS_CTE + """
-SELECT bool_or(type = 'training_started') AS started,
-       CAST(CASE WHEN bool_or(type = 'complete') THEN 100
-            ELSE coalesce(arg_max(progress, line_no) FILTER (WHERE type = 'progress'), 0) END AS BIGINT) AS progress,
-       CAST(arg_max(f1, line_no) FILTER (WHERE type = 'model_saved') AS DOUBLE) AS best_f1,
-       CAST(count(*) FILTER (WHERE type = 'epoch_end') AS BIGINT) AS epochs_reported,
-       bool_or(type = 'complete') AS complete
-FROM ev
-"""
 
-ORACLE["train_epochs"] = EPOCHS_CTE + """
-SELECT CAST(line_no AS BIGINT) AS line_no, CAST(epoch AS BIGINT) AS epoch, CAST(avg_loss AS DOUBLE) AS avg_loss,
-       CAST(f1 AS DOUBLE) AS f1
-FROM ev WHERE type = 'epoch_end' ORDER BY line_no
-"""
+ORACLE["train_log"] = log_events("""
+    SELECT event_id AS line_no, props AS line FROM events
+    UNION ALL SELECT (SELECT max(event_id) + 1 FROM events) + doc_id, text FROM documents""")
 
 # --- unique-key load ------------------------------------------------------------------
 ORACLE["load_unique"] = """
@@ -471,15 +432,17 @@ ORACLE["actions_table"] = REPLAY_CTE + """
 SELECT id, comment_id, action, timestamp FROM acts WHERE action IN ('approved', 'rejected')
 """
 
-ORACLE["train_log_file"] = EPOCHS_CTE + """
-SELECT CAST(row_number() OVER (ORDER BY line_no) - 1 AS BIGINT) AS line_no, type, CAST(epochs AS BIGINT) AS epochs,
-       CAST(batch_size AS BIGINT) AS batch_size, CAST(total_steps AS BIGINT) AS total_steps, CAST(device AS VARCHAR) AS device,
-       CAST(epoch AS BIGINT) AS epoch, CAST(step AS BIGINT) AS step, CAST(progress AS BIGINT) AS progress,
-       CAST(avg_loss AS DOUBLE) AS avg_loss, CAST(f1 AS DOUBLE) AS f1, CAST(best_f1 AS DOUBLE) AS best_f1,
-       CAST(cm_tn AS BIGINT) AS cm_tn, CAST(cm_fp AS BIGINT) AS cm_fp, CAST(cm_fn AS BIGINT) AS cm_fn,
-       CAST(cm_tp AS BIGINT) AS cm_tp, CAST(NULL AS VARCHAR) AS raw_line
-FROM ev
-"""
+ORACLE["train_log_file"] = log_events("""
+    SELECT CAST(row_number() OVER (ORDER BY doc_id, pos) - 1 AS BIGINT) AS line_no, line FROM (
+        SELECT doc_id, generate_subscripts(a, 1) AS pos, unnest(a) AS line
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents) d) x""")
+
+# --- streams: the end of a stream equals the batch query over the same table ------------
+ORACLE["stream_classify"] = ORACLE["flagged"]
+
+ORACLE["stream_queue"] = REPLAY_CTE + "SELECT id, comment_id, action, timestamp, doc_id FROM acts"
+
+ORACLE["stream_flags"] = ORACLE["scan_pages"]
 
 # The parser path must give the same rows on pages that hold only <p> comments.
 ORACLE["page_elements_dom"] = ELEMENTS

@@ -51,7 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="vigil-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
@@ -75,6 +76,10 @@ def materialize(df, name: str):
     spark = df.sparkSession
     path = checkpoint_subdir(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    # Later jobs of this application may read it; it goes when the application ends.
+    jvm = spark.sparkContext._jvm
+    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
     # The schema is known: reading it back needs no footer job.
     return spark.read.schema(df.schema).parquet(path)
 

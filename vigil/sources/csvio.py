@@ -31,32 +31,35 @@ PANDAS_NA_TOKENS = (
 def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
     """Header CSV with quoted multi-line fields; pandas' NA tokens become null.
 
-    The schema is declared (no inference pass over the data). A ``Label``
-    that is not an integer becomes null, like a failed parse.
+    Columns are taken by name from the header, in any order and among others;
+    exactly one column is the label, whatever its case (Q13). A whole number
+    may be written as a float (``1.0``, as pandas does once the column had a
+    gap); any other ``Label`` becomes null, like a failed parse.
     """
     raw = (
         spark.read.option("header", True)
         .option("multiLine", True)
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
-        .schema("clean_text STRING, Label STRING")
         .csv(path)
     )
-    text = F.col("clean_text")
-    label = F.col("Label")
+    labels = [c for c in raw.columns if c.strip().lower() == "label"]
+    if "clean_text" not in raw.columns or len(labels) != 1:
+        raise ValueError(f"need clean_text and one Label column, found {raw.columns}")
+    text, label = F.col("clean_text"), F.col(f"`{labels[0]}`")
+    number = F.trim(label).try_cast("double")
     return raw.select(
         F.when(text.isin(*PANDAS_NA_TOKENS), F.lit(None)).otherwise(text).alias("clean_text"),
-        F.when(label.isin(*PANDAS_NA_TOKENS), F.lit(None).cast("int"))
-        .otherwise(F.expr("try_cast(trim(Label) AS INT)"))
-        .alias("Label"),
+        F.when(~label.isin(*PANDAS_NA_TOKENS) & (number == F.floor(number)), number.cast("int")).alias("Label"),
     )
 
 
 def write_labelled(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Write the training set as a directory (never coalesced to one file)."""
+    """Write the training set as a directory (never coalesced to one file); texts keep their padding."""
     w = df.select("clean_text", "Label").write.mode(mode)
     if fmt == "csv":
-        w.option("header", True).option("escape", '"').option("quoteAll", False).csv(path)
+        keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        w.options(header=True, escape='"', quoteAll=False, **keep).csv(path)
     else:
         w.parquet(path)
 
@@ -72,8 +75,12 @@ def read_actions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_actions(df: DataFrame, path: str) -> None:
-    """Append actions partitioned by day; ``id`` must already be unique (the log ``seq``)."""
+    """Append actions partitioned by day; ``id`` must already be unique (the log ``seq``).
+
+    Rows are dealt by ``(day, id)`` ranges first: a task writes a few neighbouring days, so the
+    files are about as many as tasks and days, and a day with most rows is cut over many tasks.
+    """
     out = df.select(*[f.name for f in ACTIONS_SCHEMA.fields]).withColumn(
         "action_date", F.to_date("timestamp")
     )
-    out.write.mode("append").partitionBy("action_date").parquet(path)
+    out.repartitionByRange("action_date", "id").write.mode("append").partitionBy("action_date").parquet(path)

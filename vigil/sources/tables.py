@@ -39,28 +39,6 @@ EVENT_OPS = {
 # -----------------------------------------------------------------------------
 
 
-def spread(df: DataFrame, key: str, probe: DataFrame | None = None, slots: int | None = None) -> DataFrame:
-    """Hash-distribute ``df`` by ``key`` over the cluster's task slots when its scan is under-split.
-
-    For CPU-heavy per-row work (lexicon, HTML regex chains) right after a
-    scan. A table that arrives in fewer input partitions than there are task
-    slots (a small table, or one written as a few large row groups) would
-    run that work on a few cores; it is hash-partitioned by ``key`` into one
-    partition per slot (an explicit count: AQE does not coalesce it, and a
-    hash split is deterministic on retry). A large table already has more
-    input splits than slots and is returned unchanged, so it is never
-    shuffled for this. ``probe`` is the bare scan whose split count decides
-    (default ``df``): it must be a scan with projections and filters only,
-    since asking a plan with an exchange for its partitions would run it.
-    """
-    if df.isStreaming:
-        return df
-    n = slots or df.sparkSession.sparkContext.defaultParallelism
-    if (probe if probe is not None else df).rdd.getNumPartitions() >= n:
-        return df
-    return df.repartition(n, key)
-
-
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
@@ -95,12 +73,11 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second comment set: user turns of conversations."""
-    conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
-    return conv.where(F.col("role") == "user").select(
-        F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("comment_id"),
-        "text",
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second comment set: every turn of the conversations."""
+    conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"])
+    return conv.select(
+        F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("comment_id"), "text"
     )
 
 
@@ -139,19 +116,11 @@ def labelled_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scored_truth(spark: SparkSession, sf_dir: str, spread_rows: bool = False) -> DataFrame:
-    """``(comment_id, doc_id, text, truth)``: labelled documents with their ground truth.
-
-    ``spread_rows``: the joined rows are spread over the task slots (see
-    :func:`spread`) when the documents scan is under-split, for callers that
-    run the lexicon over them.
-    """
+def scored_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(comment_id, doc_id, text, truth)``: labelled documents with their ground truth."""
     docs = documents(spark, sf_dir)
     labels = read_table(spark, sf_dir, "labels", ["doc_id", "toxic"])
-    joined = docs.join(labels, "doc_id")
-    if spread_rows:
-        joined = spread(joined, "doc_id", probe=docs)
-    return joined.select(
+    return docs.join(labels, "doc_id").select(
         F.col("doc_id").cast("string").alias("comment_id"),
         "doc_id",
         "text",

@@ -1,44 +1,54 @@
 """Flag dedupe on a stream, and the live training report.
 
-* ``flags_stream``: page elements flagged once per element id within the
-  watermark (state older than the delay is dropped), i.e. until the next
-  full re-scan after a settings change.
-* ``stream_report``: each micro-batch of log lines is parsed and appended to
-  a parsed-log table; the report is recomputed from that table and
-  overwritten (``foreachBatch``), as the dashboard refreshes per event.
+* ``flags_stream``: page elements flagged once per element id; ids are kept
+  until the stream is started anew, the full re-scan after a settings change.
+* ``stream_report``: each micro-batch of log lines is folded into a one-row
+  state (``foreachBatch``), as the dashboard refreshes per event.
 """
 
 from __future__ import annotations
 
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vigil.operators.pages import Settings, scan_pages
-from vigil.operators.trainlog import parse_train_log, train_report
+from vigil.operators.trainlog import merge_states, parse_train_log, report_of, report_state
+
 
+def flags_stream(pages: DataFrame, settings: Settings, host_regex: str) -> DataFrame:
+    """Scan a page stream; each element id is emitted once until the next full scan.
 
-def flags_stream(pages: DataFrame, settings: Settings, host_regex: str, delay: str = "1 hour") -> DataFrame:
-    """Scan a page stream; each element id is emitted once within ``delay`` of scan time."""
-    flagged = scan_pages(pages, settings, host_regex).withColumn("scan_ts", F.current_timestamp())
-    return flagged.withWatermark("scan_ts", delay).dropDuplicatesWithinWatermark(["element_id"])
+    The state holds one id per flagged element, in the state store (RocksDB on a cluster), for as
+    long as the scan's checkpoint is used: the reference forgets its ids only when it scans anew.
+    """
+    return scan_pages(pages, settings, host_regex).dropDuplicates(["element_id"])
 
 
 def stream_report(lines: DataFrame, out_dir: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Keep ``out_dir/report`` equal to the report over all log lines seen so far."""
-    log_path = f"{out_dir.rstrip('/')}/log"
-    report_path = f"{out_dir.rstrip('/')}/report"
-
-    def refresh(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_train_log(batch).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        # Idempotent on replay of a batch: the batch's own partition is overwritten.
-        (parsed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(log_path))
-        spark = batch.sparkSession
-        seen = spark.read.schema(parsed.schema).parquet(log_path).drop("batch_id")
-        train_report(seen).write.mode("overwrite").parquet(report_path)
-
-    w = lines.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
+    """Keep a report of all log lines seen so far; :func:`read_report` returns it.
+
+    Each micro-batch is folded by itself and put together with the one-row state of the batch
+    before; its state goes to a folder of its own, ``out_dir/state/<batch>``, so nothing is re-read
+    or overwritten but on a replay of that batch. Lines after the batch with the first ``complete``
+    never count.
+    """
+    spark = lines.sparkSession
+    state = f"{out_dir.rstrip('/')}/state"
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        new = report_state(parse_train_log(batch))
+        if batch_id:
+            new = spark.read.schema(new.schema).parquet(f"{state}/{batch_id - 1}").withColumn("turn", F.lit(0)).unionByName(new.withColumn("turn", F.lit(1)))
+            new = merge_states(new)
+        new.coalesce(1).write.mode("overwrite").parquet(f"{state}/{batch_id}")  # one row
+
+    w = lines.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
     return w.start()
+
+
+def read_report(spark: SparkSession, out_dir: str, query: StreamingQuery) -> DataFrame:
+    """The report after the last batch of ``query``."""
+    last = query.lastProgress["batchId"]
+    return report_of(spark.read.parquet(f"{out_dir.rstrip('/')}/state/{last}"))
