@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from vigil.functions.html import element_texts
 from vigil.operators import evaluate as Ev
@@ -62,7 +63,32 @@ HTML = (
 def test_paragraph_path(spark):
     pages = spark.createDataFrame([(1, "https://a.example.com/", HTML)], "page_id long, url string, html string")
     got = [(r.pos, r.txt) for r in Pg.page_elements(pages).orderBy("pos").collect()]
-    assert got == [(0, "First & only"), (1, "Second line"), (2, "Third unclosed")]
+    # The page has comment elements: all of the selector list comes out.
+    assert got == [(0, "Top levelinner idiot"), (1, "inner idiot"), (2, "First & only"), (3, "Second\nline"), (4, "Third unclosed")]
+
+
+PLAIN = [
+    "<p>one<blockquote>two</blockquote>three", "<p>a<p>b</p>c<p class=x>d  \n e</p>", "<ul><li><p>in li</li>out</ul><p>x</p>",
+    "<div><p>a <b>b</b>c<br> d<br/>e</div>f", "<td><p>cell</td>gap<p>&lt;t&gt; &amp;amp; &nbsp;x&copy;</p>", "<P>UP<PRE>no</PRE><p>\u3000trim\u3000</p>",
+    "<p>it<!-- <p>no</p> -->s<script>var a='<p>';</script> ok<hr>no", "<pre>x</pre><p></p><p> </p><p>last", "no paragraph", "", None,
+]
+OTHER = ["<p>it&#8217;s &hellip; x&eacute;</p>", '<div class="comment">you idiot</div><div data-test-id="comment">la plage</div>',
+         '<p class="Comment x">both once</p>', "<section class='a comment'>out <p>in</p> end</section>"]
+
+
+def test_both_paths_agree(spark):
+    made = [(k, "https://a.example.com/", h) for k, h in enumerate(PLAIN + OTHER)]
+    pages = spark.createDataFrame(made, "page_id long, url string, html string")
+    from vigil.functions import html as H
+
+    plain = {r.page_id for r in pages.where(H.is_plain(F.col("html"))).collect()}
+    assert plain == {k for k, h in enumerate(PLAIN) if h is not None and "comment" not in h}
+    assert rows(Pg.page_elements(pages)) == rows(Pg.page_elements_dom(pages))
+    got = {(r.page_id - len(PLAIN), r.txt) for r in Pg.page_elements(pages).where(f"page_id >= {len(PLAIN)}").collect()}
+    assert got == {(0, "it\u2019s \u2026 x\u00e9"), (1, "you idiot"), (1, "la plage"), (2, "both once"), (3, "out in end"), (3, "in")}
+    s = Pg.Settings.from_text("la", auto_scan=True)
+    flagged = Pg.scan_pages(pages, s, r"\.example\.com$").where(f"page_id = {len(PLAIN) + 1}")
+    assert sorted((r.txt, r.reason) for r in flagged.collect()) == [("la plage", "blocklist"), ("you idiot", "classifier")]
 
 
 def test_dom_path_classes_and_nesting():

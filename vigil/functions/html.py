@@ -1,14 +1,19 @@
 """Visible text of page elements.
 
-Two paths:
+One rule, two ways to compute it:
 
-* ``paragraph_pieces`` / ``paragraph_text`` -- JVM-side regex expressions for ``p`` elements
-  (the only selector that occurs in crawled pages): strip script/style/
-  comments, split on ``<p ...>``, cut each piece at ``</p>`` or the next block
-  tag, turn tags into spaces, collapse white space, decode entities, trim.
+* ``paragraph_pieces`` / ``paragraph_text`` -- JVM-side regex expressions for
+  plain pages, whose only matching elements are ``p``: strip script/style/
+  comments, split on ``<p ...>``, cut each piece where a block element closes
+  the paragraph, ``<br>`` ends a line, other tags vanish, white space
+  collapses, entities are decoded, the text is trimmed.
 * ``ElementText`` -- a small ``html.parser`` walker for the full selector
-  list (``[data-test-id="comment"], .Comment, .comment, p``) with nesting,
-  used by an Arrow-batched pandas UDF when class selectors matter.
+  list (``[data-test-id="comment"], .Comment, .comment, p``) with nesting and
+  all character references, used by an Arrow-batched pandas UDF.
+
+``is_plain`` tells which pages the first way is enough for. Malformed pages on
+which a block end tag stands without its start may still differ: the first way
+ends the paragraph there.
 """
 
 from __future__ import annotations
@@ -19,16 +24,17 @@ from html.parser import HTMLParser
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vigil.functions.text import js_trim
+from vigil.functions.text import js_trim, js_trim_py
 
-_NOISE = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
-_P_OPEN = r"(?i)<p(?:\s[^>]*)?>"
-_BLOCK = "article|div|footer|nav|section|ul|ol|table|h[1-6]"
-_CUT = rf"(?is)(?:</p\s*>|</?(?:{_BLOCK})\b).*$"
-_TAG = r"<[^>]*>"
-_CSS_WS = r"[ \t\n\r\f]+"
-
-# --- Fixed values: named entities decoded in element text (&amp; last) --------
+# --- Fixed values: start tags that close an open p (HTML parsing rules) --------
+_CLOSES_P = frozenset(
+    "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form"
+    " h1 h2 h3 h4 h5 h6 header hgroup hr li listing main menu nav ol p plaintext pre search section summary table ul xmp".split()
+)
+# Further elements whose end tag closes a p inside them, and elements without an end tag.
+_CONTAINERS = frozenset("body button caption html object tbody td tfoot th thead tr".split())
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+# Named entities that the regex way decodes (&amp; last).
 ENTITIES = (
     ("&lt;", "<"),
     ("&gt;", ">"),
@@ -42,6 +48,20 @@ ENTITIES = (
 )
 # -------------------------------------------------------------------------------
 
+_NOISE = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
+_P_OPEN = r"(?i)<p(?:\s[^>]*)?>"
+_CUT = rf"(?is)(?:<(?:{'|'.join(sorted(_CLOSES_P))})\b|</(?:{'|'.join(sorted(_CLOSES_P | _CONTAINERS))})\b).*$"
+_BR = r"(?i)<br\b[^>]*>"
+_TAG = r"<[^>]*>"
+_CSS_WS = r"[ \t\n\r\f]+"
+_KNOWN = "|".join(e[1:] for e, _ in ENTITIES)
+_OTHER_ENTITY = rf"&(?!(?:{_KNOWN}))(?:#|[A-Za-z])"
+
+
+def is_plain(html: Column) -> Column:
+    """No element but ``p`` can match, and all character references are in ``ENTITIES``."""
+    return ~html.contains("omment") & ~html.rlike(_OTHER_ENTITY)
+
 
 def decode_entities(c: Column) -> Column:
     for ent, ch in ENTITIES:
@@ -50,9 +70,11 @@ def decode_entities(c: Column) -> Column:
 
 
 def clean_fragment(c: Column) -> Column:
-    """Tags -> space, collapse CSS white space, decode entities, JS trim."""
-    c = F.regexp_replace(c, _TAG, " ")
+    """Collapse CSS white space, ``<br>`` -> line end, other tags -> nothing, decode entities, JS trim."""
     c = F.regexp_replace(c, _CSS_WS, " ")
+    c = F.regexp_replace(c, _BR, "\n")
+    c = F.regexp_replace(c, _TAG, "")
+    c = F.regexp_replace(F.regexp_replace(c, " +", " "), " ?\n ?", "\n")
     return js_trim(decode_entities(c))
 
 
@@ -71,14 +93,7 @@ def paragraph_text(piece: Column) -> Column:
 
 # --- full selector list via html.parser ----------------------------------------
 
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-# Start tags that implicitly close an open <p> (HTML parsing rules).
-_CLOSES_P = {
-    "address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure",
-    "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p",
-    "pre", "section", "table", "ul",
-}
-_WS_RE = re.compile(r"[ \t\n\r\f]+")
+_WS_RE = re.compile(_CSS_WS)
 
 
 def _matches(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -143,15 +158,12 @@ class ElementText(HTMLParser):
     def handle_data(self, data):
         if self.skip:
             return
+        data = _WS_RE.sub(" ", data)  # only <br> ends a line
         for i in self._open_indices():
             self.texts[i].append(data)
 
     def elements(self) -> list[str]:
-        out = []
-        for parts in self.texts:
-            lines = ["".join(_WS_RE.sub(" ", seg)) for seg in "".join(parts).split("\n")]
-            out.append("\n".join(s.strip(" ") for s in lines).strip())
-        return out
+        return [js_trim_py(re.sub(" ?\n ?", "\n", re.sub(" +", " ", "".join(parts)))) for parts in self.texts]
 
 
 def element_texts(html: str | None) -> list[str]:

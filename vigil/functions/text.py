@@ -95,8 +95,9 @@ def blocklist_regex(words: Iterable[str]) -> str | None:
     boundaries and grouped so an alternation inside an entry stays local.
     Entries that are plain ASCII words start and end with a word character,
     so their boundaries reduce to one look-behind and one look-ahead around
-    a single alternation; ASCII-only lists match case-insensitively on ASCII
-    (like JavaScript's ``i`` without ``u``). Returns None for an empty list.
+    a single alternation. Each entry has its own case rule, like JavaScript's
+    ``i`` without ``u``: an ASCII entry matches case-insensitively on ASCII
+    only, whatever else is in the list. Returns None for an empty list.
     """
     plain, other = [], []
     for w in words:
@@ -104,12 +105,9 @@ def blocklist_regex(words: Iterable[str]) -> str | None:
         (plain if _LITERAL_WORD.fullmatch(w) else other).append(w)
     parts = []
     if plain:
-        parts.append(f"(?<!{_WORD})(?:{'|'.join(plain)})(?!{_WORD})")
-    parts += [f"(?:{_BOUNDARY}{w}{_BOUNDARY})" for w in other]
-    if not parts:
-        return None
-    flags = "(?i)" if all(ord(ch) < 128 for w in plain + other for ch in w) else "(?iu)"
-    return flags + "|".join(parts)
+        parts.append(f"(?i:(?<!{_WORD})(?:{'|'.join(plain)})(?!{_WORD}))")
+    parts += [f"(?{'i' if w.isascii() else 'iu'}:{_BOUNDARY}{w}{_BOUNDARY})" for w in other]
+    return "|".join(parts) or None
 
 
 def blocklist_hit(text: Column | str, words: Iterable[str]) -> Column:

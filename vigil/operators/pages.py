@@ -1,6 +1,10 @@
 """Page scan (P10, P11, T3, T5): elements of crawled pages against the block
 list and the classifier.
 
+Elements are those of the whole selector list (``[data-test-id="comment"],
+.Comment, .comment, p``). Plain pages, which hold ``p`` only, are read by JVM
+regex expressions; the others go through an HTML walker in Arrow batches.
+
 The scan is narrow: host filter, element explode and the flag decision are
 all per-page / per-element expressions, so the plan has no shuffle. Each
 page's whole HTML is processed (no prefix); the element array is exploded
@@ -62,11 +66,6 @@ def _elements(html: F.Column) -> F.Column:
     return F.filter(cleaned, lambda e: e["txt"] != F.lit(""))
 
 
-def page_elements(pages: DataFrame) -> DataFrame:
-    """``(page_id, url, pos, txt)``: one row per non-empty ``p`` element (JVM regex path)."""
-    return pages.select("page_id", "url", F.inline(_elements(F.col("html"))))
-
-
 _ELEMS = T.ArrayType(T.StringType())
 
 
@@ -75,12 +74,24 @@ def _element_texts(html: pd.Series) -> pd.Series:
     return html.map(H.element_texts)
 
 
-def page_elements_dom(pages: DataFrame) -> DataFrame:
-    """Full selector list (``[data-test-id="comment"], .Comment, .comment, p``) with nesting.
+def _with_elements(pages: DataFrame) -> DataFrame:
+    """``pages`` plus ``elements array<struct<pos, txt>>``, each page read the cheapest exact way."""
+    ship_package(pages.sparkSession)
+    plain = H.is_plain(F.col("html"))
+    walked = F.transform(_element_texts(F.col("html")), lambda t, i: F.struct(i.cast("bigint").alias("pos"), t.alias("txt")))
+    walked = F.filter(walked, lambda e: e["txt"] != F.lit(""))
+    return pages.where(plain).withColumn("elements", _elements(F.col("html"))).unionByName(
+        pages.where(~plain).withColumn("elements", walked)
+    )
 
-    An Arrow-batched pandas UDF over a stdlib HTML parser; the rows stay in
-    the task that read the page.
-    """
+
+def page_elements(pages: DataFrame) -> DataFrame:
+    """``(page_id, url, pos, txt)``: one row per non-empty element of the selector list."""
+    return _with_elements(pages).select("page_id", "url", F.inline("elements"))
+
+
+def page_elements_dom(pages: DataFrame) -> DataFrame:
+    """The same by the HTML walker alone, for every page; rows stay in the task that read the page."""
     ship_package(pages.sparkSession)
     exploded = pages.select("page_id", "url", F.posexplode(_element_texts(F.col("html"))).alias("pos", "txt"))
     return exploded.select("page_id", "url", F.col("pos").cast("bigint").alias("pos"), "txt").where(
@@ -140,8 +151,8 @@ def scan_pages(pages: DataFrame, settings: Settings, host_regex: str) -> DataFra
     A settings change is a plain re-run with the new ``settings`` (the scan is
     stateless, so the re-run is exact).
     """
-    kept = host_filter(pages, host_regex)
-    flagged = kept.select("page_id", F.inline(_flagged(_elements(F.col("html")), settings)))
+    kept = _with_elements(host_filter(pages, host_regex))
+    flagged = kept.select("page_id", F.inline(_flagged(F.col("elements"), settings)))
     return _scan_out(flagged, settings)
 
 

@@ -37,6 +37,7 @@ SEARCH_TERM = "hate"
 MIN_CONFIDENCE = "95"
 DASHBOARD_MIN_CONFIDENCE = "80"
 BLOCK_LIST = "la, on, idiot"
+RESCAN_LIST = "und, trash"
 HOST_REGEX = r"\.example\.(com|net)$"
 # -----------------------------------------------------------------------------
 
@@ -283,6 +284,13 @@ def q_scan_pages(spark: SparkSession, sf: str) -> DataFrame:
     return Pg.scan_pages(T.pages(spark, sf), SCAN_SETTINGS, HOST_REGEX)
 
 
+@register("rescan_pages")
+def q_rescan_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The scan after a settings change: other words, a higher threshold, blur on."""
+    settings = Pg.Settings.from_text(RESCAN_LIST, threshold_percent=95, privacy_mode=True, auto_scan=True)
+    return Pg.scan_pages(T.pages(spark, sf), settings, HOST_REGEX)
+
+
 @register("dedupe_flags")
 def q_dedupe_flags(spark: SparkSession, sf: str) -> DataFrame:
     """Two full scans (before and after a settings change) flag each element once."""

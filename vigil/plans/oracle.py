@@ -316,47 +316,79 @@ FROM documents"""
 )
 
 # --- page scan --------------------------------------------------------------------
+# Written from the HTML rules: a paragraph runs to the next start of an element that closes it, or the
+# end of one around it; a line break element ends a line; other tags leave no trace.
+_CLOSERS = ("address,article,aside,blockquote,center,dd,details,dialog,dir,div,dl,dt,fieldset,figcaption,figure,footer,form,"
+            "h1,h2,h3,h4,h5,h6,header,hgroup,hr,li,listing,main,menu,nav,ol,p,plaintext,pre,search,section,summary,table,ul,xmp")
+_AROUND = "body,button,caption,html,object,tbody,td,tfoot,th,thead,tr"
+
+
 def _clean(x: str) -> str:
-    c = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
-    c = f"regexp_replace({c}, '[ \\t\\n\\r\\f]+', ' ', 'g')"
+    c = f"regexp_replace({x}, '[ \\t\\n\\r\\f]+', ' ', 'g')"
+    c = f"regexp_replace(regexp_replace({c}, '(?i)<br\\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+    c = f"regexp_replace(regexp_replace({c}, ' +', ' ', 'g'), ' ?\\n ?', chr(10), 'g')"
     for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"),
                     ("&nbsp;", "\u00a0"), ("&middot;", "\u00b7"), ("&copy;", "\u00a9"), ("&amp;", "&")):
         c = f"replace({c}, '{ent}', '{ch}')"
     return js_trim(c)
 
 
+# The names of all tags after which a paragraph is over, looked up one by one in the page's tags.
 ELEMENTS = rf"""
 WITH src AS (
   SELECT page_id, url,
          regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', '', 'g') AS body
   FROM pages
 ),
-parts AS (SELECT page_id, url, regexp_split_to_array(body, '(?i)<p(?:\s[^>]*)?>')[2:] AS arr FROM src),
-pieces AS (SELECT page_id, url, unnest(arr) AS piece, generate_subscripts(arr, 1) - 1 AS pos FROM parts),
-cut AS (
-  SELECT page_id, url, pos,
-         regexp_replace(piece, '(?is)(?:</p\s*>|</?(?:article|div|footer|nav|section|ul|ol|table|h[1-6])\b).*$', '') AS frag
-  FROM pieces
+tags AS (  -- what stands between two '<': a tag and the text after it
+  SELECT page_id, url, unnest(string_split(body, '<')) AS part, generate_subscripts(string_split(body, '<'), 1) AS k FROM src
+),
+named AS (
+  SELECT *, lower(regexp_extract(part, '^/?([A-Za-z][A-Za-z0-9]*)', 1)) AS tag, starts_with(part, '/') AS closing FROM tags WHERE k > 1
+),
+marked AS (
+  SELECT *, tag = 'p' AND NOT closing AND regexp_matches(part, '(?i)^p[\s>]') AS opens,
+         list_contains(string_split('{_CLOSERS}', ','), tag) OR (closing AND list_contains(string_split('{_AROUND}', ','), tag)) AS ends
+  FROM named
+),
+runs AS (
+  SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY k) AS p_no,
+         sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY k) AS e_no
+  FROM marked
+),
+inside AS (  -- parts of a paragraph: no ending tag since its start
+  SELECT *, min(e_no) OVER (PARTITION BY page_id, p_no) AS own FROM runs WHERE p_no > 0
+),
+texts AS (
+  SELECT page_id, url, p_no - 1 AS pos,
+         string_agg(CASE WHEN opens THEN regexp_replace(part, '(?s)^[^>]*>', '') ELSE '<' || part END, '' ORDER BY k) AS frag
+  FROM inside WHERE e_no = own GROUP BY page_id, url, p_no
 )
-SELECT page_id, url, CAST(pos AS BIGINT) AS pos, txt FROM (SELECT page_id, url, pos, {_clean('frag')} AS txt FROM cut) t
+SELECT page_id, url, CAST(pos AS BIGINT) AS pos, txt FROM (SELECT page_id, url, pos, {_clean('frag')} AS txt FROM texts) t
 WHERE txt <> ''
 """
 
 ORACLE["page_elements"] = ELEMENTS
 
-SCAN = rf"""
+def scan(words: str, threshold: float, blur: str) -> str:
+    return rf"""
 WITH e AS ({ELEMENTS}),
 h AS (SELECT e.* FROM e JOIN pages p ON p.page_id = e.page_id WHERE regexp_matches({HOST.replace('url', 'p.url')}, '\.example\.(com|net)$')),
 d AS (
   SELECT sha256(concat_ws('|', CAST(page_id AS VARCHAR), CAST(pos AS VARCHAR), txt)) AS element_id, page_id, pos, txt,
-         CASE WHEN regexp_matches(txt, '\b(?:la|on|idiot)\b', 'i') THEN 'blocklist'
-              WHEN {lex('txt')} AND CAST(0.925 AS DOUBLE) >= CAST(0.8 AS DOUBLE) THEN 'classifier' END AS reason,
-         false AS blur,
+         CASE WHEN regexp_matches(txt, '\b(?:{words})\b', 'i') THEN 'blocklist'
+              WHEN {lex('txt')} AND CAST(0.925 AS DOUBLE) >= CAST({threshold} AS DOUBLE) THEN 'classifier' END AS reason,
+         {blur} AS blur,
          {lex('txt')} AS queued
   FROM h
 )
 """
 
+
+SCAN = scan("la|on|idiot", 0.8, "false")
+
+ORACLE["rescan_pages"] = scan("und|trash", 0.95, "true") + "SELECT * FROM d WHERE reason IS NOT NULL"
+
 ORACLE["scan_pages"] = SCAN + "SELECT * FROM d WHERE reason IS NOT NULL"
 
 ORACLE["dedupe_flags"] = SCAN + "SELECT DISTINCT element_id, page_id, pos FROM d WHERE reason IS NOT NULL"
