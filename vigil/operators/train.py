@@ -47,6 +47,11 @@ def split_train_val(df: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame
     return df.where(h != 0), df.where(h == 0)
 
 
+# The most frequent terms of the training set that the bag of words keeps; the list of terms and
+# one weight each come to the driver, so this bounds its memory.
+VOCAB_SIZE = 1 << 18
+
+
 def _weighted(df: DataFrame) -> DataFrame:
     """Weight positives by ``n_neg / n_pos`` (a scalar subquery, no collect)."""
     ratio = df.select(
@@ -55,11 +60,12 @@ def _weighted(df: DataFrame) -> DataFrame:
     return df.withColumn("w", F.when(F.col("y") == 1, ratio).otherwise(F.lit(1.0)))
 
 
-def pipeline(max_iter: int) -> Pipeline:
+def pipeline(max_iter: int, vocab_size: int = VOCAB_SIZE) -> Pipeline:
+    """Tokenizer, bag of words over the ``vocab_size`` most frequent terms, logistic regression."""
     return Pipeline(
         stages=[
             RegexTokenizer(inputCol="clean_text", outputCol="tokens", pattern=TOKEN_PATTERN, toLowercase=True),
-            CountVectorizer(inputCol="tokens", outputCol="features", minDF=MIN_DF, binary=True),
+            CountVectorizer(inputCol="tokens", outputCol="features", minDF=MIN_DF, vocabSize=vocab_size, binary=True),
             LogisticRegression(
                 featuresCol="features", labelCol="y", weightCol="w", maxIter=max_iter,
                 regParam=REG_PARAM, elasticNetParam=ELASTIC_NET, family="binomial",
@@ -88,7 +94,10 @@ def score(model: PipelineModel, df: DataFrame, text_col: str = "clean_text") ->
 
     ``df`` must not carry a column named ``label`` in any case (it is replaced).
     """
-    scored = model.transform(df.withColumnRenamed(text_col, "clean_text") if text_col != "clean_text" else df)
+    df = df.withColumnRenamed(text_col, "clean_text") if text_col != "clean_text" else df
+    # A null text is scored like an empty one and comes out null.
+    filled = df.withColumn("_null", F.col("clean_text").isNull()).withColumn("clean_text", F.coalesce("clean_text", F.lit("")))
+    scored = model.transform(filled).withColumn("clean_text", F.when(~F.col("_null"), F.col("clean_text"))).drop("_null")
     p = vector_to_array(F.col("probability"))
     pred = F.when(p[1] > p[0], F.lit(1)).otherwise(F.lit(0))
     out = scored.withColumns(
@@ -152,15 +161,20 @@ def fit_epochs(
 
 
 def embedding_head(vectors: DataFrame, positive: F.Column, max_iter: int = 50) -> tuple[PipelineModel, DataFrame]:
-    """Logistic regression on ``embedding ARRAY<FLOAT>`` with a binary target; returns model + scored rows."""
+    """Logistic regression on ``embedding ARRAY<FLOAT>`` with a binary target; returns model + scored rows.
+
+    Every row is scored; the fit does not see the fifth of the rows (by a hash of ``vec_id``) marked ``held_out``.
+    """
     data = vectors.select(
-        "vec_id", array_to_vector(F.col("embedding")).alias("features"), positive.cast("double").alias("y")
+        "vec_id", array_to_vector(F.col("embedding")).alias("features"), positive.cast("double").alias("y"),
+        (F.pmod(F.xxhash64("vec_id"), F.lit(5)) == 0).alias("held_out"),
     )
     lr = LogisticRegression(featuresCol="features", labelCol="y", maxIter=max_iter, regParam=0.01)
-    model = Pipeline(stages=[lr]).fit(data)
+    model = Pipeline(stages=[lr]).fit(data.where("NOT held_out"))
     p = vector_to_array(F.col("probability"))
     scored = model.transform(data).select(
         "vec_id",
+        "held_out",
         F.col("y").cast("int").alias("truth"),
         F.when(p[1] > p[0], 1).otherwise(0).alias("pred"),
         F.greatest(p[0], p[1]).alias("confidence"),

@@ -11,13 +11,14 @@ across batches, ``(ts, seq)`` inside a batch. The batch replay
 (``operators.replay``) is the reference for backfills.
 
 Output rows, per comment and batch: one per delete / action
-(``recorded`` / ``deleted`` / ``not_found``) and one ``state`` row with the
-comment's queue state after the batch (``version`` counts the batches that
-touched the comment, so the newest state row wins).
+(``recorded`` / ``deleted`` / ``not_found``) and, where the comment was or is
+pending, one ``state`` row with its queue state after the batch (``version``
+is the batch's time, so the newest state row wins).
 
 Scale: the function sees one comment's rows of one micro-batch, bounded by
-the trigger size (``maxFilesPerTrigger`` / ``maxBytesPerTrigger``); state is
-a handful of fields per comment.
+the trigger size (``maxFilesPerTrigger`` / ``maxBytesPerTrigger``). Only
+pending comments have a state, a handful of fields; it is removed when the
+comment leaves the queue.
 """
 
 from __future__ import annotations
@@ -37,18 +38,16 @@ OUTPUT_SCHEMA = (
     "comment_id string, seq long, ts timestamp_ntz, op string, outcome string, doc_id long, "
     "confidence double, pending boolean, version long"
 )
-STATE_SCHEMA = "pending boolean, doc_id long, conf double, queued_ts timestamp_ntz, queued_seq long, version long"
+STATE_SCHEMA = "doc_id long, conf double, queued_ts timestamp_ntz, queued_seq long"
 _COLS = ["comment_id", "seq", "ts", "op", "outcome", "doc_id", "confidence", "pending", "version"]
 
 
 def _queue_step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     (cid,) = key
     pdf = pd.concat(list(pdfs), ignore_index=True)
-    if state.exists:
-        pending, doc, conf, qts, qseq, version = state.get
-    else:
-        pending, doc, conf, qts, qseq, version = False, None, None, None, None, 0
-    version += 1
+    was = pending = state.exists
+    doc, conf, qts, qseq = state.get if was else (None, None, None, None)
+    version = int(pdf["version"].iloc[0])
 
     # Q2: clean detects never touch the queue.
     pdf = pdf[(pdf["op"] != "detect") | pdf["toxic"].fillna(False).astype(bool)]
@@ -84,7 +83,14 @@ def _queue_step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) ->
             pending, doc, conf = True, docs[-1], float(confs[-1])
         else:
             pending, doc, conf, qts, qseq = False, None, None, None, None
-    state.update((pending, None if doc is None else int(doc), conf, qts, qseq, version))
+    if pending:
+        state.update((None if doc is None else int(doc), conf, qts, qseq))
+    elif was:
+        state.remove()
+    if not was and not pending:
+        if out:
+            yield out[0].astype(object)[_COLS]
+        return
     snap = pd.DataFrame([{
         "comment_id": cid, "seq": qseq, "ts": qts, "op": None, "outcome": "state",
         "doc_id": None if doc is None else int(doc), "confidence": conf, "pending": pending, "version": version,
@@ -99,7 +105,8 @@ def queue_stream(ops: DataFrame) -> DataFrame:
     """Streaming ops ``seq, ts, comment_id, op, doc_id, toxic[, confidence]`` -> outcome rows."""
     ship_package(ops.sparkSession)
     cols = ["seq", "ts", "comment_id", "op", "doc_id", "toxic"] + (["confidence"] if "confidence" in ops.columns else [])
-    return ops.select(*cols).groupBy("comment_id").applyInPandasWithState(
+    batch = F.unix_micros(F.current_timestamp()).alias("version")  # one value a micro-batch
+    return ops.select(*cols, batch).groupBy("comment_id").applyInPandasWithState(
         _queue_step, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
     )
 
