@@ -192,7 +192,7 @@ def replay(
     carry = last.select(F.lead("chunk").over(Window.orderBy("chunk")).alias("c_chunk"), F.col("last.comment_id").alias("c_comment"),
                         *[F.col(f"last.{c}").alias(f"c_{c}") for c in before]).where("c_chunk IS NOT NULL")
     met = F.col("comment_id").eqNullSafe(F.col("c_comment")) & (F.col("chunk") == F.col("c_chunk"))
-    joined = local.join(materialize(carry, "replay-carry"), met, "left")
+    joined = local.join(carry, met, "left")
     first = F.col("l_kind").isNull()
     prev = [F.when(first, F.col(f"c_{c}")).otherwise(F.col(f"l_{c}")).alias(f"prev_{n}")
             for c, n in zip(before, ("kind", "doc", "conf"), strict=True)]
