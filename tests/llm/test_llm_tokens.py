@@ -58,6 +58,13 @@ def test_counts_over_many_small_chunks(library, monkeypatch):
     assert fst.counter(MODEL)(some) == [len(library.encode(t)) for t in some]
 
 
+def test_a_worker_starts_over_without_a_trace(library, monkeypatch):
+    monkeypatch.setattr(fst, "MAX_TRANSITIONS", 100)
+    monkeypatch.setattr(fst, "RUN_CHARS", 2000)
+    some = texts()[:300]
+    assert fst.counter(MODEL)(some) == [len(library.encode(t)) for t in some]
+
+
 def test_composition_finds_every_exit():
     free = np.array([True, False, False, True, False, False, False])
     entry, leave = np.array([0, 4, 9, 0, 7, 8, 2]), np.array([4, 5, 6, 7, 8, 1, 3])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.session import materialize, ship_package
+from vigil import session
+from vigil.session import materialize
 from vigil.sources.tables import read_table
 
 __all__ = ["documents", "existing", "materialize", "read_table", "same", "ship_package", "whole_text"]
@@ -14,6 +15,21 @@ __all__ = ["documents", "existing", "materialize", "read_table", "same", "ship_p
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: Rows that Spark hands to a Python worker at once; its default suits short rows, not whole texts.
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, and hand them texts in small batches.
+
+    A batch size that was set for the session stays as it is.
+    """
+    session.ship_package(spark)
+    if spark.conf.get(_ROWS) == "10000" and not spark.sparkContext.getConf().contains(_ROWS):
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 

@@ -41,7 +41,7 @@ LOOK_BACK = 48
 #: Compiled transitions at which a worker starts over, between batches.
 MAX_TRANSITIONS = 1_000_000
 #: Characters that run together; bounds a worker's memory, not the texts.
-RUN_CHARS = 2_000_000
+RUN_CHARS = 1_000_000
 START = 0
 
 

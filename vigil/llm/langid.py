@@ -40,7 +40,7 @@ MAX_SET = 4
 #: A word's likelihood under a language is not counted as less than this times the best one's.
 FLOOR = 1e-6
 #: Characters whose trigrams are looked up at once, and texts fitted at once; they bound memory only.
-SLICE, RUN_CHARS = 500_000, 1_000_000
+SLICE, RUN_CHARS = 250_000, 500_000
 NONE = "und"
 
 
