@@ -1,4 +1,5 @@
 import math
+import os
 import random
 
 import numpy as np
@@ -87,3 +88,14 @@ def test_a_chunk_of_queries_meets_blocks_in_any_order():
         want = sorted((-int(v[k] @ v[j]), j) for j in range(64) if j != k)[:3]
         mine = got[got.query_id == k]
         assert sorted(zip(-mine.score, mine.vec_id, strict=True)) == want
+
+
+def test_equal_vectors_over_several_segments(spark, monkeypatch):
+    for name, n in (("SEGMENT", 30), ("CHUNK", 500), ("PIVOTS", 3)):
+        monkeypatch.setattr(topk, name, n)
+    # The copies fill several segments whose bounds tie; max_by may name another one each time it is evaluated.
+    noise = topk.F.udf(lambda seg: os.urandom(8), "binary")
+    monkeypatch.setattr(topk.F, "max_by", lambda seg, most: topk.F.max(topk.F.struct(most, noise(seg), seg))[seg])
+    got = sorted(map(tuple, topk.top_k(frame(spark, [(k, [0.5, 0.25, -0.125]) for k in range(150)]), by=2).collect()))
+    assert len(got) == 75 * topk.TOP == len({(q, v) for q, _, v, _ in got})
+    assert got == brute([(k, [0.5, 0.25, -0.125]) for k in range(150)], by=2)

@@ -10,7 +10,7 @@ pivot. ``vec_id`` is in the key, so even equal vectors are dealt evenly. The ind
 ``|q - v| >= d - r`` and ``>= r - d`` (triangle inequality), and ``2 q.v = |q|^2 + |v|^2 - |q - v|^2``; also
 ``q.v = q.p + q.(v - p) <= q.p + |q| r1``. The smaller of both bounds the score of the whole annulus.
 
-*Search.* Each query first goes to the segment with its largest bound, whose k-th score is its
+*Search.* Each query first goes to the segment with its largest bound (ties: the first), whose k-th score is its
 threshold; then to the other segments whose bound reaches that threshold. In a segment, blocks are
 taken by falling bound, each for those queries only whose k-th score so far it can reach. Query
 chunks of about ``CHUNK`` meet a segment in one task, so neither side of it grows with the input.
@@ -180,7 +180,9 @@ def search(index: DataFrame, pivots: np.ndarray, size: int, wanted, k: int = TOP
         blocks = index.join(met_by, F.col("seg") == F.col("b_seg"))
         return asked.groupBy("seg", "chunk").cogroup(blocks.groupBy("b_seg", "b_chunk")).applyInPandas(_met(k, size, pivots), _FOUND)
 
-    first = bounds.groupBy("query_id").agg(F.max_by("seg", "most").alias("seg"))
+    # One choice for both uses: ties (equal vectors over several segments) go to the smaller seg, and it is written once.
+    first = bounds.groupBy("query_id").agg(F.max(F.struct("most", (-F.col("seg")).alias("minus"))).alias("m"))
+    first = materialize(first.select("query_id", (-F.col("m.minus")).alias("seg")), "topk-chosen")
     found = materialize(visit(first.withColumn("floor", F.lit(float("-inf")))), "topk-first")
     per_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     floors = found.withColumn("n", F.row_number().over(per_query)).where(F.col("n") == k).select("query_id", F.col("score").cast("double").alias("floor"))
