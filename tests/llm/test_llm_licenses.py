@@ -93,3 +93,50 @@ def test_needed_terms_lose_no_segment():
         v = {t: n * weight[t] for t, n in licenses._counted(text).items()}
         rest = sum(x * x for t, x in v.items() if t not in must)
         assert rest < 0.25 * sum(x * x for x in v.values())
+
+
+GPL3 = """/* tool.c
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+ */
+"""
+APACHE_HEADER = """# Copyright 2020 The Authors
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS.
+"""
+
+
+def test_full_texts_headers_and_spdx_lines(spark):
+    code = "def run(x):\n    return [y for y in x if y]\n\n\nclass Town:\n    people = 3\n" * 30
+    short = {n: "Copyright (c) 2019 Some Body\n\n" + licenses.TEXTS[n] for n in licenses.SHORT}
+    rows = [(k, f"full/{n}/LICENSE", short.get(n, x)) for k, (n, x) in enumerate(licenses.TEXTS.items())]
+    rows += [(100 + k, f"full/{n}/src/a.py", code) for k, n in enumerate(licenses.TEXTS)]
+    rows += [
+        (200, "h/tool.c", GPL3 + code), (201, "h/a.py", APACHE_HEADER + code), (202, "h/b.py", " ".join(APACHE_HEADER.split()) + "\n" + code),
+        (203, "h/c.py", "".join(f"# {x}\n" for x in short["MIT"].split("\n")) + code), (204, "h/d.py", code), (205, "h/d.py", None),
+        (210, "s/a.py", "# SPDX-License-Identifier: MIT\n" + code), (211, "s/b.c", "/* SPDX-License-Identifier: GPL-2.0+ */\n" + code),
+        (212, "s/c.rs", code + "// spdx-license-identifier: MIT OR  Apache-2.0"), (213, "s/d.py", "# SPDX-License-Identifier: Zlib\n"),
+        (204, "h/d.py", code), (200, "h/tool.c", GPL3 + code),
+    ]
+    got = {r["doc_id"]: (r["license"], r["origin"]) for r in licenses.scan(frame(spark, rows)).collect()}
+    for k, n in enumerate(licenses.TEXTS):
+        assert (got[k], got[100 + k]) == ((n, "file"), (n, "inherited"))
+    assert {k: got[k] for k in range(200, 206)} == {
+        200: ("GPL-3.0-or-later", "header"), 201: ("Apache-2.0", "header"), 202: ("Apache-2.0", "header"), 203: ("MIT", "header"),
+        204: (None, "none"), 205: (None, "none"),
+    }
+    assert [got[k] for k in range(210, 214)] == [("MIT", "header"), ("GPL-2.0-or-later", "header"), ("MIT OR Apache-2.0", "header"), ("Zlib", "header")]
