@@ -58,3 +58,16 @@ def test_stage_keeps_clean_rows(spark):
     ids = [r["doc_id"] for r in out.collect()]
     assert not {0, 1, 2, 3} & set(ids)
     assert {4, 5, 7, 9, 14, *range(1000, 1060)} <= set(ids) and ids.count(16) == 2
+
+
+def test_every_label_is_learned(spark):
+    # 80 languages, each with letters of its own; the last by name are as frequent as the others or rarer.
+    def text(j, k):
+        return " ".join("".join(chr(0x4E00 + 40 * j + (7 * k + 3 * w + c) % 40) for c in range(4)) for w in range(12))
+
+    made = [(1000 * j + k, text(j, k), f"l{j:02}", "s", 1, "x", 7, 0.5, 3, 9, "c", "b", "p", "no", 11) for j in range(80) for k in range(14 if j < 64 else 10)]
+    got = langid.identify(frame(spark, made)).where("held_out").collect()
+    assert len({r["doc_id"] // 1000 for r in got}) > 70
+    right = sum(r["lang_pred"] == f"l{r['doc_id'] // 1000:02}" for r in got)
+    print("right", right, "of", len(got))
+    assert right == len(got)

@@ -3,8 +3,9 @@
 *Model.* For each language, smoothed frequencies of hashed letter trigrams (words in lower case, with
 their borders), learned from labelled rows whose ``crc32(doc_id)`` modulo 5 is not 0. Rows are taken
 by a hash of the id at a rate that gives about ``TRAIN_ROWS`` rows a language (all, if it has fewer);
-counting is a Spark aggregation, and the table of at most ``MAX_LANGUAGES * BUCKETS`` numbers goes to
-the workers.
+counting is a Spark aggregation. Every label is a language. The table that goes to the workers is sparse:
+a language's met buckets and one value for all others, so its size follows the sample, and texts are fitted in
+smaller runs where there are many languages.
 
 *Inference.* A document is a mixture of languages: each word comes from one of them, with the word's
 likelihood from its trigrams. Expectation-maximisation estimates the proportions. Languages are
@@ -15,9 +16,8 @@ that proportion is the score.
 
 Only the text goes into a prediction, and the whole text. Defined results: a null text, or one without
 a letter, is ``und`` with score 0, as is every row when nothing could be learned (no labelled rows). A
-null ``doc_id`` counts as held out. Equal proportions go to the first language by name. Languages
-beyond the ``MAX_LANGUAGES`` most frequent are not learned. Rows may repeat; columns beside
-``doc_id, text, lang`` are not read.
+null ``doc_id`` counts as held out. Equal proportions go to the first language by name. Rows may repeat;
+columns beside ``doc_id, text, lang`` are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
 TRAIN_ROWS = 4000
-MAX_LANGUAGES = 64
 PENALTY = 2.0
 ROUNDS = 12
 #: Most languages of one document's set.
@@ -41,6 +40,8 @@ MAX_SET = 4
 FLOOR = 1e-6
 #: Characters whose trigrams are looked up at once, and texts fitted at once; they bound memory only.
 SLICE, RUN_CHARS = 250_000, 500_000
+#: So many languages are counted together, and fitted in runs of ``RUN_CHARS``; more of them in parts, and in smaller runs.
+AT_ONCE = 64
 NONE = "und"
 
 
@@ -69,11 +70,11 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return bucket, word, text[at[first]], np.bincount(word)
 
 
-def _runs(texts: list[str]) -> Iterator[slice]:
-    start, size = 0, 0
+def _runs(texts: list[str], languages: int = 1) -> Iterator[slice]:
+    start, size, most = 0, 0, RUN_CHARS * AT_ONCE // max(AT_ONCE, languages)
     for k, t in enumerate(texts):
         size += len(t)
-        if size >= RUN_CHARS:
+        if size >= most:
             yield slice(start, k + 1)
             start, size = k + 1, 0
     if start < len(texts):
@@ -84,13 +85,27 @@ def _held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
-def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages by name, and log probabilities ``(BUCKETS, languages)``."""
+class Table:
+    """Log probabilities ``(BUCKETS, languages)``: ``lists`` has the met buckets and their values of each
+    language, ``rest`` the value of all its other buckets."""
+
+    def __init__(self, lists: list[tuple[np.ndarray, np.ndarray]], rest: np.ndarray):
+        self.lists, self.rest = lists, rest
+
+    def __getitem__(self, at: tuple[np.ndarray, int]) -> np.ndarray:
+        buckets, j = at
+        column = np.full(BUCKETS, self.rest[j], np.float32)
+        column[self.lists[j][0]] = self.lists[j][1]
+        return column[buckets]
+
+
+def learn(docs: DataFrame) -> tuple[list[str], Table]:
+    """Languages by name, and their table."""
     labelled = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~_held_out(F.col("doc_id")))
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = labelled.groupBy("lang").count().collect()  # a row a label
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
-        return [], np.zeros((BUCKETS, 0))
+        return [], Table([], np.zeros(0, np.float32))
     rate = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, TRAIN_ROWS / r["count"]))])
     # The hash of the id decides alone, so the sample is the same on each attempt of a task.
     share = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)
@@ -98,21 +113,33 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
+
+        def counted() -> Iterator[pd.DataFrame]:
+            for lang, n in total.items():
+                at = np.flatnonzero(n)
+                yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": n[at]})
+            total.clear()
+
         for pdf in batches:
             for lang, part in pdf.groupby("lang"):
                 texts = part["text"].tolist()
                 for run in _runs(texts):
                     found = np.bincount(words_of(texts[run])[0], minlength=BUCKETS)
                     total[lang] = total.get(lang, 0) + found
-        for lang, n in total.items():
-            at = np.flatnonzero(n)
-            yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": n[at]})
+                if len(total) >= AT_ONCE:
+                    yield from counted()
+        yield from counted()
 
     counts = sample.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros((BUCKETS, len(langs)))
-    table[counts["bucket"].to_numpy(), counts["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy()] = counts["n"].to_numpy()
-    table += 0.5
-    return langs, np.log(table / table.sum(axis=0))
+    parts = {lang: (part["bucket"].to_numpy(), part["n"].to_numpy()) for lang, part in counts.groupby("lang")}
+    none = (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    lists, rest = [], []
+    for lang in langs:
+        at, n = parts.get(lang, none)
+        whole = n.sum() + 0.5 * BUCKETS
+        lists.append((at.astype(np.int32), np.log((n + 0.5) / whole).astype(np.float32)))
+        rest.append(np.log(0.5 / whole))
+    return langs, Table(lists, np.array(rest, np.float32))
 
 
 def fit(likely: np.ndarray, start: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +158,7 @@ def fit(likely: np.ndarray, start: np.ndarray, allowed: np.ndarray) -> tuple[np.
     return share, np.add.reduceat(np.log(total[:, 0]), start)
 
 
-def predict(texts: list[str], langs: list[str], table: np.ndarray) -> tuple[list[str], list[float]]:
+def predict(texts: list[str], langs: list[str], table: Table | np.ndarray) -> tuple[list[str], list[float]]:
     bucket, word, text, size = words_of(texts)
     lang, score = [NONE] * len(texts), [0.0] * len(texts)
     if not len(bucket) or not langs:
@@ -162,15 +189,15 @@ def predict(texts: list[str], langs: list[str], table: np.ndarray) -> tuple[list
     return lang, score
 
 
-def predict_column(text: Column, model: tuple[list[str], np.ndarray], spark) -> Column:
+def predict_column(text: Column, model: tuple[list[str], Table], spark) -> Column:
     """``struct<lang_pred, score>`` of each whole text."""
-    sent = spark.sparkContext.broadcast((model[0], model[1].astype(np.float32)))
+    sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def guess(s: pd.Series) -> pd.DataFrame:
         langs, table = sent.value
         texts, lang, score = [t or "" for t in s], [], []
-        for run in _runs(texts):
+        for run in _runs(texts, len(langs)):
             a, b = predict(texts[run], langs, table)
             lang += a
             score += b
