@@ -35,3 +35,10 @@ def test_one_row_of_each_group_stays_with_all_columns(spark):
 def test_empty_table(spark):
     assert exactdup.exact_groups(empty(spark)).count() == 0
     assert exactdup.drop_copies(empty(spark)).count() == 0
+
+
+def test_white_space_variants_of_one_id(spark):
+    base = [(None, "a b"), (None, "ab"), (13, "c d"), (13, "cd"), (14, "e f"), (14, "e\tf")]
+    docs = frame(spark, [(i, t, "en", "a", 3, *rows()[0][5:]) for i, t in base])
+    got = Counter((r["doc_id"], r["text"].replace("\t", " ")) for r in exactdup.drop_copies(docs).collect())
+    assert got == {(None, "a b"): 1, (13, "c d"): 1, (14, "e f"): 1}

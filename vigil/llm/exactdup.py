@@ -51,6 +51,10 @@ def _narrow(docs: DataFrame) -> DataFrame:
 
 def exact_groups(docs: DataFrame) -> DataFrame:
     """``(doc_id, keep_id, group_size, kept, text_sha256)``, one row for each row of ``docs``."""
+    return _grouped(docs).drop("n_cp")
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
     rows = materialize(_narrow(docs), "exact-rows")
     # Key sets are written first: both sides of each join are plain tables, so the rows of a hot
     # length or prefix are split by the skew join.
@@ -76,12 +80,14 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
         (alone | (same(F.col("doc_id"), F.col("g_keep")) & (F.col("n_cp") == F.col("g_cp")))).alias("kept"),
         "text_sha256",
+        "n_cp",
     )
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group, all columns as they came."""
-    kept = exact_groups(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("__n"))
-    kept = kept.withColumnsRenamed({"doc_id": "id", "text_sha256": "sha"})
-    key = {"id": F.col("doc_id").cast("long"), "sha": F.sha2(normalised(whole_text()), 256)}
+    # The length is in the key: rows of one id may differ in white space, and only the longest is kept.
+    kept = _grouped(docs).where("kept").groupBy("doc_id", "text_sha256", "n_cp").agg(F.count("*").alias("__n"))
+    kept = kept.withColumnsRenamed({"doc_id": "id", "text_sha256": "sha", "n_cp": "cp"})
+    key = {"id": F.col("doc_id").cast("long"), "sha": F.sha2(normalised(whole_text()), 256), "cp": F.char_length(whole_text())}
     return keep_rows(docs, key, materialize(kept, "exact-kept"))
