@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import exactdup, fst, langid, licenses, mixing, simhash, spm, suffix, topk, warc
+from vigil.llm import collocations, exactdup, fst, langid, licenses, mixing, ranked, simhash, spm, suffix, tokenfiles, topk, warc
 from vigil.llm.common import documents, read_table, ship_package
 from vigil.llm.pieces import default_model
+from vigil.session import checkpoint_subdir
 
 
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +61,23 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_groups(documents(spark, sf_dir))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return ranked.search(read_table(spark, sf_dir, "benchmark"), documents(spark, sf_dir))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return collocations.mine(documents(spark, sf_dir))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    folder = checkpoint_subdir(spark, f"token-files-{uuid.uuid4().hex}")
+    tokenfiles.write(documents(spark, sf_dir), folder)
+    return tokenfiles.report(spark, folder)
+
+
 REGISTRY = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_license_scan": op2_license_scan,
@@ -69,6 +89,9 @@ REGISTRY = {
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_collocations": op12_collocations,
+    "op13_token_files": op13_token_files,
 }
 
 ORACLE = {
@@ -131,4 +154,61 @@ ORACLE = {
             FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r
     """,
+    "op11_ranked_search": r"""
+        WITH d AS (
+            SELECT doc_id, row_number() OVER () AS row_no,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+        i AS (
+            SELECT item_id, row_number() OVER () AS item_no,
+                   unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        c AS (SELECT count(*) AS nn, sum(len(t))::BIGINT AS ll FROM d WHERE len(t) > 0),
+        u AS (SELECT row_no, doc_id, len(t) AS n, unnest(t) AS term FROM d),
+        tf AS MATERIALIZED (SELECT row_no, doc_id, n, term, count(*) AS tf FROM u WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+        w AS (
+            SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, c GROUP BY term, nn),
+        q AS (SELECT item_no, item_id, term, count(*) AS uses FROM i GROUP BY ALL),
+        s AS (
+            SELECT item_no, item_id, row_no, doc_id,
+                   sum(uses * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * nn) // ll))))::BIGINT AS score
+            FROM q JOIN tf USING (term) JOIN w USING (term), c GROUP BY ALL),
+        r AS (
+            SELECT *, row_number() OVER (PARTITION BY item_no ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+    """,
+    "op12_collocations": r"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS row_no,
+                   string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+            FROM documents),
+        g AS (SELECT lang, row_no, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k FROM p),
+        h AS (SELECT lang, row_no, k, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM g),
+        o AS MATERIALIZED (
+            SELECT lang, unnest(ws) AS w1, unnest(list_append(ws[2:], NULL)) AS w2,
+                   unnest(list_append(list_append(ws[3:], NULL), NULL)[1:len(ws)]) AS w3 FROM h WHERE len(ws) > 0),
+        f1 AS MATERIALIZED (SELECT lang, w1, count(*) AS f FROM o GROUP BY ALL),
+        f2 AS MATERIALIZED (SELECT lang, w1, w2, count(*) AS f FROM o WHERE w2 IS NOT NULL GROUP BY ALL),
+        f3 AS MATERIALIZED (SELECT lang, w1, w2, w3, count(*) AS f FROM o WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        n AS (SELECT lang, count(*) AS n FROM o GROUP BY lang),
+        two AS (
+            SELECT f2.lang, f2.w1 || ' ' || f2.w2 AS phrase, f2.f AS a, x.f AS l, y.f AS r, 1 AS k
+            FROM f2 JOIN f1 x ON x.lang = f2.lang AND x.w1 = f2.w1 JOIN f1 y ON y.lang = f2.lang AND y.w1 = f2.w2
+            WHERE f2.f >= 10
+              AND NOT EXISTS (SELECT 1 FROM f3 WHERE f3.lang = f2.lang AND f3.w1 = f2.w1 AND f3.w2 = f2.w2 AND 100 * f3.f >= 50 * f2.f)
+              AND NOT EXISTS (SELECT 1 FROM f3 WHERE f3.lang = f2.lang AND f3.w2 = f2.w1 AND f3.w3 = f2.w2 AND 100 * f3.f >= 50 * f2.f)),
+        three AS (
+            SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3 AS phrase, f3.f AS a, x.f AS l, y.f AS r, 1 AS k
+            FROM f3 JOIN f1 x ON x.lang = f3.lang AND x.w1 = f3.w1 JOIN f2 y ON y.lang = f3.lang AND y.w1 = f3.w2 AND y.w2 = f3.w3
+            UNION ALL
+            SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.f, x.f, y.f, 2
+            FROM f3 JOIN f2 x ON x.lang = f3.lang AND x.w1 = f3.w1 AND x.w2 = f3.w2 JOIN f1 y ON y.lang = f3.lang AND y.w1 = f3.w3),
+        c AS (
+            SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score
+            FROM (SELECT * FROM two UNION ALL SELECT * FROM three)),
+        b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS cut FROM c),
+        r AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b WHERE cut = 1)
+        SELECT r.lang, rank, phrase, a, l, r.r, n.n, score FROM r JOIN n ON n.lang = r.lang WHERE rank <= 2000
+    """,
 }
