@@ -46,17 +46,20 @@ def test_damaged_files_are_refused():
 
 def texts():
     rnd = random.Random(3)
-    parts = ["a", "the", "The", " ", "  ", "\n", "\n\n", "\t", "é", "ción", "中文", "𝒳", "'s", "'", "12", ".", "<|endoftext|>", "\xa0", " ", "\x1c", "\x85", "\r\n", "!", "don't", "​", "́"]
+    parts = ["a", "the", ".", ",", "...", "?!", "²", "½", "ʀ", "ɏ", "-", "_", "\x1f", "　", "<|", "|>", "\x0b", "'ll", "'T", "The", " ", "  ", "\n", "\n\n", "\t", "é", "ción", "中文", "𝒳", "'s", "'", "12", ".", "<|endoftext|>", "\xa0", " ", "\x1c", "\x85", "\r\n", "!", "don't", "​", "́"]
     hard = ["", " ", "\n", " a", "\na", "a ", "a\n", "a \n b", "<|endoftext|>", " <|endoftext|> x", "=" * 500, " " * 90 + "x", "a" * 3000]
-    return hard + ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 40))) for _ in range(4000)]
+    return hard + ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 20))) for _ in range(8000)]
 
 
 def test_ids_equal_the_library(library, monkeypatch):
-    coder = tokenfiles.Encoder(tokenfiles.default_tokenizer())
-    for size in (1 << 19, 5):
-        monkeypatch.setattr(tokenfiles, "MAX_FORMS", size)
-        for t in texts()[: 10**6 if size > 5 else 300]:
-            assert np.frombuffer(coder.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+    some = texts()
+    want = [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+    for forms, chars, long in ((1 << 20, 1 << 20, 64), (50, 100, 3)):
+        for name, v in (("MAX_FORMS", forms), ("GROUP_CHARS", chars), ("MAX_FORM_CHARS", long)):
+            monkeypatch.setattr(tokenfiles, name, v)
+        got = tokenfiles.Encoder(tokenfiles.default_tokenizer()).encode(some)
+        for t, ids, w in zip(some, got, want, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == w, repr(t)
 
 
 def brute(library, made):

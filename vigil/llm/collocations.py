@@ -48,7 +48,7 @@ class Sizes(NamedTuple):
 
     head_bits: int = 18  # the head's ids have so many bits (20 at most: three make one number)
     head_bytes: int = 64
-    buffer: int = 1 << 21
+    buffer: int = 1 << 20
     tile_bits: int = 10
     dense: float = 1 / 16  # a tile with this share of its cells is dense
     sieve_bits: int = 1 << 27
@@ -284,8 +284,8 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP, sizes: Sizes = Siz
     words = counted.where("word IS NOT NULL")
     totals = counted.where("word IS NULL").select("lang", F.col("n").alias("total"))
     head: dict[str, dict[bytes, int]] = {}
-    best = words.where(F.octet_length("word") <= sizes.head_bytes).orderBy(F.desc("n"), "lang", "word").limit(sizes.head).select("lang", "word").collect()
-    for i, (lang, word) in enumerate(best):
+    best = words.where(F.octet_length("word") <= sizes.head_bytes).orderBy(F.desc("n"), "lang", "word").limit(sizes.head).select("lang", "word").toPandas()
+    for i, (lang, word) in enumerate(zip(best["lang"], best["word"], strict=True)):
         head.setdefault(lang, {})[word.encode()] = i
     head = spark.sparkContext.broadcast(head)
     pairs = materialize(_mined(docs, head, None, least, sizes), "phrase-pairs")

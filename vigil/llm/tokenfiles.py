@@ -7,10 +7,11 @@ never cut. Each shard is one file of :mod:`vigil.llm.wavelet`, in which the ids
 ride along. Spark's text writer commits them (the file, then a line feed that its reader ignores), so a lost
 or repeated task leaves no file twice, in any store that Spark writes to.
 
-*Encoding.* The library encodes each distinct form once: texts are cut before every space or line feed that
-follows a character which is not white space. The tokenizer's own split never joins these two (its matches
-take white space at their start only, and its added tokens hold none), which is checked against the model
-file; forms are forgotten after ``MAX_FORMS``. So very long texts need no more memory than their ids.
+*Encoding.* The library encodes each distinct form once. Texts are cut only where the tokenizer's own split cuts
+too, whatever stands around: before white space that follows another character (its matches take white space
+at their start only), between a letter or digit and a point or the like (matches with letters end in one), and
+after a single line feed before a letter or digit. Added tokens hold neither, which is checked against the
+model file. Forms are forgotten after ``MAX_FORMS``; very long texts need no more memory than their ids.
 
 *Reading.* ``binaryFile`` hands whole files to tasks; :func:`documents_of` decodes them, :func:`count_token` and
 :func:`locate_token` ask rank and select of one token and decode nothing.
@@ -23,8 +24,10 @@ empty result. Only ``doc_id`` and ``text`` are read.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,12 +44,19 @@ SHARD_TOKENS = 1 << 22
 #: Shards of one task; a shard's number is its task's, then its own.
 _PER_TASK = 1 << 20
 #: Distinct forms a worker remembers, and the longest of them.
-MAX_FORMS = 1 << 19
+MAX_FORMS = 1 << 20
 MAX_FORM_CHARS = 64
+#: Characters of texts that are cut at once.
+GROUP_CHARS = 1 << 20
 END = 0
 
-_CUT = re.compile(r"(?<=\S)(?=[ \n])")
-_RUN = re.compile(r"\s[ \n]")
+# --- Fixed values: Unicode's white space, as the tokenizer's split knows it; plain letters and digits ------
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_PLAIN = "A-Za-z0-9À-ÖØ-öø-ɏ"
+# -----------------------------------------------------------------------------------------------------------
+_STOP = ".,;:!?"
+#: A plain word before a stop or white space, a stop before a space, a line feed before a word, or all up to white space.
+_FORM = re.compile(f" ?[{_PLAIN}]+(?=[{_STOP}{_WHITE}]|\\Z)|[{_STOP}](?=[ \\n]|\\Z)|\n(?=[{_PLAIN}])|[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 
 
 def default_tokenizer() -> str:
@@ -59,6 +69,7 @@ class Encoder:
     """Ids of whole texts as little-endian 32-bit integers, as the library gives them without special tokens."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel ones
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -66,33 +77,34 @@ class Encoder:
         split = model["pre_tokenizer"] or {}
         if model["normalizer"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
             raise ValueError("only byte-level models without normaliser and prefix space are supported")
-        if any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in model["added_tokens"]):
-            raise ValueError("added tokens must neither hold nor take white space")
+        if any(re.search(f"[{_STOP}{_WHITE}]", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in model["added_tokens"]):
+            raise ValueError("added tokens must neither hold nor take white space, nor hold stops")
         self.library = Tokenizer.from_file(path)
         self.planes = max(1, (max(self.library.get_vocab_size(), 2) - 1).bit_length())
         self.forms: dict[str, bytes] = {}
 
-    def _new(self, form: str) -> bytes:
-        ids = np.asarray(self.library.encode(form, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(form) <= MAX_FORM_CHARS:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out, at = [], 0
+        while at < len(texts):
+            # A group of texts: its new forms go to the library together.
+            end, chars = at, 0
+            while end < len(texts) and chars < GROUP_CHARS:
+                chars += len(texts[end])
+                end += 1
+            cut = [_FORM.findall(t) for t in texts[at:end]]
             if len(self.forms) >= MAX_FORMS:
                 self.forms.clear()
-            self.forms[form] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if text[0] in " \n" or _RUN.search(text):
-            forms = _CUT.split(text)
-        else:  # the same cuts, faster
-            first, *rest = text.replace("\n", " \n").split(" ")
-            forms = [first, *[w if w[:1] == "\n" else " " + w for w in rest]]
-        get, found = self.forms.get, []
-        for form in forms:
-            ids = get(form)
-            found.append(self._new(form) if ids is None else ids)
-        return b"".join(found)
+            new = list({f for forms in cut for f in forms if f not in self.forms})
+            known = self.forms
+            if new:
+                made = (np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(new, add_special_tokens=False))
+                fresh = dict(zip(new, made, strict=True))
+                self.forms.update((f, ids) for f, ids in fresh.items() if len(f) <= MAX_FORM_CHARS)
+                long = {f: ids for f, ids in fresh.items() if len(f) > MAX_FORM_CHARS}
+                known = ChainMap(self.forms, long) if long else self.forms
+            out += [b"".join(map(known.__getitem__, forms)) for forms in cut]
+            at = end
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -122,8 +134,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int =
             return pd.DataFrame({"shard": [task * _PER_TASK + k - 1], "value": [made]})
 
         for batch in batches:
-            for doc, text in zip(batch["doc"], batch["text"], strict=True):
-                got = coder.encode(text) + last
+            for doc, got in zip(batch["doc"], coder.encode(batch["text"].tolist()), strict=True):
+                got += last
                 ids.append(got)
                 docs_.append(None if doc == "" else int(doc))
                 sizes.append(len(got) // 4)
