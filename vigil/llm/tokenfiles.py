@@ -27,7 +27,6 @@ import json
 import os
 import re
 import zlib
-from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -94,15 +93,15 @@ class Encoder:
             cut = [_FORM.findall(t) for t in texts[at:end]]
             if len(self.forms) >= MAX_FORMS:
                 self.forms.clear()
-            new = list({f for forms in cut for f in forms if f not in self.forms})
-            known = self.forms
-            if new:
-                made = (np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(new, add_special_tokens=False))
-                fresh = dict(zip(new, made, strict=True))
-                self.forms.update((f, ids) for f, ids in fresh.items() if len(f) <= MAX_FORM_CHARS)
-                long = {f: ids for f, ids in fresh.items() if len(f) > MAX_FORM_CHARS}
-                known = ChainMap(self.forms, long) if long else self.forms
-            out += [b"".join(map(known.__getitem__, forms)) for forms in cut]
+            got = [list(map(self.forms.get, forms)) for forms in cut]
+            new = list({f for forms, ids in zip(cut, got, strict=True) if None in ids for f, x in zip(forms, ids, strict=True) if x is None})
+            made = (np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(new, add_special_tokens=False))
+            fresh = dict(zip(new, made, strict=True))
+            self.forms.update((f, ids) for f, ids in fresh.items() if len(f) <= MAX_FORM_CHARS)
+            for forms, ids in zip(cut, got, strict=True):
+                if None in ids:
+                    ids = [fresh[f] if x is None else x for f, x in zip(forms, ids, strict=True)]
+                out.append(b"".join(ids))
             at = end
         return out
 
