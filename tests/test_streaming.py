@@ -36,20 +36,34 @@ def test_stream_queue_equals_batch_replay(spark):
     log = random_log(rng, 600, 25, ts_span=600)
     folder = _write_batches(spark, log, 6)
     ops = spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
-    data, ckpt = Ss.new_sink(spark, "test-queue")
-    Ss.run_to_parquet(Sq.queue_stream(ops), data, ckpt).awaitTermination()
-    out = spark.read.parquet(data)
-    versions = out.where("outcome = 'state'").groupBy().max("version").first()[0]
-    assert versions > 1  # state carried across several micro-batches
+    out_dir, ckpt = Ss.new_sink(spark, "test-queue")
+    Sq.stream_queue(ops, out_dir, ckpt, partitions=7).awaitTermination()
+    out = Sq.read_outcomes(spark, out_dir)
+    assert out.select("batch").distinct().count() > 1  # the queue went on over several micro-batches
     q_model, acts_model, nf_model, del_model = simulate(log)
     acts = sorted((r.seq, r.comment_id, r.op, r.doc_id) for r in out.where("outcome = 'recorded'").collect())
     nf = sorted(r.seq for r in out.where("outcome = 'not_found'").collect())
     de = sorted(r.seq for r in out.where("outcome = 'deleted'").collect())
     assert (acts, nf, de) == (acts_model, nf_model, del_model)
-    queue = Sq.current_queue(out).orderBy("queued_ts", "queued_seq").collect()
+    queue = Sq.current_queue(spark, out_dir).orderBy("queued_ts", "queued_seq").collect()
     assert [(r.comment_id, r.doc_id, r.confidence) for r in queue] == q_model
     batch = R.replay(spark.createDataFrame(log, LOG_SCHEMA))
     assert sorted(r.comment_id for r in batch.queue_state.collect()) == sorted(r.comment_id for r in queue)
+    assert len(Ss.child_names(spark, f"{out_dir}/queue")) == Sq.KEEP_VERSIONS
+
+
+def test_repeated_batch_changes_nothing(spark):
+    """Spark may run a batch again after a failure: same files, same rows."""
+    rng = random.Random(8)
+    log = random_log(rng, 200, 9, ts_span=200)
+    log.sort(key=lambda r: (r[1], r[0]))
+    out_dir, _ = Ss.new_sink(spark, "test-repeat")
+    step = Sq.queue_step(out_dir, partitions=3)
+    parts = [spark.createDataFrame(log[i:i + 100], LOG_SCHEMA) for i in (0, 100)]
+    step(parts[0], 0), step(parts[1], 1)
+    before = sorted(map(str, Sq.read_outcomes(spark, out_dir).collect())), sorted(map(str, Sq.current_queue(spark, out_dir).collect()))
+    step(parts[1], 1)
+    assert before == (sorted(map(str, Sq.read_outcomes(spark, out_dir).collect())), sorted(map(str, Sq.current_queue(spark, out_dir).collect())))
 
 
 def test_stream_classify(spark):

@@ -48,6 +48,16 @@ def toxic_flags(df: DataFrame, key: str, lexicon: Sequence[str] = DEFAULT_LEXICO
     return df.select(key, lexicon_hit(text_col, lexicon).alias("toxic"))
 
 
+def scored_flags(df: DataFrame, scorer: Scorer, key: str, threshold: float = 0.0) -> DataFrame:
+    """``(key, toxic, confidence)`` by any scorer: ``df (key, text)`` -> the same rows with ``label, confidence``.
+
+    Toxic is what the scorer calls so with ``threshold`` or more; the confidence goes into the queue.
+    """
+    scored = scorer(df.select(key, "text"))
+    toxic = (F.col("label") == LABEL_TOXIC) & (F.col("confidence") >= F.lit(threshold))
+    return scored.select(key, F.coalesce(toxic, F.lit(False)).alias("toxic"), F.col("confidence").cast("double").alias("confidence"))
+
+
 def flagged(df: DataFrame) -> DataFrame:
     """Only rows the classifier calls toxic go to the queue."""
     return df.where(F.col("label") == LABEL_TOXIC)

@@ -161,6 +161,60 @@ def q_comment_status(spark: SparkSession, sf: str) -> DataFrame:
     return R.comment_status(moderation(spark, sf))
 
 
+# --- the queue as a stored snapshot (J1, J2) ----------------------------------
+
+
+def _halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The operation log before and from the day in the middle of its time; ops without a time are early."""
+    log = T.operation_log(spark, sf)
+    day = F.to_date("ts")
+    mid = log.select(F.date_add(F.min(day), F.floor(F.datediff(F.max(day), F.min(day)) / 2).cast("int"))).scalar()
+    early = F.coalesce(day < mid, F.lit(True))
+    return log.where(early), log.where(~early)
+
+
+def _snapshot(spark: SparkSession, sf: str) -> tuple[R.Replay, DataFrame, DataFrame, DataFrame]:
+    """The replay of the first half, its queue as a written table, the ops of the second half, the flags."""
+    early, late = _halves(spark, sf)
+    flags = C.toxic_flags(T.documents(spark, sf), "doc_id")
+    first = R.replay(early, flags=flags, texts=T.documents(spark, sf))
+    return first, materialize(first.queue_state, "queue-snapshot"), late, flags
+
+
+@register("queue_resumed")
+def q_queue_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """The queue after the second half of the log, from the snapshot of the first (equals ``queue_now``)."""
+    _, queue, late, flags = _snapshot(spark, sf)
+    return R.advance(queue, late, flags=flags, texts=T.documents(spark, sf)).queue
+
+
+@register("actions_resumed")
+def q_actions_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """The actions of both steps (equal ``actions``)."""
+    first, queue, late, flags = _snapshot(spark, sf)
+    return first.actions.unionByName(R.advance(queue, late, flags=flags, texts=first.texts).actions)
+
+
+@register("resolve")
+def q_resolve(spark: SparkSession, sf: str) -> DataFrame:
+    """The actions of the second half as one batch of clicks on the snapshot."""
+    first, queue, late, _ = _snapshot(spark, sf)
+    return R.resolve(queue, late.where(~F.col("op").isin(R.DETECT, R.DELETE)), first.texts)[0]
+
+
+@register("resolve_not_found")
+def q_resolve_not_found(spark: SparkSession, sf: str) -> DataFrame:
+    _, queue, late, _ = _snapshot(spark, sf)
+    return R.resolve(queue, late.where(~F.col("op").isin(R.DETECT, R.DELETE)))[1]
+
+
+@register("delete_batch")
+def q_delete_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """The snapshot after the deletes of the second half."""
+    _, queue, late, _ = _snapshot(spark, sf)
+    return R.delete(queue, late.where(F.col("op") == R.DELETE))[0]
+
+
 # --- feedback -> training set (P12-P14, A1-A3, U1, O3, A8, R2, R3) -----------
 
 
@@ -414,7 +468,7 @@ def q_stream_classify(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("stream_queue")
 def q_stream_queue(spark: SparkSession, sf: str) -> DataFrame:
-    """Recorded actions of the keyed-state queue over the events stream (equals ``actions``)."""
+    """Recorded actions of the queue over the events stream (equals ``actions``)."""
     n_docs = T.documents(spark, sf).count()
     flags = materialize(C.toxic_flags(T.documents(spark, sf), "doc_id"), "doc-flags")
     ev = Ss.read_table_stream(spark, sf, "events", "event_id long, ts timestamp_ntz, user_id long, event_type string")
@@ -423,12 +477,10 @@ def q_stream_queue(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("t1_"), F.col("user_id").cast("string")).alias("comment_id"),
         T._op_expr(F.col("event_type")).alias("op"),
         F.pmod(F.col("event_id"), F.lit(n_docs)).alias("doc_id"),
-    ).join(flags, "doc_id", "left")
-    data, ckpt = Ss.new_sink(spark, "stream-queue")
-    queue = Sq.queue_stream(ops)
-    Ss.run_to_parquet(queue, data, ckpt).awaitTermination()
-    out = spark.read.schema(queue.schema).parquet(data)
-    return out.where(F.col("outcome") == "recorded").select(
+    )
+    out, ckpt = Ss.new_sink(spark, "stream-queue")
+    Sq.stream_queue(ops, out, ckpt, flags=flags).awaitTermination()
+    return Sq.read_outcomes(spark, out).where("outcome = 'recorded'").select(
         F.col("seq").alias("id"), "comment_id", F.col("op").alias("action"), F.col("ts").alias("timestamp"), "doc_id"
     )
 

@@ -151,6 +151,30 @@ ORACLE["delete"] = REPLAY_CTE + """
 SELECT seq, ts, comment_id FROM steps WHERE op = 'delete' AND prev_op = 'detect'
 """
 
+# --- the queue as a stored snapshot: the log cut at a day ------------------------
+_EARLY = "coalesce(CAST(ts AS DATE) < (SELECT min(CAST(ts AS DATE)) + CAST((max(CAST(ts AS DATE)) - min(CAST(ts AS DATE))) // 2 AS INTEGER) FROM events), true)"
+SNAPSHOT_CTE = REPLAY_CTE.replace("WHERE o.op <> 'detect' OR coalesce(f.toxic, false)", f"WHERE (o.op <> 'detect' OR coalesce(f.toxic, false)) AND {_EARLY}") + f"""
+, snap AS (SELECT comment_id, doc_id, CAST(0.925 AS DOUBLE) AS confidence, queued_ts, queued_seq FROM runs WHERE rn = 1 AND op = 'detect'),
+late AS (SELECT *, row_number() OVER (PARTITION BY comment_id ORDER BY ts, seq) AS k FROM ops WHERE NOT {_EARLY} AND op NOT IN ('detect', 'delete'))
+"""
+
+ORACLE["queue_resumed"] = ORACLE["queue_now"]
+
+ORACLE["actions_resumed"] = ORACLE["actions"]
+
+ORACLE["resolve"] = SNAPSHOT_CTE + """
+SELECT l.seq AS id, l.comment_id, d.text, l.op AS action, l.ts AS timestamp, s.doc_id
+FROM late l JOIN snap s ON s.comment_id = l.comment_id LEFT JOIN documents d ON d.doc_id = s.doc_id WHERE l.k = 1
+"""
+
+ORACLE["resolve_not_found"] = SNAPSHOT_CTE + """
+SELECT seq, ts, comment_id, op FROM late WHERE k > 1 OR comment_id NOT IN (SELECT comment_id FROM snap)
+"""
+
+ORACLE["delete_batch"] = SNAPSHOT_CTE + f"""
+SELECT * FROM snap WHERE comment_id NOT IN (SELECT comment_id FROM ops WHERE op = 'delete' AND NOT {_EARLY})
+"""
+
 ORACLE["history"] = REPLAY_CTE + """
 SELECT comment_id, text, action, timestamp FROM acts ORDER BY timestamp DESC NULLS LAST
 """

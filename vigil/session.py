@@ -6,10 +6,12 @@ A cluster hands us a configured session; we only fill gaps that local runs
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
@@ -66,6 +68,26 @@ def checkpoint_subdir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}"
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this package wrote, in whatever store it is."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_SCRATCH: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`materialize` writes inside go at the end: for steps of a stream that never ends."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            remove_path(spark, path)
+
+
 def materialize(df, name: str):
     """Write ``df`` once to the shared checkpoint folder and read it back.
 
@@ -76,6 +98,8 @@ def materialize(df, name: str):
     spark = df.sparkSession
     path = checkpoint_subdir(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     # Later jobs of this application may read it; it goes when the application ends.
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)

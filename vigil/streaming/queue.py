@@ -1,123 +1,75 @@
-"""The moderation queue as keyed streaming state.
-
-``groupBy("comment_id").applyInPandasWithState``: the state of a comment is
-whether it is pending and, if so, the detected document, its confidence and
-its queue position. Each call receives that comment's rows of one
-micro-batch, orders them by ``(ts, seq)``, and applies the replay rules with
-vectorised pandas (``shift`` for the previous op; the first row's
-predecessor comes from the state). Rows that arrive in a later micro-batch
-than a newer row of the same comment cannot be re-ordered: arrival order
-across batches, ``(ts, seq)`` inside a batch. The batch replay
-(``operators.replay``) is the reference for backfills.
-
-Output rows, per comment and batch: one per delete / action
-(``recorded`` / ``deleted`` / ``not_found``) and, where the comment was or is
-pending, one ``state`` row with its queue state after the batch (``version``
-is the batch's time, so the newest state row wins).
-
-Scale: the function sees one comment's rows of one micro-batch, bounded by
-the trigger size (``maxFilesPerTrigger`` / ``maxBytesPerTrigger``). Only
-pending comments have a state, a handful of fields; it is removed when the
-comment leaves the queue.
+"""The moderation queue over a stream of operations, as a chain of queue snapshots.
+
+Each micro-batch is one step of :func:`vigil.operators.replay.advance`: the snapshot that the batch before left
+meets the batch's ops. So a comment with most rows of a micro-batch is cut over chunks like in the batch replay;
+no function ever holds all rows of a comment. Inside a batch the order is ``(ts, seq)``, across batches it is
+arrival: a row that comes in a later micro-batch than a newer row of its comment cannot be re-ordered. The batch
+replay is the reference for backfills.
+
+What is kept, under ``out_dir``: ``outcomes/batch=<id>`` (a row for each delete and action) and ``queue/<id>`` (the
+pending comments after the batch). Both are named by the batch and overwritten if Spark repeats it, so a retry
+after a lost driver changes nothing: the step reads the snapshot of an earlier batch only. The last
+``KEEP_VERSIONS`` snapshots stay. Null comment ids are one comment; a table of ops without rows is a step that
+changes nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from vigil.functions.text import CONFIDENCE_TOXIC
-from vigil.session import ship_package
-
-OUTPUT_SCHEMA = (
-    "comment_id string, seq long, ts timestamp_ntz, op string, outcome string, doc_id long, "
-    "confidence double, pending boolean, version long"
-)
-STATE_SCHEMA = "doc_id long, conf double, queued_ts timestamp_ntz, queued_seq long"
-_COLS = ["comment_id", "seq", "ts", "op", "outcome", "doc_id", "confidence", "pending", "version"]
-
-
-def _queue_step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (cid,) = key
-    pdf = pd.concat(list(pdfs), ignore_index=True)
-    was = pending = state.exists
-    doc, conf, qts, qseq = state.get if was else (None, None, None, None)
-    version = int(pdf["version"].iloc[0])
-
-    # Q2: clean detects never touch the queue.
-    pdf = pdf[(pdf["op"] != "detect") | pdf["toxic"].fillna(False).astype(bool)]
-    pdf = pdf.assign(_null=pdf["ts"].notna()).sort_values(["_null", "ts", "seq"], kind="mergesort")
-    out = []
-    if len(pdf):
-        kind = np.where(pdf["op"] == "detect", "D", np.where(pdf["op"] == "delete", "X", "A"))
-        prev = pd.Series(kind).shift(1).to_numpy(dtype=object)
-        prev[0] = "D" if pending else None
-        docs = pdf["doc_id"].to_numpy(dtype=object)
-        prev_doc = np.concatenate([[doc], docs[:-1]])
-        confs = pdf["confidence"].to_numpy(dtype=object) if "confidence" in pdf else np.full(len(pdf), CONFIDENCE_TOXIC)
-        confs = np.where(pd.isna(confs), CONFIDENCE_TOXIC, confs)
-        prev_conf = np.concatenate([[conf], confs[:-1]])
-        found = prev == "D"
-        outcome = np.where(kind == "D", None,
-                           np.where(~found, "not_found", np.where(kind == "X", "deleted", "recorded")))
-        ev = pd.DataFrame({
-            "comment_id": cid, "seq": pdf["seq"].to_numpy(), "ts": pdf["ts"].to_numpy(), "op": pdf["op"].to_numpy(),
-            "outcome": outcome, "doc_id": np.where(outcome == "recorded", prev_doc, None),
-            "confidence": np.where(outcome == "recorded", prev_conf, None), "pending": None, "version": version,
-        })
-        ev = ev[ev["outcome"].notna()]
-        if len(ev):
-            out.append(ev)
-        # New state: pending iff the last op is a detect; position = first detect of the final run.
-        starts = np.flatnonzero((kind == "D") & (prev != "D"))
-        if kind[-1] == "D":
-            if len(starts):
-                i = starts[-1]
-                t = pdf["ts"].iloc[i]
-                qts, qseq = (None if pd.isna(t) else pd.Timestamp(t).to_pydatetime()), int(pdf["seq"].iloc[i])
-            pending, doc, conf = True, docs[-1], float(confs[-1])
-        else:
-            pending, doc, conf, qts, qseq = False, None, None, None, None
-    if pending:
-        state.update((None if doc is None else int(doc), conf, qts, qseq))
-    elif was:
-        state.remove()
-    if not was and not pending:
-        if out:
-            yield out[0].astype(object)[_COLS]
-        return
-    snap = pd.DataFrame([{
-        "comment_id": cid, "seq": qseq, "ts": qts, "op": None, "outcome": "state",
-        "doc_id": None if doc is None else int(doc), "confidence": conf, "pending": pending, "version": version,
-    }])
-    out.append(snap)
-    # Object columns throughout: the all-null fields of the state row do not
-    # steer the dtypes; Arrow types the result from OUTPUT_SCHEMA.
-    yield pd.concat([f.astype(object) for f in out], ignore_index=True)[_COLS]
-
-
-def queue_stream(ops: DataFrame) -> DataFrame:
-    """Streaming ops ``seq, ts, comment_id, op, doc_id, toxic[, confidence]`` -> outcome rows."""
-    ship_package(ops.sparkSession)
-    cols = ["seq", "ts", "comment_id", "op", "doc_id", "toxic"] + (["confidence"] if "confidence" in ops.columns else [])
-    batch = F.unix_micros(F.current_timestamp()).alias("version")  # one value a micro-batch
-    return ops.select(*cols, batch).groupBy("comment_id").applyInPandasWithState(
-        _queue_step, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def current_queue(outcomes: DataFrame) -> DataFrame:
-    """The queue now, from the outcome rows: newest state row per comment, pending ones."""
-    snaps = outcomes.where(F.col("outcome") == "state")
-    last = snaps.groupBy("comment_id").agg(
-        F.max(F.struct("version", "pending", "doc_id", "confidence", "ts", "seq")).alias("s")
-    )
-    return last.where(F.col("s.pending")).select(
-        "comment_id", F.col("s.doc_id").alias("doc_id"), F.col("s.confidence").alias("confidence"),
-        F.col("s.ts").alias("queued_ts"), F.col("s.seq").alias("queued_seq"),
-    )
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from vigil.operators.replay import QUEUE_COLUMNS, advance
+from vigil.session import remove_path, scratch
+from vigil.streaming.sources import child_names, start
+
+QUEUE_SCHEMA = "comment_id string, doc_id long, confidence double, queued_ts timestamp_ntz, queued_seq long"
+OUTCOME_SCHEMA = "comment_id string, seq long, ts timestamp_ntz, op string, outcome string, doc_id long, confidence double"
+KEEP_VERSIONS = 2
+
+
+def _versions(spark: SparkSession, out_dir: str) -> list[int]:
+    return sorted(int(n) for n in child_names(spark, f"{out_dir}/queue") if n.isdigit())
+
+
+def _snapshot(spark: SparkSession, out_dir: str, before: int | None = None) -> DataFrame:
+    known = [v for v in _versions(spark, out_dir) if before is None or v < before]
+    if not known:
+        return spark.createDataFrame([], QUEUE_SCHEMA)
+    return spark.read.schema(QUEUE_SCHEMA).parquet(f"{out_dir}/queue/{known[-1]}")
+
+
+def queue_step(out_dir: str, flags: DataFrame | None = None, partitions: int | None = None):
+    """The function that ``foreachBatch`` calls with a batch of ops ``seq, ts, comment_id, op, doc_id[, toxic, confidence]``."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        with scratch(spark):
+            done = advance(_snapshot(spark, out_dir, batch_id), batch, flags=flags, partitions=partitions)
+            done.outcomes.write.mode("overwrite").parquet(f"{out_dir}/outcomes/batch={batch_id}")
+            done.queue_state.select(*QUEUE_COLUMNS).write.mode("overwrite").parquet(f"{out_dir}/queue/{batch_id}")
+        for old in [v for v in _versions(spark, out_dir) if v < batch_id][: -(KEEP_VERSIONS - 1)]:
+            remove_path(spark, f"{out_dir}/queue/{old}")
+
+    return step
+
+
+def stream_queue(
+    ops: DataFrame, out_dir: str, checkpoint: str, flags: DataFrame | None = None, partitions: int | None = None,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Run the queue over streaming ops; ``flags`` as in :func:`vigil.operators.replay.replay`."""
+    out_dir = out_dir.rstrip("/")
+    return start(ops.writeStream.foreachBatch(queue_step(out_dir, flags, partitions)), checkpoint, available_now)
+
+
+def read_outcomes(spark: SparkSession, out_dir: str) -> DataFrame:
+    """All outcomes so far, with the ``batch`` of each."""
+    schema = f"{OUTCOME_SCHEMA}, batch int"
+    if not child_names(spark, f"{out_dir.rstrip('/')}/outcomes"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{out_dir.rstrip('/')}/outcomes")
+
+
+def current_queue(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The pending comments after the last batch: ``comment_id, doc_id, confidence, queued_ts, queued_seq``."""
+    return _snapshot(spark, out_dir.rstrip("/"))

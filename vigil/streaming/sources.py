@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from vigil.session import checkpoint_subdir
 
@@ -25,6 +25,13 @@ def is_directory(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p) and fs.getFileStatus(p).isDirectory())
 
 
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def read_table_stream(
     spark: SparkSession, folder: str, table: str, schema: T.StructType | str, max_files: int = 1
 ) -> DataFrame:
@@ -48,9 +55,12 @@ def new_sink(spark: SparkSession, name: str) -> tuple[str, str]:
     return f"{base}/data", f"{base}/checkpoint"
 
 
+def start(writer: DataStreamWriter, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Start a stream; with ``available_now`` process what is there, then stop."""
+    writer = writer.option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
+
+
 def run_to_parquet(df: DataFrame, data_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Append ``df`` to a parquet folder; with ``available_now`` process what is there, then stop."""
-    w = df.writeStream.format("parquet").option("path", data_path).option("checkpointLocation", checkpoint)
-    w = w.outputMode("append")
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.start()
+    """Append ``df`` to a parquet folder."""
+    return start(df.writeStream.format("parquet").option("path", data_path).outputMode("append"), checkpoint, available_now)
