@@ -16,7 +16,7 @@ def test_oracle_keys_are_queries():
     # Only models and the report of a model's training go without an oracle (the optional
     # queries have tests of their own).
     rows_only = set(REGISTRY) - set(o)
-    assert rows_only <= {"train_score", "fit_epochs", "embedding_head", "stream_report", "train_report", "train_epochs", "model_saved"}
+    assert rows_only <= {"train_score", "fit_epochs", "embedding_head", "stream_report", "train_report", "train_epochs", "model_saved", "scan_pages_model", "queue_model"}
 
 
 def test_every_query_runs_at_sf0001(spark):

@@ -1,8 +1,10 @@
 """Lexicon classification (P1), flag filter (P2), queue projection.
 
 ``classify`` is a narrow projection: no shuffle, one pass, inside codegen.
-Any scorer with the same output contract (``label``, ``confidence``) can be
-used in its place, e.g. a fitted Spark ML model (see ``operators.train``).
+It is one :data:`Scorer`; ``graded`` and a fitted Spark ML model
+(``operators.train.model_scorer``) are others. The gate, the page scan
+(``pages.scan_pages``) and the queue (``scored_flags`` into ``replay.replay``
+or ``replay.advance``) take any of them.
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ from vigil.functions.text import (
     lexicon_hit,
 )
 
+#: ``df`` with a ``text`` -> the same rows and columns, with ``label`` and ``confidence`` (0 to 1).
 Scorer = Callable[[DataFrame], DataFrame]
+GRADED_BASE, GRADED_STEP = 75, 5
 
 
 def classify(df: DataFrame, lexicon: Sequence[str] = DEFAULT_LEXICON, text_col: str = "text") -> DataFrame:
@@ -40,6 +44,19 @@ def classify(df: DataFrame, lexicon: Sequence[str] = DEFAULT_LEXICON, text_col:
     return df.select(*[F.col(c) for c in df.columns], F.inline(F.array(F.when(hit, toxic).otherwise(clean))))
 
 
+def graded(df: DataFrame, lexicon: Sequence[str] = DEFAULT_LEXICON, text_col: str = "text") -> DataFrame:
+    """A scorer whose confidence grows with the number of different words met: 0.75, and 0.05 for each, at most 1.
+
+    The label is that of :func:`classify`; a clean text has 0.75. A null text is clean.
+    """
+    low = F.lower(F.col(text_col))
+    met = sum((F.when(low.contains(w), 1).otherwise(0) for w in lexicon), F.lit(0))
+    rows = df.select(*[F.col(c) for c in df.columns], F.inline(F.array(F.struct(met.alias("_met")))))
+    confidence = F.least(F.lit(GRADED_BASE) + F.lit(GRADED_STEP) * F.col("_met"), F.lit(100)).cast("double") / F.lit(100.0)
+    label = F.when(F.col("_met") > 0, F.lit(LABEL_TOXIC)).otherwise(F.lit(LABEL_CLEAN))
+    return rows.select(*[F.col(c) for c in df.columns], label.alias("label"), confidence.alias("confidence"))
+
+
 def toxic_flags(df: DataFrame, key: str, lexicon: Sequence[str] = DEFAULT_LEXICON, text_col: str = "text") -> DataFrame:
     """``(key, toxic BOOLEAN)``: classify once per text, carry only the key.
 

@@ -25,11 +25,13 @@ from vigil.functions.text import (
     CONFIDENCE_CLEAN,
     CONFIDENCE_TOXIC,
     DEFAULT_THRESHOLD_PERCENT,
+    LABEL_TOXIC,
     blocklist_hit,
     lexicon_hit,
     parse_comma_list_py,
 )
-from vigil.operators.filters import host_filter
+from vigil.operators.classify import Scorer
+from vigil.operators.filters import gate_expr, host_filter
 from vigil.session import ship_package
 
 
@@ -74,20 +76,22 @@ def _element_texts(html: pd.Series) -> pd.Series:
     return html.map(H.element_texts)
 
 
-def _with_elements(pages: DataFrame) -> DataFrame:
-    """``pages`` plus ``elements array<struct<pos, txt>>``, each page read the cheapest exact way."""
+def _elements_of(pages: DataFrame, rows) -> DataFrame:
+    """``rows(pages, elements)`` of plain pages and of the others, each read the cheapest exact way.
+
+    ``rows`` has to explode the elements itself: a generator over the union of both would get a filter on
+    the array's size, which Catalyst pushes below it, regex chain, Python call and all.
+    """
     ship_package(pages.sparkSession)
     plain = H.is_plain(F.col("html"))
     walked = F.transform(_element_texts(F.col("html")), lambda t, i: F.struct(i.cast("bigint").alias("pos"), t.alias("txt")))
     walked = F.filter(walked, lambda e: e["txt"] != F.lit(""))
-    return pages.where(plain).withColumn("elements", _elements(F.col("html"))).unionByName(
-        pages.where(~plain).withColumn("elements", walked)
-    )
+    return rows(pages.where(plain), _elements(F.col("html"))).unionByName(rows(pages.where(~plain), walked))
 
 
 def page_elements(pages: DataFrame) -> DataFrame:
     """``(page_id, url, pos, txt)``: one row per non-empty element of the selector list."""
-    return _with_elements(pages).select("page_id", "url", F.inline("elements"))
+    return _elements_of(pages, lambda p, elements: p.select("page_id", "url", F.inline(elements)))
 
 
 def page_elements_dom(pages: DataFrame) -> DataFrame:
@@ -145,15 +149,30 @@ def scan_elements(elements: DataFrame, settings: Settings) -> DataFrame:
     return _scan_out(flagged, settings)
 
 
-def scan_pages(pages: DataFrame, settings: Settings, host_regex: str) -> DataFrame:
+def scan_scored(elements: DataFrame, settings: Settings, scorer: Scorer) -> DataFrame:
+    """:func:`scan_elements` with any scorer in place of the word list.
+
+    The scorer gets ``page_id, pos, text`` and adds ``label`` and ``confidence``; it is asked once an element, the
+    gate on its confidence comes after it. ``queued``: it calls the text toxic, whatever the confidence.
+    """
+    scored = scorer(elements.select("page_id", "pos", F.col("txt").alias("text")))
+    toxic = F.coalesce(F.col("label") == LABEL_TOXIC, F.lit(False))
+    by_model = (toxic & gate_expr(settings.threshold_percent)) if settings.auto_scan else F.lit(False)
+    reason = F.when(blocklist_hit("text", list(settings.block_list)), F.lit("blocklist")).when(by_model, F.lit("classifier"))
+    decided = scored.select("page_id", "pos", F.col("text").alias("txt"), F.inline(F.array(F.struct(reason.alias("reason"), toxic.alias("queued")))))
+    return _scan_out(decided.where("reason IS NOT NULL"), settings)
+
+
+def scan_pages(pages: DataFrame, settings: Settings, host_regex: str, scorer: Scorer | None = None) -> DataFrame:
     """Host filter -> element extraction -> flag decision, in one narrow projection per page.
 
     A settings change is a plain re-run with the new ``settings`` (the scan is
-    stateless, so the re-run is exact).
+    stateless, so the re-run is exact). ``scorer`` replaces the word list (see :func:`scan_scored`).
     """
-    kept = _with_elements(host_filter(pages, host_regex))
-    flagged = kept.select("page_id", F.inline(_flagged(F.col("elements"), settings)))
-    return _scan_out(flagged, settings)
+    kept = host_filter(pages, host_regex)
+    if scorer is not None:
+        return scan_scored(page_elements(kept), settings, scorer)
+    return _scan_out(_elements_of(kept, lambda p, elements: p.select("page_id", F.inline(_flagged(elements, settings)))), settings)
 
 
 def dedupe_flags(flags: DataFrame) -> DataFrame:

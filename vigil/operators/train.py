@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from vigil.functions.text import LABEL_CLEAN, LABEL_TOXIC
+from vigil.operators.classify import Scorer
 from vigil.operators.evaluate import prf1
 from vigil.operators.trainlog import EPOCHS, model_saved
 
@@ -111,6 +112,18 @@ def score(model: PipelineModel, df: DataFrame, text_col: str = "clean_text") ->
     return out.drop("tokens", "features", "rawPrediction", "probability", "prediction")
 
 
+def model_scorer(model: PipelineModel) -> Scorer:
+    """A fitted model as a scorer for the gate, the page scan and the queue; columns come back as they were.
+
+    ``df`` holds ``text`` and no column named as one of the model's (``clean_text``, ``tokens``, ``features``, ...).
+    """
+
+    def scorer(df: DataFrame) -> DataFrame:
+        return score(model, df, "text").withColumnRenamed("clean_text", "text").select(*df.columns, "label", "confidence")
+
+    return scorer
+
+
 def _log_loss(scored: DataFrame) -> DataFrame:
     """Mean cross-entropy of the scored rows (the loss the trainer reports)."""
     eps = 1e-15

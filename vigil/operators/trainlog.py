@@ -147,20 +147,21 @@ def parse_train_log(lines: DataFrame, line_col: str = "line") -> DataFrame:
     ``json_object_keys`` is null for text that is not a JSON object (garbage,
     numbers, arrays), which is exactly when the reference falls back to raw.
     """
-    raw = js_trim(F.col(line_col))
-    is_obj = F.json_object_keys(raw).isNotNull()
-    ev = F.from_json(raw, LOG_SCHEMA)
-    m = ev["matrix"]
-    return lines.select(
+    # One-element generators: the line is trimmed, tested and parsed once, not once a field.
+    one = lines.select("line_no", F.explode(F.array(js_trim(F.col(line_col)))).alias("raw"))
+    parsed = F.when(F.json_object_keys("raw").isNotNull(), F.from_json("raw", LOG_SCHEMA))
+    ev = one.select("line_no", "raw", F.explode(F.array(parsed)).alias("ev"))
+    is_obj, m = F.col("ev").isNotNull(), F.col("ev.matrix")
+    return ev.select(
         "line_no",
-        F.when(is_obj, ev["type"]).otherwise(F.lit("raw")).alias("type"),
-        *[F.when(is_obj, ev[c]).alias(c) for c in
+        F.when(is_obj, F.col("ev.type")).otherwise(F.lit("raw")).alias("type"),
+        *[F.col(f"ev.{c}").alias(c) for c in
           ("epochs", "batch_size", "total_steps", "device", "epoch", "step", "progress", "avg_loss", "f1", "best_f1")],
-        F.when(is_obj, m[0][0]).alias("cm_tn"),
-        F.when(is_obj, m[0][1]).alias("cm_fp"),
-        F.when(is_obj, m[1][0]).alias("cm_fn"),
-        F.when(is_obj, m[1][1]).alias("cm_tp"),
-        F.when(~is_obj, raw).alias("raw_line"),
+        m[0][0].alias("cm_tn"),
+        m[0][1].alias("cm_fp"),
+        m[1][0].alias("cm_fn"),
+        m[1][1].alias("cm_tp"),
+        F.when(~is_obj, F.col("raw")).alias("raw_line"),
     )
 
 

@@ -208,6 +208,12 @@ def q_resolve_not_found(spark: SparkSession, sf: str) -> DataFrame:
     return R.resolve(queue, late.where(~F.col("op").isin(R.DETECT, R.DELETE)))[1]
 
 
+@register("delete_not_found")
+def q_delete_not_found(spark: SparkSession, sf: str) -> DataFrame:
+    _, queue, late, _ = _snapshot(spark, sf)
+    return R.delete(queue, late.where(F.col("op") == R.DELETE))[1]
+
+
 @register("delete_batch")
 def q_delete_batch(spark: SparkSession, sf: str) -> DataFrame:
     """The snapshot after the deletes of the second half."""
@@ -354,6 +360,50 @@ def q_dedupe_flags(spark: SparkSession, sf: str) -> DataFrame:
     return Pg.dedupe_flags(first.unionByName(again)).select("element_id", "page_id", "pos")
 
 
+# --- other scorers in the gate, the page scan and the queue (survey 2.10) ----------
+
+MODEL_THRESHOLD = 60
+
+
+@register("gate_graded")
+def q_gate_graded(spark: SparkSession, sf: str) -> DataFrame:
+    """P6 on a graded score: one word (0.8) stays below 85, two words pass."""
+    return Fl.gate(C.graded(T.comments(spark, sf)), 85)
+
+
+@register("scan_pages_graded")
+def q_scan_pages_graded(spark: SparkSession, sf: str) -> DataFrame:
+    settings = Pg.Settings.from_text(BLOCK_LIST, threshold_percent=85, auto_scan=True)
+    return Pg.scan_pages(T.pages(spark, sf), settings, HOST_REGEX, scorer=C.graded)
+
+
+@register("queue_graded")
+def q_queue_graded(spark: SparkSession, sf: str) -> DataFrame:
+    """The queue of comments that the graded score gates at 85, with its confidence."""
+    docs = T.documents(spark, sf)
+    flags = C.scored_flags(docs, C.graded, "doc_id", 0.85)
+    return R.replay(T.operation_log(spark, sf), flags=flags, texts=docs).queue
+
+
+def _trained(spark: SparkSession, sf: str):
+    return Tr.model_scorer(Tr.train(materialize(q_merged_training(spark, sf), "merged-train")))
+
+
+@register("scan_pages_model")
+def q_scan_pages_model(spark: SparkSession, sf: str) -> DataFrame:
+    """The page scan on the classifier trained on moderator feedback."""
+    settings = Pg.Settings.from_text(BLOCK_LIST, threshold_percent=MODEL_THRESHOLD, auto_scan=True)
+    return Pg.scan_pages(T.pages(spark, sf), settings, HOST_REGEX, scorer=_trained(spark, sf))
+
+
+@register("queue_model")
+def q_queue_model(spark: SparkSession, sf: str) -> DataFrame:
+    """The queue on the trained classifier, gated."""
+    docs = T.documents(spark, sf)
+    flags = materialize(C.scored_flags(docs, _trained(spark, sf), "doc_id", MODEL_THRESHOLD / 100), "model-flags")
+    return R.replay(T.operation_log(spark, sf), flags=flags, texts=docs).queue
+
+
 # --- training progress, log and report (A6, A7, A9, W3-W5, S6) ---------------
 
 

@@ -171,6 +171,11 @@ ORACLE["resolve_not_found"] = SNAPSHOT_CTE + """
 SELECT seq, ts, comment_id, op FROM late WHERE k > 1 OR comment_id NOT IN (SELECT comment_id FROM snap)
 """
 
+ORACLE["delete_not_found"] = SNAPSHOT_CTE + f"""
+, d AS (SELECT *, row_number() OVER (PARTITION BY comment_id ORDER BY ts, seq) AS k FROM ops WHERE op = 'delete' AND NOT {_EARLY})
+SELECT seq, ts, comment_id, op FROM d WHERE k > 1 OR comment_id NOT IN (SELECT comment_id FROM snap)
+"""
+
 ORACLE["delete_batch"] = SNAPSHOT_CTE + f"""
 SELECT * FROM snap WHERE comment_id NOT IN (SELECT comment_id FROM ops WHERE op = 'delete' AND NOT {_EARLY})
 """
@@ -415,6 +420,24 @@ ORACLE["rescan_pages"] = scan("und|trash", 0.95, "true") + "SELECT * FROM d WHER
 
 ORACLE["scan_pages"] = SCAN + "SELECT * FROM d WHERE reason IS NOT NULL"
 
+# --- a graded score: 0.75, and 0.05 for each different word -------------------------
+def graded(t: str) -> str:
+    words = ["stupid", "idiot", "hate", "dumb", "jerk", "kill", "garbage", "trash", "ugly", "shut up"]
+    n = " + ".join(f"CAST(coalesce(contains(lower({t}), '{w}'), false) AS INTEGER)" for w in words)
+    return f"CAST(least(75 + 5 * ({n}), 100) AS DOUBLE) / 100.0::DOUBLE"
+
+
+ORACLE["gate_graded"] = f"""
+SELECT CAST(doc_id AS VARCHAR) AS comment_id, text, 'cyberbully' AS label, {graded('text')} AS confidence
+FROM documents WHERE {lex('text')} AND {graded('text')} >= CAST(0.85 AS DOUBLE)
+"""
+
+ORACLE["scan_pages_graded"] = scan("la|on|idiot", 0.85, "false").replace(
+    "CAST(0.925 AS DOUBLE) >=", f"{graded('txt')} >=") + "SELECT * FROM d WHERE reason IS NOT NULL"
+
+ORACLE["queue_graded"] = REPLAY_CTE.replace(f"{lex('text')} AS toxic", f"{lex('text')} AND {graded('text')} >= CAST(0.85 AS DOUBLE) AS toxic").replace(
+    "CAST(0.925 AS DOUBLE) AS confidence", f"{graded('d.text')} AS confidence") + "SELECT * FROM queue"
+
 ORACLE["dedupe_flags"] = SCAN + "SELECT DISTINCT element_id, page_id, pos FROM d WHERE reason IS NOT NULL"
 
 # --- training progress, log and report ---------------------------------------------
