@@ -1,5 +1,6 @@
 """Feedback -> training set against a pandas model."""
 
+import hashlib
 import os
 import tempfile
 from datetime import datetime
@@ -61,12 +62,15 @@ def test_merge_matches_pandas_q9(spark):
     assert got == expect
 
 
-def test_merge_stats_and_empty_feedback(spark):
-    o = spark.createDataFrame([("x", 1, 0)], "clean_text string, Label int, ord long")
-    empty = spark.createDataFrame([], "comment_id string, text string, action string")
-    ex = Fb.to_examples(empty)
-    stats = {r.stage: r.n for r in Fb.merge_stats(empty, ex, o, Fb.merge_dedupe(o, ex)).collect()}
-    assert stats == {"feedback": 0, "examples": 0, "original": 1, "merged": 1}
+def test_stage_counts_of_the_writing_pass(spark):
+    """The counts come from the pass that writes, with repeated texts, nulls and the original's own copies."""
+    o = spark.createDataFrame([("x", 1, 0), ("x", 0, 1), (None, 1, 2)], "clean_text string, Label int, ord long").repartition(3)
+    rows = [("c1", "x", "approved"), ("c2", "y", "rejected"), ("c3", "y", "rejected"), ("c4", None, "approved")]
+    latest = spark.createDataFrame(rows, "comment_id string, text string, action string").repartition(4)
+    out = os.path.join(tempfile.mkdtemp(prefix="vigil-stats-"), "out")
+    stats = {r.stage: r.n for r in Fb.merge_stats(latest, o, out).collect()}
+    assert stats == {"feedback": 4, "examples": 2, "original": 3, "merged": 3}
+    assert spark.read.parquet(out).count() == 3
 
 
 def test_seeded_shuffle_is_repeatable(spark):
@@ -114,23 +118,37 @@ def test_csv_keeps_padding(spark):
 
 def test_empty_feedback_writes_nothing(spark):
     empty = spark.createDataFrame([], "comment_id string, text string, action string")
-    merged = spark.createDataFrame([("x", 1)], "clean_text string, Label int")
+    original = spark.createDataFrame([("x", 1, 0)], "clean_text string, Label int, ord long")
     out = os.path.join(tempfile.mkdtemp(prefix="vigil-csv-"), "out")
     with pytest.warns(UserWarning):
-        assert not Fb.write_training_set(empty, merged, out)
+        assert Fb.write_training_set(empty, original, out) == {"feedback": 0, "examples": 0, "original": 1, "merged": 1}
     assert not os.path.exists(out)
-    assert Fb.write_training_set(spark.createDataFrame([("c", "t", "approved")], empty.schema), merged, out)
+    assert Fb.write_training_set(spark.createDataFrame([("c", "t", "approved")], empty.schema), original, out)["merged"] == 2
     assert os.path.exists(out)
 
 
 def test_actions_table_append_and_scan(spark):
     d = tempfile.mkdtemp(prefix="vigil-actions-")
     acts = spark.createDataFrame([(1, "a", "t", "approved", T), (2, "b", "u", "rejected", datetime(2024, 1, 2))], ACT)
-    csvio.append_actions(acts, d)
-    csvio.append_actions(acts.limit(1).selectExpr("3 as id", "comment_id", "text", "action", "timestamp"), d)
+    third = acts.limit(1).selectExpr("3 as id", "comment_id", "text", "action", "timestamp")
+    csvio.append_actions(acts, d, "one")
+    csvio.append_actions(third, d, "two")
     scan = csvio.read_actions(spark, d)
     assert scan.count() == 3
     assert scan.where("action = 'approved'").count() == 2
+    before = sorted(map(str, scan.collect()))
+    csvio.append_actions(acts, d, "one")  # a retry
+    csvio.append_actions(third, d, "two")
+    assert sorted(map(str, csvio.read_actions(spark, d).collect())) == before
+
+
+def test_action_keys(spark):
+    """A function of comment, time and place alone; a hot comment, one time or missing values keep rows apart."""
+    rows = [(1, "a", "t", "approved", T), (2, "a", "t", "approved", T), (3, "a", "t", "approved", None), (4, None, "t", "approved", None)]
+    keys = [r[0] for r in spark.createDataFrame(rows, ACT).select(csvio.action_key()).collect()]
+    assert len(set(keys)) == 4
+    want = hashlib.sha256(f"a|{T.isoformat(timespec='microseconds')}|1".encode()).hexdigest()
+    assert keys[0] == want
 
 
 def test_flag_precision_and_conflicts(spark):

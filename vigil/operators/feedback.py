@@ -109,11 +109,16 @@ def concat_examples(original: DataFrame, feedback: DataFrame) -> DataFrame:
     return o.unionByName(f, allowMissingColumns=True)
 
 
+def _first_of_text(both: DataFrame) -> DataFrame:
+    """``clean_text, Label, n_original``: the first row per text, and how many original rows have it."""
+    first = F.min(F.struct("src", "ord", "Label", "clean_text")).alias("f")
+    per = both.groupBy(_text_key(F.col("clean_text")).alias("_k")).agg(first, F.count_if(F.col("src") == 0).alias("n_original"))
+    return per.select("f.clean_text", "f.Label", "n_original")
+
+
 def merge_dedupe(original: DataFrame, feedback: DataFrame) -> DataFrame:
     """Keep the first row per ``clean_text`` (original wins, then input order; nulls equal)."""
-    both = concat_examples(original, feedback)
-    first = both.groupBy(_text_key(F.col("clean_text")).alias("_k")).agg(F.min(F.struct("src", "ord", "Label", "clean_text")).alias("f"))
-    return first.select("f.clean_text", "f.Label")
+    return _first_of_text(concat_examples(original, feedback)).drop("n_original")
 
 
 def seeded_shuffle(df: DataFrame, seed: int = SHUFFLE_SEED) -> DataFrame:
@@ -125,26 +130,33 @@ def seeded_shuffle(df: DataFrame, seed: int = SHUFFLE_SEED) -> DataFrame:
     return df.withColumn("shuffle_key", key).orderBy("shuffle_key", "Label")
 
 
-def write_training_set(feedback: DataFrame, merged: DataFrame, path: str, fmt: str = "csv") -> bool:
-    """Write the merged set; without any feedback warn and write nothing, as the reference does."""
-    if feedback.isEmpty():
-        warnings.warn("no moderator feedback: the training set is not written", stacklevel=2)
-        return False
-    write_labelled(merged, path, fmt)
-    return True
+STAGES = ("feedback", "examples", "original", "merged")
 
 
-def merge_stats(latest: DataFrame, examples: DataFrame, original: DataFrame, merged: DataFrame) -> DataFrame:
-    """Row counts at each stage as ``(stage, n)``; ``feedback`` 0 means nothing is written."""
-    def c(df: DataFrame, stage: str) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).cast("bigint").alias("n")).select(F.lit(stage).alias("stage"), "n")
+def write_training_set(latest: DataFrame, original: DataFrame, path: str, fmt: str = "csv") -> dict[str, int]:
+    """Merge latest feedback with the original set and write it; returns the rows of each stage.
 
-    return (
-        c(latest, "feedback")
-        .unionByName(c(examples, "examples"))
-        .unionByName(c(original, "original"))
-        .unionByName(c(merged, "merged"))
-    )
+    Each stage is computed once and written; feedback, examples and the merged set are then counted from the
+    files' footers, and the merge itself notes how many original rows met in each text. (``Observation`` would
+    count in passing too, but its manager makes the session's ML models unserialisable in this Spark.) Without any
+    feedback it warns and writes nothing, as the reference does.
+    """
+    latest = materialize(latest, "latest-feedback")
+    examples = materialize(to_examples(latest), "training-examples")
+    merged = materialize(_first_of_text(concat_examples(original, examples)), "merged-set")
+    met = merged.agg(F.coalesce(F.sum("n_original"), F.lit(0)).alias("o"), F.count(F.lit(1)).alias("m")).first()
+    counts = dict(zip(STAGES, (latest.count(), examples.count(), met.o, met.m), strict=True))
+    if counts["feedback"]:
+        write_labelled(merged, path, fmt)
+    else:
+        warnings.warn("no moderator feedback: the training set is not written", stacklevel=2)
+    return counts
+
+
+def merge_stats(latest: DataFrame, original: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
+    """:func:`write_training_set`, its counts as ``(stage, n)``; ``feedback`` 0 means nothing is written."""
+    counts = write_training_set(latest, original, path, fmt)
+    return latest.sparkSession.createDataFrame([(s, counts[s]) for s in STAGES], "stage string, n long")
 
 
 def flag_precision(actions: DataFrame) -> DataFrame:

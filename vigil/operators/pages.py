@@ -126,8 +126,9 @@ def _flagged(elements: F.Column, settings: Settings) -> F.Column:
     return F.filter(F.transform(lowered, _flag(settings)), lambda e: e["reason"].isNotNull())
 
 
-def _scan_out(df: DataFrame, settings: Settings) -> DataFrame:
+def _scan_out(df: DataFrame, settings: Settings, carry: tuple[str, ...] = ()) -> DataFrame:
     return df.select(
+        *carry,
         element_id("page_id", "pos", "txt").alias("element_id"),
         "page_id", "pos", "txt", "reason",
         F.lit(bool(settings.privacy_mode)).alias("blur"),
@@ -163,16 +164,17 @@ def scan_scored(elements: DataFrame, settings: Settings, scorer: Scorer) -> Data
     return _scan_out(decided.where("reason IS NOT NULL"), settings)
 
 
-def scan_pages(pages: DataFrame, settings: Settings, host_regex: str, scorer: Scorer | None = None) -> DataFrame:
+def scan_pages(pages: DataFrame, settings: Settings, host_regex: str, scorer: Scorer | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Host filter -> element extraction -> flag decision, in one narrow projection per page.
 
     A settings change is a plain re-run with the new ``settings`` (the scan is
     stateless, so the re-run is exact). ``scorer`` replaces the word list (see :func:`scan_scored`).
+    ``carry``: page columns that come along (with the word list only).
     """
     kept = host_filter(pages, host_regex)
     if scorer is not None:
         return scan_scored(page_elements(kept), settings, scorer)
-    return _scan_out(_elements_of(kept, lambda p, elements: p.select("page_id", F.inline(_flagged(elements, settings)))), settings)
+    return _scan_out(_elements_of(kept, lambda p, elements: p.select(*carry, "page_id", F.inline(_flagged(elements, settings)))), settings, carry)
 
 
 def dedupe_flags(flags: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@
 The reference retrains a BERT+BiLSTM network with PyTorch; neither the
 network weights nor the tokenizer are in the repository, so the model is
 re-aimed at a distributed Spark ML pipeline with the same contract:
-``clean_text, Label`` in, a 2-class ``label`` / ``confidence`` out, three
-epochs with loss and validation F1 per epoch and a best-model save.
+``clean_text, Label`` in, a 2-class ``label`` / ``confidence`` out. The epochs
+(M3) are in ``operators.sgd``.
 
 * tokens: letters only (``[^\\p{L}]+`` splits), lower-cased;
 * features: binary bag of words with a document-frequency floor;
@@ -13,26 +13,21 @@ epochs with loss and validation F1 per epoch and a best-model save.
 
 Everything is a Spark ML stage: fitting runs as distributed aggregations
 (vocabulary counts, one tree-aggregate per optimiser step); scoring is a
-projection. "Epoch ``e``" refits with ``e * iters_per_epoch`` optimiser
-steps (logistic regression has no warm start; the path is deterministic).
+projection.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from vigil.functions.text import LABEL_CLEAN, LABEL_TOXIC
 from vigil.operators.classify import Scorer
-from vigil.operators.evaluate import prf1
-from vigil.operators.trainlog import EPOCHS, model_saved
+from vigil.operators.trainlog import EPOCHS
 
 TOKEN_PATTERN = r"[^\p{L}]+"
 MIN_DF = 5.0
@@ -124,52 +119,6 @@ def model_scorer(model: PipelineModel) -> Scorer:
     return scorer
 
 
-def _log_loss(scored: DataFrame) -> DataFrame:
-    """Mean cross-entropy of the scored rows (the loss the trainer reports)."""
-    eps = 1e-15
-    p1 = F.least(F.greatest(F.col("p1"), F.lit(eps)), F.lit(1 - eps))
-    ce = -F.when(F.col("y") == 1, F.log(p1)).otherwise(F.log(1 - p1))
-    return scored.agg(F.avg(ce).alias("avg_loss"))
-
-
-@dataclass
-class EpochRun:
-    epochs: DataFrame  # epoch, avg_loss, f1, saved, tn, fp, fn, tp
-    best: PipelineModel | None
-    best_f1: float
-
-
-def fit_epochs(
-    train_df: DataFrame, val_df: DataFrame, epochs: int = EPOCHS, iters_per_epoch: int = ITERS_PER_EPOCH
-) -> EpochRun:
-    """Per-epoch loss and validation F1; keep the model of the best (strictly higher) F1.
-
-    The driver loops over the epochs only (three fits); each fit and each
-    evaluation is a distributed job. The prepared training data is persisted
-    (memory and disk) across the refits.
-    """
-    data = _weighted(_prepare(train_df)).persist(StorageLevel.MEMORY_AND_DISK)
-    val = _prepare(val_df).persist(StorageLevel.MEMORY_AND_DISK)
-    spark = train_df.sparkSession
-    rows, models = [], {}
-    try:
-        for e in range(1, epochs + 1):
-            model = pipeline(e * iters_per_epoch).fit(data)
-            loss = _log_loss(score(model, data)).first()["avg_loss"]
-            m = prf1(score(model, val), truth="truth", pred="pred").first()
-            rows.append((e, float(loss), float(m["f1"]), int(m["tn"]), int(m["fp"]), int(m["fn"]), int(m["tp"])))
-            models[e] = model
-    finally:
-        data.unpersist()
-        val.unpersist()
-    ep = spark.createDataFrame(rows, "epoch long, avg_loss double, f1 double, tn long, fp long, fn long, tp long")
-    saved = model_saved(ep.select("epoch", "f1"))
-    flags = {r.epoch: r.saved for r in saved.collect()}  # one row per epoch
-    best_e = max((e for e, s in flags.items() if s), key=lambda e: rows[e - 1][2], default=None)
-    out = ep.join(saved.select("epoch", "saved"), "epoch")
-    return EpochRun(out, models.get(best_e), rows[best_e - 1][2] if best_e else 0.0)
-
-
 # --- R6: the classifier head on ready-made vectors -------------------------------
 
 

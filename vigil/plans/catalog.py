@@ -21,10 +21,12 @@ from vigil.operators import filters as Fl
 from vigil.operators import load as Ld
 from vigil.operators import pages as Pg
 from vigil.operators import replay as R
+from vigil.operators import sgd as Sgd
 from vigil.operators import train as Tr
 from vigil.operators import trainlog as Tl
 from vigil.session import materialize
 from vigil.streaming import classify as Sc
+from vigil.streaming import comments as Scm
 from vigil.streaming import queue as Sq
 from vigil.streaming import report as Sr
 from vigil.streaming import sources as Ss
@@ -263,17 +265,17 @@ def q_seeded_shuffle(spark: SparkSession, sf: str) -> DataFrame:
 @register("labelled_csv")
 def q_labelled_csv(spark: SparkSession, sf: str) -> DataFrame:
     """The merged training set written as CSV and read back, NA tokens as missing values."""
-    _, latest, examples, original = _feedback_parts(spark, sf)
+    _, latest, _, original = _feedback_parts(spark, sf)
     path, _ = Ss.new_sink(spark, "labelled-csv")
-    if not Fb.write_training_set(latest, Fb.merge_dedupe(original, examples), path):
+    if not Fb.write_training_set(latest, original, path)["feedback"]:
         return spark.createDataFrame([], csvio.LABELLED_SCHEMA)
     return csvio.read_labelled_csv(spark, path)
 
 
 @register("merge_stats")
 def q_merge_stats(spark: SparkSession, sf: str) -> DataFrame:
-    _, latest, examples, original = _feedback_parts(spark, sf)
-    return Fb.merge_stats(latest, examples, original, Fb.merge_dedupe(original, examples))
+    _, latest, _, original = _feedback_parts(spark, sf)
+    return Fb.merge_stats(latest, original, Ss.new_sink(spark, "training-set")[0])
 
 
 @register("flag_precision")
@@ -425,7 +427,7 @@ def q_progress_ticks(spark: SparkSession, sf: str) -> DataFrame:
 def _epochs(spark: SparkSession, sf: str) -> DataFrame:
     """The epochs of a training run on the merged training set."""
     train, val = Tr.split_train_val(materialize(q_merged_training(spark, sf), "merged-train"))
-    return Tr.fit_epochs(train, val).epochs
+    return Sgd.fit_epochs(train, val).epochs
 
 
 @register("model_saved")
@@ -449,6 +451,33 @@ def run_lines(spark: SparkSession, sf: str) -> DataFrame:
     return events.select(F.col("event_id").alias("line_no"), F.col("props").alias("line")).unionByName(own)
 
 
+def step_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The log of the loss steps: a start, a line a progress tick, then for each epoch its loss and a save if it is a record."""
+    steps = T.loss_steps(spark, sf)
+    ticks = Tl.progress_ticks(steps).select(F.col("step").alias("line_no"), F.to_json(F.struct(F.lit("progress").alias("type"), "epoch", "step", "progress")).alias("line"))
+    last = steps.select(((F.max("batch") + 1) * F.max("epoch")).cast("long")).scalar()
+    ends = Tl.model_saved(Tl.avg_loss(steps).select("epoch", F.col("avg_loss").alias("f1")))
+    end = F.to_json(F.struct(F.lit("epoch_end").alias("type"), "epoch", F.col("f1").alias("avg_loss"), "f1"))
+    save = F.when(F.col("saved"), F.to_json(F.struct(F.lit("model_saved").alias("type"), "f1")))
+    ends = ends.select("epoch", F.posexplode(F.array(end, save)).alias("k", "line")).where("line IS NOT NULL")
+    ends = ends.select((last + F.col("epoch") * 2 + F.col("k")).cast("long").alias("line_no"), "line")
+    begin = spark.createDataFrame([(0, '{"type":"training_started"}')], "line_no long, line string")
+    return begin.unionByName(ticks).unionByName(ends)
+
+
+@register("step_report")
+def q_step_report(spark: SparkSession, sf: str) -> DataFrame:
+    """A9 over the log of the loss steps."""
+    return Tl.train_report(Tl.parse_train_log(materialize(step_lines(spark, sf), "step-lines")))
+
+
+@register("precision_records")
+def q_precision_records(spark: SparkSession, sf: str) -> DataFrame:
+    """W3 over R2: the days on which the flags' precision beat every day before."""
+    days = Fb.flag_precision(moderation(spark, sf).actions_keyed)
+    return Tl.model_saved(days.select(F.col("day").alias("epoch"), F.col("precision").alias("f1"))).withColumnRenamed("epoch", "day")
+
+
 @register("train_log")
 def q_train_log(spark: SparkSession, sf: str) -> DataFrame:
     return Tl.parse_train_log(log_lines(spark, sf))
@@ -516,6 +545,30 @@ def q_stream_classify(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(Sc.flagged_stream(comments).schema).parquet(data)
 
 
+def _feed(spark: SparkSession, sf: str) -> str:
+    """A comment feed in text files: well-formed documents, some without a string id or a text, and other JSON."""
+    n = T.documents(spark, sf).select("doc_id", "text")
+    kind, good = F.pmod("doc_id", F.lit(4)), F.to_json(F.struct(F.col("doc_id").cast("string").alias("comment_id"), "text"))
+    made = F.when(kind == 1, F.to_json(F.struct(F.col("doc_id").alias("comment_id"), "text")))
+    made = made.when(kind == 3, F.to_json(F.struct(F.col("doc_id").cast("string").alias("comment_id")))).otherwise(good)
+    lines = n.select(made.alias("line")).unionByName(T.read_table(spark, sf, "events", ["props"]).select(F.coalesce("props", F.lit("")).alias("line")))
+    folder, out, ckpt = Ss.new_sink(spark, "comment-feed")[0], *Ss.new_sink(spark, "comment-sinks")
+    lines.write.text(folder)
+    Scm.stream_comments(Scm.read_line_stream(spark, folder, 4), out, ckpt).awaitTermination()
+    return out
+
+
+@register("comment_feed")
+def q_comment_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """The comments of the feed, classified."""
+    return C.classify(Scm.read_sink(spark, _feed(spark, sf), "accepted"))
+
+
+@register("comment_feed_rejects")
+def q_comment_feed_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    return Scm.read_sink(spark, _feed(spark, sf), "rejected").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("stream_queue")
 def q_stream_queue(spark: SparkSession, sf: str) -> DataFrame:
     """Recorded actions of the queue over the events stream (equals ``actions``)."""
@@ -566,11 +619,21 @@ def q_actions_table(spark: SparkSession, sf: str) -> DataFrame:
     columns are read.
     """
     path, _ = Ss.new_sink(spark, "moderator-actions")
-    csvio.append_actions(moderation(spark, sf).actions, path)
+    csvio.append_actions(moderation(spark, sf).actions, path, "all")
     scan = csvio.read_actions(spark, path)
     return scan.where(F.col("action").isin("approved", "rejected")).select("id", "comment_id", "action", "timestamp")
 
 
+@register("actions_appended")
+def q_actions_appended(spark: SparkSession, sf: str) -> DataFrame:
+    """Odd and even ids as two batches, the second of them appended twice: keys and days, each action once."""
+    path, _ = Ss.new_sink(spark, "moderator-actions")
+    acts = materialize(moderation(spark, sf).actions, "actions")
+    for odd in (1, 0, 0):
+        csvio.append_actions(acts.where(F.pmod("id", F.lit(2)) == odd), path, f"odd-{odd}")
+    return csvio.read_actions(spark, path).select("action_key", "id", "comment_id", "action", F.col("action_date").cast("string").alias("action_date"), "batch")
+
+
 @register("train_log_file")
 def q_train_log_file(spark: SparkSession, sf: str) -> DataFrame:
     """Every line of every document written as log files, and parsed back by line number."""

@@ -525,3 +525,33 @@ ORACLE["stream_flags"] = ORACLE["scan_pages"]
 
 # The parser path must give the same rows on pages that hold only <p> comments.
 ORACLE["page_elements_dom"] = ELEMENTS
+
+ORACLE["actions_appended"] = REPLAY_CTE + """
+SELECT sha256(concat_ws('|', comment_id, coalesce(strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f'), ''), CAST(id AS VARCHAR))) AS action_key,
+       id, comment_id, action, strftime(timestamp, '%Y-%m-%d') AS action_date, 'odd-' || (id % 2) AS batch FROM acts
+"""
+
+# --- the comment feed: what each line is made of decides its fate -------------------------
+ORACLE["comment_feed"] = f"SELECT * FROM ({CLASSIFIED_DOCS}) c WHERE CAST(comment_id AS BIGINT) % 2 = 0 AND text IS NOT NULL"
+
+ORACLE["comment_feed_rejects"] = """
+SELECT reason, count(*) AS n FROM (
+    SELECT CASE WHEN doc_id % 4 = 1 THEN 'comment_id not a string' ELSE 'text missing' END AS reason
+    FROM documents WHERE doc_id % 2 = 1 OR text IS NULL
+    UNION ALL
+    SELECT CASE WHEN NOT coalesce(json_valid(props), false) THEN 'not JSON' WHEN json_type(props) <> 'OBJECT' THEN 'not an object'
+                ELSE 'comment_id missing' END FROM events) r
+GROUP BY reason
+"""
+
+ORACLE["precision_records"] = f"""
+WITH p AS ({ORACLE["flag_precision"]})
+SELECT day, precision AS f1, precision > greatest(coalesce(max(precision) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 0.0) AS saved
+FROM p
+"""
+
+ORACLE["step_report"] = STEPS_CTE + """
+SELECT true AS started, (SELECT max(progress) FROM ticks) AS progress, nullif(greatest(max(avg_loss), 0.0), 0.0) AS best_f1,
+       count(*) AS epochs_reported, false AS complete
+FROM al
+"""

@@ -88,16 +88,17 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove_path(spark, path)
 
 
-def materialize(df, name: str):
+def materialize(df, name: str, by: str | None = None):
     """Write ``df`` once to the shared checkpoint folder and read it back.
 
     Cuts the lineage (a lost executor does not recompute the upstream plan)
     and gives the planner the real on-disk size of the result, so a later
-    join picks a broadcast only when the data is provably small.
+    join picks a broadcast only when the data is provably small. ``by``: a
+    column to write in folders, so that readers of one value read no other.
     """
     spark = df.sparkSession
     path = checkpoint_subdir(spark, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     if _SCRATCH:
         _SCRATCH[-1].append(path)
     # Later jobs of this application may read it; it goes when the application ends.

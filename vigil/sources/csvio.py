@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,23 +64,34 @@ def write_labelled(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "
         w.parquet(path)
 
 
+def action_key(comment_id: str = "comment_id", ts: str = "timestamp", seq: str = "id") -> Column:
+    """The surrogate key of an action: a hash of the comment, the time and the place in the log (a null is empty)."""
+    time = F.date_format(F.col(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.sha2(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in (F.col(comment_id), time, F.col(seq).cast("string"))]), 256)
+
+
 def read_actions(spark: SparkSession, path: str) -> DataFrame:
     """Scan the moderator-actions table with its declared schema.
 
     Filters on ``action`` and ``action_date`` are pushed to the scan (and
     prune partitions for the date).
     """
-    schema = T.StructType([*ACTIONS_SCHEMA.fields, T.StructField("action_date", T.DateType())])
-    return spark.read.schema(schema).parquet(path)
+    more = [T.StructField("action_key", T.StringType()), T.StructField("action_date", T.DateType()), T.StructField("batch", T.StringType())]
+    return spark.read.schema(T.StructType([*ACTIONS_SCHEMA.fields, *more])).parquet(path)
+
 
+def append_actions(df: DataFrame, path: str, batch: str) -> None:
+    """Append actions by day under the name of their ``batch``; the same batch again leaves the table as it is.
 
-def append_actions(df: DataFrame, path: str) -> None:
-    """Append actions partitioned by day; ``id`` must already be unique (the log ``seq``).
+    A batch's rows lie in folders of its own below each day. A retry, after a failure or not, replaces these
+    folders and no others; Spark puts them in place when the whole job has succeeded. ``action_key`` is the
+    same in every run, unlike a number that is counted up. The table is made if it is missing.
 
     Rows are dealt by ``(day, id)`` ranges first: a task writes a few neighbouring days, so the
     files are about as many as tasks and days, and a day with most rows is cut over many tasks.
     """
-    out = df.select(*[f.name for f in ACTIONS_SCHEMA.fields]).withColumn(
-        "action_date", F.to_date("timestamp")
+    out = df.select(*[f.name for f in ACTIONS_SCHEMA.fields]).withColumns(
+        {"action_key": action_key(), "action_date": F.to_date("timestamp"), "batch": F.lit(batch)}
     )
-    out.repartitionByRange("action_date", "id").write.mode("append").partitionBy("action_date").parquet(path)
+    writer = out.repartitionByRange("action_date", "id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("action_date", "batch").parquet(path)

@@ -1,7 +1,7 @@
 """Flag dedupe on a stream, and the live training report.
 
-* ``flags_stream``: page elements flagged once per element id; ids are kept
-  until the stream is started anew, the full re-scan after a settings change.
+* ``flags_stream``: page elements flagged once per element id within a window of
+  time; ids older than that are forgotten. A settings change starts it anew.
 * ``stream_report``: each micro-batch of log lines is folded into a one-row
   state (``foreachBatch``), as the dashboard refreshes per event.
 """
@@ -16,13 +16,20 @@ from vigil.operators.pages import Settings, scan_pages
 from vigil.operators.trainlog import merge_states, parse_train_log, report_of, report_state
 
 
-def flags_stream(pages: DataFrame, settings: Settings, host_regex: str) -> DataFrame:
-    """Scan a page stream; each element id is emitted once until the next full scan.
+def flags_stream(pages: DataFrame, settings: Settings, host_regex: str, keep: str = "1 day", seen_at: str | None = None) -> DataFrame:
+    """Scan a page stream; an element id that was emitted is not emitted again for ``keep`` of time.
 
-    The state holds one id per flagged element, in the state store (RocksDB on a cluster), for as
-    long as the scan's checkpoint is used: the reference forgets its ids only when it scans anew.
+    ``seen_at``: the page's time column; without one the time of arrival counts, and no row is ever late. With one,
+    a row older than the newest time of the batches before by more than ``keep`` is late and dropped (its id may be
+    forgotten); a null time never closes a window and counts as the beginning of time, so such rows are late from
+    the second batch on. The state holds the ids of the last ``keep`` only. A page seen again after that is
+    flagged again, as after a full scan anew.
     """
-    return scan_pages(pages, settings, host_regex).dropDuplicates(["element_id"])
+    carry = (seen_at,) if seen_at else ()
+    flags = scan_pages(pages, settings, host_regex, carry=carry)
+    time = F.coalesce(F.col(seen_at).cast("timestamp"), F.timestamp_seconds(F.lit(0))) if seen_at else F.current_timestamp()
+    once = flags.withColumn("_seen", time).withWatermark("_seen", keep).dropDuplicatesWithinWatermark(["element_id"])
+    return once.drop("_seen", *carry)
 
 
 def stream_report(lines: DataFrame, out_dir: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
