@@ -161,21 +161,34 @@ def cosines(segments: DataFrame, key: list[str], templates: dict[str, str], weig
 
 
 def _held(files: DataFrame, key: list[str], templates: dict[str, str], weight: dict[str, float], least: float, damped: bool) -> DataFrame:
-    """Those ``files (key, text)`` whose terms hold ``least`` of the norm of one of the templates."""
+    """Those ``files (key, text)`` whose terms hold ``least`` of the norm of one of the templates, one row a key.
+
+    The scan itself asks for a needed term, then for as many of a template's terms as its heaviest ones take to
+    hold the share. Only the terms of files that pass, never texts, are summed exactly; only the texts of files
+    that hold the share are shuffled or written.
+    """
     shares: dict[str, list] = {}
+    enough, t = F.lit(False), F.col("t")
     for name, text in templates.items():
         square = _squares(text, weight, damped)
-        whole = sum(square.values())
-        for t, x in square.items():
-            shares.setdefault(t, []).append((name, x / whole))
+        whole, held, fewest = sum(square.values()), 0.0, 0
+        for x in sorted(square.values(), reverse=True):
+            if held < (least - 1e-5) ** 2 * whole - 1e-9:
+                held, fewest = held + x, fewest + 1
+        enough = enough | (F.size(F.array_intersect(t, _strings(sorted(square)))) >= fewest)
+        for term, x in square.items():
+            shares.setdefault(term, []).append((name, x / whole))
     table = files.sparkSession.createDataFrame(list(shares.items()), "h_term string, held array<struct<name:string,share:double>>")
-    some = files.where(F.arrays_overlap(terms(F.col("text")), _strings(needed(templates, weight, least, damped))))
-    some = materialize(some.dropDuplicates(key), "license-rare")
-    met = some.select(*key, F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).join(F.broadcast(table), F.col("term") == F.col("h_term"))
+    must = _strings(needed(templates, weight, least, damped))
+    # One-element generator: the terms are made once a file.
+    some = files.select(*key, F.explode(F.array(F.array_distinct(terms(F.col("text"))))).alias("t")).where(F.arrays_overlap(t, must) & enough)
+    met = some.select(*key, F.explode("t").alias("term")).join(F.broadcast(table), F.col("term") == F.col("h_term"))
     met = met.select(*key, F.explode("held").alias("h")).groupBy(*key, "h.name").agg(F.sum("h.share").alias("share"))
+    # Rows that repeat a key add up to more than one of them has: none is lost, the cosine decides.
     met = materialize(met.where(F.col("share") >= (least - 1e-5) ** 2).select(*key).distinct(), "license-held")
-    a, b = some.alias("a"), met.alias("b")
-    return materialize(a.join(b, [same(F.col(f"a.{k}"), F.col(f"b.{k}")) for k in key], "left_semi"), "license-near")
+    a, b = files.alias("a"), met.alias("b")
+    near = a.join(b, [same(F.col(f"a.{k}"), F.col(f"b.{k}")) for k in key], "left_semi")
+    return materialize(near.dropDuplicates(key), "license-near")
 
 
 def _blocks(files: DataFrame, key: list[str], templates: dict[str, str], must: Column) -> DataFrame:
