@@ -44,3 +44,17 @@ def test_run_equals_brute_force(spark, tmp_path):
 def test_an_empty_table_passes_every_stage(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_return_columns_of_any_name(spark):
+    """Names with a dot or a quote, and names that operators use for columns of their own."""
+    names = ["a.b", "row", "made", "use", "uses", "c_n", "k_id", "c_id", "__n", "__c_n", "__c_uses", "__made", "x`y"]
+    made = [(*r, *range(len(names))) for r in documents()]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n.replace('`', '``')}` int" for n in names)
+    docs = spark.createDataFrame(made, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain = stage(spark, docs.select("doc_id", "text", "lang", "source", "n_chars"), "")
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        assert out.count() == plain.count() > 0
+        assert [tuple(r) for r in out.select("`a.b`", "`x``y`").distinct().collect()] == [(0, len(names) - 1)]

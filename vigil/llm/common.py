@@ -49,19 +49,28 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """``row``, all columns of ``docs`` as one struct, and the expressions ``more`` over them.
+
+    Inside the struct no name of ``docs`` (with a dot, or one that an operator uses too) meets another;
+    ``select("row.*")`` brings the columns back as they were.
+    """
+    cells = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    return docs.select(F.struct(*cells).alias("row"), *[e.alias(n) for n, e in more.items()])
+
+
 def keep_rows(docs: DataFrame, key: dict[str, Column], chosen: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """The rows of ``docs`` whose key is in ``chosen``, one row for each key.
+    """``row`` (see :func:`packed`) for those of ``docs`` whose key is in ``chosen``, one for each key.
 
     ``key`` maps names to expressions over ``docs``; ``chosen`` holds those names, a key at most
     once, and ``__n``, the number of rows of ``docs`` that carry the key. Only keys with ``__n``
     over 1 (whole rows that repeat) need a second shuffle, by which one row of them is kept.
-    ``carry``: columns of ``chosen`` that come along as ``__c_<name>``.
+    ``carry``: columns of ``chosen`` that come along under their names.
     """
     names, carry = list(key), carry or []
-    left = docs.withColumns({f"__k_{n}": e for n, e in key.items()})
-    right = chosen.select(*[F.col(n).alias(f"__c_{n}") for n in [*names, *carry]], F.col("__n").alias("__c_n"))
-    on = [same(F.col(f"__k_{n}"), F.col(f"__c_{n}")) for n in names]
-    met = left.join(right, on, "inner")
-    once = met.where("__c_n = 1")
-    more = met.where("__c_n > 1").dropDuplicates([f"__k_{n}" for n in names])
-    return once.unionByName(more).select(*docs.columns, *[f"__c_{n}" for n in carry])
+    left = packed(docs, **{f"k_{n}": e for n, e in key.items()})
+    right = chosen.select(*[F.col(n).alias(f"c_{n}") for n in names], *carry, F.col("__n").alias("c_n"))
+    met = left.join(right, [same(F.col(f"k_{n}"), F.col(f"c_{n}")) for n in names], "inner")
+    once = met.where("c_n = 1")
+    more = met.where("c_n > 1").dropDuplicates([f"k_{n}" for n in names])
+    return once.unionByName(more).select("row", *carry)

@@ -90,4 +90,4 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     kept = _grouped(docs).where("kept").groupBy("doc_id", "text_sha256", "n_cp").agg(F.count("*").alias("__n"))
     kept = kept.withColumnsRenamed({"doc_id": "id", "text_sha256": "sha", "n_cp": "cp"})
     key = {"id": F.col("doc_id").cast("long"), "sha": F.sha2(normalised(whole_text()), 256), "cp": F.char_length(whole_text())}
-    return keep_rows(docs, key, materialize(kept, "exact-kept"))
+    return keep_rows(docs, key, materialize(kept, "exact-kept")).select("row.*")

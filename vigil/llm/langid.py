@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigil.llm.common import packed
+
 BUCKETS = 1 << 16
 TRAIN_ROWS = 4000
 PENALTY = 2.0
@@ -216,5 +218,4 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """``docs`` without rows of no language (``und``) or in which no language holds ``least`` of the words."""
     made = predict_column(F.col("text"), learn(docs), docs.sparkSession)
-    rows = docs.select(*docs.columns, made.alias("__made"))
-    return rows.where((F.col("__made.lang_pred") != NONE) & (F.col("__made.score") >= least)).select(*docs.columns)
+    return packed(docs, made=made).where((F.col("made.lang_pred") != NONE) & (F.col("made.score") >= least)).select("row.*")

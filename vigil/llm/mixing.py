@@ -138,4 +138,4 @@ def mix(docs: DataFrame, **target) -> DataFrame:
     uses = uses.withColumnsRenamed({"doc_id": "id", "text_hash": "hash", "source": "src"})
     key = {"id": F.col("doc_id").cast("long"), "hash": F.xxhash64("text"), "src": F.col("source").cast("string")}
     kept = keep_rows(docs, key, materialize(uses, "mix-uses"), carry=["uses"])
-    return kept.withColumn("__use", F.explode(F.sequence(F.lit(1), F.col("__c_uses").cast("int")))).select(*docs.columns)
+    return kept.select("row", F.explode(F.sequence(F.lit(1), F.col("uses").cast("int"))).alias("use")).select("row.*")

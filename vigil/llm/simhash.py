@@ -208,4 +208,4 @@ def drop_near(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) ->
     first = first.join(nodes.select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first"))
     chosen = first.select(F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash"), F.col("first.__n").alias("__n"))
     chosen = chosen.groupBy("id", "hash").agg(F.sum("__n").alias("__n"))
-    return keep_rows(docs, {"id": F.col("doc_id").cast("long"), "hash": F.xxhash64("text")}, materialize(chosen, "simhash-kept"))
+    return keep_rows(docs, {"id": F.col("doc_id").cast("long"), "hash": F.xxhash64("text")}, materialize(chosen, "simhash-kept")).select("row.*")
