@@ -90,7 +90,7 @@ def assign_chunks(kept: DataFrame, partitions: int | None = None) -> DataFrame:
     ``partitions`` defaults to the session's shuffle partitions. Chunks are in the order of the
     log inside each comment; the result is written, so a row's chunk never changes.
     """
-    order = [F.col(c).asc_nulls_first() for c in _ORDER]
+    order = [F.col(c).asc_nulls_first() for c in _ORDER if c in kept.columns]
     dealt = kept.repartitionByRange(partitions, *order) if partitions else kept.repartitionByRange(*order)
     return materialize(dealt.withColumn("chunk", F.spark_partition_id()), "replay-chunks")
 
