@@ -1,5 +1,4 @@
 import math
-import os
 import random
 
 import numpy as np
@@ -25,16 +24,17 @@ def frame(spark, rows):
 
 
 def brute(rows, by=50, k=5):
-    best = {}
+    used = []
     dim = max((len(v) for _, v in rows if v), key=[len(v) for _, v in rows if v].count)
     for i, v in rows:
         if i is None or v is None or len(v) != dim or any(x is None or not math.isfinite(x) for x in v):
             continue
-        v = [math.floor(256 * x) for x in v]
-        best[i] = min(v, best.get(i, v))
+        used.append((i, [min(max(math.floor(256 * x), -(2**63)), 2**63 - 1) for x in v]))
     out = []
-    for q in (i for i in best if i % by == 0):
-        scores = sorted((-sum(a * b for a, b in zip(best[q], v, strict=True)), i) for i, v in best.items() if i != q)[:k]
+    for q in sorted({i for i, _ in used if i % by == 0}):
+        own = [v for i, v in used if i == q]
+        score = lambda a, b: min(max(sum(x * y for x, y in zip(a, b, strict=True)), 1 - 2**63), 2**63 - 1)
+        scores = sorted((-score(a, v), i) for a in own for i, v in used if i != q)[:k]
         out += [(q, r, i, -s) for r, (s, i) in enumerate(scores, 1)]
     return sorted(out)
 
@@ -81,8 +81,8 @@ def test_a_chunk_of_queries_meets_blocks_in_any_order():
     v, p = rng.integers(-99, 99, (64, 4)), np.zeros((1, 4), np.int64)
     r = np.sqrt((v.astype(float) ** 2).sum(axis=1))
     order = np.argsort(r)
-    blocks = pd.DataFrame([{"pivot": 0, "r0": r[x].min(), "r1": r[x].max(), "norm": (r[x] ** 2).max(), "ids": x.astype(np.int64).tobytes(), "vectors": v[x].tobytes()} for x in np.array_split(order, 8)])
-    queries = pd.DataFrame({"query_id": np.arange(64), "v": [x.tobytes() for x in v], "floor": -np.inf})
+    blocks = pd.DataFrame([{"pivot": 0, "r0": r[x].min(), "r1": r[x].max(), "norm": (r[x] ** 2).max(), "rows": b"", "ids": x.astype(np.int64).tobytes(), "vectors": v[x].tobytes()} for x in np.array_split(order, 8)])
+    queries = pd.DataFrame({"query": np.arange(64) + 5, "query_id": np.arange(64), "v": [x.tobytes() for x in v], "floor": -np.inf})
     got = topk._met(3, 4, p)(queries, blocks)
     for k in range(64):
         want = sorted((-int(v[k] @ v[j]), j) for j in range(64) if j != k)[:3]
@@ -93,9 +93,32 @@ def test_a_chunk_of_queries_meets_blocks_in_any_order():
 def test_equal_vectors_over_several_segments(spark, monkeypatch):
     for name, n in (("SEGMENT", 30), ("CHUNK", 500), ("PIVOTS", 3)):
         monkeypatch.setattr(topk, name, n)
-    # The copies fill several segments whose bounds tie; max_by may name another one each time it is evaluated.
-    noise = topk.F.udf(lambda seg: os.urandom(8), "binary")
-    monkeypatch.setattr(topk.F, "max_by", lambda seg, most: topk.F.max(topk.F.struct(most, noise(seg), seg))[seg])
     got = sorted(map(tuple, topk.top_k(frame(spark, [(k, [0.5, 0.25, -0.125]) for k in range(150)]), by=2).collect()))
     assert len(got) == 75 * topk.TOP == len({(q, v) for q, _, v, _ in got})
     assert got == brute([(k, [0.5, 0.25, -0.125]) for k in range(150)], by=2)
+
+
+def test_every_row_is_a_candidate(spark):
+    rows = [(7, [0.7] * 4), (7, [3.0] * 4), (50, [1.0] * 4), (8, [0.9] * 4), (8, [0.9] * 4), (100, [0.1] * 4), (100, [-1.0] * 4), (100, [0.1] * 4)]
+    got = sorted(map(tuple, topk.top_k(frame(spark, rows)).collect()))
+    assert got == brute(rows)
+    assert [x[2:] for x in got if x[0] == 50][:3] == [(7, 786432), (8, 235520), (8, 235520)]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_scores_beyond_64_bits(spark, monkeypatch, small):
+    if small:
+        for name, n in (("SEGMENT", 4), ("CHUNK", 2), ("PIVOTS", 3), ("BLOCK", 2)):
+            monkeypatch.setattr(topk, name, n)
+    rows = [(k, [k * 0.01, 1.0, -2.0, 0.5]) for k in range(20)] + [(50, [1e20] * 4), (51, [-1e20] * 4), (52, [1e300] * 4), (53, [1e9, -1e9, 1e5, 3.0]), (100, [1e7, 2e7, -1e8, 0.25])]
+    assert sorted(map(tuple, topk.top_k(frame(spark, rows)).collect())) == brute(rows)
+
+
+def test_a_hot_row_fills_several_segments(spark, monkeypatch):
+    for name, n in (("SEGMENT", 30), ("CHUNK", 7), ("PIVOTS", 3)):
+        monkeypatch.setattr(topk, name, n)
+    rows = made(60) + [(9, [0.4] * 8)] * 120
+    df = frame(spark, rows)
+    index = topk.build(df)[0].groupBy("seg").agg(topk.F.sum(topk.F.length("ids") / 8).alias("n")).collect()
+    assert len(index) > 5 and max(r["n"] for r in index) < 100
+    assert sorted(map(tuple, topk.top_k(df).collect())) == brute(rows)
