@@ -1,3 +1,6 @@
+import math
+import random
+
 import numpy as np
 from llm_cases import empty, frame, prose, rows
 
@@ -40,9 +43,74 @@ def test_mixture_proportions_and_sets():
         b = langid.words_of([prose(1, 3000, lang)])[0]
         table[:, j] = np.log((np.bincount(b, minlength=langid.BUCKETS) + 0.5) / (len(b) + 0.5 * langid.BUCKETS))
     half = prose(2, 150, "en") + " " + prose(3, 50, "fr")
-    lang, score = langid.predict([half, prose(4, 100, "fr"), ""], langs, table)
-    assert lang == ["en", "fr", "und"]
+    lang, score, sets, shares = zip(*langid.predict([half, prose(4, 100, "fr"), ""], langs, table), strict=True)
+    assert lang == ("en", "fr", "und")
     assert 0.6 < score[0] < 0.85 and score[1] > 0.99 and score[2] == 0
+    assert sets == (["en", "fr"], ["fr"], []) and abs(sum(shares[0]) - 1) < 1e-9 and shares[2] == []
+
+
+def plain_fit(words, allowed):
+    """Expectation-maximisation by loops: shares and log likelihood."""
+    share = {j: 1 / len(allowed) for j in allowed}
+    value = -math.inf
+    while True:
+        total = [sum(share[j] * w[j] for j in allowed) for w in words]
+        now = sum(math.log(t) for t in total)
+        if now - value < langid.GAIN or len(allowed) == 1:
+            return share, now
+        value = now
+        share = {j: sum(share[j] * w[j] / t for w, t in zip(words, total, strict=True)) / len(words) for j in allowed}
+
+
+def plain_mixture(words, n_langs):
+    """Every prefix of the ranking, without an early end."""
+    full = plain_fit(words, list(range(n_langs)))[0]
+    rank = sorted(full, key=lambda j: (-full[j], j))
+    best = (-math.inf, None)
+    for k in range(1, n_langs + 1):
+        share, value = plain_fit(words, rank[:k])
+        value -= langid.PENALTY * (k - 1) * math.log(len(words) + 1)
+        if value > best[0]:
+            best = (value, share)
+    return best[1]
+
+
+def test_mixtures_equal_a_plain_loop():
+    rnd, n_langs = random.Random(5), 8
+    texts = []
+    for k in range(40):
+        spoken = rnd.sample(range(n_langs), 1 + k % n_langs)
+        texts.append([[rnd.uniform(0.5, 1) if j == mine else rnd.uniform(0, 0.4) ** (1 + k % 3) for j in range(n_langs)] for mine in rnd.choices(spoken, k=rnd.choice([1, 3, 40, 400]))])
+    likely = np.maximum(np.array([w for t in texts for w in t]), langid.FLOOR)
+    start = np.cumsum([0] + [len(t) for t in texts])[:-1]
+    got = langid.mixtures(likely, start)
+    sizes = set()
+    for k, t in enumerate(texts):
+        want = plain_mixture([[max(x, langid.FLOOR) for x in w] for w in t], n_langs)
+        sizes.add(len(want))
+        assert set(np.flatnonzero(got[k])) == set(want)
+        assert all(abs(got[k, j] - want[j]) < 1e-6 for j in want)
+    assert {1, 2, 6, 8} <= sizes  # sets of any size are found
+
+
+def test_rows_equal_a_plain_loop(spark):
+    """The registered query's columns against the loop, with the table that Spark learned."""
+    docs = frame(spark, rows() + labelled() + [(5000, " ".join(prose(k, 70, lang) for k, lang in enumerate(("en", "fr", "de"))), None, *rows()[0][3:])])
+    langs, table = langid.learn(docs)
+    got = {(r["doc_id"], r["lang_pred"]): r for r in langid.identify(docs).collect()}
+    (all_three,) = [r for (i, _), r in got.items() if i == 5000]
+    assert set(all_three["langs"]) == {"en", "fr", "de"}
+    for i, t, *_ in [r for r in docs.select("doc_id", "text").collect() if r["doc_id"] in (4, 7, 12, 14, 100, 5000, 1001)]:
+        bucket, word, _, _ = langid.words_of([t])
+        logs = [[0.0] * len(langs) for _ in range(int(word[-1]) + 1)]
+        for b, w in zip(bucket.tolist(), word.tolist(), strict=True):
+            for j in range(len(langs)):
+                logs[w][j] += float(table[np.array([b]), j][0])
+        want = plain_mixture([[max(math.exp(x - max(w)), langid.FLOOR) for x in w] for w in logs], len(langs))
+        rank = sorted(want, key=lambda j: (-want[j], j))
+        row = got[i, langs[rank[0]]]
+        assert row["langs"] == [langs[j] for j in rank]
+        assert np.allclose(row["shares"], [want[j] for j in rank], atol=1e-6) and abs(row["score"] - min(1.0, want[rank[0]])) < 1e-6
 
 
 def test_nothing_to_learn_and_empty_table(spark):

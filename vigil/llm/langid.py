@@ -8,14 +8,17 @@ a language's met buckets and one value for all others, so its size follows the s
 smaller runs where there are many languages.
 
 *Inference.* A document is a mixture of languages: each word comes from one of them, with the word's
-likelihood from its trigrams. Expectation-maximisation estimates the proportions. Languages are
-ranked by their proportion in the full mixture; for each prefix of that ranking the mixture is fitted
-again, and the set with the largest likelihood less ``PENALTY * log(words)`` for each further language
-is selected. The prediction is the language with the largest proportion in the selected mixture, and
-that proportion is the score.
+likelihood from its trigrams. Expectation-maximisation estimates the proportions. A text's rounds end when one adds
+less than ``GAIN`` to its log likelihood; the likelihood only rises and is bounded, so they do end. Languages are
+ranked by their proportion in the full mixture; for each prefix of that ranking the mixture is fitted again, and
+the set with the largest likelihood less ``PENALTY * log(words + 1)`` for each further language is selected. No set is
+likelier than the full mixture, so a text's prefixes end, without a limit on their size, where the penalty alone
+puts the full mixture's likelihood below the best set so far. The prediction is the language with the largest
+proportion in the selected mixture, and that proportion is the score; ``langs`` and ``shares`` are the set and its
+proportions, largest first.
 
 Only the text goes into a prediction, and the whole text. Defined results: a null text, or one without
-a letter, is ``und`` with score 0, as is every row when nothing could be learned (no labelled rows). A
+a letter, is ``und`` with score 0 and an empty set, as is every row when nothing could be learned (no labelled rows). A
 null ``doc_id`` counts as held out. Equal proportions go to the first language by name. Rows may repeat;
 columns beside ``doc_id, text, lang`` are not read.
 """
@@ -35,9 +38,8 @@ from vigil.llm.common import packed
 BUCKETS = 1 << 16
 TRAIN_ROWS = 4000
 PENALTY = 2.0
-ROUNDS = 12
-#: Most languages of one document's set.
-MAX_SET = 4
+#: A text's rounds end at a gain in log likelihood below this.
+GAIN = 1e-3
 #: A word's likelihood under a language is not counted as less than this times the best one's.
 FLOOR = 1e-6
 #: Characters whose trigrams are looked up at once, and texts fitted at once; they bound memory only.
@@ -145,26 +147,66 @@ def learn(docs: DataFrame) -> tuple[list[str], Table]:
 
 
 def fit(likely: np.ndarray, start: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Expectation-maximisation for all texts at once.
+    """Expectation-maximisation for all texts at once, each until it gains less than ``GAIN``.
 
     ``likely``: words by languages; ``start``: first word of each text; ``allowed``: texts by
     languages. Returns the proportions and the log likelihood of each text.
     """
     size = np.diff(np.r_[start, len(likely)])
     share = allowed / allowed.sum(axis=1, keepdims=True)
-    for k in range(ROUNDS):
-        part = likely * np.repeat(share, size, axis=0)
+    value = np.full(len(start), -np.inf)
+    open_, words, first = np.arange(len(start)), likely, start
+    while len(open_):
+        part = words * np.repeat(share[open_], size[open_], axis=0)
         total = part.sum(axis=1, keepdims=True)
-        if k < ROUNDS - 1:
-            share = np.add.reduceat(part / total, start, axis=0) / size[:, None]
-    return share, np.add.reduceat(np.log(total[:, 0]), start)
+        now = np.add.reduceat(np.log(total[:, 0]), first)
+        more = now - value[open_] >= GAIN
+        value[open_] = now
+        # Only the texts that go on take another step; those with one language never change.
+        more &= (allowed[open_] > 0).sum(axis=1) > 1
+        step = np.add.reduceat(part / total, first, axis=0) / size[open_][:, None]
+        open_, step = open_[more], step[more]
+        share[open_] = step
+        if not more.all():
+            words, first = _part(words, first, more)
+    return share, value
+
+
+def _part(likely: np.ndarray, start: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the chosen texts, and their starts."""
+    size = np.diff(np.r_[start, len(likely)])
+    return likely[np.repeat(chosen, size)], np.r_[0, np.cumsum(size[chosen])[:-1]].astype(np.int64)[: chosen.sum()]
 
 
-def predict(texts: list[str], langs: list[str], table: Table | np.ndarray) -> tuple[list[str], list[float]]:
+def mixtures(likely: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The proportions of each text in its selected mixture; languages outside the set have 0."""
+    n = np.diff(np.r_[start, len(likely)])
+    share, full = fit(likely, start, np.ones((len(start), likely.shape[1])))
+    order = np.argsort(-share, axis=1, kind="stable")
+    best, chosen = np.full(len(start), -np.inf), share.copy()
+    open_, words, first = np.arange(len(start)), likely, start
+    for k in range(1, likely.shape[1] + 1):
+        penalty = PENALTY * (k - 1) * np.log(n + 1)
+        on = full[open_] - penalty[open_] > best[open_]
+        if not on.all():
+            open_, (words, first) = open_[on], _part(words, first, on)
+        if not len(open_):
+            break
+        allowed = np.zeros((len(open_), likely.shape[1]))
+        np.put_along_axis(allowed, order[open_, :k], 1.0, axis=1)
+        made, value = fit(words, first, allowed)
+        value = value - penalty[open_]
+        better = value > best[open_]
+        best[open_[better]], chosen[open_[better]] = value[better], made[better]
+    return chosen
+
+
+def predict(texts: list[str], langs: list[str], table: Table | np.ndarray) -> list[tuple[str, float, list[str], list[float]]]:
+    """Language, score, set and proportions of each text."""
     bucket, word, text, size = words_of(texts)
-    lang, score = [NONE] * len(texts), [0.0] * len(texts)
+    out: list[tuple[str, float, list[str], list[float]]] = [(NONE, 0.0, [], []) for _ in texts]
     if not len(bucket) or not langs:
-        return lang, score
+        return out
     likely = np.zeros((len(size), len(langs)))
     for k in range(0, len(bucket), SLICE):
         w = word[k : k + SLICE]
@@ -173,46 +215,35 @@ def predict(texts: list[str], langs: list[str], table: Table | np.ndarray) -> tu
             likely[w[0] : w[0] + n, j] += np.bincount(w - w[0], weights=table[bucket[k : k + SLICE], j], minlength=n)
     likely = np.maximum(np.exp(likely - likely.max(axis=1, keepdims=True)), FLOOR)
     first = np.r_[True, text[1:] != text[:-1]]
-    start, who = np.flatnonzero(first), text[first]
-    n = np.diff(np.r_[start, len(likely)])
-    share, _ = fit(likely, start, np.ones((len(start), len(langs))))
+    share = mixtures(likely, np.flatnonzero(first))
     order = np.argsort(-share, axis=1, kind="stable")
-    best, best_share = np.full(len(start), -np.inf), share
-    for k in range(1, min(MAX_SET, len(langs)) + 1):
-        allowed = np.zeros_like(share)
-        np.put_along_axis(allowed, order[:, :k], 1.0, axis=1)
-        share_k, log_k = fit(likely, start, allowed)
-        log_k -= PENALTY * (k - 1) * np.log(n + 1)
-        better = log_k > best
-        best, best_share = np.where(better, log_k, best), np.where(better[:, None], share_k, best_share)
-    top = best_share.argmax(axis=1)
-    for t, j, p in zip(who.tolist(), top.tolist(), best_share.max(axis=1).tolist(), strict=True):
-        lang[t], score[t] = langs[j], min(1.0, p)
-    return lang, score
+    many = (share > 0).sum(axis=1)
+    for i, t in enumerate(text[first].tolist()):
+        top = order[i, : many[i]]
+        shares = np.minimum(share[i, top], 1.0).tolist()
+        out[t] = (langs[top[0]], shares[0], [langs[j] for j in top], shares)
+    return out
 
 
 def predict_column(text: Column, model: tuple[list[str], Table], spark) -> Column:
-    """``struct<lang_pred, score>`` of each whole text."""
+    """``struct<lang_pred, score, langs, shares>`` of each whole text."""
     sent = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, langs array<string>, shares array<double>")
     def guess(s: pd.Series) -> pd.DataFrame:
         langs, table = sent.value
-        texts, lang, score = [t or "" for t in s], [], []
-        for run in _runs(texts, len(langs)):
-            a, b = predict(texts[run], langs, table)
-            lang += a
-            score += b
-        return pd.DataFrame({"lang_pred": lang, "score": score}, index=s.index)
+        texts = [t or "" for t in s]
+        made = [row for run in _runs(texts, len(langs)) for row in predict(texts[run], langs, table)]
+        return pd.DataFrame(made, columns=["lang_pred", "score", "langs", "shares"], index=s.index)
 
     return guess(text)
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` for each row of ``docs``."""
+    """``doc_id, held_out, lang_pred, score, langs, shares`` for each row of ``docs``."""
     model = learn(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _held_out(F.col("doc_id")).alias("held_out"), predict_column(F.col("text"), model, docs.sparkSession).alias("made"))
-    return rows.select("doc_id", "held_out", "made.lang_pred", "made.score")
+    return rows.select("doc_id", "held_out", "made.lang_pred", "made.score", "made.langs", "made.shares")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
