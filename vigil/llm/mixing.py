@@ -5,7 +5,8 @@ between 0 (equal weights) and 1 (as they come) and normalised. The exponent is b
 a job: each job evaluates all inner points of the bracket over the table of sources and brings a row a
 point to the driver. Target: the smallest exponent at which no source is repeated more than
 ``repetition`` times, or the largest at which the weights' entropy is ``entropy`` at least. Without a
-``budget`` of tokens, the mix is as large as it must be for every source to be used once at least.
+``budget`` of tokens, the mix is as large as it must be for every source to be used once at least; a source's own
+tokens are the floor of its budget then, whatever the doubles round to.
 
 *Permutations.* A source's budget is whole passes over its rows and a part of one more. A pass is an
 order of the source's blocks (about ``BLOCK_ROWS`` rows, dealt by a hash of ``doc_id``), and of the rows
@@ -16,7 +17,7 @@ budget.
 
 Everything is DataFrame operations. Defined results: a null source is a source of its own; a null or
 empty text has no tokens and is in every pass it starts in; a source without any token has weight 0 and
-one pass. A null ``doc_id`` is hashed as the empty string. Rows that repeat are dealt like others; ties
+one pass. A row whose ``doc_id`` is null is dealt by the MD5 of its text. Rows that repeat are dealt like others; ties
 of the hash go by token count. An empty table gives an empty result. Only ``doc_id, text, source`` are read.
 """
 
@@ -40,10 +41,6 @@ def _number(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def _id(name: str = "doc_id") -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
-
-
 def _before(name: str, over) -> Column:
     """The sum of the rows before this one."""
     return F.coalesce(F.sum(name).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -88,9 +85,11 @@ def mixture(rows: DataFrame, repetition: float | None = REPETITION, entropy: flo
     x = exponent(totals, repetition, entropy, budget)
     whole = totals.agg(F.sum("tokens").alias("t")).first()["t"] or 1
     lifted = totals.withColumn("lift", F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(float(whole)), F.lit(x))).otherwise(0.0))
-    z, size = lifted.agg(F.sum("lift"), F.max(F.when(F.col("tokens") > 0, F.col("tokens") / F.col("lift")))).first() or (1.0, 0.0)
-    size = float(budget) if budget is not None else (size or 0.0) * (z or 1.0)
-    plan = lifted.withColumn("weight", F.round(F.col("lift") / F.lit(z or 1.0), 12)).withColumn("budget", F.round(F.col("weight") * F.lit(size)).cast("long"))
+    z, most = lifted.agg(F.sum("lift"), F.max(F.when(F.col("tokens") > 0, F.col("tokens") / F.col("lift")))).first() or (1.0, 0.0)
+    # Tokens for each unit of lift: those of the source that needs the most, or a share of the given budget.
+    given = F.round(F.col("lift") * F.lit(float(most or 0.0) if budget is None else budget / (z or 1.0))).cast("long")
+    given = given if budget is not None else F.greatest("tokens", given)
+    plan = lifted.withColumn("weight", F.col("lift") / F.lit(z or 1.0)).withColumn("budget", given)
     some = F.col("tokens") > 0
     return plan.select(
         "source", "rows", "tokens", "weight", "budget",
@@ -103,11 +102,12 @@ def mixture(rows: DataFrame, repetition: float | None = REPETITION, entropy: flo
 def _dealt(docs: DataFrame, **target) -> DataFrame:
     """``doc_id, text_hash, source, pass, block, token_start, tokens`` for each use of a row."""
     words = F.regexp_count(whole_text(), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("source").cast("string").alias("source"), words.alias("tokens"))
+    lot = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.md5(whole_text()))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("source").cast("string").alias("source"), words.alias("tokens"), lot.alias("lot_of"))
     rows = materialize(rows, "mix-rows")
     plan = materialize(mixture(rows, **target).select(F.col("source").alias("p_source"), "passes", "rest", "blocks"), "mix-plan")
     used = rows.join(plan, same(F.col("source"), F.col("p_source"))).drop("p_source")
-    used = used.withColumn("block", _number(_id()) % F.col("blocks"))
+    used = used.withColumn("block", _number(F.col("lot_of")) % F.col("blocks"))
     last = F.when(F.col("rest") > 0, F.col("passes")).otherwise(F.col("passes") - 1)
     used = used.where(last >= 0).withColumn("pass", F.explode(F.sequence(F.lit(0), last)))
     mark = F.concat_ws("|", F.lit(SEED), F.col("pass"), F.coalesce("source", F.lit("")), F.col("block"))
@@ -119,7 +119,7 @@ def _dealt(docs: DataFrame, **target) -> DataFrame:
     a, b = blocks.alias("a"), lots.alias("b")
     starts = a.join(b, [same(F.col(f"a.{n}"), F.col(f"b.{n}")) for n in [*key, "lot"]])
     starts = starts.select(F.col("a.source").alias("s_source"), F.col("a.pass").alias("s_pass"), F.col("a.block").alias("s_block"), (F.col("in_lot") + F.col("lot_start")).alias("block_start"))
-    order = Window.partitionBy(*key, "block").orderBy(F.md5(F.concat_ws("|", F.lit(SEED), F.col("pass"), _id())), "tokens")
+    order = Window.partitionBy(*key, "block").orderBy(F.md5(F.concat_ws("|", F.lit(SEED), F.col("pass"), F.col("lot_of"))), "tokens")
     used = used.withColumn("in_block", _before("tokens", order))
     met = used.join(materialize(starts, "mix-starts"), [same(F.col("source"), F.col("s_source")), F.col("pass") == F.col("s_pass"), F.col("block") == F.col("s_block")])
     met = met.withColumn("token_start", F.col("block_start") + F.col("in_block"))

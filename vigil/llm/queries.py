@@ -108,7 +108,8 @@ ORACLE = {
     # The halvings of the exponent's bracket are a recursive query here.
     "op7_source_mixing": r"""
         WITH RECURSIVE r AS MATERIALIZED (
-            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens FROM documents),
+            SELECT doc_id, source, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS lot,
+                   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens FROM documents),
         t AS MATERIALIZED (SELECT source, count(*) AS n_rows, sum(tokens)::BIGINT AS tokens FROM r GROUP BY source),
         sh AS MATERIALIZED (SELECT *, tokens / (SELECT sum(tokens) FROM t)::DOUBLE AS share FROM t),
         edge AS (SELECT max(share) / min(share) AS spread FROM sh WHERE share > 0),
@@ -121,23 +122,23 @@ ORACLE = {
             FROM bi WHERE k < 42),
         ex AS (SELECT CASE WHEN (SELECT spread FROM edge) <= 2.0 THEN 0.0 ELSE round(hi, 9) END AS x FROM bi WHERE k = 42),
         li AS MATERIALIZED (SELECT *, CASE WHEN tokens > 0 THEN pow(share, (SELECT x FROM ex)) ELSE 0.0 END AS lift FROM sh),
-        sz AS (SELECT sum(lift) AS z, max(CASE WHEN tokens > 0 THEN tokens / lift END) * sum(lift) AS size FROM li),
+        sz AS (SELECT max(CASE WHEN tokens > 0 THEN tokens / lift END) AS most FROM li),
         bu AS (
-            SELECT source, n_rows, tokens, round(round(lift / (SELECT z FROM sz), 12) * (SELECT size FROM sz))::BIGINT AS budget FROM li),
+            SELECT source, n_rows, tokens, greatest(tokens, round(lift * (SELECT coalesce(most, 0.0) FROM sz))::BIGINT) AS budget FROM li),
         pl AS MATERIALIZED (
             SELECT source, CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END AS passes,
                    CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest,
                    ceil(n_rows / 1024.0)::BIGINT AS blocks FROM bu),
         u AS (
-            SELECT r.doc_id, r.source, r.tokens, p.passes, p.rest,
-                   ('0x' || md5(coalesce(r.doc_id::VARCHAR, ''))[1:8])::BIGINT % p.blocks AS block,
+            SELECT r.doc_id, r.source, r.lot, r.tokens, p.passes, p.rest,
+                   ('0x' || md5(r.lot)[1:8])::BIGINT % p.blocks AS block,
                    unnest(range(0, p.passes + CASE WHEN p.rest > 0 THEN 1 ELSE 0 END)) AS pass
             FROM r JOIN pl p ON r.source IS NOT DISTINCT FROM p.source),
         o AS (
             SELECT *, coalesce(sum(tokens) OVER (
                        PARTITION BY source, pass
                        ORDER BY md5('mix|' || pass || '|' || coalesce(source, '') || '|' || block), block,
-                                md5('mix|' || pass || '|' || coalesce(doc_id::VARCHAR, '')), tokens
+                                md5('mix|' || pass || '|' || lot), tokens
                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS token_start
             FROM u)
         SELECT doc_id, source, pass::INTEGER AS pass, block, token_start, tokens FROM o
