@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import collocations, exactdup, fst, langid, licenses, mixing, ranked, simhash, spm, suffix, tokenfiles, topk, warc
+from vigil.llm import collocations, exactdup, fst, langid, licenses, mixing, ranked, simhash, spm, suffix, tokenfiles, topk, warc, warcfiles
 from vigil.llm.common import documents, read_table, ship_package
 from vigil.llm.pieces import default_model
 from vigil.session import checkpoint_subdir
@@ -39,7 +39,9 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    records = warc.derivatives(warc.responses(read_table(spark, sf_dir, "pages")))
+    folder = checkpoint_subdir(spark, f"warc-{uuid.uuid4().hex}")
+    warc.write_warc(warc.response_records(warc.responses(read_table(spark, sf_dir, "pages"))), folder)
+    records = warc.derivatives(warcfiles.read_responses(spark, folder))
     return records.select("page_id", "type", "record_id", "refers_to", "target_uri", "payload_digest", "block_digest", "content_length", F.sha2("header", 256).alias("header_sha256"))
 
 
