@@ -104,3 +104,15 @@ def test_null_ids_are_dealt_over_blocks(spark, monkeypatch):
     made = [(None, f"text {k} " + "w " * (k % 5), "en", "big", 1, "x", 7, 0.5, 3, 9, "c", "b", "p", "no", 11) for k in range(80)]
     uses = Counter(r["block"] for r in mixing.permutations(frame(spark, made)).collect())
     assert sum(uses.values()) == 80 and len(uses) > 12 and max(uses.values()) < 16
+
+
+@pytest.mark.parametrize("target", [{}, {"repetition": 5.0}, {"repetition": None, "entropy": 1.2}, {"budget": 900}, {"budget": 40000, "repetition": None, "entropy": 1.0}])
+def test_mix_uses_rows_as_often_as_the_permutations(spark, monkeypatch, target):
+    """Whole blocks, the block that the budget ends in, and rows that repeat in it."""
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 4)
+    made = [(i, t, lang, s, n, *x) for k, (i, t, lang, s, n, *x) in enumerate(rows()) if i is not None]
+    made += [(900 + k % 3, f"again and again {k % 3}", "en", f"s{k % 2}", 1, "x", k, 0.5, 3, 9, "c", "b", "p", "no", 11) for k in range(24)]
+    docs = frame(spark, made)
+    want = Counter((u["doc_id"], u["source"], u["tokens"]) for u in mixing.permutations(docs, **target).collect())
+    got = Counter((r["doc_id"], r["source"], words(r["text"])) for r in mixing.mix(docs, **target).collect())
+    assert got == want and sum(want.values())

@@ -1,4 +1,6 @@
 import hashlib
+import re
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 from llm_cases import prose, rows
@@ -37,8 +39,26 @@ def test_run_equals_brute_force(spark, tmp_path):
     for _, _, i, t in kept.values():
         ids = sp.encode(t)
         want.add((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest()))
-    # Mixing uses every row once at least; rows of small sources come again.
-    assert set(got) == want and len(got) >= len(want)
+    assert set(got) == want
+    # Mixing: every source's budget by a plain bisection; each row as often as its source has passes, or once more.
+    source_of = {(i, t): s for i, t, _, s, _ in made}
+    per, size = Counter(), defaultdict(list)
+    for _, _, i, t in kept.values():
+        size[source_of[i, t]].append(len(re.findall(r"[^\x20\x09-\x0D]+", t)))
+    low, high, total = 0.0, 1.0, sum(map(sum, size.values()))
+    for _ in range(60):
+        x = (low + high) / 2
+        lift = {s: (sum(n) / total) ** x for s, n in size.items()}
+        most = max(sum(n) / lift[s] for s, n in size.items())
+        low, high = (low, x) if all(lift[s] * most <= 2 * sum(n) for s, n in size.items()) else (x, high)
+    for i, *_ in got:
+        per[i] += 1
+    for s, n in size.items():
+        budget, ids = round(lift[s] * most), [i for _, _, i, t in kept.values() if source_of[i, t] == s]
+        passes = max(1, budget // sum(n))
+        assert all(passes <= per[i] <= passes + 1 for i in ids), s
+        used = sum(per[i] * len(re.findall(r"[^\x20\x09-\x0D]+", t)) for _, _, i, t in kept.values() if i in ids)
+        assert max(budget, sum(n)) + 1 >= used > max(budget, sum(n)) - max(n) - 1, s
 
 
 def test_an_empty_table_passes_every_stage(spark, tmp_path):

@@ -59,18 +59,18 @@ def packed(docs: DataFrame, **more: Column) -> DataFrame:
     return docs.select(F.struct(*cells).alias("row"), *[e.alias(n) for n, e in more.items()])
 
 
-def keep_rows(docs: DataFrame, key: dict[str, Column], chosen: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """``row`` (see :func:`packed`) for those of ``docs`` whose key is in ``chosen``, one for each key.
+def drop_rows(docs: DataFrame, key: dict[str, Column], dropped: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose key is in ``dropped``, and with one row of each key in ``repeated``.
 
-    ``key`` maps names to expressions over ``docs``; ``chosen`` holds those names, a key at most
-    once, and ``__n``, the number of rows of ``docs`` that carry the key. Only keys with ``__n``
-    over 1 (whole rows that repeat) need a second shuffle, by which one row of them is kept.
-    ``carry``: columns of ``chosen`` that come along under their names.
+    ``key`` maps names to expressions over ``docs``; both tables hold those names and no common key.
+    What stays meets nothing but a table of what goes: a broadcast while that is small.
     """
-    names, carry = list(key), carry or []
-    left = packed(docs, **{f"k_{n}": e for n, e in key.items()})
-    right = chosen.select(*[F.col(n).alias(f"c_{n}") for n in names], *carry, F.col("__n").alias("c_n"))
-    met = left.join(right, [same(F.col(f"k_{n}"), F.col(f"c_{n}")) for n in names], "inner")
-    once = met.where("c_n = 1")
-    more = met.where("c_n > 1").dropDuplicates([f"k_{n}" for n in names])
-    return once.unionByName(more).select("row", *carry)
+    rows = packed(docs, **{f"k_{n}": e for n, e in key.items()})
+
+    def on(other: DataFrame) -> tuple[DataFrame, list[Column]]:
+        other = other.select(*[F.col(n).alias(f"c_{n}") for n in key])
+        return other, [same(F.col(f"k_{n}"), F.col(f"c_{n}")) for n in key]
+
+    alone = rows.join(*on(dropped.select(*key).unionByName(repeated.select(*key))), "left_anti")
+    one = rows.join(*on(repeated), "left_semi").dropDuplicates([f"k_{n}" for n in key])
+    return alone.unionByName(one).select("row.*")

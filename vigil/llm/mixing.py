@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vigil.llm.common import keep_rows, materialize, same, whole_text
+from vigil.llm.common import materialize, packed, same, whole_text
 
 BLOCK_ROWS = 1024
 REPETITION = 2.0
@@ -99,17 +99,23 @@ def mixture(rows: DataFrame, repetition: float | None = REPETITION, entropy: flo
     )
 
 
-def _dealt(docs: DataFrame, **target) -> DataFrame:
-    """``doc_id, text_hash, source, pass, block, token_start, tokens`` for each use of a row."""
-    words = F.regexp_count(whole_text(), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+def _name(docs: DataFrame) -> dict[str, Column]:
+    """What the mix knows a row by, and what it is dealt by."""
     lot = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.md5(whole_text()))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("source").cast("string").alias("source"), words.alias("tokens"), lot.alias("lot_of"))
-    rows = materialize(rows, "mix-rows")
+    return {"doc_id": F.col("doc_id").cast("long"), "text_hash": F.xxhash64("text"), "source": F.col("source").cast("string"), "lot_of": lot}
+
+
+def _planned(docs: DataFrame, **target) -> tuple[DataFrame, DataFrame]:
+    """Narrow rows, each with its source's plan and its block, and the plan of the sources."""
+    words = F.regexp_count(whole_text(), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    rows = materialize(docs.select(*[e.alias(n) for n, e in _name(docs).items()], words.alias("tokens")), "mix-rows")
     plan = materialize(mixture(rows, **target).select(F.col("source").alias("p_source"), "passes", "rest", "blocks"), "mix-plan")
     used = rows.join(plan, same(F.col("source"), F.col("p_source"))).drop("p_source")
-    used = used.withColumn("block", _number(F.col("lot_of")) % F.col("blocks"))
-    last = F.when(F.col("rest") > 0, F.col("passes")).otherwise(F.col("passes") - 1)
-    used = used.where(last >= 0).withColumn("pass", F.explode(F.sequence(F.lit(0), last)))
+    return used.withColumn("block", _number(F.col("lot_of")) % F.col("blocks")), plan
+
+
+def _starts(used: DataFrame) -> DataFrame:
+    """``s_source, s_pass, s_block, block_start, n`` for each block of each pass in ``used``; ``n``: its tokens."""
     mark = F.concat_ws("|", F.lit(SEED), F.col("pass"), F.coalesce("source", F.lit("")), F.col("block"))
     used = used.withColumn("block_key", F.md5(mark)).withColumn("lot", F.substring("block_key", 1, 2))
     key = ["source", "pass"]
@@ -118,24 +124,60 @@ def _dealt(docs: DataFrame, **target) -> DataFrame:
     blocks = blocks.withColumn("in_lot", _before("n", Window.partitionBy(*key, "lot").orderBy("block_key", "block")))
     a, b = blocks.alias("a"), lots.alias("b")
     starts = a.join(b, [same(F.col(f"a.{n}"), F.col(f"b.{n}")) for n in [*key, "lot"]])
-    starts = starts.select(F.col("a.source").alias("s_source"), F.col("a.pass").alias("s_pass"), F.col("a.block").alias("s_block"), (F.col("in_lot") + F.col("lot_start")).alias("block_start"))
-    order = Window.partitionBy(*key, "block").orderBy(F.md5(F.concat_ws("|", F.lit(SEED), F.col("pass"), F.col("lot_of"))), "tokens")
-    used = used.withColumn("in_block", _before("tokens", order))
-    met = used.join(materialize(starts, "mix-starts"), [same(F.col("source"), F.col("s_source")), F.col("pass") == F.col("s_pass"), F.col("block") == F.col("s_block")])
-    met = met.withColumn("token_start", F.col("block_start") + F.col("in_block"))
-    met = met.where((F.col("pass") < F.col("passes")) | (F.col("token_start") + F.col("tokens") <= F.col("rest")))
-    return met.select("doc_id", "text_hash", "source", "pass", "block", "token_start", "tokens")
+    starts = starts.select(F.col("a.source").alias("s_source"), F.col("a.pass").alias("s_pass"), F.col("a.block").alias("s_block"), (F.col("in_lot") + F.col("lot_start")).alias("block_start"), "n")
+    return materialize(starts, "mix-starts")
+
+
+def _in_order(used: DataFrame, *ties: str) -> DataFrame:
+    """``used`` with ``in_block``: the tokens of its block's rows before it in its pass."""
+    order = Window.partitionBy("source", "pass", "block").orderBy(F.md5(F.concat_ws("|", F.lit(SEED), F.col("pass"), F.col("lot_of"))), "tokens", *ties)
+    return used.withColumn("in_block", _before("tokens", order))
+
+
+def _at(starts: DataFrame) -> list[Column]:
+    return [same(F.col("source"), starts["s_source"]), F.col("pass") == starts["s_pass"], F.col("block") == starts["s_block"]]
 
 
 def permutations(docs: DataFrame, **target) -> DataFrame:
     """``doc_id, source, pass, block, token_start, tokens``: a row for each use of a document."""
-    return _dealt(docs, **target).drop("text_hash")
+    used, _ = _planned(docs, **target)
+    last = F.when(F.col("rest") > 0, F.col("passes")).otherwise(F.col("passes") - 1)
+    used = used.where(last >= 0).withColumn("pass", F.explode(F.sequence(F.lit(0), last)))
+    starts = _starts(used)
+    met = _in_order(used).join(starts, _at(starts))
+    met = met.withColumn("token_start", F.col("block_start") + F.col("in_block"))
+    met = met.where((F.col("pass") < F.col("passes")) | (F.col("token_start") + F.col("tokens") <= F.col("rest")))
+    return met.select("doc_id", "source", "pass", "block", "token_start", "tokens")
 
 
 def mix(docs: DataFrame, **target) -> DataFrame:
-    """``docs`` with each row as often as the mix uses it."""
-    uses = _dealt(docs, **target).groupBy("doc_id", "text_hash", "source").agg(F.count("*").alias("uses"), F.sum(F.when(F.col("pass") == 0, 1).otherwise(0)).alias("__n"))
-    uses = uses.withColumnsRenamed({"doc_id": "id", "text_hash": "hash", "source": "src"})
-    key = {"id": F.col("doc_id").cast("long"), "hash": F.xxhash64("text"), "src": F.col("source").cast("string")}
-    kept = keep_rows(docs, key, materialize(uses, "mix-uses"), carry=["uses"])
-    return kept.select("row", F.explode(F.sequence(F.lit(1), F.col("uses").cast("int"))).alias("use")).select("row.*")
+    """``docs`` with each row as often as :func:`permutations` uses it.
+
+    Texts meet narrow tables only: the plan of the sources; the blocks that the part of a pass takes whole (all
+    their rows get one more use); and the rows of the one block a source that the rest of the budget ends in.
+    Of rows that repeat there, of which the part takes some, one carries what the part takes.
+    """
+    used, plan = _planned(docs, **target)
+    part = used.where("rest > 0").withColumn("pass", F.col("passes"))
+    starts = _starts(part)
+    taken = starts.join(plan, same(F.col("s_source"), F.col("p_source"))).where("block_start <= rest")
+    taken = taken.withColumn("whole", F.col("block_start") + F.col("n") <= F.col("rest"))
+    taken = materialize(taken.select("s_source", "s_pass", "s_block", "block_start", "whole"), "mix-taken")
+    cut = taken.where("not whole")
+    edge = _in_order(part.join(cut, _at(cut)), "text_hash")
+    fits = F.when(F.col("block_start") + F.col("in_block") + F.col("tokens") <= F.col("rest"), 1).otherwise(0)
+    name = ["doc_id", "text_hash", "source"]
+    edge = edge.groupBy(*name).agg(F.sum(fits).alias("k"), F.count("*").alias("n")).where("k > 0")
+    edge = materialize(edge.select(*[F.col(c).alias(f"e_{c}") for c in name], "k", (F.col("k") == F.col("n")).alias("every")), "mix-edge")
+    is_edge = [same(F.col(c), F.col(f"e_{c}")) for c in name]
+
+    rows = packed(docs, **_name(docs))
+    all_ = rows.join(plan, same(F.col("source"), F.col("p_source"))).withColumn("block", _number(F.col("lot_of")) % F.col("blocks"))
+    whole = taken.where("whole").select("s_source", "s_block", F.lit(1).alias("more"))
+    all_ = all_.join(whole, [same(F.col("source"), F.col("s_source")), F.col("block") == F.col("s_block")], "left")
+    all_ = all_.join(edge.where("every").withColumn("one", F.lit(1)), is_edge, "left")
+    uses = F.col("passes") + F.coalesce("more", "one", F.lit(0))
+    all_ = all_.select("row", uses.alias("uses")).where("uses > 0")
+    some = rows.join(edge.where("not every"), is_edge).dropDuplicates(name).select("row", F.col("k").cast("int").alias("uses"))
+    out = all_.unionByName(some).select("row", F.explode(F.sequence(F.lit(1), F.col("uses"))).alias("use"))
+    return out.select("row.*")

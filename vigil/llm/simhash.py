@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import keep_rows, materialize
+from vigil.llm.common import drop_rows, materialize, same
 from vigil.llm.components import components
 
 SHINGLE = 3
@@ -201,11 +201,16 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
 def drop_near(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row of each component: the one with the smallest ``doc_id``, nulls last."""
     rows, nodes = _grouped(docs, shingle, radius)
-    per = rows.groupBy("fp", "doc_id", "text_hash").agg(F.count("*").alias("__n"))
+    name = ["doc_id", "text_hash"]
+    per = rows.groupBy("fp", *name).agg(F.count("*").alias("n"))
     # Per fingerprint first: a component of many copies is few rows before its own group is formed.
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "__n")
-    first = per.groupBy("fp").agg(F.min(order).alias("first"))
-    first = first.join(nodes.select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first"))
-    chosen = first.select(F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash"), F.col("first.__n").alias("__n"))
-    chosen = chosen.groupBy("id", "hash").agg(F.sum("__n").alias("__n"))
-    return keep_rows(docs, {"id": F.col("doc_id").cast("long"), "hash": F.xxhash64("text")}, materialize(chosen, "simhash-kept")).select("row.*")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), *name, "n")
+    first = per.groupBy("fp").agg(F.min(order).alias("first"), F.sum("n").alias("size"))
+    of = materialize(nodes.select("fp", "root").join(first, "fp"), "simhash-nodes")
+    firsts = of.groupBy("root").agg(F.min("first").alias("best"), F.sum("size").alias("size")).where("size > 1").select("root", "best")
+    crowded = materialize(of.select("fp", "root").join(firsts, "root").drop("root"), "simhash-crowded")
+    is_best = [same(F.col(c), F.col(f"best.{c}")) for c in name]
+    gone = rows.join(crowded, "fp").where(~(is_best[0] & is_best[1])).select(*name).distinct()
+    again = crowded.where("best.n > 1").select("best.*").select(*name).distinct()
+    key = {"doc_id": F.col("doc_id").cast("long"), "text_hash": F.xxhash64("text")}
+    return drop_rows(docs, key, materialize(gone, "simhash-gone"), materialize(again, "simhash-again"))
