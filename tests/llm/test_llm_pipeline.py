@@ -7,6 +7,7 @@ from llm_cases import prose, rows
 from test_llm_exactdup import brute as exact_brute
 from test_llm_simhash import plain_fingerprint, roots
 
+from vigil.llm import common
 from vigil.llm.pieces import default_model
 
 
@@ -78,3 +79,34 @@ def test_stages_return_columns_of_any_name(spark):
         assert out.columns == docs.columns, name
         assert out.count() == plain.count() > 0
         assert [tuple(r) for r in out.select("`a.b`", "`x``y`").distinct().collect()] == [(0, len(names) - 1)]
+
+
+def test_what_stays_is_not_shuffled_at_any_size(spark):
+    """With no table under the broadcast threshold the texts that stay still lie where they are."""
+    keys = "id long, n int"
+    made = [(k if k % 9 else None, k % 5, f"text {k}") for k in range(4000)] + [(7, 2, "text 7")] * 3
+    docs = spark.createDataFrame(made, "id long, n int, text string")
+    gone = [(k if k % 9 else None, k % 5) for k in range(0, 4000, 10)]
+    gone = sorted(set(gone), key=repr)
+    key = {"id": docs["id"], "n": docs["n"]}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dropped, repeated = spark.createDataFrame(gone, keys), spark.createDataFrame([(7, 2)], keys)
+        rows = common.packed(docs, k_id=docs["id"], k_n=docs["n"])
+        clear, met = common.sieved(rows, dropped, ["id", "n"])
+        plan = clear._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "BroadcastExchange" in plan
+        out = sorted((tuple(r) for r in common.drop_rows(docs, key, dropped, repeated).collect()), key=repr)
+        hit = sum((i, n) in set(gone) for i, n, _ in made)
+        assert hit <= met.count() <= hit + 5 and clear.count() + met.count() == len(made)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    left = [r for r in made if r[:2] not in gone]
+    assert out == sorted([r for r in left if r[:2] != (7, 2)] + [(7, 2, "text 7")], key=repr)
+
+
+def test_a_sieve_of_no_key_clears_every_row(spark):
+    docs = spark.createDataFrame([(1, "a"), (None, "b"), (1, "a")], "id long, text string")
+    none = docs.select("id").where("false")
+    assert common.drop_rows(docs, {"id": docs["id"]}, none, none).count() == 3
