@@ -119,3 +119,24 @@ def test_query(spark, library):
     got = [tuple(r) for r in op13_token_files(spark, sf).orderBy("start").select("doc_id", "start", "n_tokens", "ids_crc32").collect()]
     docs = pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
     assert got == brute(library, sorted((d["doc_id"], d["text"]) for d in docs))
+
+
+def test_words_go_to_the_model_once_and_spaces_cut_right(library, monkeypatch):
+
+    coder = tokenfiles.Encoder(tokenfiles.default_tokenizer())
+    asked = []
+
+    class Asked:
+        def encode_batch_fast(self, forms, **more):
+            asked.extend(forms)
+            return library.encode_batch_fast(forms, **more)
+
+    coder.library = Asked()
+    assert coder.encode(["One word, one Élan. One", ""])[0] == np.asarray(library.encode("One word, one Élan. One", add_special_tokens=False).ids, "<u4").tobytes()
+    assert sorted(asked) == [",", "."]  # words are one piece of the split: the model takes them as they stand
+    coder.encode(["Élan one word, word. One word"])
+    assert set(asked) == {",", "."}
+    some = [" ", " ", "  ", "\n", "\t", " \n", "\x85", "　", "​", "\x1c", "ab", "Été", "'s", "12", "x9", ".", ",", "ɏ", "×", "漢", "<|endoftext|>"]
+    pick = random.Random(3)
+    odd = ["".join(pick.choices(some, k=pick.randint(0, 9))) for _ in range(4000)]
+    assert coder.encode(odd) == [np.asarray(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(odd, add_special_tokens=False)]

@@ -7,7 +7,10 @@ never cut. Each shard is one file of :mod:`vigil.llm.wavelet`, in which the ids
 ride along. Spark's text writer commits them (the file, then a line feed that its reader ignores), so a lost
 or repeated task leaves no file twice, in any store that Spark writes to.
 
-*Encoding.* The library encodes each distinct form once. Texts are cut only where the tokenizer's own split cuts
+*Encoding.* The library encodes each distinct form once; a form of letters alone is one piece of the tokenizer's split,
+so the library's model takes it as it stands. Where every single space of a text stands between characters that are
+not white, Arrow cuts it before these spaces and numbers the distinct pieces of a group of texts. Pieces and other texts
+are cut into forms. Texts are cut only where the tokenizer's own split cuts
 too, whatever stands around: before white space that follows another character (its matches take white space
 at their start only), between a letter or digit and a point or the like (matches with letters end in one), and
 after a single line feed before a letter or digit. Added tokens hold neither, which is checked against the
@@ -29,9 +32,12 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,16 +52,20 @@ _PER_TASK = 1 << 20
 MAX_FORMS = 1 << 20
 MAX_FORM_CHARS = 64
 #: Characters of texts that are cut at once.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 22
 END = 0
 
 # --- Fixed values: Unicode's white space, as the tokenizer's split knows it; plain letters and digits ------
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_PLAIN = "A-Za-z0-9À-ÖØ-öø-ɏ"
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_PLAIN = _LETTERS + "0-9"
 # -----------------------------------------------------------------------------------------------------------
 _STOP = ".,;:!?"
 #: A plain word before a stop or white space, a stop before a space, a line feed before a word, or all up to white space.
 _FORM = re.compile(f" ?[{_PLAIN}]+(?=[{_STOP}{_WHITE}]|\\Z)|[{_STOP}](?=[ \\n]|\\Z)|\n(?=[{_PLAIN}])|[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
+#: A space beside white space or at an end (RE2).
+_ODD = f" [{_WHITE}]|[{_WHITE}] |\\A | \\z"
+_WORD = re.compile(f" ?[{_LETTERS}]+")
 
 
 def default_tokenizer() -> str:
@@ -79,8 +89,14 @@ class Encoder:
         if any(re.search(f"[{_STOP}{_WHITE}]", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in model["added_tokens"]):
             raise ValueError("added tokens must neither hold nor take white space, nor hold stops")
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.planes = max(1, (max(self.library.get_vocab_size(), 2) - 1).bit_length())
         self.forms: dict[str, bytes] = {}
+        #: Letters and the space as the model knows them; none where an added token could stand in a word.
+        self.letters: dict[int, str] = {}
+        if not any(_WORD.fullmatch(t["content"]) for t in model["added_tokens"]):
+            known = filter(re.compile(f"[ {_LETTERS}]").match, map(chr, range(0x250)))
+            self.letters = {ord(c): "".join(x for x, _ in self.library.pre_tokenizer.pre_tokenize_str(c)) for c in known}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out, at = [], 0
@@ -90,21 +106,55 @@ class Encoder:
             while end < len(texts) and chars < GROUP_CHARS:
                 chars += len(texts[end])
                 end += 1
-            cut = [_FORM.findall(t) for t in texts[at:end]]
             if len(self.forms) >= MAX_FORMS:
                 self.forms.clear()
-            got = [list(map(self.forms.get, forms)) for forms in cut]
-            new = list({f for forms, ids in zip(cut, got, strict=True) if None in ids for f, x in zip(forms, ids, strict=True) if x is None})
-            made = (np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(new, add_special_tokens=False))
-            fresh = dict(zip(new, made, strict=True))
-            self.forms.update((f, ids) for f, ids in fresh.items() if len(f) <= MAX_FORM_CHARS)
-            for forms, ids in zip(cut, got, strict=True):
-                if None in ids:
-                    ids = [fresh[f] if x is None else x for f, x in zip(forms, ids, strict=True)]
-                out.append(b"".join(ids))
+            out += self._group(texts[at:end])
             at = end
         return out
 
+    def _group(self, texts: list[str]) -> list[bytes]:
+        rows = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(rows, _ODD)  # these are cut as a whole
+        cut = pc.split_pattern(pc.if_else(odd, "", rows), " ")
+        edges, flat = cut.offsets.to_numpy(), cut.flatten()
+        later = np.ones(len(flat), bool)
+        later[edges[:-1]] = False
+        first = flat.filter(pa.array(~later)).to_numpy(zero_copy_only=False).tolist()
+        rest = flat.filter(pa.array(later)).dictionary_encode()
+        pieces = rest.dictionary.to_numpy(zero_copy_only=False).tolist()
+        made = pa.array(self._cut(list(map(" ".__add__, pieces))), pa.large_binary()).take(rest.indices)
+        ends = np.r_[0, np.cumsum(pc.binary_length(made).to_numpy(zero_copy_only=False), dtype=np.int64)]
+        raw = memoryview(made.buffers()[2]) if len(made) else b""
+        ends = ends[edges - np.arange(len(edges))].tolist()
+        head = self._cut([t if o else f for t, o, f in zip(texts, odd.to_pylist(), first, strict=True)])
+        return [b"".join((h, raw[a:b])) for h, a, b in zip(head, ends, ends[1:], strict=False)]
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, form by form."""
+        out = list(map(self.forms.get, texts))
+        todo = [k for k, x in enumerate(out) if x is None]
+        cut = [[texts[k]] if _WORD.fullmatch(texts[k]) else _FORM.findall(texts[k]) for k in todo]
+        fresh = dict.fromkeys(f for forms in cut for f in forms if f not in self.forms)
+        fresh = dict(zip(fresh, self._library(list(fresh)), strict=True))
+        for k, forms in zip(todo, cut, strict=True):
+            ids = [fresh[f] if f in fresh else self.forms[f] for f in forms]
+            out[k] = ids[0] if len(ids) == 1 else b"".join(ids)
+            if len(texts[k]) <= MAX_FORM_CHARS:
+                self.forms[texts[k]] = out[k]
+        self.forms.update((f, ids) for f, ids in fresh.items() if len(f) <= MAX_FORM_CHARS)
+        return out
+
+    def _library(self, forms: list[str]) -> list[bytes]:
+        alone = [bool(self.letters and _WORD.fullmatch(f)) for f in forms]
+        words = [f for f, a in zip(forms, alone, strict=True) if a]
+        tokens = [[t.id for t in self.model.tokenize(w)] for w in "\n".join(words).translate(self.letters).split("\n")] if words else []
+        made = self.library.encode_batch_fast([f for f, a in zip(forms, alone, strict=True) if not a], add_special_tokens=False)
+        words, others = iter(tokens), (e.ids for e in made)
+        ids = [next(words if a else others) for a in alone]
+        raw = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+        ends = list(accumulate((4 * len(x) for x in ids), initial=0))
+        return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:

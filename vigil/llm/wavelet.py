@@ -45,7 +45,7 @@ def build(ids: np.ndarray, planes: int, extra: bytes = b"", **about) -> bytes:
         body += [before.tobytes(), np.cumsum(ends).astype("<i8").tobytes(), *blocks]
         zeros.append(len(x) - int(before[-1]))
         set_ = bit.view(bool)
-        x = np.concatenate([x[~set_], x[set_]])
+        x = np.concatenate([x.take(np.flatnonzero(~set_)), x.take(np.flatnonzero(set_))])  # faster than by a mask
     body.append(press.compress(extra))
     head = about | {"n": len(ids), "planes": planes, "block": BLOCK, "zeros": zeros, "extra": len(body[-1]), "body": sum(map(len, body))}
     head = json.dumps(head).encode()
