@@ -140,3 +140,40 @@ def test_words_go_to_the_model_once_and_spaces_cut_right(library, monkeypatch):
     pick = random.Random(3)
     odd = ["".join(pick.choices(some, k=pick.randint(0, 9))) for _ in range(4000)]
     assert coder.encode(odd) == [np.asarray(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(odd, add_special_tokens=False)]
+
+
+def test_words_go_to_the_model_by_lines_not_one_by_one(library):
+    coder = tokenfiles.Encoder(tokenfiles.default_tokenizer())
+    model, calls = coder.model, []
+
+    class Counted:
+        def encode_batch_fast(self, lines, **more):
+            calls.append(len(lines))
+            return model.encode_batch_fast(lines, **more)
+
+    coder.model = Counted()
+    words = [f"{a}{b}{c}" for a in "abcdefghij" for b in ("ra", "é", "ß", "Ti") for c in "klmnopqrst"]
+    some = [" ".join(words), "\n".join(words), "x" + ", ".join(reversed(words)) + "."]
+    assert coder.encode(some) == [np.asarray(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(some, add_special_tokens=False)]
+    assert 1 <= sum(calls) <= 4
+    # Known words are not asked again, whatever stands beside them.
+    coder.encode([" ".join(sorted(words)) + "!"])
+    assert sum(calls) <= 5
+
+
+def test_forms_start_only_where_the_split_cuts():
+    text = "a café au lait.\nDu thé: 3.5\n\nx\u3000 y\xa0 z × à\u2003 ÷. don't"
+    raw = np.frombuffer(text.encode(), np.uint8)
+    at = [*tokenfiles._starts(raw, np.array([0])).tolist(), len(raw)]
+    cut = [raw[a:b].tobytes().decode() for a, b in zip(at, at[1:], strict=False)]
+    assert cut == ["a", " café", " au", " lait", ".", "\n", "Du", " thé", ":", " 3", ".5", "\n\nx\u3000 y\xa0 z", " ×", " à\u2003 ÷.", " don't"]
+
+
+@pytest.mark.parametrize("chars", [1, 300, 1 << 24])
+def test_groups_of_texts_meet_their_rows(spark, library, chars):
+    made = [(k if k % 7 else -k, "" if k % 5 == 0 else None if k % 11 == 0 else f"text {k}, " * (k % 13)) for k in range(1, 120)]
+    folder = checkpoint_subdir(spark, f"tokens-{random.random()}")
+    docs = spark.createDataFrame(made, "doc_id long, text string").coalesce(1)
+    tokenfiles.write(docs, folder, shard_tokens=150, group_chars=chars)
+    got = sorted(tuple(r) for r in tokenfiles.report(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32").collect())
+    assert got == sorted(brute(library, sorted(made)))

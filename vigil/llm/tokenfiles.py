@@ -7,14 +7,14 @@ never cut. Each shard is one file of :mod:`vigil.llm.wavelet`, in which the ids
 ride along. Spark's text writer commits them (the file, then a line feed that its reader ignores), so a lost
 or repeated task leaves no file twice, in any store that Spark writes to.
 
-*Encoding.* The library encodes each distinct form once; a form of letters alone is one piece of the tokenizer's split,
-so the library's model takes it as it stands. Where every single space of a text stands between characters that are
-not white, Arrow cuts it before these spaces and numbers the distinct pieces of a group of texts. Pieces and other texts
-are cut into forms. Texts are cut only where the tokenizer's own split cuts
-too, whatever stands around: before white space that follows another character (its matches take white space
+*Encoding.* Texts are cut into forms on their bytes, by numpy: only where the tokenizer's own split cuts too, whatever
+stands around: before white space that follows another character (its matches take white space
 at their start only), between a letter or digit and a point or the like (matches with letters end in one), and
 after a single line feed before a letter or digit. Added tokens hold neither, which is checked against the
-model file. Forms are forgotten after ``MAX_FORMS``; very long texts need no more memory than their ids.
+model file. Arrow numbers the distinct forms of a group of texts and finds those already known; the library encodes
+each new form once. A form of letters alone is one piece of the tokenizer's split, so many go to the library's
+model in one line, cut at line feeds; the token that a word's space begins tells where it begins. Forms are forgotten
+after ``MAX_FORMS``; a group holds ``GROUP_CHARS`` of text, but for one longer text.
 
 *Reading.* ``binaryFile`` hands whole files to tasks; :func:`documents_of` decodes them, :func:`count_token` and
 :func:`locate_token` ask rank and select of one token and decode nothing.
@@ -32,7 +32,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -48,24 +48,57 @@ from vigil.llm.wavelet import Wavelet, build
 SHARD_TOKENS = 1 << 22
 #: Shards of one task; a shard's number is its task's, then its own.
 _PER_TASK = 1 << 20
-#: Distinct forms a worker remembers, and the longest of them.
+#: Distinct forms a worker remembers, and the longest of them in bytes.
 MAX_FORMS = 1 << 20
 MAX_FORM_CHARS = 64
-#: Characters of texts that are cut at once.
-GROUP_CHARS = 1 << 22
+#: Bytes of texts that are cut at once, and words that go to the model at once.
+GROUP_CHARS = 1 << 24
+LINE = 1000
 END = 0
 
-# --- Fixed values: Unicode's white space, as the tokenizer's split knows it; plain letters and digits ------
+# --- Fixed values: Unicode's white space, as the tokenizer's split knows it; plain letters ------------------
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-_PLAIN = _LETTERS + "0-9"
 # -----------------------------------------------------------------------------------------------------------
 _STOP = ".,;:!?"
-#: A plain word before a stop or white space, a stop before a space, a line feed before a word, or all up to white space.
-_FORM = re.compile(f" ?[{_PLAIN}]+(?=[{_STOP}{_WHITE}]|\\Z)|[{_STOP}](?=[ \\n]|\\Z)|\n(?=[{_PLAIN}])|[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
-#: A space beside white space or at an end (RE2).
-_ODD = f" [{_WHITE}]|[{_WHITE}] |\\A | \\z"
-_WORD = re.compile(f" ?[{_LETTERS}]+")
+_WORD = f" ?[{_LETTERS}]+"
+
+
+def _bytes_in(values) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[list(values)] = True
+    return table
+
+
+_IS_WHITE = _bytes_in(b"\t\n\x0b\x0c\r ")
+_IS_STOP = _bytes_in(_STOP.encode())
+_IS_PLAIN = _bytes_in(c for c in range(128) if chr(c).isalnum())
+#: First bytes of two-byte characters from À to ȿ: letters, but for × and ÷.
+_LEADS = _bytes_in(range(0xC3, 0xC9))
+#: The last byte of white characters beyond ASCII, and the byte before it.
+_WHITE_LAST = _bytes_in([*range(0x80, 0x8B), 0x85, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF])
+_WHITE_LEADS = _bytes_in([0xC2, 0x80, 0x81, 0x9A])
+
+
+def _starts(raw: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Where forms start in the bytes of texts that start at ``texts``."""
+    before = np.r_[np.uint8(0), raw[:-1]]
+    cut = _IS_WHITE[raw]
+    at = np.flatnonzero(cut)
+    last = before[at]
+    odd = _IS_WHITE[last]
+    wide = np.flatnonzero(_WHITE_LAST[last])
+    odd[wide] = _WHITE_LEADS[before[at[wide] - 1]]
+    cut[at[odd]] = False
+    cut[texts] = True
+    at = np.flatnonzero(cut & (raw == 10))
+    after = raw[np.minimum(at + 1, len(raw) - 1)]
+    cut[at[(at + 1 < len(raw)) & (_IS_PLAIN | _LEADS)[after]] + 1] = True
+    at = np.flatnonzero(_IS_STOP[raw])
+    last, lead = before[at], before[at - 1]
+    letter = _IS_PLAIN[last] | ((last >= 0x80) & _LEADS[lead] & ~((lead == 0xC3) & ((last == 0x97) | (last == 0xB7))))
+    cut[at[letter]] = True
+    return np.flatnonzero(cut)
 
 
 def default_tokenizer() -> str:
@@ -80,6 +113,7 @@ class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel ones
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
@@ -89,71 +123,125 @@ class Encoder:
         if any(re.search(f"[{_STOP}{_WHITE}]", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in model["added_tokens"]):
             raise ValueError("added tokens must neither hold nor take white space, nor hold stops")
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
         self.planes = max(1, (max(self.library.get_vocab_size(), 2) - 1).bit_length())
-        self.forms: dict[str, bytes] = {}
         #: Letters and the space as the model knows them; none where an added token could stand in a word.
         self.letters: dict[int, str] = {}
-        if not any(_WORD.fullmatch(t["content"]) for t in model["added_tokens"]):
+        if not any(re.fullmatch(_WORD, t["content"]) for t in model["added_tokens"]):
             known = filter(re.compile(f"[ {_LETTERS}]").match, map(chr, range(0x250)))
             self.letters = {ord(c): "".join(x for x, _ in self.library.pre_tokenizer.pre_tokenize_str(c)) for c in known}
+        #: The library's model by itself, over words that are cut at line feeds.
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = CharDelimiterSplit("\n")
+        self.spaced = np.zeros(1 << self.planes, bool)
+        if self.letters:
+            self.spaced[[k for t, k in self.library.get_vocab().items() if t.startswith(self.letters[32])]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known forms, and where the ids of each lie in ``ids``."""
+        self.known, self.ids = pa.array([], pa.large_binary()), np.zeros(0, "<u4")
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out, at = [], 0
-        while at < len(texts):
-            # A group of texts: its new forms go to the library together.
-            end, chars = at, 0
-            while end < len(texts) and chars < GROUP_CHARS:
-                chars += len(texts[end])
-                end += 1
-            if len(self.forms) >= MAX_FORMS:
-                self.forms.clear()
-            out += self._group(texts[at:end])
-            at = end
+        out = []
+        for ids, sizes in self.groups([pa.array(texts, pa.large_string())]):
+            raw, ends = ids.tobytes(), (4 * np.cumsum(sizes)).tolist()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         return out
 
-    def _group(self, texts: list[str]) -> list[bytes]:
-        rows = pa.array(texts, pa.large_string())
-        odd = pc.match_substring_regex(rows, _ODD)  # these are cut as a whole
-        cut = pc.split_pattern(pc.if_else(odd, "", rows), " ")
-        edges, flat = cut.offsets.to_numpy(), cut.flatten()
-        later = np.ones(len(flat), bool)
-        later[edges[:-1]] = False
-        first = flat.filter(pa.array(~later)).to_numpy(zero_copy_only=False).tolist()
-        rest = flat.filter(pa.array(later)).dictionary_encode()
-        pieces = rest.dictionary.to_numpy(zero_copy_only=False).tolist()
-        made = pa.array(self._cut(list(map(" ".__add__, pieces))), pa.large_binary()).take(rest.indices)
-        ends = np.r_[0, np.cumsum(pc.binary_length(made).to_numpy(zero_copy_only=False), dtype=np.int64)]
-        raw = memoryview(made.buffers()[2]) if len(made) else b""
-        ends = ends[edges - np.arange(len(edges))].tolist()
-        head = self._cut([t if o else f for t, o, f in zip(texts, odd.to_pylist(), first, strict=True)])
-        return [b"".join((h, raw[a:b])) for h, a, b in zip(head, ends, ends[1:], strict=False)]
-
-    def _cut(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, form by form."""
-        out = list(map(self.forms.get, texts))
-        todo = [k for k, x in enumerate(out) if x is None]
-        cut = [[texts[k]] if _WORD.fullmatch(texts[k]) else _FORM.findall(texts[k]) for k in todo]
-        fresh = dict.fromkeys(f for forms in cut for f in forms if f not in self.forms)
-        fresh = dict(zip(fresh, self._library(list(fresh)), strict=True))
-        for k, forms in zip(todo, cut, strict=True):
-            ids = [fresh[f] if f in fresh else self.forms[f] for f in forms]
-            out[k] = ids[0] if len(ids) == 1 else b"".join(ids)
-            if len(texts[k]) <= MAX_FORM_CHARS:
-                self.forms[texts[k]] = out[k]
-        self.forms.update((f, ids) for f, ids in fresh.items() if len(f) <= MAX_FORM_CHARS)
-        return out
-
-    def _library(self, forms: list[str]) -> list[bytes]:
-        alone = [bool(self.letters and _WORD.fullmatch(f)) for f in forms]
-        words = [f for f, a in zip(forms, alone, strict=True) if a]
-        tokens = [[t.id for t in self.model.tokenize(w)] for w in "\n".join(words).translate(self.letters).split("\n")] if words else []
-        made = self.library.encode_batch_fast([f for f, a in zip(forms, alone, strict=True) if not a], add_special_tokens=False)
-        words, others = iter(tokens), (e.ids for e in made)
-        ids = [next(words if a else others) for a in alone]
-        raw = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
-        ends = list(accumulate((4 * len(x) for x in ids), initial=0))
-        return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    def groups(self, columns: Iterator[pa.Array], end: int | None = None, chars: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids and their number by text, for groups of the texts in order; ``end``: an id that each text's ids get."""
+        held, size, chars = [], 0, chars or GROUP_CHARS
+        for column in columns:
+            texts = column.cast(pa.large_string()).cast(pa.large_binary())
+            ends, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
+            while at < len(texts):
+                # Up to the text that fills the group.
+                done = int(ends[at - 1]) if at else 0
+                to = min(len(texts), int(np.searchsorted(ends, done + chars - size)) + 1)
+                held.append(texts.slice(at, to - at))
+                size += int(ends[to - 1]) - done
+                at = to
+                if size >= chars:
+                    yield self._group(pa.concat_arrays(held), end)
+                    held, size = [], 0
+        if held:
+            yield self._group(pa.concat_arrays(held), end)
+
+    def _group(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        size = int(offsets[-1] - offsets[0])
+        raw = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if size else np.zeros(0, np.uint8)
+        offsets = offsets - offsets[0]
+        at = np.r_[_starts(raw, offsets[:-1][offsets[:-1] < offsets[1:]]), size].astype(np.int64) if size else np.zeros(1, np.int64)
+        forms = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(raw)])
+        forms = forms.dictionary_encode()
+        begin, sizes, ids = self._known(forms.dictionary)
+        which, edges = forms.indices.to_numpy(), np.searchsorted(at, offsets)
+        if end is not None:
+            which, edges = np.insert(which, edges[1:], len(begin)), edges + np.arange(len(edges))
+            begin, sizes, ids = np.r_[begin, len(ids)], np.r_[sizes, 1], np.r_[ids, np.uint32(end)]
+        count = sizes[which]
+        ends = np.r_[0, np.cumsum(count)]
+        spots = np.repeat(begin[which] - ends[:-1], count)
+        spots += np.arange(len(spots))
+        return ids[spots].astype("<u4", copy=False), np.diff(ends[edges])
+
+    def _known(self, forms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each of distinct forms, where its ids begin and how many they are; and the ids."""
+        if len(self.known) >= MAX_FORMS:
+            self._forget()
+        at = pc.index_in(forms, value_set=self.known)
+        found = at.is_valid().to_numpy(zero_copy_only=False)
+        short = pc.less_equal(pc.binary_length(forms), MAX_FORM_CHARS).to_numpy(zero_copy_only=False)
+        begin, size = np.empty(len(forms), np.int64), np.empty(len(forms), np.int64)
+        spot = at.drop_null().to_numpy()
+        begin[found], size[found] = self.begin[spot], self.size[spot]
+        ids = self.ids
+        for keep in (True, False):  # long forms come last and are not remembered
+            new = np.flatnonzero(~found & (short == keep))
+            fresh = forms.take(pa.array(new))
+            b, n, more = self._library(fresh.cast(pa.large_string()))
+            begin[new], size[new] = b + len(ids), n
+            ids = np.r_[ids, more]
+            if keep:
+                self.known, self.ids = pa.concat_arrays([self.known, fresh]), ids
+                self.begin, self.size = np.r_[self.begin, begin[new]], np.r_[self.size, n]
+        return begin, size, ids
+
+    def _library(self, forms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``_known``, by the library."""
+        alone = pc.match_substring_regex(forms, f"^{_WORD}$") if self.letters else pa.array(np.zeros(len(forms), bool))
+        plain = pc.string_is_ascii(forms)
+        begin, size, ids, total = np.empty(len(forms), np.int64), np.empty(len(forms), np.int64), [], 0
+        for part in (pc.and_(alone, plain), pc.and_not(alone, plain), pc.invert(alone)):
+            here = np.flatnonzero(part.to_numpy(zero_copy_only=False))
+            for k in range(0, len(here), LINE):
+                rows = here[k : k + LINE]
+                got = forms.take(pa.array(rows))
+                if alone[int(rows[0])].as_py():
+                    begin[rows], size[rows], made = self._words(got.to_pylist())
+                else:
+                    made = [e.ids for e in self.library.encode_batch_fast(got.to_pylist(), add_special_tokens=False)]
+                    size[rows] = list(map(len, made))
+                    begin[rows] = np.cumsum(size[rows]) - size[rows]
+                    made = np.fromiter(chain.from_iterable(made), "<u4")
+                begin[rows] += total
+                total += len(made)
+                ids.append(made)
+        return begin, size, np.concatenate(ids) if ids else np.zeros(0, "<u4")
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``_library``, of words with or without a space before them."""
+        # A word without a space follows a space that is a word of its own and not counted.
+        bare = np.array([w[0] != " " for w in words], np.int64)
+        line = "\n".join([w if w[0] == " " else " \n" + w for w in words])
+        line = line.replace(" ", self.letters[32]) if line.isascii() else line.translate(self.letters)
+        ids = np.array(self.model.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+        begin = np.flatnonzero(self.spaced[ids])
+        if len(begin) != len(words):
+            raise ValueError("the model does not begin a token at each space")
+        return begin + bare, np.diff(np.r_[begin, len(ids)]) - bare, ids
 
 
 @lru_cache(maxsize=2)
@@ -161,34 +249,43 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int = END, shard_tokens: int = SHARD_TOKENS) -> None:
+def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int = END, shard_tokens: int = SHARD_TOKENS, group_chars: int | None = None) -> None:
     """Files of all ``docs (doc_id, text)`` in ``folder``, which must be new, in ascending ``doc_id`` order."""
     path = tokenizer or default_tokenizer()
 
-    def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, task, k = encoder(path), TaskContext.get().partitionId(), 0
-        last = np.array([end], "<u4").tobytes()
         ids, sizes, docs_, total = [], [], [], 0
+        names: list[pa.Array] = []
+
+        def texts() -> Iterator[pa.Array]:
+            for batch in batches:
+                names.append(batch.column("id"))
+                yield batch.column("text")
 
-        def close() -> pd.DataFrame:
+        def close() -> pa.RecordBatch:
             nonlocal ids, sizes, docs_, total, k
-            all_ids = np.frombuffer(b"".join(ids), "<u4")
-            missing = np.array([d is None for d in docs_], bool)
-            names = np.array([0 if d is None else d for d in docs_], "<i8")
-            extra = names.tobytes() + np.array(sizes, "<i8").tobytes() + np.packbits(missing).tobytes()
-            made = build(all_ids, coder.planes, extra, shard=task * _PER_TASK + k, rows=len(sizes), end=end)
+            every, size, doc = np.concatenate(ids), np.concatenate(sizes), pa.concat_arrays(docs_)
+            extra = doc.fill_null(0).to_numpy().astype("<i8").tobytes() + size.astype("<i8").tobytes() + np.packbits(doc.is_null().to_numpy(zero_copy_only=False)).tobytes()
+            made = build(every, coder.planes, extra, shard=task * _PER_TASK + k, rows=len(size), end=end)
             ids, sizes, docs_, total, k = [], [], [], 0, k + 1
             if k > _PER_TASK:
                 raise ValueError("too many shards in one task: use more partitions")
-            return pd.DataFrame({"shard": [task * _PER_TASK + k - 1], "value": [made]})
-
-        for batch in batches:
-            for doc, got in zip(batch["doc"], coder.encode(batch["text"].tolist()), strict=True):
-                got += last
-                ids.append(got)
-                docs_.append(None if doc == "" else int(doc))
-                sizes.append(len(got) // 4)
-                total += sizes[-1]
+            return pa.RecordBatch.from_pydict({"shard": pa.array([task * _PER_TASK + k - 1], pa.int64()), "value": pa.array([made], pa.binary())})
+
+        for got, size in coder.groups(texts(), end, group_chars):
+            # The ids of this group's rows, of batches that are met so far.
+            every = pa.concat_arrays(names)
+            doc, names[:] = every.slice(0, len(size)), [every.slice(len(size))]
+            ends, row, at = np.cumsum(size), 0, 0
+            while row < len(size):
+                # Up to the row that brings the shard to its size.
+                to = min(len(size), int(np.searchsorted(ends, at + shard_tokens - total)) + 1)
+                ids.append(got[at : ends[to - 1]])
+                sizes.append(size[row:to])
+                docs_.append(doc.slice(row, to - row))
+                total += int(ends[to - 1]) - at
+                row, at = to, int(ends[to - 1])
                 if total >= shard_tokens:
                     yield close()
         if sizes:
@@ -198,9 +295,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int =
     rows = docs.select(doc.alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("row"))
     order = [F.col("id").asc_nulls_last(), "hash", "row"]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    # Ids as text: a column of 64-bit numbers with a null would reach pandas as doubles.
-    rows = rows.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("doc"), "text")
-    made = rows.mapInPandas(shards, "shard long, value binary")
+    made = rows.select("id", "text").mapInArrow(shards, "shard long, value binary")
     made.select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").text(folder)
 
 
